@@ -48,17 +48,17 @@ def preview(text: Column, size: int) -> Column:
 
 def relative_time(ts: Column, now: Column) -> Column:
     """Age in words: just now, minutes, hours, days, then the date."""
-    seconds = F.unix_micros(now) - F.unix_micros(ts)
+    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))
     minute = 60 * 1_000_000
 
     def units(size: int, label: str) -> Column:
-        return F.concat(F.floor(seconds / F.lit(size)).cast("string"), F.lit(label))
+        return F.concat(F.floor(age / F.lit(size)).cast("string"), F.lit(label))
 
     # Labels and limits.
     return (
-        F.when(seconds < minute, F.lit("刚刚"))
-        .when(seconds < 60 * minute, units(minute, "分钟前"))
-        .when(seconds < 24 * 60 * minute, units(60 * minute, "小时前"))
-        .when(seconds < 7 * 24 * 60 * minute, units(24 * 60 * minute, "天前"))
+        F.when(age < minute, F.lit("刚刚"))
+        .when(age < 60 * minute, units(minute, "分钟前"))
+        .when(age < 24 * 60 * minute, units(60 * minute, "小时前"))
+        .when(age < 7 * 24 * 60 * minute, units(24 * 60 * minute, "天前"))
         .otherwise(F.date_format(ts, "yyyy-MM-dd"))
     )

@@ -182,6 +182,10 @@ def describe_forms(
     return F.concat(text, F.when(F.size(eligible) > 0, sentence).otherwise(""))
 
 
+def _contains(word: str):
+    return lambda text: text.contains(word)
+
+
 def form_scenarios(name: Column, field_names: Column) -> Column:
     """Array of up to five scenarios that the rules find, or the three general ones."""
     text = _combined(name, field_names)
@@ -195,7 +199,7 @@ def form_scenarios(name: Column, field_names: Column) -> Column:
         if words:
             tests.append(_any_word(text, words))
         if part:
-            tests.append(F.exists(field_names, lambda f, part=part: F.lower(f).contains(part)))
+            tests.append(F.exists(F.transform(field_names, F.lower), _contains(part)))
         if exact:
             tests.append(F.arrays_overlap(field_names, _lit_lines(exact)))
         hit = tests[0]

@@ -1,6 +1,7 @@
 """Mutations of the keyed store, as functions from the old table to the new one.
 
-``chunk_id`` is the key and ``seq`` orders the changes of one batch. Batches and id lists are
+Rows are keyed by ``(knowledge_type, chunk_id)``: every type has its own ids. ``seq`` orders the
+changes of one batch. Id lists hold ``chunk_id`` and may narrow it by ``knowledge_type``. Batches and id lists are
 joined to the store, so a small change is broadcast by Spark and leaves the stored rows in place;
 a large one is shuffled by key. ``sources.snapshots`` makes the result durable.
 """
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from vectorloom.schemas import STORE_ROW
 
+KEY = ["knowledge_type", "chunk_id"]
+
 
 def as_store_rows(df: DataFrame, *extra: str) -> DataFrame:
     """Bring a table to the store columns: missing ones are null, ``deleted`` defaults to false.
@@ -31,7 +34,7 @@ def as_store_rows(df: DataFrame, *extra: str) -> DataFrame:
 
 def latest_rows(batch: DataFrame, order: str = "seq") -> DataFrame:
     """Last row of every key; all but one row per key and task are dropped before the shuffle."""
-    newest = Window.partitionBy("chunk_id").orderBy(F.col(order).desc())
+    newest = Window.partitionBy(*KEY).orderBy(F.col(order).desc())
     return batch.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
 
 
@@ -53,19 +56,19 @@ def upsert_documents(
     """
     fresh = _live(latest_rows(batch, order)).select(*store.columns)
     if newer_only:
-        stored = store.select("chunk_id", F.col("seq").alias("_stored"))
+        stored = store.select(*KEY, F.col("seq").alias("_stored"))
         fresh = (
-            fresh.join(stored, "chunk_id", "left")
+            fresh.join(stored, KEY, "left")
             .where(F.col("_stored").isNull() | (F.col("_stored") <= F.col("seq")))
             .select(*store.columns)
         )
-    kept = store.join(fresh.select("chunk_id"), "chunk_id", "left_anti").select(*store.columns)
+    kept = store.join(fresh.select(*KEY), KEY, "left_anti").select(*store.columns)
     return kept.unionByName(fresh)
 
 
 def new_rows(store: DataFrame, batch: DataFrame, order: str = "seq") -> DataFrame:
     """The rows of a batch whose key is not stored, last one per key."""
-    unknown = batch.join(store.select("chunk_id"), "chunk_id", "left_anti")
+    unknown = batch.join(store.select(*KEY), KEY, "left_anti")
     return _live(latest_rows(unknown, order)).select(*store.columns)
 
 
@@ -80,9 +83,9 @@ def batch_counts(store: DataFrame, batch: DataFrame) -> DataFrame:
     ``inserted`` new keys, ``existing`` rows whose key is stored (skipped by ``insert_if_absent``,
     replacing by ``upsert_documents``), ``superseded`` earlier rows of a new key.
     """
-    keys = batch.groupBy("chunk_id").agg(F.count("*").alias("rows"))
-    stored = store.select("chunk_id", F.lit(True).alias("known"))
-    per_key = keys.join(stored, "chunk_id", "left")
+    keys = batch.groupBy(*KEY).agg(F.count("*").alias("rows"))
+    stored = store.select(*KEY, F.lit(True).alias("known"))
+    per_key = keys.join(stored, KEY, "left")
     known = F.coalesce(F.col("known"), F.lit(False))
     return per_key.agg(
         F.count_if(~known).alias("inserted"),
@@ -91,9 +94,15 @@ def batch_counts(store: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
+def _given(ids: DataFrame) -> list[str]:
+    """Key columns of an id list."""
+    return [column for column in KEY if column in ids.columns]
+
+
 def _mark(store: DataFrame, ids: DataFrame) -> DataFrame:
-    hit = ids.select("chunk_id").distinct().withColumn("_hit", F.lit(True))
-    return store.join(hit, "chunk_id", "left").withColumn("_hit", F.col("_hit").isNotNull())
+    given = _given(ids)
+    hit = ids.select(*given).distinct().withColumn("_hit", F.lit(True))
+    return store.join(hit, given, "left").withColumn("_hit", F.col("_hit").isNotNull())
 
 
 def _set_flag(marked: DataFrame, columns: list[str], deleted: bool, at: Column) -> DataFrame:
@@ -118,16 +127,19 @@ def restore_documents(store: DataFrame, ids: DataFrame) -> DataFrame:
 
 def restore_report(store: DataFrame, ids: DataFrame) -> DataFrame:
     """``(chunk_id, restored)`` per requested id; false for unknown ones."""
-    known = store.select("chunk_id", F.lit(True).alias("_known"))
-    asked = ids.select("chunk_id").distinct()
-    return asked.join(known, "chunk_id", "left").select(
-        "chunk_id", F.col("_known").isNotNull().alias("restored")
+    given = _given(ids)
+    asked = ids.select(*given).distinct()
+    # An id without a type may be stored under several types and is still one answer.
+    found = asked.join(store.select(*given), given, "left_semi").withColumn("_known", F.lit(True))
+    return asked.join(found, given, "left").select(
+        *given, F.col("_known").isNotNull().alias("restored")
     )
 
 
 def hard_delete(store: DataFrame, ids: DataFrame) -> DataFrame:
     """Remove rows by id, vectors included."""
-    return store.join(ids.select("chunk_id"), "chunk_id", "left_anti").select(*store.columns)
+    given = _given(ids)
+    return store.join(ids.select(*given), given, "left_anti").select(*store.columns)
 
 
 def delete_by_positions(vectors: DataFrame, ids: DataFrame) -> DataFrame:

@@ -255,7 +255,8 @@ def summary_index_build(
     A summary is skipped when its key is already stored.
     """
     job = import_summaries(store_rows, summaries, knowledge_type, encoder, created_at)
-    stored = store_rows.select(F.col("chunk_id").alias("doc_id"), F.lit(True).alias("_stored"))
+    own = store_rows.where(F.col("knowledge_type") == knowledge_type)
+    stored = own.select(F.col("chunk_id").alias("doc_id"), F.lit(True).alias("_stored"))
     known = F.col("_stored").isNotNull()
     encoded = F.col("embedding").isNotNull()
     counts = job.embedded.join(stored, "doc_id", "left").agg(
