@@ -11,7 +11,7 @@ from vectorloom.catalog.registry import cte, label_queries, query, sql, table
 from vectorloom.operators import ann
 from vectorloom.operators.knn import knn_exact
 from vectorloom.operators.stats import index_info
-from vectorloom.session import reliable_checkpoint, scratch_path
+from vectorloom.session import scratch_path
 
 DIM = 64
 
@@ -81,7 +81,7 @@ def _(spark, folder):
 
 def _fitted(spark, folder):
     vectors = _vectors(spark, folder)
-    centroids = reliable_checkpoint(ann.ivf_fit(vectors, nlist=8))
+    centroids = ann.ivf_fit(vectors, nlist=8)
     return vectors, centroids
 
 
@@ -116,7 +116,7 @@ def _(spark, folder):
 
 
 def _book(spark, folder, vectors):
-    return reliable_checkpoint(ann.pq_fit(vectors, DIM, m=8, nbits=4, iterations=5))
+    return ann.pq_fit(vectors, DIM, m=8, nbits=4, iterations=5)
 
 
 @query("pq_encode")

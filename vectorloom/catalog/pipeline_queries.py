@@ -19,6 +19,7 @@ from vectorloom.catalog.registry import (
 from vectorloom.operators.stats import build_stats, import_summary
 from vectorloom.operators.store import as_store_rows
 from vectorloom.plans import pipelines
+from vectorloom.session import materialise
 
 AT = "2024-02-01 00:00:00"
 _SHOWN = ["chunk_id", "doc_path", "knowledge_type", "content"]
@@ -250,7 +251,8 @@ def _document_store(spark, folder):
             (F.coalesce("toxic", F.lit(0)) == 1).alias("deleted"),
         )
     )
-    return as_store_rows(embedded.where(F.col("embedding").isNotNull()))
+    # A store is a written table; searches read it several times.
+    return as_store_rows(materialise(embedded.where(F.col("embedding").isNotNull())))
 
 
 def _texts(spark, folder):

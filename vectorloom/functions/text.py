@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space, as a whole-text strip removes it.
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+# White space of any script: separators, line ends and control spaces.
+_SPACES = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 _NON_SPACE = r"(?U)\S"
 
 
 def strip(text: Column) -> Column:
     """Remove white space of any kind from both ends."""
-    return F.regexp_replace(text, _EDGE_SPACE, "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def is_blank(text: Column) -> Column:

@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from vectorloom import settings
-from vectorloom.functions.vectors import l2_normalize
+from vectorloom.functions.vectors import dot, l2_normalize
+from vectorloom.operators.chunking import run_once
 from vectorloom.operators.knn import (
     ALL,
     GROUP,
+    Hits,
     QueryBlock,
     knn_exact,
     list_matrix,
@@ -143,7 +145,7 @@ def ivf_assign(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
         scores = round_scores(unit_rows(to_matrix(embeddings)) @ centers.T)
         return pd.Series(names[scores.argmax(axis=1)])
 
-    return vectors.withColumn("cell", nearest(F.col("embedding")))
+    return vectors.withColumn("cell", run_once(nearest)(F.col("embedding")))
 
 
 def probe_cells(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
@@ -161,7 +163,7 @@ def _search_cells(
     wanted = [row["cell"] for row in probes.select("cell").distinct().collect()]
     rows = indexed.where(F.col("cell").isin(wanted)).withColumn(GROUP, F.col("cell").cast("string"))
     grouped = probes.select("query_idx", "embedding", F.col("cell").cast("string").alias(GROUP))
-    return top_hits(run(rows, grouped), k, ["query_idx"], score_order()).select(
+    return run(rows, grouped).ranked(k, ["query_idx"], score_order()).select(
         "query_idx", "chunk_id", "score", "rank"
     )
 
@@ -180,7 +182,7 @@ def ivf_search(
     that holds much of the table is split like the files it is stored in.
     """
 
-    def run(rows: DataFrame, grouped: DataFrame) -> DataFrame:
+    def run(rows: DataFrame, grouped: DataFrame) -> Hits:
         return local_hits(rows.select("chunk_id", "embedding", GROUP), grouped, k, **blocks)
 
     return _search_cells(indexed, centroids, queries, k, nprobe, run)
@@ -243,7 +245,7 @@ def pq_encode(vectors: DataFrame, book: DataFrame) -> DataFrame:
             codes.append(((centers**2).sum(axis=1) - 2 * part @ centers.T).argmin(axis=1))
         return pd.Series(list(np.stack(codes, axis=1).astype(np.int32)))
 
-    return vectors.withColumn("codes", encode(F.col("embedding")))
+    return vectors.withColumn("codes", run_once(encode)(F.col("embedding")))
 
 
 def _pq_scoring(book: DataFrame) -> dict[str, Callable]:
@@ -281,15 +283,13 @@ def pq_search(
     rows = encoded.select("chunk_id", "codes", F.lit(ALL).alias(GROUP))
     wanted = queries.select("query_idx", "embedding", F.lit(ALL).alias(GROUP))
     hits = local_hits(rows, wanted, depth, **_pq_scoring(book), **blocks)
-    best = top_hits(hits, depth, ["query_idx"], score_order())
+    best = hits.ranked(depth, ["query_idx"], score_order())
     if rerank:
         best = top_hits(_exact_scores(best, encoded, queries), k, ["query_idx"], score_order())
     return best.select("query_idx", "chunk_id", "score", "rank")
 
 
 def _exact_scores(hits: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    from vectorloom.functions.vectors import dot
-
     pairs = hits.select("query_idx", "chunk_id").join(
         vectors.select("chunk_id", "embedding"), "chunk_id"
     )
@@ -311,7 +311,7 @@ def ivf_pq_search(
 ) -> DataFrame:
     """Code scores inside the probed cells."""
 
-    def run(rows: DataFrame, grouped: DataFrame) -> DataFrame:
+    def run(rows: DataFrame, grouped: DataFrame) -> Hits:
         scoring = _pq_scoring(book)
         return local_hits(rows.select("chunk_id", "codes", GROUP), grouped, k, **scoring, **blocks)
 

@@ -104,6 +104,15 @@ def _check(mode: str, size: int, overlap: int) -> None:
         raise ValueError("chunk size must exceed overlap + 100, or the scan may not advance")
 
 
+def run_once(function):
+    """Keep Spark from copying a Python function into filters it derives from the result.
+
+    A filter or generator on the result of a deterministic function makes the optimizer evaluate
+    the function a second time to drop rows early; these functions are too costly for that.
+    """
+    return function.asNondeterministic()
+
+
 def chunk_array(
     text: Column,
     mode: str = "tiered",
@@ -117,12 +126,13 @@ def chunk_array(
     def split(texts: pd.Series) -> pd.Series:
         return texts.map(lambda text: split_text(text, mode, size, overlap))
 
-    return split(text)
+    return run_once(split)(text)
 
 
 def _explode_chunks(df: DataFrame, chunks: Column, text: str, doc_id: str) -> DataFrame:
     carried = [column for column in df.columns if column != text]
-    exploded = df.select(*carried, F.posexplode(chunks).alias("_pos", text))
+    split = df.select(*carried, chunks.alias("_chunks"))
+    exploded = split.select(*carried, F.posexplode("_chunks").alias("_pos", text))
     return exploded.select(
         *carried,
         F.concat(F.col(doc_id).cast("string"), F.lit("_chunk_"), F.col("_pos") + 1).alias("chunk_id"),
@@ -166,7 +176,7 @@ def chunk_by_size(
         pairs = zip(texts, modes, strict=True)
         return pd.Series([split_text(text, mode, size, overlap) for text, mode in pairs])
 
-    chunks = split(F.col(text), F.coalesce(F.col(length) <= cap, F.lit(True)))
+    chunks = run_once(split)(F.col(text), F.coalesce(F.col(length) <= cap, F.lit(True)))
     return _explode_chunks(df, chunks, text, doc_id)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vectorloom import settings
 from vectorloom.functions.vectors import l2_normalize
-from vectorloom.operators.chunking import chunk_array
+from vectorloom.operators.chunking import chunk_array, run_once
 
 
 class Encoder(Protocol):
@@ -71,7 +71,8 @@ def embed_text(
     """Add the vector of a text column; null where the text is null or the encoder refuses it.
 
     ``encoder`` is a factory: the model is built once per Python worker and then sees Arrow
-    batches (``spark.sql.execution.arrow.maxRecordsPerBatch`` texts each).
+    batches (``spark.sql.execution.arrow.maxRecordsPerBatch`` texts each). Filter rows before
+    this step: nothing is pushed below it.
     """
 
     @F.pandas_udf("array<float>")
@@ -79,13 +80,13 @@ def embed_text(
         model = encoder()
         for texts in batches:
             known = texts.notna()
-            vectors = pd.Series([None] * len(texts), dtype=object)
+            vectors = np.full(len(texts), None, dtype=object)
             encoded = model.encode(texts[known].tolist())
             for slot, vector in zip(np.flatnonzero(known.to_numpy()), encoded, strict=True):
                 vectors[slot] = None if vector is None else np.asarray(vector, dtype=np.float32)
-            yield vectors
+            yield pd.Series(vectors)
 
-    return df.withColumn(out, encode(F.col(text)))
+    return df.withColumn(out, run_once(encode)(F.col(text)))
 
 
 def embed_distinct(
@@ -138,13 +139,16 @@ def embed_chunks(
     mode: str = "tiered",
     size: int = settings.CHUNK_MAX_SIZE,
     overlap: int = settings.CHUNK_OVERLAP,
+    reuse: bool = True,
 ) -> DataFrame:
     """Chunk the ``content`` of a vector-input table and embed every chunk.
 
     A document with one chunk keeps its own id as chunk id, others get numbered chunk ids. The
-    number of chunks is read off the array before it is exploded, so no window is needed.
+    number of chunks is read off the array before it is exploded, so no window is needed. With
+    ``reuse`` equal chunks are encoded once.
     """
     carried = [column for column in df.columns if column != "content"]
+    embed = embed_distinct if reuse else embed_text
     chunked = df.withColumn("_chunks", chunk_array(F.col("content"), mode, size, overlap))
     rows = chunked.select(
         *carried, F.size("_chunks").alias("_n"), F.posexplode("_chunks").alias("_pos", "content")
@@ -157,7 +161,7 @@ def embed_chunks(
         (F.col("_pos") + 1).alias("chunk_index"),
         "content",
     )
-    return embed_text(named, encoder)
+    return embed(named, encoder)
 
 
 def filter_embedded(df: DataFrame, column: str = "embedding") -> DataFrame:

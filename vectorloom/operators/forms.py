@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,11 +136,16 @@ def parse_form_fields(md: Column) -> Column:
 
 def _any_word(text: Column, words: list[str]) -> Column:
     """True when the text contains one of the words."""
-    return text.rlike("|".join(rf"\Q{word}\E" for word in words))
+    return F.exists(_lit_lines(words), lambda word: text.contains(word))
+
 
+def _with_combined(name: Column, field_names: Column, use) -> Column:
+    """Apply ``use`` to form name and field names as one text.
 
-def _combined(name: Column, field_names: Column) -> Column:
-    return F.concat(name, F.array_join(field_names, " "))
+    The one-element array makes Spark build the text once per row, not once per word looked for.
+    """
+    text = F.concat(name, F.array_join(field_names, " "))
+    return F.get(F.transform(F.array(text), use), F.lit(0))
 
 
 def detect_domain(
@@ -147,9 +155,12 @@ def detect_domain(
     default: str = rules.DEFAULT_DOMAIN,
 ) -> Column:
     """First domain with a keyword in the form name or a field name."""
-    text = _combined(name, field_names)
-    hits = [F.when(_any_word(text, words), F.lit(domain)) for domain, words in domains.items()]
-    return F.coalesce(*hits, F.lit(default))
+
+    def first_hit(text: Column) -> Column:
+        hits = [F.when(_any_word(text, words), F.lit(domain)) for domain, words in domains.items()]
+        return F.coalesce(*hits, F.lit(default))
+
+    return _with_combined(name, field_names, first_hit)
 
 
 def detect_type(
@@ -188,13 +199,11 @@ def _contains(word: str):
 
 def form_scenarios(name: Column, field_names: Column) -> Column:
     """Array of up to five scenarios that the rules find, or the three general ones."""
-    text = _combined(name, field_names)
 
     def filled(template: str) -> Column:
         return F.replace(F.lit(template), F.lit("{name}"), name)
 
-    found = []
-    for words, part, exact, template in rules.SCENARIOS:
+    def rule(text: Column, words, part, exact, template) -> Column:
         tests = []
         if words:
             tests.append(_any_word(text, words))
@@ -202,14 +211,23 @@ def form_scenarios(name: Column, field_names: Column) -> Column:
             tests.append(F.exists(F.transform(field_names, F.lower), _contains(part)))
         if exact:
             tests.append(F.arrays_overlap(field_names, _lit_lines(exact)))
-        hit = tests[0]
-        for test in tests[1:]:
-            hit = hit | test
-        found.append(F.when(hit, filled(template)))
-    matched = F.array_compact(F.array(*found))
+        return F.when(reduce(or_, tests), filled(template))
+
+    matched = _with_combined(
+        name,
+        field_names,
+        lambda text: F.array_compact(F.array(*(rule(text, *entry) for entry in rules.SCENARIOS))),
+    )
     general = F.array(*(filled(template) for template in rules.FALLBACK_SCENARIOS))
-    chosen = F.when(F.size(matched) > 0, matched).otherwise(general)
-    return F.slice(chosen, 1, rules.MAX_SCENARIOS)
+    return F.get(
+        F.transform(
+            F.array(matched),
+            lambda hits: F.slice(
+                F.when(F.size(hits) > 0, hits).otherwise(general), 1, rules.MAX_SCENARIOS
+            ),
+        ),
+        F.lit(0),
+    )
 
 
 def fill_placeholders(md: Column, description: Column, scenarios: Column) -> Column:

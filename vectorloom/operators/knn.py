@@ -100,6 +100,33 @@ def block_hits(
     )
 
 
+def top_hits(hits: DataFrame, k: int, by: list[str], order: list) -> DataFrame:
+    """Rank hits and keep k per key; the limit is applied map-side before the shuffle."""
+    window = Window.partitionBy(*by).orderBy(*order)
+    return hits.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+
+
+@dataclass
+class Hits:
+    """Hits per task that contain the best k per (query, group), and how many can remain.
+
+    ``bound`` is the number of rows left after ranking, where it is known.
+    """
+
+    rows: DataFrame
+    bound: int | None
+
+    def ranked(self, k: int, by: list[str], order: list) -> DataFrame:
+        """The best k per key."""
+        return self.hinted(top_hits(self.rows, k, by, order))
+
+    def hinted(self, ranked: DataFrame) -> DataFrame:
+        """Ranked hits of proven small number are broadcast in the next join, so the other side (a
+        whole store) is not shuffled for a handful of hits."""
+        small = self.bound is not None and self.bound <= settings.HIT_BROADCAST_ROWS
+        return ranked.hint("broadcast") if small else ranked
+
+
 Scorer = Callable[[pa.RecordBatch, np.ndarray, np.ndarray, QueryBlock], np.ndarray]
 
 
@@ -176,7 +203,7 @@ def local_hits(
     max_queries: int = settings.QUERY_BROADCAST_ROWS,
     block_rows: int = settings.VECTOR_BLOCK_ROWS,
     prepare: Callable[[QueryBlock], QueryBlock] = lambda block: block,
-) -> DataFrame:
+) -> Hits:
     """Hits ``(query_idx, _group, chunk_id, score)`` that contain the best k per (query, group).
 
     ``vectors`` has ``chunk_id``, ``_group`` and whatever ``score`` reads, ``queries`` has
@@ -186,7 +213,7 @@ def local_hits(
     small = bounded_queries(queries, max_queries, settings.QUERY_BROADCAST_BYTES)
     if small is not None:
         if small.empty:
-            return vectors.sparkSession.createDataFrame([], schema)
+            return Hits(vectors.sparkSession.createDataFrame([], schema), 0)
         packed = vectors.sparkSession.sparkContext.broadcast(prepare(QueryBlock.from_frame(small)))
 
         def score_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,11 +224,11 @@ def local_hits(
             if best is not None and len(best):
                 yield pa.RecordBatch.from_pandas(best, preserve_index=False)
 
-        return vectors.mapInArrow(score_partition, schema)
+        return Hits(vectors.mapInArrow(score_partition, schema), len(small) * k)
     return _shuffled_hits(vectors, queries, k, score, max_queries, block_rows, prepare, schema)
 
 
-def _shuffled_hits(vectors, queries, k, score, max_queries, block_rows, prepare, schema) -> DataFrame:
+def _shuffled_hits(vectors, queries, k, score, max_queries, block_rows, prepare, schema) -> Hits:
     """Block join: each (query block, vector block) pair is one bounded task group.
 
     Blocks are cut by a hash of the unique ids, so a hot type or cell is spread like any other.
@@ -234,15 +261,8 @@ def _shuffled_hits(vectors, queries, k, score, max_queries, block_rows, prepare,
             return empty.slice(0, 0)
         return pa.Table.from_pandas(best, preserve_index=False)
 
-    return left.groupBy("_qb", "_vb").cogroup(right.groupBy("_qb", "_vb")).applyInArrow(
-        score_pair, schema
-    )
-
-
-def top_hits(hits: DataFrame, k: int, by: list[str], order: list) -> DataFrame:
-    """Rank hits and keep k per key; the limit is applied map-side before the shuffle."""
-    window = Window.partitionBy(*by).orderBy(*order)
-    return hits.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+    pairs = left.groupBy("_qb", "_vb").cogroup(right.groupBy("_qb", "_vb"))
+    return Hits(pairs.applyInArrow(score_pair, schema), None)
 
 
 def score_order() -> list:
@@ -264,6 +284,6 @@ def knn_exact(
     grouped = vectors.select("chunk_id", "embedding", F.lit(ALL).alias(GROUP))
     wanted = queries.select("query_idx", "embedding", F.lit(ALL).alias(GROUP))
     hits = local_hits(grouped, wanted, k, max_queries=max_queries, block_rows=block_rows)
-    return top_hits(hits, k, ["query_idx"], score_order()).select(
+    return hits.ranked(k, ["query_idx"], score_order()).select(
         "query_idx", "chunk_id", "score", "rank"
     )

@@ -81,9 +81,16 @@ def summary_lookup(
 
 
 def vector_input_summary(
-    df: DataFrame, summaries: DataFrame, path: str = "path", position: str = "position"
+    df: DataFrame,
+    summaries: DataFrame,
+    path: str = "path",
+    position: str = "position",
+    source_file: str | None = "source_file",
 ) -> DataFrame:
-    """The matched summary is the text; without a match all vector input columns are null."""
+    """The matched summary is the text; without a match all vector input columns are null.
+
+    The file itself is kept under the name ``source_file``.
+    """
     kept = [column for column in df.columns if column != path]
     stemmed = df.withColumn("_stem", file_stem(F.col(path)))
     found = summary_lookup(stemmed, summaries, "_stem", position)
@@ -99,5 +106,5 @@ def vector_input_summary(
         field("doc_path", F.col(path)).alias("doc_path"),
         field("summary", F.lit("")).alias("doc_summary"),
         field("summary", F.lit("")).alias("content"),
-        F.col(path).alias("source_file"),
+        *([F.col(path).alias(source_file)] if source_file else []),
     )

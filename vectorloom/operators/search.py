@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vectorloom import settings
 from vectorloom.functions.text import strip
-from vectorloom.operators.knn import ALL, GROUP, knn_exact, local_hits, score_order, top_hits
+from vectorloom.operators.knn import GROUP, knn_exact, local_hits, score_order, top_hits
 
 HIT_COLUMNS = ["query_idx", "knowledge_type", "chunk_id", "score", "rank"]
 
@@ -33,8 +33,8 @@ def filter_has_path(hits: DataFrame) -> DataFrame:
 def hit_document_join(hits: DataFrame, store: DataFrame, columns: list[str]) -> DataFrame:
     """Stored columns of each hit; hits without a stored document are dropped.
 
-    Hits are the small side (k per query); Spark decides from their measured size whether to
-    broadcast them, and the store scan reads only ``columns``.
+    Hits carry a broadcast hint while their number is proven small; the store is then scanned in
+    place, and only for ``columns``.
     """
     return hits.join(store.select("chunk_id", *columns), "chunk_id")
 
@@ -98,16 +98,17 @@ def search_multi_type(
         F.explode(F.array(*map(F.lit, names)).cast("array<string>")).alias(GROUP),
     )
     vectors = rows.select("chunk_id", "embedding", F.col("knowledge_type").alias(GROUP))
-    hits = local_hits(vectors, spread, deepest, **blocks).withColumnRenamed(GROUP, "knowledge_type")
-    ranked = top_hits(hits, deepest, ["query_idx", "knowledge_type"], score_order())
+    hits = local_hits(vectors, spread, deepest, **blocks)
+    ranked = hits.ranked(deepest, ["query_idx", GROUP], score_order())
     allowed = (
-        ranked.join(wanted, "knowledge_type")
+        ranked.withColumnRenamed(GROUP, "knowledge_type")
+        .join(wanted, "knowledge_type")
         .where(F.col("rank") <= F.col("search_k"))
         .where(F.col("score") >= F.col("search_min_score"))
         .withColumnRenamed("rank", "type_rank")
     )
     order = [F.col("score").desc(), F.col("type_order"), F.col("type_rank")]
-    return top_hits(allowed, k, ["query_idx"], order).select(*HIT_COLUMNS)
+    return hits.hinted(top_hits(allowed, k, ["query_idx"], order).select(*HIT_COLUMNS))
 
 
 def union_type_results(results: list[DataFrame]) -> DataFrame:

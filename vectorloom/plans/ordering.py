@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectorloom.session import reliable_checkpoint
+from vectorloom.session import materialise
 
 
 def number_rows(
@@ -17,12 +17,12 @@ def number_rows(
 
     ``row_number() over (partition by group)`` sends a whole group to one task, which fails when
     there are three groups. Here rows are range-partitioned by (group, order), so a group spreads
-    over as many tasks as its size needs. The sorted rows are checkpointed: their partition
-    numbers are then data and survive the loss of an executor. Only one count per (partition,
+    over as many tasks as its size needs. The sorted rows are written to the shared folder: their
+    partition numbers are then data and survive the loss of an executor. Only one count per (partition,
     group) is windowed, and the offsets that are broadcast are bounded by partitions + groups.
     """
     keys = [*group, *order]
-    placed = reliable_checkpoint(
+    placed = materialise(
         df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_slot", F.monotonically_increasing_id())

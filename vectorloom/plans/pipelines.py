@@ -26,7 +26,8 @@ from vectorloom.operators.routing import (
     vector_input_file_name,
     vector_input_summary,
 )
-from vectorloom.session import reliable_checkpoint
+from vectorloom.schemas import VECTOR_INPUT_COLUMNS
+from vectorloom.session import materialise
 
 EncoderFactory = Callable[[], Encoder]
 
@@ -50,27 +51,42 @@ def file_inputs(
 ) -> DataFrame:
     """Vector input of every file: routed, then by file name or by summary as its type says.
 
-    Every file keeps a row; ``content`` is null where no input can be made.
+    Every file keeps a row; ``content`` is null where no input can be made. Files are read and
+    routed once: both kinds of input are columns of one projection, not branches of a union.
     """
-    settings_of = config.select("knowledge_type", "vector_field")
-    routed = route_knowledge_type(files.select("path"), rules).join(
-        F.broadcast(settings_of), "knowledge_type", "left"
+    by_type = config.select("knowledge_type", "vector_field")
+    routed = (
+        route_knowledge_type(files.select("path"), rules)
+        .join(by_type, "knowledge_type", "left")
+        .withColumn("source_file", F.col("path"))
+        .withColumn("_file", F.col("path"))
     )
-    by_name = vector_input_file_name(
-        routed.where(F.col("vector_field") == BY_FILE_NAME).withColumn("source_file", F.col("path"))
+    named = vector_input_file_name(routed)
+    by_name = F.col("vector_field") == BY_FILE_NAME
+    chosen = {name: F.when(by_name, F.col(name)) for name in VECTOR_INPUT_COLUMNS}
+    if summaries is None:
+        return named.select("knowledge_type", "source_file", *_aliased(chosen))
+    found = vector_input_summary(
+        named.select(
+            "knowledge_type",
+            "vector_field",
+            "source_file",
+            F.struct(*VECTOR_INPUT_COLUMNS).alias("_named"),
+            F.col("_file").alias("path"),
+        ),
+        summaries,
+        source_file=None,
     )
-    columns = by_name.columns
-    inputs = by_name
-    rest = ~F.coalesce(F.col("vector_field") == BY_FILE_NAME, F.lit(False))
-    if summaries is not None:
-        by_summary = vector_input_summary(
-            routed.where(F.col("vector_field") == BY_SUMMARY), summaries
-        )
-        inputs = inputs.unionByName(by_summary.select(*columns))
-        rest = rest & ~F.coalesce(F.col("vector_field") == BY_SUMMARY, F.lit(False))
-    unrouted = routed.where(rest).withColumn("source_file", F.col("path"))
-    missing = [F.lit(None).cast("string").alias(c) for c in columns if c not in unrouted.columns]
-    return inputs.unionByName(unrouted.select("*", *missing).select(*columns))
+    by_summary = F.col("vector_field") == BY_SUMMARY
+    chosen = {
+        name: F.when(by_name, F.col(f"_named.{name}")).when(by_summary, F.col(name))
+        for name in VECTOR_INPUT_COLUMNS
+    }
+    return found.select("knowledge_type", "source_file", *_aliased(chosen))
+
+
+def _aliased(columns: dict[str, Column]) -> list[Column]:
+    return [column.alias(name) for name, column in columns.items()]
 
 
 def _ledger(embedded: DataFrame) -> DataFrame:
@@ -127,7 +143,7 @@ def import_directory(
     encoder is too slow to run twice. Of several files with one id the last by path counts.
     """
     inputs = file_inputs(files, rules, config, summaries)
-    embedded = reliable_checkpoint(embed_distinct(inputs, encoder))
+    embedded = materialise(embed_distinct(inputs, encoder))
     batch = _batch(embedded, created_at, "source_file")
     rows = store.insert_if_absent(store_rows, batch, "_order")
     return ImportJob(rows, _ledger(embedded), embedded)
@@ -159,7 +175,7 @@ def import_file(
         ).withColumn("knowledge_name", file_stem(F.col("file_path")))
         return ImportJob(store_rows, ledger)
     inputs = file_inputs(files, rules, config, summaries)
-    embedded = reliable_checkpoint(embed_text(inputs, encoder))
+    embedded = materialise(embed_text(inputs, encoder))
     batch = _batch(embedded, created_at, "source_file")
     rows = store.upsert_documents(store_rows, batch, "_order")
     return ImportJob(rows, _ledger(embedded), embedded)
@@ -188,7 +204,7 @@ def import_summaries(
 ) -> ImportJob:
     """Embed the summary records of a type and add the keys that are not stored yet."""
     inputs = summary_inputs(summaries, knowledge_type)
-    embedded = reliable_checkpoint(embed_distinct(inputs, encoder))
+    embedded = materialise(embed_distinct(inputs, encoder))
     rows = store.insert_if_absent(store_rows, _batch(embedded, created_at, "position"), "_order")
     return ImportJob(rows, _ledger(embedded), embedded)
 
@@ -207,7 +223,7 @@ def build_index(
     without any chunk counts as one failure.
     """
     stored_at = F.current_timestamp() if created_at is None else created_at
-    chunks = reliable_checkpoint(embed_chunks(inputs, encoder, mode)).withColumn(
+    chunks = materialise(embed_chunks(inputs, encoder, mode)).withColumn(
         "knowledge_type", F.lit(knowledge_type)
     )
     batch = store.as_store_rows(
@@ -296,9 +312,13 @@ def summary_index_stats(
 
 
 def form_documents(records: DataFrame, created_at: Column, prefix: str = "") -> DataFrame:
-    """Form records to described Markdown documents ``(filename, described, ...)``."""
-    converted = forms.convert_forms(records, created_at, prefix)
-    return forms.describe_documents(converted.where(F.col("md").isNotNull()))
+    """Form records to described Markdown documents ``(filename, described, ...)``.
+
+    Failed records are the ones without a structure; testing that column instead of the rendered
+    text keeps the rendering out of the filter, where it would run a second time.
+    """
+    sound = records.where(F.col("FK_NYLQ_STRUCTURE_TAG").isNotNull())
+    return forms.describe_documents(forms.convert_forms(sound, created_at, prefix))
 
 
 def form_pipeline(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", name: str = "vectorloom", **conf: str) -> SparkSession:
@@ -51,7 +51,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def reliable_checkpoint(df):
-    """Materialise ``df`` in the shared folder, so lost executors cannot change or undo it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialise(df: DataFrame, label: str = "step") -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    The result no longer depends on its lineage: lost executors cannot change or undo it, and
+    readers see file sizes and read only the columns they need. The folder's owner removes old
+    steps.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

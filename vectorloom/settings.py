@@ -50,5 +50,8 @@ SCORE_DIGITS = 6
 QUERY_BROADCAST_ROWS = 4096
 QUERY_BROADCAST_BYTES = 96 * 1024 * 1024
 
+# Ranked hits are broadcast in later joins up to this many rows.
+HIT_BROADCAST_ROWS = 500_000
+
 # Rows of vectors scored together by one task of the shuffled block join.
 VECTOR_BLOCK_ROWS = 50_000
