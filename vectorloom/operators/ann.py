@@ -99,7 +99,7 @@ def choose_index_table(sizes: DataFrame, rows: str = "rows") -> DataFrame:
 
 def _kmeans(points: DataFrame, k: int, seed: int, cosine: bool, iterations: int) -> list[np.ndarray]:
     model = (
-        KMeans(k=k, seed=seed, maxIter=iterations, featuresCol="features", initSteps=2)
+        KMeans(k=k, seed=seed, maxIter=iterations, featuresCol="features", initMode="random")
         .setDistanceMeasure("cosine" if cosine else "euclidean")
         .fit(points)
     )
@@ -109,10 +109,15 @@ def _kmeans(points: DataFrame, k: int, seed: int, cosine: bool, iterations: int)
 def ivf_fit(
     vectors: DataFrame, nlist: int = settings.IVF_NLIST, seed: int = 42, iterations: int = 10
 ) -> DataFrame:
-    """Train cells on all vectors: ``(cell, centroid)`` with unit centroids."""
-    points = vectors.select(
-        array_to_vector(l2_normalize(F.col("embedding"))).alias("features")
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    """Train cells on all vectors: ``(cell, centroid)`` with unit centroids.
+
+    Zero vectors have no direction and take no part in the training.
+    """
+    points = (
+        vectors.where(F.exists("embedding", lambda x: x != 0))
+        .select(array_to_vector(l2_normalize(F.col("embedding"))).alias("features"))
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
     try:
         rows = points.count()
         if rows < settings.MIN_TRAINING_ROWS:

@@ -65,4 +65,5 @@ def optimal_batch_size(
     fitting = F.floor(F.lit(available_mb * settings.MEMORY_SHARE) / per_item)
     limited = F.greatest(F.lit(settings.MIN_BATCH), F.least(fitting, F.lit(settings.MAX_BATCH)))
     # An empty input has no average and takes the smallest batch.
-    return df.agg(F.coalesce(limited, F.lit(settings.MIN_BATCH)).cast("int").alias("batch_size"))
+    chosen = F.when(F.count("token_count") > 0, limited).otherwise(F.lit(settings.MIN_BATCH))
+    return df.agg(chosen.cast("int").alias("batch_size"))

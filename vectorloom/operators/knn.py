@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from vectorloom import settings
 
@@ -214,6 +215,7 @@ def local_hits(
     if small is not None:
         if small.empty:
             return Hits(vectors.sparkSession.createDataFrame([], schema), 0)
+        columns = to_arrow_schema(schema)
         packed = vectors.sparkSession.sparkContext.broadcast(prepare(QueryBlock.from_frame(small)))
 
         def score_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +224,7 @@ def local_hits(
                 top.add(batch)
             best = top.merge()
             if best is not None and len(best):
-                yield pa.RecordBatch.from_pandas(best, preserve_index=False)
+                yield pa.RecordBatch.from_pandas(best, schema=columns, preserve_index=False)
 
         return Hits(vectors.mapInArrow(score_partition, schema), len(small) * k)
     return _shuffled_hits(vectors, queries, k, score, max_queries, block_rows, prepare, schema)
@@ -246,20 +248,19 @@ def _shuffled_hits(vectors, queries, k, score, max_queries, block_rows, prepare,
         "_qb", F.pmod(F.xxhash64("query_idx"), F.lit(query_blocks)).cast("int")
     ).withColumn("_vb", all_blocks(vector_blocks))
 
+    columns = to_arrow_schema(schema)
+
     def score_pair(vector_block: pa.Table, query_block: pa.Table) -> pa.Table:
-        empty = pa.Table.from_pandas(
-            pd.DataFrame({field.name: [] for field in schema.fields}), preserve_index=False
-        )
-        if not vector_block.num_rows or not query_block.num_rows:
-            return empty.slice(0, 0)
-        block = prepare(QueryBlock.from_frame(query_block.to_pandas()))
-        top = RunningTop(block, k, score)
-        for batch in vector_block.combine_chunks().to_batches():
-            top.add(batch)
-        best = top.merge()
+        best = None
+        if vector_block.num_rows and query_block.num_rows:
+            block = prepare(QueryBlock.from_frame(query_block.to_pandas()))
+            top = RunningTop(block, k, score)
+            for batch in vector_block.combine_chunks().to_batches():
+                top.add(batch)
+            best = top.merge()
         if best is None:
-            return empty.slice(0, 0)
-        return pa.Table.from_pandas(best, preserve_index=False)
+            return columns.empty_table()
+        return pa.Table.from_pandas(best, schema=columns, preserve_index=False)
 
     pairs = left.groupBy("_qb", "_vb").cogroup(right.groupBy("_qb", "_vb"))
     return Hits(pairs.applyInArrow(score_pair, schema), None)
