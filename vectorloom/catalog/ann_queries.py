@@ -115,40 +115,115 @@ def _(spark, folder):
     return ann.ivf_search(indexed, centroids, label_queries(spark, folder), 10, nprobe=8)
 
 
-def _book(spark, folder, vectors):
-    return ann.pq_fit(vectors, DIM, m=8, nbits=4, iterations=5)
+# A given codebook: the label means cut into eight parts, one code per label.
+cte(
+    "book",
+    """
+    SELECT sub, query_idx AS code, list_slice(q, sub * 8 + 1, sub * 8 + 8) AS centroid
+    FROM qv CROSS JOIN (SELECT range AS sub FROM range(8))
+    """,
+)
+cte(
+    "coded",
+    """
+    SELECT chunk_id, sub, code, centroid FROM (
+      SELECT v.chunk_id, b.sub, b.code, b.centroid, row_number() OVER (
+               PARTITION BY v.chunk_id, b.sub ORDER BY round(list_distance(
+                 list_slice(v.u, b.sub * 8 + 1, b.sub * 8 + 8), b.centroid), 9), b.code) AS n
+      FROM (SELECT 'c' || vec_id AS chunk_id, list_transform(embedding::DOUBLE[], lambda x: x /
+              sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u
+            FROM embeddings) v CROSS JOIN book b) WHERE n = 1
+    """,
+)
+cte(
+    "code_scores",
+    """
+    SELECT query_idx, chunk_id, round(sum(list_inner_product(
+             list_slice(u, sub * 8 + 1, sub * 8 + 8), centroid)), 6) + 0.0 AS score
+    FROM coded CROSS JOIN (SELECT query_idx, list_transform(q, lambda x: x /
+           sqrt(list_inner_product(q, q))) AS u FROM qv) GROUP BY query_idx, chunk_id
+    """,
+)
+
+
+def _given_book(spark, folder):
+    """Codebook that SQL can state: parts of the label means."""
+    means = label_queries(spark, folder)
+    parts = [F.slice("embedding", sub * 8 + 1, 8) for sub in range(8)]
+    return means.select(
+        F.col("query_idx").alias("code"), F.posexplode(F.array(*parts)).alias("sub", "centroid")
+    )
+
 
+def _encoded(spark, folder):
+    book = _given_book(spark, folder)
+    return book, ann.pq_encode(_vectors(spark, folder), book)
 
-@query("pq_encode")
+
+@query(
+    "pq_fit",
+    "SELECT count(*) AS vectors, 8::BIGINT AS subs, 128::BIGINT AS codes, 0::BIGINT AS uncoded "
+    "FROM embeddings",
+)
 def _(spark, folder):
     vectors = _vectors(spark, folder)
-    encoded = ann.pq_encode(vectors, _book(spark, folder, vectors))
+    book = ann.pq_fit(vectors, DIM, m=8, nbits=4, iterations=5)
+    trained = book.agg(F.count_distinct("sub").alias("subs"), F.count("*").alias("codes")).head()
+    coded = ann.pq_encode(vectors, book)
+    return coded.agg(
+        F.count("*").alias("vectors"),
+        F.lit(trained["subs"]).cast("long").alias("subs"),
+        F.lit(trained["codes"]).cast("long").alias("codes"),
+        F.count_if(F.size("codes") != 8).alias("uncoded"),
+    )
+
+
+@query("pq_encode", sql("SELECT chunk_id, sub::INTEGER AS sub, code FROM coded", "coded"))
+def _(spark, folder):
+    _, encoded = _encoded(spark, folder)
     return encoded.select("chunk_id", F.posexplode("codes").alias("sub", "code"))
 
 
-@query("pq_search")
+_BEST_CODES = """
+    SELECT query_idx, chunk_id, score, rank::INTEGER AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_idx ORDER BY score DESC, chunk_id) AS rank
+      FROM {0}) WHERE rank <= 10
+    """
+
+
+@query("pq_search", sql(_BEST_CODES.format("code_scores"), "code_scores"))
 def _(spark, folder):
-    vectors = _vectors(spark, folder)
-    book = _book(spark, folder, vectors)
-    return ann.pq_search(ann.pq_encode(vectors, book), book, label_queries(spark, folder), 10)
+    book, encoded = _encoded(spark, folder)
+    return ann.pq_search(encoded, book, label_queries(spark, folder), 10)
+
+
+@query(
+    "ivf_pq_search",
+    sql(
+        _BEST_CODES.format(
+            "(SELECT s.query_idx, s.chunk_id, s.score FROM code_scores s "
+            "JOIN assigned a USING (chunk_id) JOIN probes p USING (query_idx, cell))"
+        ),
+        "code_scores",
+        "assigned",
+        "probes",
+    ),
+)
+def _(spark, folder):
+    book, encoded = _encoded(spark, folder)
+    cells = _label_cells(spark, folder)
+    indexed = ann.ivf_assign(encoded, cells)
+    return ann.ivf_pq_search(indexed, cells, book, label_queries(spark, folder), 10, nprobe=3)
 
 
 @query("pq_search_recall")
 def _(spark, folder):
     vectors, queries = _vectors(spark, folder), label_queries(spark, folder)
-    book = _book(spark, folder, vectors)
+    book = ann.pq_fit(vectors, DIM, m=8, nbits=4, iterations=5)
     found = ann.pq_search(ann.pq_encode(vectors, book), book, queries, 10, rerank=5)
     return ann.recall(found, knn_exact(vectors, queries, 10))
 
 
-@query("ivf_pq_search")
-def _(spark, folder):
-    vectors, centroids = _fitted(spark, folder)
-    book = _book(spark, folder, vectors)
-    indexed = ann.ivf_assign(ann.pq_encode(vectors, book), centroids)
-    return ann.ivf_pq_search(indexed, centroids, book, label_queries(spark, folder), 10, nprobe=4)
-
-
 _TABLES = ["documents", "embeddings", "events", "lineitem", "orders", "part", "customer", "supplier"]
 _SIZES = " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in _TABLES)
 

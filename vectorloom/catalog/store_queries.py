@@ -283,13 +283,20 @@ def _by_type(rows):
     )
 
 
-@query("read_write_store", sql(_ROUND_TRIP.format("st"), "st"))
+@query("write_store", sql(_ROUND_TRIP.format("st"), "st"))
 def _(spark, folder):
     root = scratch_path(spark, "store")
     snapshots.write_store(store_table(spark, folder), root, _TYPES)
     return _by_type(snapshots.read_store(spark, root))
 
 
+@query("read_store", sql(_ROUND_TRIP.format("(SELECT * FROM st WHERE knowledge_type = 't1')"), "st"))
+def _(spark, folder):
+    root = scratch_path(spark, "store")
+    snapshots.write_store(store_table(spark, folder), root, _TYPES)
+    return _by_type(snapshots.read_store(spark, root, ["t1"]))
+
+
 @query(
     "write_store_one_type",
     sql(

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -33,6 +35,7 @@ from vectorloom.operators.knn import (
 
 # Widest model table that may be broadcast: cells or codes times dimension.
 MAX_CELLS = 65_536
+PARALLEL_FITS = 4
 
 
 @dataclass(frozen=True)
@@ -213,17 +216,22 @@ def pq_fit(
     parts = vectors.select(
         *(array_to_vector(part).alias(f"s{sub}") for sub, part in enumerate(_sub_vectors(unit, dim, m)))
     ).persist(StorageLevel.MEMORY_AND_DISK)
-    book = []
     try:
         rows = parts.count()
         if rows < settings.MIN_TRAINING_ROWS:
             raise ValueError(f"{rows} vectors are too few to train on")
-        for sub in range(m):
+
+        def fit(sub: int) -> list[tuple]:
             points = parts.select(F.col(f"s{sub}").alias("features"))
             centers = _kmeans(points, min(2**nbits, rows), seed, False, iterations)
-            book += [(sub, code, center.tolist()) for code, center in enumerate(centers)]
+            return [(sub, code, center.tolist()) for code, center in enumerate(centers)]
+
+        # The fits are independent jobs; a few at a time keep the cluster busy.
+        with ThreadPool(min(m, PARALLEL_FITS)) as pool:
+            fitted = pool.map(inheritable_thread_target(vectors.sparkSession)(fit), range(m))
     finally:
         parts.unpersist()
+    book = [entry for entries in fitted for entry in entries]
     return vectors.sparkSession.createDataFrame(book, "sub int, code int, centroid array<double>")
 
 
@@ -253,7 +261,7 @@ def pq_encode(vectors: DataFrame, book: DataFrame) -> DataFrame:
     return vectors.withColumn("codes", run_once(encode)(F.col("embedding")))
 
 
-def _pq_scoring(book: DataFrame) -> dict[str, Callable]:
+def _pq_scoring(book: DataFrame) -> dict:
     """Scorer over codes: per query a table of inner products with every code."""
     books = _codebook(book)
 
@@ -269,7 +277,7 @@ def _pq_scoring(book: DataFrame) -> dict[str, Callable]:
             total += table[wanted][:, codes[:, sub]].T
         return round_scores(total)
 
-    return {"score": score, "prepare": prepare}
+    return {"score": score, "prepare": prepare, "scored": "codes"}
 
 
 def pq_search(
@@ -336,10 +344,9 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
 def write_cells(indexed: DataFrame, path: str) -> None:
     """Write a clustered table, one folder per cell.
 
-    Ranging over (cell, id hash) gives a large cell several files and small cells one each.
+    The rebalance puts a cell into few files and splits a large cell by its measured size.
     """
-    spread = indexed.repartitionByRange(F.col("cell"), F.xxhash64("chunk_id"))
-    spread.write.partitionBy("cell").parquet(path)
+    indexed.hint("rebalance", "cell").write.partitionBy("cell").parquet(path)
 
 
 def reindex(

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +59,8 @@ def list_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Matrix of an Arrow list column without building Python objects."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if len(set(pc.unique(pc.list_value_length(column)).to_pylist())) > 1:
+        raise ValueError("vectors of different dimensions in one search")
     values = column.flatten().to_numpy(zero_copy_only=False)
     return values.astype(np.float64).reshape(len(column), -1)
 
@@ -204,13 +207,17 @@ def local_hits(
     max_queries: int = settings.QUERY_BROADCAST_ROWS,
     block_rows: int = settings.VECTOR_BLOCK_ROWS,
     prepare: Callable[[QueryBlock], QueryBlock] = lambda block: block,
+    scored: str = "embedding",
 ) -> Hits:
     """Hits ``(query_idx, _group, chunk_id, score)`` that contain the best k per (query, group).
 
     ``vectors`` has ``chunk_id``, ``_group`` and whatever ``score`` reads, ``queries`` has
-    ``query_idx``, ``_group``, ``embedding``.
+    ``query_idx``, ``_group``, ``embedding``. Rows without a value in the ``scored`` column take no
+    part.
     """
     schema = _hit_schema(vectors, queries)
+    vectors = vectors.where(F.col(scored).isNotNull())
+    queries = queries.where(F.col("embedding").isNotNull())
     small = bounded_queries(queries, max_queries, settings.QUERY_BROADCAST_BYTES)
     if small is not None:
         if small.empty:

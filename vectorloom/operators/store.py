@@ -46,6 +46,15 @@ def _live(batch: DataFrame) -> DataFrame:
     return batch.withColumns(cleared)
 
 
+def stored_rows(store: DataFrame, batch: DataFrame, *columns: str) -> DataFrame:
+    """Keys (and more columns) of the stored rows that a batch touches.
+
+    The batch keys are the build side: a small batch is broadcast and the store only scanned, and
+    what is left is small enough for the joins that follow.
+    """
+    return store.select(*KEY, *columns).join(batch.select(*KEY), KEY, "left_semi")
+
+
 def upsert_documents(
     store: DataFrame, batch: DataFrame, order: str = "seq", newer_only: bool = False
 ) -> DataFrame:
@@ -56,7 +65,7 @@ def upsert_documents(
     """
     fresh = _live(latest_rows(batch, order)).select(*store.columns)
     if newer_only:
-        stored = store.select(*KEY, F.col("seq").alias("_stored"))
+        stored = stored_rows(store, batch, "seq").withColumnRenamed("seq", "_stored")
         fresh = (
             fresh.join(stored, KEY, "left")
             .where(F.col("_stored").isNull() | (F.col("_stored") <= F.col("seq")))
@@ -68,7 +77,7 @@ def upsert_documents(
 
 def new_rows(store: DataFrame, batch: DataFrame, order: str = "seq") -> DataFrame:
     """The rows of a batch whose key is not stored, last one per key."""
-    unknown = batch.join(store.select(*KEY), KEY, "left_anti")
+    unknown = batch.join(stored_rows(store, batch), KEY, "left_anti")
     return _live(latest_rows(unknown, order)).select(*store.columns)
 
 
@@ -84,7 +93,7 @@ def batch_counts(store: DataFrame, batch: DataFrame) -> DataFrame:
     replacing by ``upsert_documents``), ``superseded`` earlier rows of a new key.
     """
     keys = batch.groupBy(*KEY).agg(F.count("*").alias("rows"))
-    stored = store.select(*KEY, F.lit(True).alias("known"))
+    stored = stored_rows(store, batch).withColumn("known", F.lit(True))
     per_key = keys.join(stored, KEY, "left")
     known = F.coalesce(F.col("known"), F.lit(False))
     return per_key.agg(
@@ -130,7 +139,8 @@ def restore_report(store: DataFrame, ids: DataFrame) -> DataFrame:
     given = _given(ids)
     asked = ids.select(*given).distinct()
     # An id without a type may be stored under several types and is still one answer.
-    found = asked.join(store.select(*given), given, "left_semi").withColumn("_known", F.lit(True))
+    found = store.select(*given).join(asked, given, "left_semi").distinct()
+    found = found.withColumn("_known", F.lit(True))
     return asked.join(found, given, "left").select(
         *given, F.col("_known").isNotNull().alias("restored")
     )

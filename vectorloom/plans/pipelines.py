@@ -271,11 +271,11 @@ def summary_index_build(
     A summary is skipped when its key is already stored.
     """
     job = import_summaries(store_rows, summaries, knowledge_type, encoder, created_at)
-    own = store_rows.where(F.col("knowledge_type") == knowledge_type)
-    stored = own.select(F.col("chunk_id").alias("doc_id"), F.lit(True).alias("_stored"))
+    asked = job.embedded.withColumn("chunk_id", F.col("doc_id"))
+    stored = store.stored_rows(store_rows, asked).withColumn("_stored", F.lit(True))
     known = F.col("_stored").isNotNull()
     encoded = F.col("embedding").isNotNull()
-    counts = job.embedded.join(stored, "doc_id", "left").agg(
+    counts = asked.join(stored, store.KEY, "left").agg(
         F.count("*").alias("total"),
         F.count_if(~known & encoded).alias("success"),
         F.count_if(~encoded).alias("failed"),

@@ -62,14 +62,15 @@ def _commit(spark: SparkSession, root: str, changes: list[tuple[str, int, bool]]
 def write_store(rows: DataFrame, root: str, types: list[str]) -> int:
     """Write a new version of the given types, commit it and return its number.
 
-    Rows of other types are ignored; a type without rows becomes empty. Two writers of the same
-    version collide on its folder and the later one fails.
+    Rows of other types are ignored; a type without rows becomes empty. The rebalance gives every
+    type few files and splits a large type by its measured size. Two writers of the same version
+    collide on its folder and the later one fails.
     """
     spark = rows.sparkSession
     versions = current_versions(spark, root)
     number = 1 + max((version for version, _ in versions.values()), default=0)
     staged = as_store_rows(rows).where(F.col("knowledge_type").isin(types))
-    staged.write.partitionBy("knowledge_type").parquet(f"{root}/rows/version={number}")
+    staged.hint("rebalance", "knowledge_type").write.partitionBy("knowledge_type").parquet(f"{root}/rows/version={number}")
     _commit(spark, root, [(name, number, False) for name in types])
     return number
 
