@@ -218,8 +218,11 @@ def _records(spark, folder):
     )
 
 
-def _rendered(spark, folder):
+def _rendered(spark, folder, sound=False):
+    """Documents of all records, or of the ``sound`` ones that have a structure."""
     rows = form_table(spark, folder)
+    if sound:
+        rows = rows.where(F.col("structure").isNotNull())
     md = forms.render_form_markdown(
         F.col("form_id"), F.col("form_name"), F.col("structure"), F.lit(CREATED)
     )
@@ -227,8 +230,7 @@ def _rendered(spark, folder):
 
 
 def _parsed(spark, folder):
-    rendered = _rendered(spark, folder).where(F.col("md").isNotNull())
-    parsed = rendered.select(
+    parsed = _rendered(spark, folder, sound=True).select(
         "p_partkey",
         "md",
         forms.extract_form_info(F.col("md")).alias("info"),
@@ -348,7 +350,7 @@ def _(spark, folder):
     sql("SELECT p_partkey, name AS form_name, domain, form_type, result AS described FROM filled", "filled"),
 )
 def _(spark, folder):
-    rendered = _rendered(spark, folder).where(F.col("md").isNotNull()).select("p_partkey", "md")
+    rendered = _rendered(spark, folder, sound=True).select("p_partkey", "md")
     return forms.describe_documents(rendered).select(
         "p_partkey", "form_name", "domain", "form_type", "described"
     )

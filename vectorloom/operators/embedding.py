@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from vectorloom import settings
 from vectorloom.functions.vectors import l2_normalize
 from vectorloom.operators.chunking import chunk_array, run_once
+from vectorloom.session import materialise
 
 
 class Encoder(Protocol):
@@ -94,12 +95,15 @@ def embed_distinct(
     encoder: Callable[[], Encoder] = HashEncoder,
     text: str = "content",
     out: str = "embedding",
+    keep: bool = False,
 ) -> DataFrame:
     """Encode every distinct text once and give the vector to all its copies.
 
     Copies are folded map-side before the shuffle and the vectors come back on a 32-byte digest,
     so texts cross the network once each. The digest side has one row per key: a text with very
-    many copies is a skewed left side only, which the adaptive skew join splits.
+    many copies is a skewed left side only, which the adaptive skew join splits. With ``keep`` the
+    vectors are written to the shared folder at once, so several uses of the result do not run
+    the encoder again.
     """
     digest = F.unhex(F.sha2(F.col(text), 256))
     distinct = (
@@ -108,6 +112,8 @@ def embed_distinct(
         .agg(F.any_value(text).alias("_text"))
     )
     vectors = embed_text(distinct, encoder, "_text", out).select("_digest", out)
+    if keep:
+        vectors = materialise(vectors, "vectors")
     return df.withColumn("_digest", digest).join(vectors, "_digest", "left").drop("_digest")
 
 
@@ -133,35 +139,47 @@ def hash_encode(df: DataFrame, key: str, text: str = "content", dim: int = 64) -
     return sparse.select(key, l2_normalize(dense).cast("array<float>").alias("embedding"))
 
 
-def embed_chunks(
+def chunks_to_embed(
     df: DataFrame,
-    encoder: Callable[[], Encoder] = HashEncoder,
     mode: str = "tiered",
     size: int = settings.CHUNK_MAX_SIZE,
     overlap: int = settings.CHUNK_OVERLAP,
-    reuse: bool = True,
 ) -> DataFrame:
-    """Chunk the ``content`` of a vector-input table and embed every chunk.
+    """Chunk rows of a vector-input table, with the ids they are stored under.
 
     A document with one chunk keeps its own id as chunk id, others get numbered chunk ids. The
-    number of chunks is read off the array before it is exploded, so no window is needed. With
-    ``reuse`` equal chunks are encoded once.
+    number of chunks is read off the array before it is exploded, so no window is needed.
     """
     carried = [column for column in df.columns if column != "content"]
-    embed = embed_distinct if reuse else embed_text
     chunked = df.withColumn("_chunks", chunk_array(F.col("content"), mode, size, overlap))
     rows = chunked.select(
         *carried, F.size("_chunks").alias("_n"), F.posexplode("_chunks").alias("_pos", "content")
     )
     doc_id = F.col("doc_id").cast("string")
     numbered = F.concat(doc_id, F.lit("_chunk_"), F.col("_pos") + 1)
-    named = rows.select(
+    return rows.select(
         *carried,
         F.when(F.col("_n") == 1, doc_id).otherwise(numbered).alias("chunk_id"),
         (F.col("_pos") + 1).alias("chunk_index"),
         "content",
     )
-    return embed(named, encoder)
+
+
+def embed_chunks(
+    df: DataFrame,
+    encoder: Callable[[], Encoder] = HashEncoder,
+    keep: bool = False,
+    **cutting,
+) -> DataFrame:
+    """Chunk the ``content`` of a vector-input table and embed every distinct chunk once.
+
+    With ``keep`` chunks and vectors are written to the shared folder: chunks are cut once though
+    both sides of the vector join read them, and the encoder runs once.
+    """
+    chunks = chunks_to_embed(df, **cutting)
+    if keep:
+        chunks = materialise(chunks, "chunks")
+    return embed_distinct(chunks, encoder, keep=keep)
 
 
 def filter_embedded(df: DataFrame, column: str = "embedding") -> DataFrame:

@@ -20,10 +20,14 @@ def number_rows(
     over as many tasks as its size needs. The sorted rows are written to the shared folder: their
     partition numbers are then data and survive the loss of an executor. Only one count per (partition,
     group) is windowed, and the offsets that are broadcast are bounded by partitions + groups.
+
+    The input is written first as well, because range partitioning reads it twice (sample, then
+    shuffle): pass the columns needed, not whole texts, and join the numbers back by id.
     """
     keys = [*group, *order]
     placed = materialise(
-        df.repartitionByRange(*keys)
+        materialise(df, "unordered")
+        .repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_slot", F.monotonically_increasing_id())
     ).withColumn("_part", F.shiftright("_slot", 33))

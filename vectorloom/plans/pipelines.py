@@ -223,7 +223,7 @@ def build_index(
     without any chunk counts as one failure.
     """
     stored_at = F.current_timestamp() if created_at is None else created_at
-    chunks = materialise(embed_chunks(inputs, encoder, mode)).withColumn(
+    chunks = embed_chunks(inputs, encoder, keep=True, mode=mode).withColumn(
         "knowledge_type", F.lit(knowledge_type)
     )
     batch = store.as_store_rows(
