@@ -13,7 +13,6 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from vectorloom import settings
 from vectorloom.functions.vectors import dot, l2_normalize
@@ -32,6 +31,7 @@ from vectorloom.operators.knn import (
     top_hits,
     unit_rows,
 )
+from vectorloom.session import materialise
 
 # Widest model table that may be broadcast: cells or codes times dimension.
 MAX_CELLS = 65_536
@@ -109,6 +109,13 @@ def _kmeans(points: DataFrame, k: int, seed: int, cosine: bool, iterations: int)
     return model.clusterCenters()
 
 
+def _training_rows(vectors: DataFrame) -> int:
+    rows = vectors.count()
+    if rows < settings.MIN_TRAINING_ROWS:
+        raise ValueError(f"{rows} vectors are too few to train on")
+    return rows
+
+
 def ivf_fit(
     vectors: DataFrame, nlist: int = settings.IVF_NLIST, seed: int = 42, iterations: int = 10
 ) -> DataFrame:
@@ -116,18 +123,10 @@ def ivf_fit(
 
     Zero vectors have no direction and take no part in the training.
     """
-    points = (
-        vectors.where(F.exists("embedding", lambda x: x != 0))
-        .select(array_to_vector(l2_normalize(F.col("embedding"))).alias("features"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    try:
-        rows = points.count()
-        if rows < settings.MIN_TRAINING_ROWS:
-            raise ValueError(f"{rows} vectors are too few to train on")
-        centers = unit_rows(np.array(_kmeans(points, min(nlist, rows), seed, True, iterations)))
-    finally:
-        points.unpersist()
+    directed = vectors.where(F.exists("embedding", lambda x: x != 0))
+    rows = _training_rows(directed)
+    points = directed.select(array_to_vector(l2_normalize(F.col("embedding"))).alias("features"))
+    centers = unit_rows(np.array(_kmeans(points, min(nlist, rows), seed, True, iterations)))
     return vectors.sparkSession.createDataFrame(
         [(i, center.tolist()) for i, center in enumerate(centers)],
         "cell int, centroid array<double>",
@@ -212,25 +211,27 @@ def pq_fit(
     iterations: int = 10,
 ) -> DataFrame:
     """Codebook ``(sub, code, centroid)`` of m sub-vectors with up to 2^nbits codes each."""
+    rows = _training_rows(vectors)
     unit = l2_normalize(F.col("embedding"))
-    parts = vectors.select(
-        *(array_to_vector(part).alias(f"s{sub}") for sub, part in enumerate(_sub_vectors(unit, dim, m)))
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        rows = parts.count()
-        if rows < settings.MIN_TRAINING_ROWS:
-            raise ValueError(f"{rows} vectors are too few to train on")
-
-        def fit(sub: int) -> list[tuple]:
-            points = parts.select(F.col(f"s{sub}").alias("features"))
-            centers = _kmeans(points, min(2**nbits, rows), seed, False, iterations)
-            return [(sub, code, center.tolist()) for code, center in enumerate(centers)]
-
-        # The fits are independent jobs; a few at a time keep the cluster busy.
-        with ThreadPool(min(m, PARALLEL_FITS)) as pool:
-            fitted = pool.map(inheritable_thread_target(vectors.sparkSession)(fit), range(m))
-    finally:
-        parts.unpersist()
+    # Sub-vectors are written as columns of one table, so each fit reads only its own.
+    parts = materialise(
+        vectors.select(
+            *(
+                array_to_vector(part).alias(f"s{sub}")
+                for sub, part in enumerate(_sub_vectors(unit, dim, m))
+            )
+        ),
+        "sub-vectors",
+    )
+
+    def fit(sub: int) -> list[tuple]:
+        points = parts.select(F.col(f"s{sub}").alias("features"))
+        centers = _kmeans(points, min(2**nbits, rows), seed, False, iterations)
+        return [(sub, code, center.tolist()) for code, center in enumerate(centers)]
+
+    # The fits are independent jobs; a few at a time keep the cluster busy.
+    with ThreadPool(min(m, PARALLEL_FITS)) as pool:
+        fitted = pool.map(inheritable_thread_target(vectors.sparkSession)(fit), range(m))
     book = [entry for entries in fitted for entry in entries]
     return vectors.sparkSession.createDataFrame(book, "sub int, code int, centroid array<double>")
 

@@ -9,6 +9,8 @@ from vectorloom import settings
 from vectorloom.functions.text import strip
 from vectorloom.operators.knn import GROUP, knn_exact, local_hits, score_order, top_hits
 
+MAX_TYPES = 10_000
+
 HIT_COLUMNS = ["query_idx", "knowledge_type", "chunk_id", "score", "rank"]
 
 
@@ -82,13 +84,14 @@ def search_multi_type(
             F.col("search_min_score") if "search_min_score" in types.columns else F.lit(min_score)
         ),
     }
-    wanted = F.broadcast(
-        types.select(
-            "knowledge_type", "type_order", *(limits[name].alias(name) for name in limits)
-        )
+    wanted = types.select(
+        "knowledge_type", "type_order", *(limits[name].alias(name) for name in limits)
     )
-    # Only the type names reach the driver: a configuration table with one row per type.
-    config = types.select("knowledge_type", limits["search_k"].alias("search_k")).collect()
+    # Only the type settings reach the driver: one row per type, and their number is checked.
+    config = wanted.select("knowledge_type", "search_k").limit(MAX_TYPES + 1).collect()
+    if len(config) > MAX_TYPES:
+        raise ValueError(f"more than {MAX_TYPES} types in one search")
+    wanted = F.broadcast(wanted)
     deepest = max((row["search_k"] for row in config), default=k)
     names = [row["knowledge_type"] for row in config]
     rows = filter_live(store).where(F.col("knowledge_type").isin(names))

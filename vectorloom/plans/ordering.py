@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from vectorloom.session import materialise
 
 
+# Offsets (one per partition and group in it) that may be broadcast.
+MAX_BROADCAST_OFFSETS = 500_000
+
+
 def number_rows(
     df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "position"
 ) -> DataFrame:
@@ -19,7 +23,7 @@ def number_rows(
     there are three groups. Here rows are range-partitioned by (group, order), so a group spreads
     over as many tasks as its size needs. The sorted rows are written to the shared folder: their
     partition numbers are then data and survive the loss of an executor. Only one count per (partition,
-    group) is windowed, and the offsets that are broadcast are bounded by partitions + groups.
+    group) is windowed. The offsets are broadcast only after they have been counted.
 
     The input is written first as well, because range partitioning reads it twice (sample, then
     shuffle): pass the columns needed, not whole texts, and join the numbers back by id.
@@ -35,10 +39,15 @@ def number_rows(
         F.count("*").alias("_rows"), F.min("_slot").alias("_first")
     )
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "_part",
-        *group,
-        (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+    offsets = materialise(
+        sizes.select(
+            "_part",
+            *group,
+            (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+        ),
+        "offsets",
     )
-    joined = placed.join(F.broadcast(offsets), ["_part", *group])
+    if offsets.count() <= MAX_BROADCAST_OFFSETS:
+        offsets = F.broadcast(offsets)
+    joined = placed.join(offsets, ["_part", *group])
     return joined.withColumn(name, F.col("_slot") + F.col("_shift")).drop("_part", "_slot", "_shift")
