@@ -8,6 +8,7 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -272,10 +273,10 @@ def _pq_scoring(book: DataFrame) -> dict:
         return block
 
     def score(batch, rows, wanted, block) -> np.ndarray:
-        codes = list_matrix(batch.column("codes")).astype(np.int64)[rows]
-        total = np.zeros((len(rows), len(wanted)))
+        codes = list_matrix(batch.column("codes").take(pa.array(rows))).astype(np.int64)
+        total = np.zeros((len(wanted), len(rows)))
         for sub, table in enumerate(block.tables):
-            total += table[wanted][:, codes[:, sub]].T
+            total += table[wanted][:, codes[:, sub]]
         return round_scores(total)
 
     return {"score": score, "prepare": prepare, "scored": "codes"}

@@ -84,22 +84,28 @@ def best_per_query(hits: pd.DataFrame, k: int) -> pd.DataFrame:
 def block_hits(
     ids: np.ndarray, group: str, scores: np.ndarray, query_ids: np.ndarray, k: int
 ) -> pd.DataFrame:
-    """The rows of a score matrix (vectors x queries) that can be among the best k of a query.
+    """The best k of each query in a score matrix (queries x vectors, vectors in id order).
 
-    A row is kept when its score reaches the k-th best of the block, so ties stay complete and
-    are settled by id afterwards.
+    Scores are compared with the k-th best of the row. Where many vectors tie at that score, as
+    copies do, the first ones by id fill up k, so a block never yields more than k per query.
     """
-    if len(ids) > k:
-        bar = np.partition(scores, len(ids) - k, axis=0)[len(ids) - k]
-        rows, columns = np.nonzero(scores >= bar)
-    else:
-        rows, columns = (axis.ravel() for axis in np.indices(scores.shape))
+    count = len(ids)
+    keep = np.ones(scores.shape, dtype=bool)
+    if count > k:
+        bar = np.partition(scores, count - k, axis=1)[:, count - k, None]
+        keep = scores >= bar
+        crowded = np.flatnonzero(keep.sum(axis=1) > k)
+        if len(crowded):
+            above, ties = scores[crowded] > bar[crowded], scores[crowded] == bar[crowded]
+            room = k - above.sum(axis=1, keepdims=True)
+            keep[crowded] = above | (ties & (np.cumsum(ties, axis=1) <= room))
+    queries, vectors = np.nonzero(keep)
     return pd.DataFrame(
         {
-            "query_idx": query_ids[columns],
+            "query_idx": query_ids[queries],
             GROUP: group,
-            "chunk_id": ids[rows],
-            "score": scores[rows, columns],
+            "chunk_id": ids[vectors],
+            "score": scores[queries, vectors],
         }
     )
 
@@ -137,9 +143,9 @@ Scorer = Callable[[pa.RecordBatch, np.ndarray, np.ndarray, QueryBlock], np.ndarr
 def cosine_scores(
     batch: pa.RecordBatch, rows: np.ndarray, wanted: np.ndarray, block: QueryBlock
 ) -> np.ndarray:
-    """Inner products of the unit vectors of some batch rows with some queries."""
+    """Inner products of some queries with the unit vectors of some batch rows."""
     vectors = unit_rows(list_matrix(batch.column("embedding").take(pa.array(rows))))
-    return round_scores(vectors @ block.matrix[wanted].T)
+    return round_scores(block.matrix[wanted] @ vectors.T)
 
 
 class RunningTop:
@@ -154,11 +160,12 @@ class RunningTop:
     def add(self, batch: pa.RecordBatch) -> None:
         groups = batch.column(GROUP).to_numpy(zero_copy_only=False)
         ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
+        by_id = np.argsort(ids, kind="stable")
         for group in pd.unique(groups):
             wanted = self.block.rows_by_group.get(group)
             if wanted is None:
                 continue
-            members = np.flatnonzero(groups == group)
+            members = by_id[groups[by_id] == group]
             # A slice of rows at a time keeps the score matrix small for any number of queries.
             step = max(1, 4_000_000 // len(wanted))
             for start in range(0, len(members), step):
