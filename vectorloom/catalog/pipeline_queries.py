@@ -356,7 +356,7 @@ def _(spark, folder):
 
 
 @query(
-    "form_pipeline",
+    "form_etl",
     sql(
         f"""
         SELECT chunk_id, 'forms/' || chunk_id || '.md' AS doc_path, 'form' AS knowledge_type,
@@ -372,7 +372,7 @@ def _(spark, folder):
 def _(spark, folder):
     rules = values(spark, [("forms/", "form", 1)], "pattern string, knowledge_type string, priority int")
     config = values(spark, [("form", "file_name")], "knowledge_type string, vector_field string")
-    job = pipelines.form_pipeline(
+    job = pipelines.form_etl(
         _stored(spark, folder), _records(spark, folder), "forms", rules, config, F.lit(CREATED)
     )
     return job.rows.select(*_SHOWN)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from vectorloom import settings
 from vectorloom.functions.vectors import l2_normalize
 from vectorloom.operators.chunking import chunk_array, run_once
-from vectorloom.session import materialise
+from vectorloom.session import lookup_table, materialise
 
 
 class Encoder(Protocol):
@@ -95,15 +95,13 @@ def embed_distinct(
     encoder: Callable[[], Encoder] = HashEncoder,
     text: str = "content",
     out: str = "embedding",
-    keep: bool = False,
 ) -> DataFrame:
     """Encode every distinct text once and give the vector to all its copies.
 
     Copies are folded map-side before the shuffle and the vectors come back on a 32-byte digest,
-    so texts cross the network once each. The digest side has one row per key: a text with very
-    many copies is a skewed left side only, which the adaptive skew join splits. With ``keep`` the
-    vectors are written to the shared folder at once, so several uses of the result do not run
-    the encoder again.
+    so texts cross the network once each. The vectors are written to the shared folder at once:
+    neither several uses of the result nor a lost executor run the encoder again, and the adaptive
+    skew join can split a text that has very many copies.
     """
     digest = F.unhex(F.sha2(F.col(text), 256))
     distinct = (
@@ -111,9 +109,7 @@ def embed_distinct(
         .groupBy(digest.alias("_digest"))
         .agg(F.any_value(text).alias("_text"))
     )
-    vectors = embed_text(distinct, encoder, "_text", out).select("_digest", out)
-    if keep:
-        vectors = materialise(vectors, "vectors")
+    vectors = lookup_table(embed_text(distinct, encoder, "_text", out).select("_digest", out))
     return df.withColumn("_digest", digest).join(vectors, "_digest", "left").drop("_digest")
 
 
@@ -168,18 +164,14 @@ def chunks_to_embed(
 def embed_chunks(
     df: DataFrame,
     encoder: Callable[[], Encoder] = HashEncoder,
-    keep: bool = False,
     **cutting,
 ) -> DataFrame:
     """Chunk the ``content`` of a vector-input table and embed every distinct chunk once.
 
-    With ``keep`` chunks and vectors are written to the shared folder: chunks are cut once though
-    both sides of the vector join read them, and the encoder runs once.
+    The chunks are written to the shared folder first: they are cut once though both sides of the
+    vector join read them.
     """
-    chunks = chunks_to_embed(df, **cutting)
-    if keep:
-        chunks = materialise(chunks, "chunks")
-    return embed_distinct(chunks, encoder, keep=keep)
+    return embed_distinct(materialise(chunks_to_embed(df, **cutting), "chunks"), encoder)
 
 
 def filter_embedded(df: DataFrame, column: str = "embedding") -> DataFrame:

@@ -9,7 +9,8 @@ the query set:
 * beyond, both sides are shuffled into equally sized blocks that meet on a block key.
 
 Vectors and queries may carry a group (a type or an index cell); then a query meets only the
-vectors of its groups and k holds per (query, group).
+vectors of its groups and k holds per (query, group). A query of the group ``ALL`` meets every
+vector.
 """
 
 from __future__ import annotations
@@ -162,7 +163,7 @@ class RunningTop:
         ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
         by_id = np.argsort(ids, kind="stable")
         for group in pd.unique(groups):
-            wanted = self.block.rows_by_group.get(group)
+            wanted = self.block.rows_by_group.get(group, self.block.rows_by_group.get(ALL))
             if wanted is None:
                 continue
             members = by_id[groups[by_id] == group]

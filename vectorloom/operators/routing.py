@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectorloom.functions.text import file_stem
+from vectorloom.session import lookup_table
 
 # Ways to choose the text of a type.
 BY_FILE_NAME = "file_name"
@@ -77,6 +78,7 @@ def summary_lookup(
         .groupBy("_key")
         .agg(F.min_by("_summary", position).alias("_summary"))
     )
+    by_key = lookup_table(by_key)
     return files.join(by_key, F.col(stem) == F.col("_key"), "left").drop("_key")
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from vectorloom import settings
 from vectorloom.functions.text import strip
-from vectorloom.operators.knn import GROUP, knn_exact, local_hits, score_order, top_hits
+from vectorloom.operators.knn import ALL, GROUP, local_hits, score_order, top_hits
+from vectorloom.operators.store import KEY
 
 MAX_TYPES = 10_000
 
@@ -36,9 +37,19 @@ def hit_document_join(hits: DataFrame, store: DataFrame, columns: list[str]) ->
     """Stored columns of each hit; hits without a stored document are dropped.
 
     Hits carry a broadcast hint while their number is proven small; the store is then scanned in
-    place, and only for ``columns``.
+    place, and only for ``columns``. Hits that know their type are matched by the full key.
     """
-    return hits.join(store.select("chunk_id", *columns), "chunk_id")
+    key = KEY if "knowledge_type" in hits.columns else ["chunk_id"]
+    return hits.join(store.select(*key, *(c for c in columns if c not in key)), key)
+
+
+def _store_hits(store: DataFrame, queries: DataFrame, k: int, **blocks) -> DataFrame:
+    """Best k rows of a store per query, whatever their type; the type is part of the key."""
+    vectors = store.select("chunk_id", "embedding", F.col("knowledge_type").alias(GROUP))
+    wanted = queries.select("query_idx", "embedding", F.lit(ALL).alias(GROUP))
+    hits = local_hits(vectors, wanted, k, **blocks)
+    best = hits.ranked(k, ["query_idx"], [*score_order(), F.col(GROUP)])
+    return best.withColumnRenamed(GROUP, "knowledge_type").select(*HIT_COLUMNS)
 
 
 def store_search(
@@ -55,13 +66,12 @@ def store_search(
     ``overfetch`` the best ``overfetch * k`` of all rows are taken first and filtered afterwards.
     """
     if overfetch is None:
-        scored = knn_exact(filter_live(store), queries, k, **blocks)
-        kept = filter_min_score(scored, min_score)
-        return hit_document_join(kept, store, ["knowledge_type"]).select(*HIT_COLUMNS)
-    fetched = knn_exact(store, queries, k * overfetch, **blocks).drop("rank")
-    found = hit_document_join(fetched, store, ["knowledge_type", "deleted"])
+        return filter_min_score(_store_hits(filter_live(store), queries, k, **blocks), min_score)
+    fetched = _store_hits(store, queries, k * overfetch, **blocks).drop("rank")
+    found = hit_document_join(fetched, store, ["deleted"])
     kept = filter_min_score(filter_live(found), min_score)
-    return top_hits(kept, k, ["query_idx"], score_order()).select(*HIT_COLUMNS)
+    order = [*score_order(), F.col("knowledge_type")]
+    return top_hits(kept, k, ["query_idx"], order).select(*HIT_COLUMNS)
 
 
 def search_multi_type(

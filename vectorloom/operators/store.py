@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectorloom.schemas import STORE_ROW
+from vectorloom.session import lookup_table
 
 KEY = ["knowledge_type", "chunk_id"]
 
@@ -52,7 +53,7 @@ def stored_rows(store: DataFrame, batch: DataFrame, *columns: str) -> DataFrame:
     The batch keys are the build side: a small batch is broadcast and the store only scanned, and
     what is left is small enough for the joins that follow.
     """
-    return store.select(*KEY, *columns).join(batch.select(*KEY), KEY, "left_semi")
+    return store.select(*KEY, *columns).join(batch.select(*KEY).distinct(), KEY, "left_semi")
 
 
 def upsert_documents(
@@ -77,8 +78,10 @@ def upsert_documents(
 
 def new_rows(store: DataFrame, batch: DataFrame, order: str = "seq") -> DataFrame:
     """The rows of a batch whose key is not stored, last one per key."""
-    unknown = batch.join(stored_rows(store, batch), KEY, "left_anti")
-    return _live(latest_rows(unknown, order)).select(*store.columns)
+    # One row per key first: a key with very many rows in the batch never reaches the join.
+    newest = latest_rows(batch, order)
+    unknown = newest.join(stored_rows(store, batch), KEY, "left_anti")
+    return _live(unknown).select(*store.columns)
 
 
 def insert_if_absent(store: DataFrame, batch: DataFrame, order: str = "seq") -> DataFrame:
@@ -149,7 +152,7 @@ def restore_report(store: DataFrame, ids: DataFrame) -> DataFrame:
 def hard_delete(store: DataFrame, ids: DataFrame) -> DataFrame:
     """Remove rows by id, vectors included."""
     given = _given(ids)
-    return store.join(ids.select(*given), given, "left_anti").select(*store.columns)
+    return store.join(ids.select(*given).distinct(), given, "left_anti").select(*store.columns)
 
 
 def delete_by_positions(vectors: DataFrame, ids: DataFrame) -> DataFrame:
@@ -161,7 +164,7 @@ def delete_document_chunks(
     store: DataFrame, doc_ids: DataFrame, at: Column, hard: bool = False
 ) -> DataFrame:
     """Soft or hard delete all live chunks of some documents."""
-    wanted = doc_ids.select("doc_id").distinct().withColumn("_doc", F.lit(True))
+    wanted = lookup_table(doc_ids.select("doc_id").distinct().withColumn("_doc", F.lit(True)))
     marked = store.join(wanted, "doc_id", "left").withColumn(
         "_hit", F.col("_doc").isNotNull() & ~F.col("deleted")
     )
@@ -173,7 +176,8 @@ def delete_document_chunks(
 def count_document_chunks(store: DataFrame, doc_ids: DataFrame) -> DataFrame:
     """How many chunks ``delete_document_chunks`` would delete, one row."""
     live = store.where(~F.col("deleted")).select("doc_id")
-    return live.join(doc_ids.select("doc_id"), "doc_id", "left_semi").agg(
+    wanted = lookup_table(doc_ids.select("doc_id").distinct())
+    return live.join(wanted, "doc_id", "left_semi").agg(
         F.count("*").alias("chunks")
     )
 

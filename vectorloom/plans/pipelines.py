@@ -139,11 +139,11 @@ def import_directory(
 ) -> ImportJob:
     """Route, read the vector input, embed distinct texts, add keys that are not stored yet.
 
-    The vectors are materialised in the shared folder: rows and ledger both need them, and an
-    encoder is too slow to run twice. Of several files with one id the last by path counts.
+    The inputs are written to the shared folder, so rows and ledger speak of the same files. Of
+    several files with one id the last by path counts.
     """
-    inputs = file_inputs(files, rules, config, summaries)
-    embedded = materialise(embed_distinct(inputs, encoder))
+    inputs = materialise(file_inputs(files, rules, config, summaries), "inputs")
+    embedded = embed_distinct(inputs, encoder)
     batch = _batch(embedded, created_at, "source_file")
     rows = store.insert_if_absent(store_rows, batch, "_order")
     return ImportJob(rows, _ledger(embedded), embedded)
@@ -204,7 +204,7 @@ def import_summaries(
 ) -> ImportJob:
     """Embed the summary records of a type and add the keys that are not stored yet."""
     inputs = summary_inputs(summaries, knowledge_type)
-    embedded = materialise(embed_distinct(inputs, encoder))
+    embedded = embed_distinct(materialise(inputs, "inputs"), encoder)
     rows = store.insert_if_absent(store_rows, _batch(embedded, created_at, "position"), "_order")
     return ImportJob(rows, _ledger(embedded), embedded)
 
@@ -223,7 +223,7 @@ def build_index(
     without any chunk counts as one failure.
     """
     stored_at = F.current_timestamp() if created_at is None else created_at
-    chunks = embed_chunks(inputs, encoder, keep=True, mode=mode).withColumn(
+    chunks = embed_chunks(inputs, encoder, mode=mode).withColumn(
         "knowledge_type", F.lit(knowledge_type)
     )
     batch = store.as_store_rows(
@@ -321,7 +321,7 @@ def form_documents(records: DataFrame, created_at: Column, prefix: str = "") ->
     return forms.describe_documents(forms.convert_forms(sound, created_at, prefix))
 
 
-def form_pipeline(
+def form_etl(
     store_rows: DataFrame,
     records: DataFrame,
     directory: str,

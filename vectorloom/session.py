@@ -51,6 +51,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def lookup_table(df: DataFrame) -> DataFrame:
+    """Write the side of a join that has one row per key.
+
+    Read back as a table it has a known size (Spark broadcasts it if small) and is shuffled on its
+    own. That lets the adaptive skew join split a key that is very frequent on the other side;
+    straight behind an aggregate it could not.
+    """
+    return materialise(df, "lookup")
+
+
 def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
