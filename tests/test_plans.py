@@ -72,3 +72,27 @@ def test_numbering_a_hot_group(spark):
     expected = F.row_number().over(Window.partitionBy("group").orderBy("id")) - 1
     assert numbered.withColumn("wanted", expected).where("position <> wanted").count() == 0
     assert numbered.count() == 3000
+
+
+def test_a_hot_text_is_split_by_the_skew_join(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        text = F.when(F.col("id") % 3 == 0, F.lit("one hot text")).otherwise(
+            F.concat(F.lit("text "), F.col("id"))
+        )
+        payload = F.sha2(F.col("id").cast("string"), 256).alias("payload")
+        rows = spark.range(0, 30_000, 1, 6).select("id", payload, text.alias("content"))
+        embedded = embedding.embed_distinct(rows)
+        assert len(embedded.collect()) == 30_000
+        assert "SortMergeJoin(skew=true)" in plan(embedded)
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
