@@ -1,6 +1,6 @@
 """Fixed values of the form-to-Markdown rules: word lists, templates, markers.
 
-They must equal those of the original tool for equal results and are therefore listed as data.
+They are data, not logic: results depend on their exact text and order.
 """
 
 # Business domains and their keywords; the first domain with a hit wins.
