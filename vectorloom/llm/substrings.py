@@ -151,7 +151,7 @@ def _ask(dealt: DataFrame, text_col: str, window: int, shards: int, check_bytes:
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         chunk = key[0].as_py()
-        _, _, keys, checks = _chunk_edges(table["text"].to_pylist(), _Rolling(window, check_bytes))
+        _, _, keys, checks = _chunk_edges(table[text_col].to_pylist(), _Rolling(window, check_bytes))
         _, keys, checks, groups = _distinct(keys, checks)
         counts = np.minimum(np.bincount(groups, minlength=len(keys)), MAX_TOTAL).astype(np.uint16)
         cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
@@ -168,8 +168,8 @@ def _ask(dealt: DataFrame, text_col: str, window: int, shards: int, check_bytes:
         ]
         return pa.Table.from_pylist(rows, ASKED)
 
-    texts = dealt.select("_chunk", F.col(f"`{text_col}`").alias("text"))
-    return texts.groupBy("_chunk").applyInArrow(
+    # All columns, as in the other pass over the chunks: Spark then shuffles the texts only once.
+    return dealt.groupBy("_chunk").applyInArrow(
         ask, "chunk int, shard int, keys binary, checks binary, counts binary"
     )
 
