@@ -1,7 +1,7 @@
 """Quality classifier: an interpolated modified Kneser-Ney bigram model of trusted text.
 
 Trusted text is every document whose label says good quality and not toxic. The vocabulary is the
-``VOCABULARY`` most frequent words of all trusted text; other words are unknown: they have the probability that
+most frequent words of all trusted text, at most ``VOCABULARY``; other words are unknown: they have the probability that
 interpolation leaves for unseen words and no context. Counts of bigrams are gathered from all trusted text,
 in shards by bigram. Documents send the bigrams they need (sorted, compressed, with the document's number in
 its chunk) to the shards, are joined with the counts there, and get back sums of log-probabilities; texts
@@ -29,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.arrays import SPACED_WORD, pack, pack_sorted, unpack, unpack_sorted
+from vectorloom.llm.arrays import SPACED_WORD, pack, pack_sorted, slices, small_batches, unpack, unpack_sorted
 from vectorloom.session import materialise
 
 VOCABULARY = 65_534
@@ -45,7 +46,7 @@ PRIOR_WORDS = 20
 # Trusted ids are broadcast up to this many; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 UNKNOWN, START, FIRST = 0, 1, 2
-_FLUSH = 500_000
+_FLUSH = 200_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -70,11 +71,15 @@ def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def vocabulary(trusted: DataFrame, size: int = VOCABULARY) -> list[str]:
-    """The most frequent words; at most ``size`` of them reach the driver."""
+    """The most frequent words, at most ``size``.
+
+    They are taken by steps of frequency (an eighth of an octave each) as long as all words of a step have
+    room, so only one number per step and the words themselves reach the driver.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 seen.update(words_of(text))
                 if len(seen) > _FLUSH:
@@ -83,8 +88,17 @@ def vocabulary(trusted: DataFrame, size: int = VOCABULARY) -> list[str]:
         yield _counts(seen)
 
     counted = trusted.select("text").mapInArrow(count, "word string, n bigint")
-    summed = counted.groupBy("word").agg(F.sum("n").alias("n"))
-    return [row["word"] for row in summed.orderBy(F.desc("n"), "word").limit(size).collect()]
+    step = F.floor(F.log2(F.sum("n")) * 8)
+    summed = materialise(counted.groupBy("word").agg(step.alias("step")), "words")
+    room, lowest = size, None
+    for row in summed.groupBy("step").count().orderBy(F.desc("step")).collect():
+        room -= row["count"]
+        if room < 0:
+            break
+        lowest = row["step"]
+    if lowest is None:
+        return []
+    return sorted(row["word"] for row in summed.where(F.col("step") >= lowest).select("word").collect())
 
 
 def _counts(seen: Counter) -> pa.RecordBatch:
@@ -116,9 +130,11 @@ def _split(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
             yield shard, order[cuts[shard] : cuts[shard + 1]]
 
 
-def count_bigrams(trusted: DataFrame, words: list[str], shards: int) -> DataFrame:
-    """``(shard, key, n)`` of all bigrams of trusted text, a row for each distinct one."""
-    shared = trusted.sparkSession.sparkContext.broadcast(words)
+def count_bigrams(trusted: DataFrame, shared: Broadcast, shards: int) -> DataFrame:
+    """``(shard, key, n)`` of all bigrams of trusted text, a row for each distinct one.
+
+    ``shared`` holds the words of the vocabulary.
+    """
     asked = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -132,7 +148,7 @@ def count_bigrams(trusted: DataFrame, words: list[str], shards: int) -> DataFram
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = {word: number for number, word in enumerate(shared.value, FIRST)}.get
         held, size = [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 found = words_of(text)
                 if not found:
@@ -140,7 +156,7 @@ def count_bigrams(trusted: DataFrame, words: list[str], shards: int) -> DataFram
                 ids = np.fromiter((get(word, UNKNOWN) for word in found), np.uint32, len(found))
                 held.append(bigrams(ids))
                 size += len(held[-1])
-                if size >= 2 * CHUNK_WORDS:
+                if size >= CHUNK_WORDS:
                     yield flush(held)
                     held, size = [], 0
         if size:
@@ -205,7 +221,9 @@ class Model:
 def train(trusted: DataFrame, shards: int, size: int = VOCABULARY) -> tuple[Model, DataFrame]:
     """The model and the table of bigram counts, hot ones left out."""
     words = vocabulary(trusted, size)
-    table = materialise(count_bigrams(trusted, words, shards), "bigrams")
+    shared = trusted.sparkSession.sparkContext.broadcast(words)
+    table = materialise(count_bigrams(trusted, shared, shards), "bigrams")
+    shared.destroy()
     before, word = F.shiftright("key", 16), F.col("key").bitwiseAND(F.lit(0xFFFF).cast("bigint"))
     is_class = [(F.col("n") == n).cast("bigint") for n in (1, 2, 3, 4)]
     one_row = table.agg(F.sum("n"), *(F.sum(c) for c in is_class)).first()
@@ -231,10 +249,11 @@ _ASKED_TYPE = pa.schema(
 )
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, shards: int) -> DataFrame:
-    """``(doc_id, lang, trusted, n_words, log_prob)`` per row of ``docs``, by joins in shards."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+def score(docs: DataFrame, shared: Broadcast, counts: DataFrame, shards: int) -> DataFrame:
+    """``(doc_id, lang, trusted, n_words, log_prob)`` per row of ``docs``, by joins in shards.
+
+    ``shared`` holds the model.
+    """
     place = (F.spark_partition_id().cast("bigint") * F.lit(1 << 33)).alias("place")
 
     def flush(chunk: int, held: list, heads: list) -> pa.RecordBatch:
@@ -268,7 +287,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, shards: int) -> Data
         known = shared.value
         get = {word: number for number, word in enumerate(known.words, FIRST)}.get
         held, heads, size, chunk = [], [], 0, None
-        for batch in batches:
+        for batch in slices(batches):
             columns = (batch.column(name).to_pylist() for name in ("doc_id", "lang", "trusted", "text", "place"))
             for doc, lang, trusted, text, partition in zip(*columns, strict=True):
                 chunk = partition if chunk is None else chunk
@@ -361,11 +380,14 @@ def classify(
     prior_words: int = PRIOR_WORDS,
 ) -> DataFrame:
     """``(doc_id, lang, trusted, n_words, perplexity, threshold, rejected)`` per row of ``docs``."""
+    small_batches(docs.sparkSession)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = 1 + chars // SHARD_CHARS
     rows = with_trust(docs, labels)
     model, counts = train(rows.where("trusted"), shards, size)
-    scored = materialise(score(rows, model, counts, shards), "scores")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    scored = materialise(score(rows, shared, counts, shards), "scores")
+    shared.destroy()
     cost = -F.col("log_prob") / F.col("n_words")
     trusted = scored.where("trusted and n_words > 0").withColumn("cost", cost)
     middle = F.percentile_approx("cost", 0.5, 10_000)
