@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark.sql import SparkSession
 
 # Maximal runs of anything but ASCII white space.
 SPACED_WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -48,7 +49,7 @@ def unpack_sorted(data: bytes, dtype: type) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of a word, remembered for the words seen most recently."""
 
-    LIMIT = 500_000
+    LIMIT = 100_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:
@@ -60,6 +61,19 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def rows_of(batch: pa.RecordBatch, *columns: str) -> Iterable[tuple]:
-    """Rows of an Arrow batch as tuples of Python values."""
-    return zip(*(batch.column(name).to_pylist() for name in columns), strict=True)
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of texts hold 1,000 rows unless the session asks for fewer.
+
+    At Spark's 10,000 a batch of long texts takes hundreds of MB outside the heap and in the worker.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= 1000:
+        spark.conf.set(name, "1000")
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterable[pa.RecordBatch]:
+    """Arrow batches in small pieces: only a few texts are Python strings at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+        pa.default_memory_pool().release_unused()

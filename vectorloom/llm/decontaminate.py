@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.arrays import NORMAL_WORD, lower_ascii
+from vectorloom.llm.arrays import NORMAL_WORD, lower_ascii, slices, small_batches
 from vectorloom.session import materialise
 
 WINDOW = 10
@@ -115,16 +115,16 @@ def item_slices(items: DataFrame, id_col: str, text_col: str, limit: int) -> Ite
     yield current
 
 
-def _scan(docs: DataFrame, windows: WindowSet, text_col: str) -> DataFrame:
-    """Add the hits of one slice of windows to those that the rows carry already."""
+def _scan(docs: DataFrame, windows: WindowSet, text_col: str, cut: bool) -> DataFrame:
+    """Add the hits of one slice of windows to those that the rows carry already, and maybe cut all."""
     shared = docs.sparkSession.sparkContext.broadcast(windows)
     schema = docs.schema
     arrow_hits = pa.list_(pa.int32())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in batches:
-            counts, hits, items = [], [], []
+        for batch in slices(batches):
+            counts, hits, items, texts = [], [], [], []
             for text, old_hits, old_items in zip(
                 batch.column(text_col).to_pylist(),
                 batch.column("_hit_words").to_pylist(),
@@ -134,9 +134,12 @@ def _scan(docs: DataFrame, windows: WindowSet, text_col: str) -> DataFrame:
                 words = word_list(text)
                 found, names = find_hits(words, known)
                 counts.append(len(words))
-                hits.append(sorted(found.union(old_hits)))
+                found.update(old_hits)
+                hits.append(sorted(found))
+                texts.append(cut_words(text, found) if cut and found else text)
                 items.append(sorted(names.union(old_items)))
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            columns[text_col] = pa.array(texts, pa.string())
             columns["_n_words"] = pa.array(counts, pa.int64())
             columns["_hit_words"] = pa.array(hits, arrow_hits)
             columns["_hit_items"] = pa.array(items, pa.list_(pa.string()))
@@ -153,12 +156,16 @@ def mark_hits(
     item_text: str = "text",
     window: int = WINDOW,
     slice_chars: int = SLICE_CHARS,
+    cut: bool = False,
 ) -> DataFrame:
     """``docs`` with ``_n_words``, ``_hit_words`` (positions of hit words) and ``_hit_items``.
 
-    One pass broadcasts items of at most ``slice_chars`` characters. More items take one pass after
-    another over the marked table, so nothing broadcast grows with the benchmark.
+    With ``cut`` the hit words (and the text up to the next kept word) are removed from the texts; a
+    document left without words stays, with an empty text. One pass broadcasts items of at most
+    ``slice_chars`` characters. More items take one pass after another over the marked table, so nothing
+    that is broadcast grows with the benchmark.
     """
+    small_batches(docs.sparkSession)
     marked = docs.withColumns(
         {
             "_n_words": F.lit(None).cast("bigint"),
@@ -166,40 +173,17 @@ def mark_hits(
             "_hit_items": F.array().cast("array<string>"),
         }
     )
-    for number, part in enumerate(item_slices(items, item_id, item_text, slice_chars)):
-        if number:
-            marked = materialise(marked, "decontaminate")
-        marked = _scan(marked, window_set(part, window), text_col)
-    return marked
-
+    before: list[tuple] | None = None
+    for part in item_slices(items, item_id, item_text, slice_chars):
+        if before is not None:
+            marked = materialise(_scan(marked, window_set(before, window), text_col, False), "decontaminate")
+        before = part
+    return _scan(marked, window_set(before or [], window), text_col, cut)
 
-def cut_hits(marked: DataFrame, text_col: str = "text", drop_share: float | None = None) -> DataFrame:
-    """Remove hit words (with the text up to the next kept word) from the texts.
-
-    With ``drop_share``, a document of which at least this share of words is hit is removed whole.
-    A document left without words stays, with an empty text, unless ``drop_share`` removes it.
-    """
-    if drop_share is not None:
-        marked = marked.where(
-            (F.size("_hit_words") == 0) | (F.size("_hit_words") < F.col("_n_words") * drop_share)
-        )
-    schema = marked.schema
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [
-                cut_words(text, set(hits)) if hits else text
-                for text, hits in zip(
-                    batch.column(text_col).to_pylist(),
-                    batch.column("_hit_words").to_pylist(),
-                    strict=True,
-                )
-            ]
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-            columns[text_col] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_pydict(columns)
 
-    return marked.mapInArrow(cut, schema)
+def drop_contaminated(marked: DataFrame, share: float) -> DataFrame:
+    """Documents of which less than ``share`` of the words is hit."""
+    return marked.where((F.size("_hit_words") == 0) | (F.size("_hit_words") < F.col("_n_words") * share))
 
 
 def cut_words(text: str, hits: set[int]) -> str:

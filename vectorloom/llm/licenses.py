@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.arrays import NORMAL_WORD, lower_ascii
+from vectorloom.llm.arrays import NORMAL_WORD, lower_ascii, slices, small_batches
 
 MIN_COVERAGE = 0.8
 # Words of a template that locate candidates; one of them must occur for the rest to reach coverage.
@@ -183,11 +183,12 @@ def scan_licenses(
     rows = list((TEMPLATES if templates is None else templates).items())
     if sum(len(text) for _, text in rows) > MAX_TEMPLATE_CHARS:
         raise ValueError("scan large template sets in parts")
+    small_batches(docs.sparkSession)
     known = templates_of(rows, min_coverage)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("license", "first_word", "end_word", "coverage")
-        for batch in batches:
+        for batch in slices(batches):
             counts, spans = [], []
             for text in batch.column("text").to_pylist():
                 words = word_list(text)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.arrays import SPACED_WORD, lower_ascii
+from vectorloom.llm.arrays import SPACED_WORD, lower_ascii, slices, small_batches
 from vectorloom.llm.components import connected_components
 from vectorloom.session import materialise
 
@@ -70,12 +70,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(id, fp)`` per row; ``fp`` holds the 64 bits as a signed long."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             values = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(values.view(np.int64))], ["id", "fp"]
             )
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(scan, "id bigint, fp bigint")
 
@@ -283,7 +284,12 @@ def near_groups(
 
 
 def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One document of each group: the rows with its smallest id. Groups without any id stay whole."""
-    heads = groups.where("id = component or component is null").select(F.col("id").alias("_head_id"))
-    heads = materialise(heads.distinct(), "heads")
-    return docs.join(heads, docs[id_col].eqNullSafe(heads["_head_id"]), "left_semi")
+    """One document of each group: that of the smallest id goes on, the others go.
+
+    The few ids that go are joined, not the many that stay. Rows without an id stay; an id that is the
+    smallest of any group stays with all rows that repeat it.
+    """
+    heads = groups.where("id = component").select("id").distinct()
+    gone = groups.where("id <> component").select("id").distinct().join(heads, "id", "left_anti")
+    gone = materialise(gone.withColumnRenamed("id", "_gone_id"), "gone")
+    return docs.join(gone, docs[id_col] == gone["_gone_id"], "left_anti")

@@ -32,10 +32,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectorloom.llm.arrays import SPACED_WORD, WordHashes, pack, pack_sorted, unpack, unpack_sorted
+from vectorloom.llm.arrays import (
+    SPACED_WORD,
+    WordHashes,
+    pack,
+    pack_sorted,
+    small_batches,
+    unpack,
+    unpack_sorted,
+)
 
 WINDOW = 35
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 2_000_000
 SHARD_CHARS = 16_000_000
 CHECK_BYTES = 2
 MAX_TOTAL = 65_535
@@ -108,13 +116,16 @@ def _check_type(check_bytes: int) -> type:
     return {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[check_bytes]
 
 
-def _chunk_edges(texts, rolling: _Rolling):
-    """Words of each text, its number of windows, and the edges of all texts."""
-    split = [SPACED_WORD.findall(text) if text else [] for text in texts]
-    edges = [rolling.edges(words) for words in split]
-    keys = np.concatenate([e[0] for e in edges]) if edges else np.array([], np.uint64)
-    checks = np.concatenate([e[1] for e in edges]) if edges else np.array([], np.uint64)
-    return split, [len(e[0]) for e in edges], keys, checks
+def _words(text: str | None) -> list[str]:
+    return SPACED_WORD.findall(text) if text else []
+
+
+def _chunk_edges(texts: list[str | None], rolling: _Rolling):
+    """Number of windows of each text, and the edges of all texts."""
+    edges = [rolling.edges(_words(text)) for text in texts]
+    none = [np.array([], np.uint64)]
+    keys, checks = (np.concatenate([e[i] for e in edges] or none) for i in (0, 1))
+    return [len(e[0]) for e in edges], keys, checks
 
 
 def shard_bounds(shards: int) -> np.ndarray:
@@ -135,6 +146,7 @@ def mark_repeats(
     ``_n_removed`` and ``_kept``: the words outside spans, joined by one space, or with ``layout`` the
     text itself without the spans."""
     size = F.coalesce(F.length(text_col), F.lit(0))
+    small_batches(docs.sparkSession)
     chars = docs.agg(F.sum(size)).first()[0] or 0
     chunks, shards = 1 + chars // chunk_chars, 1 + chars // shard_chars
     columns = [c for c in docs.columns if c not in ("_n_words", "_spans", "_n_removed", "_kept", "_chunk")]
@@ -151,7 +163,7 @@ def _ask(dealt: DataFrame, text_col: str, window: int, shards: int, check_bytes:
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         chunk = key[0].as_py()
-        _, _, keys, checks = _chunk_edges(table[text_col].to_pylist(), _Rolling(window, check_bytes))
+        _, keys, checks = _chunk_edges(table[text_col].to_pylist(), _Rolling(window, check_bytes))
         _, keys, checks, groups = _distinct(keys, checks)
         counts = np.minimum(np.bincount(groups, minlength=len(keys)), MAX_TOTAL).astype(np.uint16)
         cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
@@ -225,7 +237,7 @@ def _apply(
 
     def apply(key: tuple, table: pa.Table, reply: pa.Table) -> pa.Table:
         texts = table[text_col].to_pylist()
-        split, lengths, keys, checks = _chunk_edges(texts, _Rolling(window, check_bytes))
+        lengths, keys, checks = _chunk_edges(texts, _Rolling(window, check_bytes))
         order, found, _, groups = _distinct(keys, checks)
         totals = np.zeros(len(keys), np.uint16)
         if len(found):
@@ -233,7 +245,8 @@ def _apply(
             totals[order] = np.concatenate([unpack(data, np.uint16) for data in parts])[groups]
         n_words, n_removed, kept_texts, all_spans = [], [], [], []
         at = 0
-        for text, words, length in zip(texts, split, lengths, strict=True):
+        for text, length in zip(texts, lengths, strict=True):
+            words = _words(text)
             spans = find_spans(totals[at : at + length], window)
             at += length
             removed = np.zeros(len(words), bool)

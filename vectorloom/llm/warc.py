@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vectorloom.llm.arrays import slices, small_batches
 from vectorloom.session import lookup_table, materialise, scratch_path
 
 END = "\r\n"
@@ -45,6 +46,7 @@ def responses(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html"
 ) -> DataFrame:
     """Response records of pages; ids of records are drawn here and fixed once archives are written."""
+    small_batches(pages.sparkSession)
     rows = pages.select(
         F.col(id_col).cast("bigint").alias("page_id"),
         F.col(url_col).alias("url"),
@@ -53,7 +55,7 @@ def responses(
     )
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             payloads = [text.encode() for text in batch.column("payload").to_pylist()]
             digests = [payload_digest(payload) for payload in payloads]
             ids = [
@@ -186,6 +188,7 @@ def _uuid(field: str) -> str:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Records of the archives in a folder, checked against their digests."""
+    small_batches(spark)
     lines = (
         spark.read.option("lineSep", END)
         .schema("value string")
