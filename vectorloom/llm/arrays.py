@@ -26,7 +26,7 @@ def lower_ascii(text: str) -> str:
 
 def pack(values: np.ndarray) -> bytes:
     """Byte planes of an array, compressed: high bytes of small numbers cost next to nothing."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
