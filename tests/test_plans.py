@@ -96,3 +96,14 @@ def test_a_hot_text_is_split_by_the_skew_join(spark):
     finally:
         for key in settings:
             spark.conf.unset(key)
+
+
+def test_null_groups_are_numbered(spark):
+    from vectorloom.plans.ordering import number_rows
+
+    rows = [(None, 1), (None, 2), ("a", 1), ("a", 2)]
+    numbered = number_rows(spark.createDataFrame(rows, "g string, n int"), ["g"], ["n"])
+    assert sorted(map(tuple, numbered.collect()), key=str) == sorted(
+        [(None, 1, 0), (None, 2, 1), ("a", 1, 0), ("a", 2, 1)], key=str
+    )
+    assert numbered.columns == ["g", "n", "position"]

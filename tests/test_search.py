@@ -25,7 +25,7 @@ def brute_force(matrix, asked, k):
         norms = np.linalg.norm(m, axis=1, keepdims=True)
         return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
-    scores = np.round(unit(asked) @ unit(matrix).T, 6) + 0.0
+    scores = np.round(unit(asked) @ unit(matrix).T, 12) + 0.0
     return {
         q: [(f"c{i:05d}", row[i]) for i in sorted(range(len(row)), key=lambda i: (-row[i], i))[:k]]
         for q, row in enumerate(scores)
@@ -176,3 +176,14 @@ def test_reindex_kinds(spark, data):
     ):
         _, written = ann.reindex(rows, scratch_path(spark, "reindex"), DIM, plan)
         assert set(written.columns) == columns and written.count() == len(data[0])
+
+
+def test_ranks_and_filters_by_unrounded_scores(spark):
+    from vectorloom.operators.knn import knn_exact
+
+    vectors = spark.createDataFrame([("a", [1.0, 0.001]), ("b", [1.0, 0.0])], "chunk_id string, embedding array<double>")
+    query = spark.createDataFrame([(0, [1.0, 0.0])], "query_idx int, embedding array<double>")
+    assert [r["chunk_id"] for r in knn_exact(vectors, query, 1).collect()] == ["b"]
+    near = 0.2999998
+    low = spark.createDataFrame([("c", [near, (1 - near**2) ** 0.5])], "chunk_id string, embedding array<double>")
+    assert knn_exact(low, query, 1).where("score >= 0.3").count() == 0

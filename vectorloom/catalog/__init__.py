@@ -4,7 +4,7 @@
 must give the same rows. Operators whose result SQL cannot state have no statement.
 """
 
-from vectorloom.catalog.registry import QUERIES, SQL
+from vectorloom.catalog.registry import QUERIES, SQL, show_scores
 
 from vectorloom.catalog import (  # noqa: F401  isort: skip
     ann_queries,
@@ -18,4 +18,26 @@ from vectorloom.catalog import (  # noqa: F401  isort: skip
     text_queries,
 )
 
+show_scores(
+    "ivf_search",
+    "ivf_search_all_cells",
+    "pq_search",
+    "ivf_pq_search",
+    "retrieve",
+    "sdk_search",
+    "knn_exact",
+    "knn_shuffled_blocks",
+    "store_search",
+    "store_search_overfetch",
+    "search_multi_type",
+    "search_multi_query",
+    "dedupe_paths",
+    "hit_document_join",
+    "hit_projection",
+    "search_titled",
+    "filter_min_score",
+    "union_type_results",
+    "concat_query_results",
+)
+
 __all__ = ["QUERIES", "SQL"]

@@ -21,7 +21,7 @@ cte(
     SELECT * EXCLUDE (n) FROM (
       SELECT e.vec_id, 'c' || e.vec_id AS chunk_id, e.embedding, q.query_idx AS cell,
              row_number() OVER (PARTITION BY e.vec_id ORDER BY
-               round(list_inner_product(e.embedding::DOUBLE[], q.q), 6) DESC, q.query_idx) AS n
+               round(list_inner_product(e.embedding::DOUBLE[], q.q), 12) DESC, q.query_idx) AS n
       FROM embeddings e CROSS JOIN qv q) WHERE n = 1
     """,
 )
@@ -31,7 +31,7 @@ cte(
     """
     SELECT query_idx, cell, q FROM (
       SELECT a.query_idx, b.query_idx AS cell, a.q, row_number() OVER (PARTITION BY a.query_idx
-             ORDER BY round(list_cosine_similarity(a.q, b.q), 6) DESC, b.query_idx) AS n
+             ORDER BY round(list_cosine_similarity(a.q, b.q), 12) DESC, b.query_idx) AS n
       FROM qv a CROSS JOIN qv b) WHERE n <= 3
     """,
 )
@@ -63,7 +63,7 @@ def _(spark, folder):
         SELECT query_idx, chunk_id, score, rank::INTEGER AS rank FROM (
           SELECT *, row_number() OVER (PARTITION BY query_idx ORDER BY score DESC, chunk_id) AS rank
           FROM (SELECT p.query_idx, a.chunk_id,
-                round(list_cosine_similarity(a.embedding::DOUBLE[], p.q), 6) + 0.0 AS score
+                round(list_cosine_similarity(a.embedding::DOUBLE[], p.q), 12) + 0.0 AS score
                 FROM assigned a JOIN probes p USING (cell))) WHERE rank <= 10
         """,
         "assigned",
@@ -139,7 +139,7 @@ cte(
     "code_scores",
     """
     SELECT query_idx, chunk_id, round(sum(list_inner_product(
-             list_slice(u, sub * 8 + 1, sub * 8 + 8), centroid)), 6) + 0.0 AS score
+             list_slice(u, sub * 8 + 1, sub * 8 + 8), centroid)), 12) + 0.0 AS score
     FROM coded CROSS JOIN (SELECT query_idx, list_transform(q, lambda x: x /
            sqrt(list_inner_product(q, q))) AS u FROM qv) GROUP BY query_idx, chunk_id
     """,

@@ -219,7 +219,7 @@ cte(
     SELECT b.item_id AS query_idx, 'c' || v.doc_id AS chunk_id, 'doc ' || v.doc_id AS doc_title,
            d.source || '/' || d.lang AS doc_path, d.text AS doc_summary, d.lang AS knowledge_type,
            coalesce(l.toxic, 0) = 1 AS deleted,
-           round(list_cosine_similarity(v.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
+           round(list_cosine_similarity(v.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) AS score
     FROM docvec v JOIN documents d USING (doc_id) LEFT JOIN labels l USING (doc_id)
     CROSS JOIN benchvec b
     """,

@@ -51,6 +51,19 @@ def query(name: str, statement: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def show_scores(*names: str, digits: int = 6) -> None:
+    """Show the scores of queries with few decimals; they are ranked and filtered before."""
+
+    def rounded(function: Query) -> Query:
+        return lambda spark, folder: function(spark, folder).withColumn(
+            "score", F.round("score", digits) + F.lit(0.0)
+        )
+
+    for name in names:
+        QUERIES[name] = rounded(QUERIES[name])
+        SQL[name] = f"SELECT * REPLACE (round(score, {digits}) + 0.0 AS score) FROM ({SQL[name]})"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -121,7 +134,7 @@ cte(
     "scored",
     """
     SELECT query_idx, chunk_id, knowledge_type, doc_id, doc_title, doc_path, doc_summary, deleted,
-           round(list_cosine_similarity(embedding::DOUBLE[], q), 6) + 0.0 AS score
+           round(list_cosine_similarity(embedding::DOUBLE[], q), 12) + 0.0 AS score
     FROM st CROSS JOIN qv
     """,
 )

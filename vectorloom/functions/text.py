@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 # White space of any script: separators, line ends and control spaces.
 _SPACES = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
-_NON_SPACE = r"(?U)\S"
 
 
 def strip(text: Column) -> Column:
@@ -17,7 +16,7 @@ def strip(text: Column) -> Column:
 
 def is_blank(text: Column) -> Column:
     """True for null, empty and white-space-only text."""
-    return text.isNull() | ~text.rlike(_NON_SPACE)
+    return text.isNull() | (strip(text) == "")
 
 
 def file_name(path: Column) -> Column:

@@ -36,6 +36,9 @@ from vectorloom.session import materialise
 
 # Widest model table that may be broadcast: cells or codes times dimension.
 MAX_CELLS = 65_536
+
+# Scores held at once when vectors are assigned to cells.
+SLICE_SCORES = 4_000_000
 PARALLEL_FITS = 4
 
 
@@ -143,15 +146,22 @@ def _bounded_matrix(table: DataFrame, key: str, vector: str) -> tuple[np.ndarray
 
 
 def ivf_assign(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Add ``cell``: the centroid with the largest inner product, lowest number on ties."""
+    """Add ``cell``: the centroid with the largest inner product, lowest number on ties; null for a null vector."""
     cells, matrix = _bounded_matrix(centroids, "cell", "centroid")
     model = vectors.sparkSession.sparkContext.broadcast((cells, matrix))
 
     @F.pandas_udf("int")
     def nearest(embeddings: pd.Series) -> pd.Series:
         names, centers = model.value
-        scores = round_scores(unit_rows(to_matrix(embeddings)) @ centers.T)
-        return pd.Series(names[scores.argmax(axis=1)])
+        known = embeddings[embeddings.notna()]
+        found = pd.Series(None, index=embeddings.index, dtype="Int32")
+        # In slices, so the score matrix stays small however many cells there are.
+        step = max(1, SLICE_SCORES // max(1, len(names)))
+        for start in range(0, len(known), step):
+            part = known.iloc[start : start + step]
+            scores = round_scores(unit_rows(to_matrix(part)) @ centers.T)
+            found.loc[part.index] = names[scores.argmax(axis=1)]
+        return found
 
     return vectors.withColumn("cell", run_once(nearest)(F.col("embedding")))
 
@@ -212,6 +222,7 @@ def pq_fit(
     iterations: int = 10,
 ) -> DataFrame:
     """Codebook ``(sub, code, centroid)`` of m sub-vectors with up to 2^nbits codes each."""
+    vectors = vectors.where("embedding is not null")
     rows = _training_rows(vectors)
     unit = l2_normalize(F.col("embedding"))
     # Sub-vectors are written as columns of one table, so each fit reads only its own.
@@ -247,18 +258,23 @@ def _codebook(book: DataFrame) -> list[np.ndarray]:
 
 
 def pq_encode(vectors: DataFrame, book: DataFrame) -> DataFrame:
-    """Add ``codes``: the nearest centroid of every sub-vector."""
+    """Add ``codes``: the nearest centroid of every sub-vector; null for a null vector."""
     model = vectors.sparkSession.sparkContext.broadcast(_codebook(book))
 
     @F.pandas_udf("array<int>")
     def encode(embeddings: pd.Series) -> pd.Series:
         books = model.value
-        unit = unit_rows(to_matrix(embeddings))
+        known = embeddings[embeddings.notna()]
+        found = pd.Series(None, index=embeddings.index, dtype=object)
+        if known.empty:
+            return found
+        unit = unit_rows(to_matrix(known))
         codes = []
         for part, centers in zip(np.split(unit, len(books), axis=1), books, strict=True):
             # Squared distance without its constant term.
             codes.append(((centers**2).sum(axis=1) - 2 * part @ centers.T).argmin(axis=1))
-        return pd.Series(list(np.stack(codes, axis=1).astype(np.int32)))
+        found.loc[known.index] = pd.Series(list(np.stack(codes, axis=1).astype(np.int32)), index=known.index)
+        return found
 
     return vectors.withColumn("codes", run_once(encode)(F.col("embedding")))
 

@@ -34,8 +34,12 @@ def as_store_rows(df: DataFrame, *extra: str) -> DataFrame:
 
 
 def latest_rows(batch: DataFrame, order: str = "seq") -> DataFrame:
-    """Last row of every key; all but one row per key and task are dropped before the shuffle."""
-    newest = Window.partitionBy(*KEY).orderBy(F.col(order).desc())
+    """Last row of every key; all but one row per key and task are dropped before the shuffle.
+
+    Rows of equal order are told apart by a hash of the whole row, so the choice does not depend on the plan.
+    """
+    hashed = [name for name, kind in batch.dtypes if "map<" not in kind and kind != "variant"]
+    newest = Window.partitionBy(*KEY).orderBy(F.col(order).desc(), F.xxhash64(*hashed))
     return batch.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
 
 

@@ -47,7 +47,12 @@ def number_rows(
         ),
         "offsets",
     )
+    # Null is a group like any other.
+    named = offsets.toDF(*(f"_of_{column}" for column in offsets.columns))
+    same = placed["_part"] == named["_of__part"]
+    for column in group:
+        same = same & placed[column].eqNullSafe(named[f"_of_{column}"])
     if offsets.count() <= MAX_BROADCAST_OFFSETS:
-        offsets = F.broadcast(offsets)
-    joined = placed.join(offsets, ["_part", *group])
-    return joined.withColumn(name, F.col("_slot") + F.col("_shift")).drop("_part", "_slot", "_shift")
+        named = F.broadcast(named)
+    joined = placed.join(named, same)
+    return joined.withColumn(name, F.col("_slot") + F.col("_of__shift")).drop("_part", "_slot", *named.columns)

@@ -41,9 +41,10 @@ MAX_FILE_BYTES = 50 * 1024 * 1024
 ALLOWED_EXTENSIONS = (".md",)
 LARGE_TEXT_BYTES = 100 * 1024 * 1024
 
-# Scores are computed in double precision and compared at this many decimals, so equal vectors
-# tie on every plan (whatever the partitioning or matrix kernel) and the id breaks the tie.
-SCORE_DIGITS = 6
+# Scores are computed in double precision and compared at this many decimals, close to its end: only
+# the last bits are left out, so equal vectors tie on every plan (whatever the partitioning or matrix
+# kernel) and the id breaks the tie. Six decimals are for display.
+SCORE_DIGITS = 12
 
 # A query set travels to the tasks as one broadcast only while it stays below both bounds; larger
 # sets take the shuffled block join.

@@ -25,7 +25,9 @@ def current_versions(spark: SparkSession, root: str) -> dict[str, tuple[int, boo
     """Current version of every committed type, and whether it is empty."""
     try:
         commits = spark.read.schema(_COMMIT).json(f"{root}/commits")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return {}
     newest = commits.groupBy("knowledge_type").agg(
         F.max(F.struct("version", "cleared")).alias("newest")
