@@ -100,7 +100,12 @@ def build_index(vectors: DataFrame, pivots: int = PIVOTS, annulus_rows: int = AN
     vectors = vectors.where(F.size("vec") == width)
     square = F.aggregate("vec", F.lit(0).cast("bigint"), lambda total, x: total + x * x)
     longest = vectors.agg(F.max(square)).first()[0]
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toPandas()
+    # About twice the sample passes the hash, so tasks send few rows however many there are.
+    most = (2 * SAMPLE_ROWS << 40) // first["count"] + 1
+    drawn = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < most)
+    sample = drawn.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toPandas()
+    if sample.empty:
+        sample = vectors.limit(1).toPandas()
     space = Space(float(longest), np.array(sample["vec"].tolist(), np.float64), pivots)
     shared = spark.sparkContext.broadcast(space)
 
