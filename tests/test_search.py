@@ -187,3 +187,31 @@ def test_ranks_and_filters_by_unrounded_scores(spark):
     near = 0.2999998
     low = spark.createDataFrame([("c", [near, (1 - near**2) ** 0.5])], "chunk_id string, embedding array<double>")
     assert knn_exact(low, query, 1).where("score >= 0.3").count() == 0
+
+
+def test_vectors_as_queries_on_both_sides_of_the_bound(spark):
+    rows = spark.createDataFrame(
+        [(f"c{i}", i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)],
+        "chunk_id string, query_idx int, embedding array<double>",
+    )
+    columns = ["query_idx", "chunk_id", "score", "rank"]
+    whole = sorted(map(tuple, knn_exact(rows, rows, 4).select(columns).collect()))
+    sliced = sorted(map(tuple, knn_exact(rows, rows, 4, max_queries=7, block_rows=11).select(columns).collect()))
+    assert whole == sliced and len(whole) == 240
+
+
+def test_rows_without_a_type_are_found(spark):
+    stored = store.as_store_rows(
+        spark.createDataFrame(
+            [("a", None, [1.0, 0.0]), ("b", "t", [0.0, 1.0])],
+            "chunk_id string, knowledge_type string, embedding array<float>",
+        )
+    )
+    wanted = spark.createDataFrame([(0, [1.0, 0.1])], "query_idx int, embedding array<double>")
+    for more in ({}, {"overfetch": 2}):
+        found = search.store_search(stored, wanted, 2, **more).collect()
+        assert [(r["chunk_id"], r["knowledge_type"]) for r in sorted(found, key=lambda r: r["rank"])] == [
+            ("a", None), ("b", "t")
+        ]
+    hits = search.store_search(stored, wanted, 2)
+    assert search.hit_projection(hits, stored).count() == 2

@@ -136,5 +136,82 @@ def test_versions(spark, base):
     assert set(state(snapshots.read_store(spark, root))) == {"a", "b", "c"}
     snapshots.clear_all(spark, root)
     assert snapshots.read_store(spark, root).count() == 0
-    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
-        base.write.parquet(f"{root}/rows/version=1")
+
+
+def entry(spark, name, content, seq, kind="t"):
+    made = spark.createDataFrame(
+        [(name, kind, content, seq)], "chunk_id string, knowledge_type string, content string, seq long"
+    )
+    return store.as_store_rows(made)
+
+
+def test_a_writer_lost_before_its_commit_blocks_nobody(spark, base):
+    root = scratch_path(spark, "store")
+    snapshots.write_store(base, root, ["t"])
+    snapshots._stage(entry(spark, "z", "lost", 9), root)  # written, never committed
+    assert snapshots.append_store(entry(spark, "x", "x1", 1), root) == 2
+    assert set(state(snapshots.read_store(spark, root))) == {"a", "b", "c", "x"}
+
+
+def test_an_upsert_writes_its_own_rows_only(spark, base):
+    root = scratch_path(spark, "store")
+    snapshots.write_store(base, root, ["t"])
+    snapshots.append_store(entry(spark, "a", "a1", 1), root)
+    newest = max(snapshots.live_commits(spark, root), key=lambda row: row["version"])
+    assert newest["delta"]
+    assert spark.read.parquet(f"{root}/rows/folder={newest['folder']}").count() == 1
+    assert state(snapshots.read_store(spark, root))["a"] == ("a1", False)
+
+
+def test_deltas_merge_on_read(spark, base):
+    root = scratch_path(spark, "store")
+    changes = [("a", "a2", 2), ("a", "a1", 1), ("n", "n0", None), ("n", "n1", None), ("b", "old", -1)]
+    snapshots.write_store(base, root, ["t"])
+    for change in changes:
+        snapshots.append_store(entry(spark, *change), root)
+    snapshots.append_store(entry(spark, "q", "q0", 0, None), root)
+    snapshots.append_store(entry(spark, "q", "q1", 1, None), root)
+    expected = {"a": ("a2", False), "b": ("b0", True), "c": ("c0", False), "n": ("n1", False), "q": ("q1", False)}
+    assert snapshots.read_store(spark, root).count() == len(expected)
+    assert state(snapshots.read_store(spark, root)) == expected
+    assert set(state(snapshots.read_store(spark, root, [None]))) == {"q"}
+    assert snapshots.merge_deltas(spark, root, limit=3) == 1
+    snapshots.append_store(entry(spark, "a", "a3", 3), root)
+    expected["a"] = ("a3", False)
+    assert state(snapshots.read_store(spark, root)) == expected
+    assert len([row for row in snapshots.live_commits(spark, root) if row["delta"]]) == 4
+    snapshots.compact_store(spark, root)
+    assert not [row for row in snapshots.live_commits(spark, root) if row["delta"]]
+    assert state(snapshots.read_store(spark, root)) == expected
+    versions = snapshots.current_versions(spark, root)
+    assert snapshots.vacuum_store(spark, root) == 0  # too young
+    assert snapshots.vacuum_store(spark, root, keep_hours=0) == 10  # all but the compacted one
+    assert snapshots.current_versions(spark, root) == versions
+    assert state(snapshots.read_store(spark, root)) == expected
+
+
+def test_rows_of_unnamed_types_are_rejects(spark, base):
+    root = scratch_path(spark, "store")
+    given = base.unionByName(entry(spark, "u", "u0", 0, "other")).unionByName(entry(spark, "q", "q0", 0, None))
+    snapshots.write_store(given, root, ["t"])
+    assert set(state(snapshots.read_store(spark, root))) == {"a", "b", "c"}
+    assert set(state(snapshots.read_rejects(spark, root))) == {"u", "q"}
+
+
+def test_two_writers_of_one_type(spark, base):
+    root = scratch_path(spark, "store")
+    snapshots.write_store(base, root, ["t"])
+    staged = snapshots._stage
+
+    def meanwhile(rows, where):
+        snapshots._stage = staged
+        snapshots.append_store(entry(spark, "x", "x1", 1), where)
+        return staged(rows, where)
+
+    snapshots._stage = meanwhile
+    try:
+        with pytest.raises(RuntimeError, match="another writer"):
+            snapshots.write_store(base, root, ["t"])
+    finally:
+        snapshots._stage = staged
+    assert "x" in state(snapshots.read_store(spark, root))

@@ -177,7 +177,7 @@ def _search_cells(
     indexed: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, nprobe: int, run
 ) -> DataFrame:
     """Search only the probed cells: the scan is pruned to them by a literal list."""
-    probes = probe_cells(queries, centroids, nprobe)
+    probes = materialise(probe_cells(queries, centroids, nprobe), "probes")
     wanted = [row["cell"] for row in probes.select("cell").distinct().collect()]
     rows = indexed.where(F.col("cell").isin(wanted)).withColumn(GROUP, F.col("cell").cast("string"))
     grouped = probes.select("query_idx", "embedding", F.col("cell").cast("string").alias(GROUP))
@@ -393,16 +393,3 @@ def reindex(
         rows.write.parquet(f"{path}/rows")
     return plan, vectors.sparkSession.read.parquet(f"{path}/rows")
 
-
-# Search functions by index kind, all returning (query_idx, chunk_id, score, rank).
-SEARCHERS: dict[str, Callable[..., DataFrame]] = {
-    "flat": knn_exact,
-    "ivf": ivf_search,
-    "pq": pq_search,
-    "ivf_pq": ivf_pq_search,
-}
-
-
-def register_searcher(name: str, search: Callable[..., DataFrame]) -> None:
-    """Add or replace a search function."""
-    SEARCHERS[name] = search

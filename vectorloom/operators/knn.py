@@ -2,11 +2,9 @@
 
 Every query has to meet every vector it may return, so the work is one matrix product per pair of
 blocks. No row pair is ever materialised: tasks stream Arrow batches of vectors against a block of
-queries, keep only the best k per query and emit those. How the blocks meet depends on the size of
-the query set:
-
-* up to ``QUERY_BROADCAST_ROWS`` and ``QUERY_BROADCAST_BYTES`` the query matrix is broadcast and the vectors are not moved;
-* beyond, both sides are shuffled into equally sized blocks that meet on a block key.
+queries, keep only the best k per query and emit those. Vectors are never moved: the query matrix is broadcast
+while it stays within ``QUERY_BROADCAST_ROWS`` and ``QUERY_BROADCAST_BYTES``. A larger query set is written
+once and cut into slices within these bounds, which are scored one after another in the same way.
 
 Vectors and queries may carry a group (a type or an index cell); then a query meets only the
 vectors of its groups and k holds per (query, group). A query of the group ``ALL`` meets every
@@ -22,15 +20,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from vectorloom import settings
+from vectorloom.session import materialise
 
 GROUP = "_group"
 ALL = "*"
+# Rows (query, group) of a slice, for each query that it may hold.
+GROUPS_A_QUERY = 16
 
 
 @dataclass
@@ -79,7 +81,7 @@ def round_scores(scores: np.ndarray) -> np.ndarray:
 def best_per_query(hits: pd.DataFrame, k: int) -> pd.DataFrame:
     """First k hits of each (query, group) by score, then id."""
     ordered = hits.sort_values(["score", "chunk_id"], ascending=[False, True])
-    return ordered[ordered.groupby(["query_idx", GROUP], sort=False).cumcount() < k]
+    return ordered[ordered.groupby(["query_idx", GROUP], sort=False, dropna=False).cumcount() < k]
 
 
 def block_hits(
@@ -152,8 +154,8 @@ def cosine_scores(
 class RunningTop:
     """Best hits seen so far in one task; merges whenever the pending part outgrows the kept one."""
 
-    def __init__(self, block: QueryBlock, k: int, score: Scorer):
-        self.block, self.k, self.score = block, k, score
+    def __init__(self, block: QueryBlock, k: int, score: Scorer, block_rows: int):
+        self.block, self.k, self.score, self.block_rows = block, k, score, block_rows
         self._kept: list[pd.DataFrame] = []
         self._pending = 0
         self._limit = 100_000
@@ -168,7 +170,7 @@ class RunningTop:
                 continue
             members = by_id[groups[by_id] == group]
             # A slice of rows at a time keeps the score matrix small for any number of queries.
-            step = max(1, 4_000_000 // len(wanted))
+            step = max(1, min(self.block_rows, 4_000_000 // len(wanted)))
             for start in range(0, len(members), step):
                 rows = members[start : start + step]
                 scores = self.score(batch, rows, wanted, self.block)
@@ -226,59 +228,57 @@ def local_hits(
     schema = _hit_schema(vectors, queries)
     vectors = vectors.where(F.col(scored).isNotNull())
     queries = queries.where(F.col("embedding").isNotNull())
-    small = bounded_queries(queries, max_queries, settings.QUERY_BROADCAST_BYTES)
-    if small is not None:
-        if small.empty:
-            return Hits(vectors.sparkSession.createDataFrame([], schema), 0)
+
+    def hits_of(frame: pd.DataFrame) -> tuple[DataFrame, Broadcast]:
         columns = to_arrow_schema(schema)
-        packed = vectors.sparkSession.sparkContext.broadcast(prepare(QueryBlock.from_frame(small)))
+        packed = vectors.sparkSession.sparkContext.broadcast(prepare(QueryBlock.from_frame(frame)))
 
         def score_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            top = RunningTop(packed.value, k, score)
+            top = RunningTop(packed.value, k, score, block_rows)
             for batch in batches:
                 top.add(batch)
             best = top.merge()
             if best is not None and len(best):
                 yield pa.RecordBatch.from_pandas(best, schema=columns, preserve_index=False)
 
-        return Hits(vectors.mapInArrow(score_partition, schema), len(small) * k)
-    return _shuffled_hits(vectors, queries, k, score, max_queries, block_rows, prepare, schema)
-
-
-def _shuffled_hits(vectors, queries, k, score, max_queries, block_rows, prepare, schema) -> Hits:
-    """Block join: each (query block, vector block) pair is one bounded task group.
+        return vectors.mapInArrow(score_partition, schema), packed
 
-    Blocks are cut by a hash of the unique ids, so a hot type or cell is spread like any other.
+    small = bounded_queries(queries, max_queries, settings.QUERY_BROADCAST_BYTES)
+    if small is not None:
+        if small.empty:
+            return Hits(vectors.sparkSession.createDataFrame([], schema), 0)
+        return Hits(hits_of(small)[0], len(small) * k)
+    written = materialise(queries.select("query_idx", GROUP, "embedding"), "queries")
+    found, bound = None, 0
+    for frame in query_slices(written, max_queries, settings.QUERY_BROADCAST_BYTES):
+        part, packed = hits_of(frame)
+        part = materialise(part, "hits")
+        packed.destroy()
+        found = part if found is None else found.unionByName(part)
+        bound += len(frame) * k
+    return Hits(found, bound)
+
+
+def query_slices(queries: DataFrame, max_queries: int, max_bytes: int) -> Iterator[pd.DataFrame]:
+    """Query rows in slices of bounded size: distinct queries, their bytes, and rows.
+
+    Rows are streamed; the driver holds one slice and one partition of the written table.
     """
-    query_blocks = max(1, -(-queries.count() // max_queries))
-    vector_blocks = max(1, -(-vectors.count() // block_rows))
-
-    def all_blocks(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = vectors.withColumn(
-        "_vb", F.pmod(F.xxhash64("chunk_id"), F.lit(vector_blocks)).cast("int")
-    ).withColumn("_qb", all_blocks(query_blocks))
-    right = queries.withColumn(
-        "_qb", F.pmod(F.xxhash64("query_idx"), F.lit(query_blocks)).cast("int")
-    ).withColumn("_vb", all_blocks(vector_blocks))
-
-    columns = to_arrow_schema(schema)
-
-    def score_pair(vector_block: pa.Table, query_block: pa.Table) -> pa.Table:
-        best = None
-        if vector_block.num_rows and query_block.num_rows:
-            block = prepare(QueryBlock.from_frame(query_block.to_pandas()))
-            top = RunningTop(block, k, score)
-            for batch in vector_block.combine_chunks().to_batches():
-                top.add(batch)
-            best = top.merge()
-        if best is None:
-            return columns.empty_table()
-        return pa.Table.from_pandas(best, schema=columns, preserve_index=False)
-
-    pairs = left.groupBy("_qb", "_vb").cogroup(right.groupBy("_qb", "_vb"))
-    return Hits(pairs.applyInArrow(score_pair, schema), None)
+    rows: list[tuple] = []
+    seen: set = set()
+    size = 0
+    for row in queries.toLocalIterator():
+        new = row["query_idx"] not in seen
+        more = 8 * len(row["embedding"]) if new else 0
+        full = len(seen) + new > max_queries or size + more > max_bytes or len(rows) >= GROUPS_A_QUERY * max_queries
+        if rows and full:
+            yield pd.DataFrame(rows, columns=queries.columns)
+            rows, seen, size = [], set(), 0
+            more = 8 * len(row["embedding"])
+        rows.append(tuple(row))
+        seen.add(row["query_idx"])
+        size += more
+    yield pd.DataFrame(rows, columns=queries.columns)
 
 
 def score_order() -> list:

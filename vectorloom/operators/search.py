@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vectorloom import settings
 from vectorloom.functions.text import strip
 from vectorloom.operators.knn import ALL, GROUP, local_hits, score_order, top_hits
-from vectorloom.operators.store import KEY
+from vectorloom.operators.store import KEY, match_keys
 
 MAX_TYPES = 10_000
 
@@ -39,8 +39,9 @@ def hit_document_join(hits: DataFrame, store: DataFrame, columns: list[str]) ->
     Hits carry a broadcast hint while their number is proven small; the store is then scanned in
     place, and only for ``columns``. Hits that know their type are matched by the full key.
     """
-    key = KEY if "knowledge_type" in hits.columns else ["chunk_id"]
-    return hits.join(store.select(*key, *(c for c in columns if c not in key)), key)
+    if "knowledge_type" in hits.columns:
+        return match_keys(hits, store.select(*KEY, *(c for c in columns if c not in KEY)), "inner")
+    return hits.join(store.select("chunk_id", *(c for c in columns if c != "chunk_id")), "chunk_id")
 
 
 def _store_hits(store: DataFrame, queries: DataFrame, k: int, **blocks) -> DataFrame:

@@ -51,13 +51,48 @@ def _live(batch: DataFrame) -> DataFrame:
     return batch.withColumns(cleared)
 
 
+def live_rows(batch: DataFrame, order: str = "seq") -> DataFrame:
+    """The last row of every key of a batch, not deleted."""
+    return _live(latest_rows(batch, order))
+
+
+def match_keys(left: DataFrame, right: DataFrame, how: str, also: Column | None = None) -> DataFrame:
+    """Join by key; rows without a type match rows without a type. The key of ``right`` is not kept."""
+    named = right.withColumnsRenamed({column: f"_of_{column}" for column in KEY})
+    same = F.col("chunk_id") == F.col("_of_chunk_id")
+    same = same & F.col("knowledge_type").eqNullSafe(F.col("_of_knowledge_type"))
+    joined = left.join(named, same if also is None else same & also, how)
+    return joined.drop(*(f"_of_{column}" for column in KEY))
+
+
 def stored_rows(store: DataFrame, batch: DataFrame, *columns: str) -> DataFrame:
     """Keys (and more columns) of the stored rows that a batch touches.
 
     The batch keys are the build side: a small batch is broadcast and the store only scanned, and
     what is left is small enough for the joins that follow.
     """
-    return store.select(*KEY, *columns).join(batch.select(*KEY).distinct(), KEY, "left_semi")
+    return match_keys(store.select(*KEY, *columns), batch.select(*KEY).distinct(), "left_semi")
+
+
+def replace_rows(
+    store: DataFrame, fresh: DataFrame, batch: DataFrame, newer_only: bool = False
+) -> DataFrame:
+    """``store`` with the rows of ``fresh`` (one per key, the newest of ``batch``) in place of its own.
+
+    With ``newer_only`` the row of the higher ``seq`` stays. Which stored rows go is decided by the keys and
+    ``seq`` of ``batch`` alone, so its payload is read once.
+    """
+    if newer_only:
+        stored = stored_rows(store, batch, "seq").withColumnRenamed("seq", "_stored")
+        fresh = match_keys(fresh, stored, "left").where(
+            F.col("_stored").isNull() | (F.col("_stored") <= F.col("seq"))
+        )
+        newest = batch.groupBy(*KEY).agg(F.max("seq").alias("_newest"))
+        older = F.col("seq").isNull() | (F.col("seq") <= F.col("_newest"))
+        kept = match_keys(store, newest, "left_anti", older)
+    else:
+        kept = match_keys(store, batch.select(*KEY).distinct(), "left_anti")
+    return kept.select(*store.columns).unionByName(fresh.select(*store.columns))
 
 
 def upsert_documents(
@@ -68,23 +103,14 @@ def upsert_documents(
     With ``newer_only`` a row that is older than the stored one (by ``seq``) is ignored, so
     batches may arrive in any order and may be applied again.
     """
-    fresh = _live(latest_rows(batch, order)).select(*store.columns)
-    if newer_only:
-        stored = stored_rows(store, batch, "seq").withColumnRenamed("seq", "_stored")
-        fresh = (
-            fresh.join(stored, KEY, "left")
-            .where(F.col("_stored").isNull() | (F.col("_stored") <= F.col("seq")))
-            .select(*store.columns)
-        )
-    kept = store.join(fresh.select(*KEY), KEY, "left_anti").select(*store.columns)
-    return kept.unionByName(fresh)
+    return replace_rows(store, live_rows(batch, order), batch, newer_only)
 
 
 def new_rows(store: DataFrame, batch: DataFrame, order: str = "seq") -> DataFrame:
     """The rows of a batch whose key is not stored, last one per key."""
     # One row per key first: a key with very many rows in the batch never reaches the join.
     newest = latest_rows(batch, order)
-    unknown = newest.join(stored_rows(store, batch), KEY, "left_anti")
+    unknown = match_keys(newest, stored_rows(store, batch), "left_anti")
     return _live(unknown).select(*store.columns)
 
 
@@ -101,7 +127,7 @@ def batch_counts(store: DataFrame, batch: DataFrame) -> DataFrame:
     """
     keys = batch.groupBy(*KEY).agg(F.count("*").alias("rows"))
     stored = stored_rows(store, batch).withColumn("known", F.lit(True))
-    per_key = keys.join(stored, KEY, "left")
+    per_key = match_keys(keys, stored, "left")
     known = F.coalesce(F.col("known"), F.lit(False))
     return per_key.agg(
         F.count_if(~known).alias("inserted"),

@@ -39,11 +39,13 @@ ERROR_NO_VECTOR = "向量生成失败"
 
 @dataclass
 class ImportJob:
-    """Results of an import: the new store rows, one outcome row per file, the vectors."""
+    """Results of an import: the new store, one outcome row per file, the vectors, and the rows that
+    the store did not hold."""
 
     rows: DataFrame
     ledger: DataFrame
     embedded: DataFrame | None = None
+    added: DataFrame | None = None
 
 
 def file_inputs(
@@ -146,7 +148,8 @@ def import_directory(
     embedded = embed_distinct(inputs, encoder)
     batch = _batch(embedded, created_at, "source_file")
     rows = store.insert_if_absent(store_rows, batch, "_order")
-    return ImportJob(rows, _ledger(embedded), embedded)
+    added = store.new_rows(store_rows, batch, "_order")
+    return ImportJob(rows, _ledger(embedded), embedded, added)
 
 
 def import_file(

@@ -22,6 +22,9 @@ STREAM_BATCH_SIZE = 256
 COMMIT_ROWS = 1000
 COMMIT_DELAY_MS = 100
 
+# Deltas of a type that readers merge before a stream merges them.
+MERGE_DELTAS = 64
+
 # Search.
 SEARCH_K = 10
 SEARCH_MIN_SCORE = 0.3
@@ -46,13 +49,13 @@ LARGE_TEXT_BYTES = 100 * 1024 * 1024
 # kernel) and the id breaks the tie. Six decimals are for display.
 SCORE_DIGITS = 12
 
-# A query set travels to the tasks as one broadcast only while it stays below both bounds; larger
-# sets take the shuffled block join.
+# A slice of queries travels to the tasks as one broadcast below both bounds; larger query sets take
+# one slice after another.
 QUERY_BROADCAST_ROWS = 4096
 QUERY_BROADCAST_BYTES = 96 * 1024 * 1024
 
 # Ranked hits are broadcast in later joins up to this many rows.
 HIT_BROADCAST_ROWS = 500_000
 
-# Rows of vectors scored together by one task of the shuffled block join.
+# Vectors scored together by a task, at most.
 VECTOR_BLOCK_ROWS = 50_000

@@ -10,9 +10,9 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQue
 
 from vectorloom import settings
 from vectorloom.operators.embedding import HashEncoder
-from vectorloom.operators.store import upsert_documents
+from vectorloom.operators.store import live_rows
 from vectorloom.plans.pipelines import EncoderFactory, import_directory
-from vectorloom.sources.snapshots import read_store, write_store
+from vectorloom.sources.snapshots import append_store, merge_deltas, read_store
 
 _FILE_SCHEMA = T.StructType(
     [
@@ -37,30 +37,18 @@ def commit_policy(
     return writer.trigger(availableNow=True)
 
 
-def _types_of(batch: DataFrame) -> list[str]:
-    """Types in a micro-batch: names of indexes, not of rows."""
-    rows = batch.select("knowledge_type").where("knowledge_type is not null").distinct().collect()
-    return sorted(row["knowledge_type"] for row in rows)
-
-
 def stream_upsert(
     rows: DataFrame, root: str, checkpoint: str, continuous: bool = False
 ) -> StreamingQuery:
-    """Upsert a stream of store rows, one committed version per micro-batch.
+    """Upsert a stream of store rows, one committed delta per micro-batch.
 
-    Rows older than the stored ones are ignored, so a repeated or late micro-batch is harmless.
-    Only the types in the micro-batch are rewritten.
+    A micro-batch writes its own rows and nothing else. Rows older than the stored ones are ignored by
+    readers, so a repeated or late micro-batch is harmless. Rows without a type are stored like others.
     """
 
     def commit(batch: DataFrame, _: int) -> None:
-        batch.persist()
-        try:
-            types = _types_of(batch)
-            if types:
-                stored = read_store(batch.sparkSession, root, types)
-                write_store(upsert_documents(stored, batch, newer_only=True), root, types)
-        finally:
-            batch.unpersist()
+        append_store(live_rows(batch), root)
+        merge_deltas(batch.sparkSession, root)
 
     return _start(rows, commit, checkpoint, continuous)
 
@@ -98,13 +86,9 @@ def stream_import(
 
     def commit(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        types = _types_of(config)
-        job = import_directory(
-            read_store(spark, root, types), batch, rules, config, summaries, encoder
-        )
-        touched = _types_of(job.ledger.where("status = 'completed'"))
-        if touched:
-            write_store(job.rows, root, touched)
+        job = import_directory(read_store(spark, root), batch, rules, config, summaries, encoder)
+        append_store(job.added, root)
+        merge_deltas(spark, root)
         job.ledger.write.mode("overwrite").parquet(f"{ledger_path}/batch={number}")
 
     return _start(files, commit, checkpoint, continuous)
