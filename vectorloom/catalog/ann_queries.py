@@ -5,11 +5,13 @@ Trained cells and codes cannot be stated in SQL; where cells are given (the labe
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from vectorloom.catalog.registry import cte, label_queries, query, sql, table
 from vectorloom.operators import ann
-from vectorloom.operators.knn import knn_exact
+from vectorloom.functions.vectors import dot, l2_normalize
 from vectorloom.operators.stats import index_info
 from vectorloom.session import scratch_path
 
@@ -85,18 +87,25 @@ def _fitted(spark, folder):
     return vectors, centroids
 
 
-@query(
-    "ivf_fit",
-    "SELECT count(*) AS vectors, 8::BIGINT AS cells, 0::BIGINT AS unassigned FROM embeddings",
-)
+def _constant(vectors):
+    """Trained centers (a bounded table, in the order of their numbers) as one constant column."""
+    return F.from_json(F.lit(json.dumps(vectors)), "array<array<double>>")
+
+
+def _nearest(point, centers, chosen, likeness):
+    """Whether no center is more alike than the chosen one, by built-in expressions alone."""
+    best = F.array_max(F.transform(centers, lambda center: likeness(point, center)))
+    return likeness(point, F.get(centers, chosen)) >= best - 1e-9
+
+
+@query("ivf_fit", "SELECT 'c' || vec_id AS chunk_id, true AS nearest FROM embeddings")
 def _(spark, folder):
+    # Every vector lies in the cell whose trained centroid is the nearest of all.
     vectors, centroids = _fitted(spark, folder)
+    centers = _constant([row["centroid"] for row in centroids.orderBy("cell").collect()])
     indexed = ann.ivf_assign(vectors, centroids)
-    return indexed.agg(
-        F.count("*").alias("vectors"),
-        F.count_distinct("cell").alias("cells"),
-        F.count_if(F.col("cell").isNull()).alias("unassigned"),
-    )
+    nearest = _nearest(l2_normalize(F.col("embedding")), centers, F.col("cell"), dot)
+    return indexed.select("chunk_id", nearest.alias("nearest"))
 
 
 @query(
@@ -160,22 +169,32 @@ def _encoded(spark, folder):
     return book, ann.pq_encode(_vectors(spark, folder), book)
 
 
+def _closeness(a, b):
+    """Negative squared distance."""
+    square = F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y))
+    return -F.aggregate(square, F.lit(0.0), lambda total, x: total + x)
+
+
 @query(
     "pq_fit",
-    "SELECT count(*) AS vectors, 8::BIGINT AS subs, 128::BIGINT AS codes, 0::BIGINT AS uncoded "
-    "FROM embeddings",
+    "SELECT 'c' || vec_id AS chunk_id, sub::INTEGER AS sub, true AS nearest "
+    "FROM embeddings CROSS JOIN (SELECT range AS sub FROM range(8))",
 )
 def _(spark, folder):
+    # Every part of a vector has the code of the trained centroid that is the nearest of all.
     vectors = _vectors(spark, folder)
-    book = ann.pq_fit(vectors, DIM, m=8, nbits=4, iterations=5)
-    trained = book.agg(F.count_distinct("sub").alias("subs"), F.count("*").alias("codes")).head()
-    coded = ann.pq_encode(vectors, book)
-    return coded.agg(
-        F.count("*").alias("vectors"),
-        F.lit(trained["subs"]).cast("long").alias("subs"),
-        F.lit(trained["codes"]).cast("long").alias("codes"),
-        F.count_if(F.size("codes") != 8).alias("uncoded"),
-    )
+    book = ann.pq_fit(vectors, DIM)
+    coded = ann.pq_encode(vectors, book).withColumn("_unit", l2_normalize(F.col("embedding")))
+    trained = [[] for _ in range(8)]
+    for row in book.orderBy("sub", "code").collect():
+        trained[row["sub"]].append(row["centroid"])
+    parts = [
+        _nearest(
+            F.slice("_unit", sub * 8 + 1, 8), _constant(centers), F.get("codes", F.lit(sub)), _closeness
+        )
+        for sub, centers in enumerate(trained)
+    ]
+    return coded.select("chunk_id", F.posexplode(F.array(*parts)).alias("sub", "nearest"))
 
 
 @query("pq_encode", sql("SELECT chunk_id, sub::INTEGER AS sub, code FROM coded", "coded"))
@@ -216,12 +235,13 @@ def _(spark, folder):
     return ann.ivf_pq_search(indexed, cells, book, label_queries(spark, folder), 10, nprobe=3)
 
 
-@query("pq_search_recall")
+@query("pq_search_recall", sql(_BEST_CODES.format("scored"), "scored"))
 def _(spark, folder):
+    # Codes only choose whom to score again: if that is everybody, the result is the exact one.
     vectors, queries = _vectors(spark, folder), label_queries(spark, folder)
-    book = ann.pq_fit(vectors, DIM, m=8, nbits=4, iterations=5)
-    found = ann.pq_search(ann.pq_encode(vectors, book), book, queries, 10, rerank=5)
-    return ann.recall(found, knn_exact(vectors, queries, 10))
+    book = ann.pq_fit(vectors, DIM)
+    everybody = -(-vectors.count() // 10)
+    return ann.pq_search(ann.pq_encode(vectors, book), book, queries, 10, rerank=everybody)
 
 
 _TABLES = ["documents", "embeddings", "events", "lineitem", "orders", "part", "customer", "supplier"]

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
@@ -28,14 +27,14 @@ from vectorloom.operators.knn import (
     local_hits,
     round_scores,
     score_order,
-    to_matrix,
     top_hits,
     unit_rows,
 )
 from vectorloom.session import materialise
 
-# Widest model table that may be broadcast: cells or codes times dimension.
+# Largest model table (cells or codes) that is brought to the driver and broadcast.
 MAX_CELLS = 65_536
+MAX_MODEL_BYTES = 256 * 1024 * 1024
 
 # Scores held at once when vectors are assigned to cells.
 SLICE_SCORES = 4_000_000
@@ -139,10 +138,16 @@ def ivf_fit(
 
 def _bounded_matrix(table: DataFrame, key: str, vector: str) -> tuple[np.ndarray, np.ndarray]:
     """Keys and rows of a small model table, in key order; refuses one that is not small."""
-    frame = table.select(key, vector).limit(MAX_CELLS + 1).toPandas().sort_values(key)
-    if len(frame) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} rows in a model table")
-    return frame[key].to_numpy(), to_matrix(frame[vector])
+    frame = _model_table(table.select(key, vector), vector).sort_by(key)
+    return frame[key].to_numpy(), list_matrix(frame[vector])
+
+
+def _model_table(table: DataFrame, vector: str) -> pa.Table:
+    """A model table as Arrow, its rows and bytes checked before it is fetched."""
+    rows, values = table.agg(F.count("*"), F.sum(F.size(vector))).head()
+    if rows > MAX_CELLS or 8 * (values or 0) > MAX_MODEL_BYTES:
+        raise ValueError(f"a model table of {rows} rows and {values} values is not small")
+    return table.toArrow()
 
 
 def ivf_assign(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -150,22 +155,35 @@ def ivf_assign(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     cells, matrix = _bounded_matrix(centroids, "cell", "centroid")
     model = vectors.sparkSession.sparkContext.broadcast((cells, matrix))
 
-    @F.pandas_udf("int")
-    def nearest(embeddings: pd.Series) -> pd.Series:
+    @F.arrow_udf("int")
+    def nearest(embeddings: pa.Array) -> pa.Array:
         names, centers = model.value
-        known = embeddings[embeddings.notna()]
-        found = pd.Series(None, index=embeddings.index, dtype="Int32")
+        known, unit = _known_units(embeddings)
+        found = np.zeros(len(embeddings), dtype=np.int32)
         # In slices, so the score matrix stays small however many cells there are.
         step = max(1, SLICE_SCORES // max(1, len(names)))
         for start in range(0, len(known), step):
-            part = known.iloc[start : start + step]
-            scores = round_scores(unit_rows(to_matrix(part)) @ centers.T)
-            found.loc[part.index] = names[scores.argmax(axis=1)]
-        return found
+            scores = round_scores(unit[start : start + step] @ centers.T)
+            found[known[start : start + step]] = names[scores.argmax(axis=1)]
+        return pa.array(found, mask=_unknown(known, len(embeddings)))
 
     return vectors.withColumn("cell", run_once(nearest)(F.col("embedding")))
 
 
+def _known_units(embeddings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the vectors that are not null, and these vectors on the unit sphere."""
+    known = np.flatnonzero(embeddings.is_valid().to_numpy(zero_copy_only=False))
+    if not len(known):
+        return known, np.zeros((0, 0))
+    return known, unit_rows(list_matrix(embeddings.take(pa.array(known))))
+
+
+def _unknown(known: np.ndarray, size: int) -> np.ndarray:
+    mask = np.ones(size, dtype=bool)
+    mask[known] = False
+    return mask
+
+
 def probe_cells(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
     """``(query_idx, embedding, cell)``: the cells each query looks into."""
     cells = centroids.select(F.col("cell").alias("chunk_id"), F.col("centroid").alias("embedding"))
@@ -250,31 +268,28 @@ def pq_fit(
 
 def _codebook(book: DataFrame) -> list[np.ndarray]:
     """Centroids per sub-vector, in code order; bounded by m times 2^nbits rows."""
-    frame = book.limit(MAX_CELLS + 1).toPandas()
-    if len(frame) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} rows in a codebook")
-    ordered = frame.sort_values(["sub", "code"])
-    return [to_matrix(part["centroid"]) for _, part in ordered.groupby("sub", sort=True)]
+    ordered = _model_table(book, "centroid").sort_by([("sub", "ascending"), ("code", "ascending")])
+    subs = ordered["sub"].to_numpy()
+    starts = np.flatnonzero(np.diff(subs, prepend=subs[0] - 1)) if len(subs) else []
+    return np.split(list_matrix(ordered["centroid"]), starts[1:]) if len(subs) else []
 
 
 def pq_encode(vectors: DataFrame, book: DataFrame) -> DataFrame:
     """Add ``codes``: the nearest centroid of every sub-vector; null for a null vector."""
     model = vectors.sparkSession.sparkContext.broadcast(_codebook(book))
 
-    @F.pandas_udf("array<int>")
-    def encode(embeddings: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<int>")
+    def encode(embeddings: pa.Array) -> pa.Array:
         books = model.value
-        known = embeddings[embeddings.notna()]
-        found = pd.Series(None, index=embeddings.index, dtype=object)
-        if known.empty:
-            return found
-        unit = unit_rows(to_matrix(known))
-        codes = []
-        for part, centers in zip(np.split(unit, len(books), axis=1), books, strict=True):
-            # Squared distance without its constant term.
-            codes.append(((centers**2).sum(axis=1) - 2 * part @ centers.T).argmin(axis=1))
-        found.loc[known.index] = pd.Series(list(np.stack(codes, axis=1).astype(np.int32)), index=known.index)
-        return found
+        known, unit = _known_units(embeddings)
+        codes = np.zeros((len(embeddings), len(books)), dtype=np.int32)
+        if len(known):
+            for sub, (part, centers) in enumerate(zip(np.split(unit, len(books), axis=1), books, strict=True)):
+                # Squared distance without its constant term.
+                codes[known, sub] = ((centers**2).sum(axis=1) - 2 * part @ centers.T).argmin(axis=1)
+        offsets = np.arange(len(embeddings) + 1, dtype=np.int32) * len(books)
+        unknown = pa.array(_unknown(known, len(embeddings)))
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes.ravel()), mask=unknown)
 
     return vectors.withColumn("codes", run_once(encode)(F.col("embedding")))
 

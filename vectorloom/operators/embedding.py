@@ -9,7 +9,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectorloom import settings
@@ -98,41 +98,57 @@ def embed_distinct(
 ) -> DataFrame:
     """Encode every distinct text once and give the vector to all its copies.
 
-    Copies are folded map-side before the shuffle and the vectors come back on a 32-byte digest,
-    so texts cross the network once each. The vectors are written to the shared folder at once:
-    neither several uses of the result nor a lost executor run the encoder again, and the adaptive
-    skew join can split a text that has very many copies.
+    Copies are folded map-side, by hash, before distinct texts are shuffled; the vectors come back
+    on a 32-byte digest. They are written to the shared folder at once: neither several uses of the
+    result nor a lost executor run the encoder again. While the vectors are small enough for Spark
+    to broadcast them, the rows stay where they are; beyond that the rows are shuffled once, with
+    all their columns, and the adaptive skew join can split a text that has very many copies. Rows
+    without a text get keys of their own that match nothing, so they do not meet in one task.
     """
     digest = F.unhex(F.sha2(F.col(text), 256))
-    distinct = (
-        df.where(F.col(text).isNotNull())
-        .groupBy(digest.alias("_digest"))
-        .agg(F.any_value(text).alias("_text"))
-    )
-    vectors = lookup_table(embed_text(distinct, encoder, "_text", out).select("_digest", out))
-    return df.withColumn("_digest", digest).join(vectors, "_digest", "left").drop("_digest")
+    distinct = df.where(F.col(text).isNotNull()).select(F.col(text).alias("_text")).distinct()
+    encoded = embed_text(distinct.withColumn("_digest", F.unhex(F.sha2("_text", 256))), encoder, "_text", out)
+    vectors = lookup_table(encoded.select("_digest", out))
+    no_text = F.unhex(F.hex(F.monotonically_increasing_id()))
+    keyed = df.withColumn("_digest", F.coalesce(digest, no_text))
+    return keyed.join(vectors, "_digest", "left").drop("_digest")
 
 
 def hash_encode(df: DataFrame, key: str, text: str = "content", dim: int = 64) -> DataFrame:
-    """The hash encoder without Python: one row ``(key, embedding)`` per text with a token.
+    """The hash encoder without Python and without a shuffle: ``(key, embedding)`` per text with a token.
 
-    Token counts are folded per (key, bucket) before the shuffle, so at most ``dim`` small rows
-    per text and task move, whatever its length.
+    A text is folded inside its row, in time linear to its tokens (but for the sort): its buckets
+    are sorted together with one mark per bucket, and the distance between the places of
+    neighbouring marks is the count. Every row gives its own vector, also rows that share a key.
     """
-    tokens = df.select(key, F.explode(F.split(F.col(text), TOKEN_SEPARATOR)).alias("_token"))
-    word = F.conv(F.substring(F.md5("_token"), 1, 8), 16, 10).cast("long")
-    counts = (
-        tokens.where(F.col("_token") != "")
-        .groupBy(key, F.pmod(word, F.lit(dim)).cast("int").alias("_bucket"))
-        .agg(F.count("*").cast("double").alias("_count"))
-    )
-    sparse = counts.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("_bucket", "_count"))).alias("_counts")
-    )
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("_counts")[i], F.lit(0.0))
+    tokens = F.filter(F.split(F.col(text), TOKEN_SEPARATOR), lambda token: token != "")
+
+    def bucket(token: Column) -> Column:
+        word = F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long")
+        return F.pmod(word, F.lit(dim)).cast("int")
+
+    marked = F.sort_array(
+        F.concat(F.transform(tokens, bucket), F.sequence(F.lit(0), F.lit(dim)).cast("array<int>"))
     )
-    return sparse.select(key, l2_normalize(dense).cast("array<float>").alias("embedding"))
+
+    def counts(sorted_buckets: Column) -> Column:
+        places = F.filter(
+            F.sequence(F.lit(0), F.size(sorted_buckets) - 1),
+            lambda i: (i == 0) | (F.get(sorted_buckets, i) != F.get(sorted_buckets, i - 1)),
+        )
+        return _once(places, lambda p: F.transform(
+            F.sequence(F.lit(0), F.lit(dim - 1)),
+            lambda i: (F.get(p, i + 1) - F.get(p, i) - 1).cast("double"),
+        ))
+
+    vector = _once(_once(marked, counts), l2_normalize).cast("array<float>")
+    spoken = F.col(text).rlike(TOKEN)
+    return df.where(spoken).select(key, vector.alias("embedding"))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value built once per row, not once per place it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def chunks_to_embed(

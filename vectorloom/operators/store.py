@@ -251,12 +251,12 @@ def fold_changes(
     """Fold a change log ``(key, seq, op)`` to ``(key, present, deleted)`` per key ever seen.
 
     The last upsert or hard delete decides whether a key exists, a later soft delete or restore
-    decides its flag. Sequence and operation share one long, so both are plain ``max`` aggregates
-    with map-side combine: a key with very many changes sends one row per task. The same
+    decides its flag. Sequence and operation share one decimal, wide enough for any sequence number,
+    so both are plain ``max`` aggregates with map-side combine: a key with very many changes sends one row per task. The same
     aggregate runs on a stream, with Spark keeping the two numbers per key as state.
     """
     code = op_code(F.col("op"))
-    event = F.col("seq") * 4 + code
+    event = F.col("seq").cast("decimal(20,0)") * 4 + code
     structural = F.max(F.when(code.isin(UPSERT, HARD), event))
     flags = F.max(F.when(code.isin(SOFT, RESTORE), event))
     measures = [structural.alias("_structural"), flags.alias("_flag")]
