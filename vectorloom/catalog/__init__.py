@@ -22,6 +22,7 @@ show_scores(
     "ivf_search",
     "ivf_search_all_cells",
     "pq_search",
+    "pq_search_recall",
     "ivf_pq_search",
     "retrieve",
     "sdk_search",

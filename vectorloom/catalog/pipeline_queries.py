@@ -355,24 +355,57 @@ def _(spark, folder):
     return build_stats(ledger)
 
 
+cte(
+    "form_files",
+    f"""
+    SELECT f AS filename, max_by(text, p_partkey) AS text FROM (
+      SELECT {_FILE} AS f, p_partkey, coalesce(l.result, r.md) AS text
+      FROM rendered r LEFT JOIN filled l USING (p_partkey) WHERE r.md IS NOT NULL) GROUP BY f
+    """,
+)
+
+
+def _form_etl(spark, folder):
+    rules = values(spark, [("forms/", "form", 1)], "pattern string, knowledge_type string, priority int")
+    config = values(spark, [("form", "file_name")], "knowledge_type string, vector_field string")
+    return pipelines.form_etl(
+        _stored(spark, folder), _records(spark, folder), "forms", rules, config, F.lit(CREATED)
+    )
+
+
 @query(
     "form_etl",
     sql(
-        f"""
-        SELECT chunk_id, 'forms/' || chunk_id || '.md' AS doc_path, 'form' AS knowledge_type,
-               chunk_id AS content FROM (
-          SELECT DISTINCT regexp_replace({_FILE}, '\\.md$', '') AS chunk_id
-          FROM rendered WHERE md IS NOT NULL)
-        UNION ALL SELECT * FROM kold
+        """
+        SELECT regexp_replace(filename, '\\.md$', '') AS chunk_id, 'forms/' || filename AS doc_path,
+               'form' AS knowledge_type, regexp_replace(filename, '\\.md$', '') AS content, text AS document
+        FROM form_files
+        UNION ALL SELECT *, NULL FROM kold
         """,
-        "rendered",
+        "form_files",
         "kold",
     ),
 )
 def _(spark, folder):
-    rules = values(spark, [("forms/", "form", 1)], "pattern string, knowledge_type string, priority int")
-    config = values(spark, [("form", "file_name")], "knowledge_type string, vector_field string")
-    job = pipelines.form_etl(
-        _stored(spark, folder), _records(spark, folder), "forms", rules, config, F.lit(CREATED)
+    # The imported rows with the described document each of them stands for.
+    job = _form_etl(spark, folder)
+    written = job.documents.select(
+        F.concat(F.lit("forms/"), "filename").alias("doc_path"), F.col("md").alias("document")
     )
-    return job.rows.select(*_SHOWN)
+    return job.rows.select(*_SHOWN).join(written, "doc_path", "left")
+
+
+@query(
+    "form_etl_ledger",
+    sql(
+        f"""
+        SELECT 'forms/' || filename AS file_path, 'completed' AS status, NULL AS error_message FROM form_files
+        UNION ALL SELECT 'forms/' || {_FILE}, 'failed', '{pipelines.ERROR_NO_DOCUMENT}'
+        FROM rendered WHERE md IS NULL
+        """,
+        "form_files",
+        "rendered",
+    ),
+)
+def _(spark, folder):
+    return _form_etl(spark, folder).ledger.select("file_path", "status", "error_message")

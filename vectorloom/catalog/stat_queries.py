@@ -200,6 +200,8 @@ def _usage(spark, folder):
     "token_usage_report",
     sql(
         """
+        SELECT *, row_number() OVER (PARTITION BY section ORDER BY CASE WHEN section <> 'by_date'
+               THEN total_tokens END DESC, name NULLS FIRST)::INTEGER AS position FROM (
         SELECT CASE grouping(model_name, provider, usage_date) WHEN 3 THEN 'by_model'
                WHEN 5 THEN 'by_provider' WHEN 6 THEN 'by_date' ELSE 'summary' END AS section,
                coalesce(model_name, provider, usage_date) AS name, count(*) AS sessions,
@@ -207,7 +209,7 @@ def _usage(spark, folder):
                sum(completion_tokens)::BIGINT AS completion_tokens,
                sum(total_tokens)::BIGINT AS total_tokens,
                round(sum(total_tokens)::DOUBLE / count(*), 0) AS avg_tokens
-        FROM usage GROUP BY GROUPING SETS ((model_name), (provider), (usage_date), ())
+        FROM usage GROUP BY GROUPING SETS ((model_name), (provider), (usage_date), ()))
         """,
         "usage",
     ),

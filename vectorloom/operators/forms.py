@@ -244,14 +244,20 @@ def fill_placeholders(md: Column, description: Column, scenarios: Column) -> Col
     return F.when(md.contains(rules.DESCRIPTION_MARKER), filled)
 
 
-def convert_forms(records: DataFrame, created_at: Column, prefix: str = "") -> DataFrame:
-    """Form records to ``(filename, md)``; ``md`` is null for a failed record."""
+def convert_forms(
+    records: DataFrame, created_at: Column, prefix: str = "", *kept: str
+) -> DataFrame:
+    """Form records to ``(filename, md)``; ``md`` is null for a failed record.
+
+    ``kept`` names columns of the records to carry along.
+    """
     identifier = F.coalesce("FK_NYLQ_NUMBER", "form_id")
     name = F.coalesce("FK_NYLQ_NAME", "form_name")
     md = render_form_markdown(
         F.col("FK_NYLQ_NUMBER"), F.col("FK_NYLQ_NAME"), F.col("FK_NYLQ_STRUCTURE_TAG"), created_at
     )
     return records.select(
+        *kept,
         form_filename(identifier, name, F.col("position"), prefix).alias("filename"),
         md.alias("md"),
     )

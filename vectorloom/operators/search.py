@@ -215,10 +215,20 @@ def knowledge_results(hits: DataFrame, store: DataFrame) -> DataFrame:
     )
 
 
-def assemble_answer(results: DataFrame, limit: int = settings.ANSWER_LIMIT) -> DataFrame:
+# Fixed value: the answer to a query without results.
+NO_ANSWER = (
+    "抱歉，我在知识库中没有找到与您问题相关的信息。\n\n建议您：\n1. 尝试使用不同的关键词重新搜索\n"
+    "2. 在设置中导入相关的知识文档\n3. 配置AI模型以获得更智能的回答"
+)
+
+
+def assemble_answer(
+    results: DataFrame, limit: int = settings.ANSWER_LIMIT, queries: DataFrame | None = None
+) -> DataFrame:
     """One text per query: numbered results and the best score in percent.
 
-    Expects the columns of ``knowledge_results``; a query has at most ``limit`` of them.
+    Expects the columns of ``knowledge_results``; a query has at most ``limit`` of them. With
+    ``queries`` a query that has no results gets an answer too, one that says so.
     """
     # The sentences around the list.
     intro = "根据知识库检索，为您找到以下相关信息：\n\n"
@@ -235,7 +245,7 @@ def assemble_answer(results: DataFrame, limit: int = settings.ANSWER_LIMIT) -> D
         F.max("relevance_score").alias("_best"),
     )
     percent = F.round(F.col("_best") * 100, 0).cast("int").cast("string")
-    return grouped.select(
+    answers = grouped.select(
         "query_idx",
         F.concat(
             F.lit(intro),
@@ -245,3 +255,7 @@ def assemble_answer(results: DataFrame, limit: int = settings.ANSWER_LIMIT) -> D
             F.lit("%*"),
         ).alias("answer"),
     )
+    if queries is None:
+        return answers
+    asked = queries.select("query_idx").distinct().join(answers, "query_idx", "left")
+    return asked.withColumn("answer", F.coalesce("answer", F.lit(NO_ANSWER)))

@@ -5,7 +5,7 @@ Plain grouped aggregates: Spark combines them map-side, so hot groups cost one r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectorloom.functions.tokens import length_bucket, token_estimate
@@ -159,7 +159,8 @@ def usage_from_messages(messages: DataFrame, extra: list[str]) -> DataFrame:
 def token_usage_report(usage: DataFrame) -> DataFrame:
     """Sessions and tokens overall, by model, by provider and by date in one pass.
 
-    ``section`` says which grouping a row belongs to, ``name`` its value (null for the total).
+    ``section`` says which grouping a row belongs to, ``name`` its value (null for the total) and
+    ``position`` its place there: models and providers by tokens, the largest first, dates by date.
     """
     sections = [["model_name"], ["provider"], ["usage_date"], []]
     grouped = usage.groupingSets(sections, "model_name", "provider", "usage_date").agg(
@@ -175,7 +176,7 @@ def token_usage_report(usage: DataFrame) -> DataFrame:
         .when(F.col("_set") == 0b110, "by_date")
         .otherwise("summary")
     )
-    return grouped.select(
+    report = grouped.select(
         section.alias("section"),
         F.coalesce("model_name", "provider", "usage_date").alias("name"),
         "sessions",
@@ -184,6 +185,10 @@ def token_usage_report(usage: DataFrame) -> DataFrame:
         "total_tokens",
         F.round(F.col("total_tokens") / F.col("sessions"), 0).alias("avg_tokens"),
     )
+    # One row per model, provider or day is left, so a section is small whatever the usage.
+    tokens = F.when(F.col("section") != "by_date", F.col("total_tokens"))
+    order = Window.partitionBy("section").orderBy(tokens.desc(), F.col("name").asc())
+    return report.withColumn("position", F.row_number().over(order))
 
 
 def tokens_on(usage: DataFrame, day: Column) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +27,8 @@ from vectorloom.operators.routing import (
     vector_input_summary,
 )
 from vectorloom.schemas import VECTOR_INPUT_COLUMNS
-from vectorloom.session import materialise
+from vectorloom.session import materialise, scratch_path
+from vectorloom.sources.exports import write_form_markdown
 
 EncoderFactory = Callable[[], Encoder]
 
@@ -36,16 +37,20 @@ ERROR_MISSING = "文件不存在"
 ERROR_NO_INPUT = "无法获取向量数据"
 ERROR_NO_VECTOR = "向量生成失败"
 
+# Message of the ledger for a form record without a structure.
+ERROR_NO_DOCUMENT = "the record has no structure to render"
+
 
 @dataclass
 class ImportJob:
-    """Results of an import: the new store, one outcome row per file, the vectors, and the rows that
-    the store did not hold."""
+    """Results of an import: the new store, one outcome row per file, the vectors, the rows that
+    the store did not hold, and the documents that a form job has written."""
 
     rows: DataFrame
     ledger: DataFrame
     embedded: DataFrame | None = None
     added: DataFrame | None = None
+    documents: DataFrame | None = None
 
 
 def file_inputs(
@@ -315,13 +320,13 @@ def summary_index_stats(
 
 
 def form_documents(records: DataFrame, created_at: Column, prefix: str = "") -> DataFrame:
-    """Form records to described Markdown documents ``(filename, described, ...)``.
+    """Form records to their described Markdown ``(position, filename, md)``, one row per record.
 
-    Failed records are the ones without a structure; testing that column instead of the rendered
-    text keeps the rendering out of the filter, where it would run a second time.
+    ``md`` is null for a record without a structure, and the plain rendering where a document has
+    no markers to fill. Needs no shuffle.
     """
-    sound = records.where(F.col("FK_NYLQ_STRUCTURE_TAG").isNotNull())
-    return forms.describe_documents(forms.convert_forms(sound, created_at, prefix))
+    described = forms.describe_documents(forms.convert_forms(records, created_at, prefix, "position"))
+    return described.select("position", "filename", F.coalesce("described", "md").alias("md"))
 
 
 def form_etl(
@@ -332,8 +337,29 @@ def form_etl(
     config: DataFrame,
     created_at: Column,
     encoder: EncoderFactory = HashEncoder,
+    path: str | None = None,
 ) -> ImportJob:
-    """Form records to described Markdown, imported as the files of a directory."""
-    documents = form_documents(records, created_at)
-    files = documents.select(F.concat(F.lit(f"{directory}/"), "filename").alias("path"))
-    return import_directory(store_rows, files, rules, config, None, encoder, created_at)
+    """Form records to described Markdown, written, and imported as the files of a directory.
+
+    The documents are written once, to ``path`` or the shared folder. Of several records with one
+    file name the last by ``position`` is the document. A record that cannot be rendered is a failed
+    row of the ledger; all others are there as imported files.
+    """
+    rendered = materialise(form_documents(records, created_at), "forms")
+    last = F.max_by(F.struct("md"), F.struct("position", "md"))
+    sound = rendered.where(F.col("md").isNotNull()).groupBy("filename").agg(last.alias("_last"))
+    target = path or scratch_path(records.sparkSession, "documents")
+    documents = write_form_markdown(sound.select("filename", "_last.md"), target)
+    location = F.concat(F.lit(f"{directory}/"), "filename")
+    job = import_directory(
+        store_rows, documents.select(location.alias("path")), rules, config, None, encoder, created_at
+    )
+    failed = rendered.where(F.col("md").isNull()).select(
+        location.alias("file_path"),
+        F.lit(None).cast("string").alias("knowledge_type"),
+        file_stem(F.col("filename")).alias("knowledge_name"),
+        F.lit("failed").alias("status"),
+        F.lit(0).alias("chunks_count"),
+        F.lit(ERROR_NO_DOCUMENT).alias("error_message"),
+    )
+    return replace(job, ledger=job.ledger.unionByName(failed), documents=documents)
