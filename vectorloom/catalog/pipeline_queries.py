@@ -169,6 +169,54 @@ def _(spark, folder):
     return import_summary(_import(spark, folder).ledger)
 
 
+def _import_folder(spark, folder, directory):
+    job = pipelines.import_folder(
+        _stored(spark, folder),
+        directory,
+        _files(spark, folder),
+        _rules(spark),
+        _config(spark),
+        _summaries(spark, folder),
+        created_at=_at(),
+    )
+    return job.rows.select(*_SHOWN)
+
+
+@query(
+    "import_folder",
+    sql(
+        """
+        SELECT * FROM kold UNION ALL SELECT chunk_id, doc_path, knowledge_type, content FROM (
+          SELECT *, row_number() OVER (PARTITION BY knowledge_type, chunk_id ORDER BY source_file DESC) AS n
+          FROM kinput WHERE content IS NOT NULL AND starts_with(source_file, 'src1/')) WHERE n = 1
+          AND (knowledge_type, chunk_id) NOT IN (SELECT (knowledge_type, chunk_id) FROM kold)
+        """,
+        "kold",
+        "kinput",
+    ),
+)
+def _(spark, folder):
+    return _import_folder(spark, folder, "src1")
+
+
+@query(
+    "import_folder_summary",
+    sql(
+        "SELECT * FROM kold UNION ALL SELECT doc_id::VARCHAR, 'labels/' || doc_id, 'summary', "
+        "'quality ' || quality FROM labels",
+        "kold",
+    ),
+)
+def _(spark, folder):
+    # The directory is of a summary type: all summaries come in, its files do not matter.
+    return _import_folder(spark, folder, "src2")
+
+
+@query("import_folder_unknown", sql("SELECT * FROM kold", "kold"))
+def _(spark, folder):
+    return _import_folder(spark, folder, "elsewhere")
+
+
 @query(
     "import_file",
     "SELECT 'documents' AS chunk_id, 'wide' AS knowledge_type, 'documents' AS content "
@@ -217,7 +265,7 @@ cte(
     "doc_scores",
     """
     SELECT b.item_id AS query_idx, 'c' || v.doc_id AS chunk_id, 'doc ' || v.doc_id AS doc_title,
-           d.source || '/' || d.lang AS doc_path, d.text AS doc_summary, d.lang AS knowledge_type,
+           d.source || '/' || d.lang AS doc_path, d.source || ', ' || d.lang || ', first' AS core_classes, d.text AS doc_summary, d.lang AS knowledge_type,
            coalesce(l.toxic, 0) = 1 AS deleted,
            round(list_cosine_similarity(v.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) AS score
     FROM docvec v JOIN documents d USING (doc_id) LEFT JOIN labels l USING (doc_id)
@@ -249,10 +297,12 @@ def _document_store(spark, folder):
             F.col("lang").alias("knowledge_type"),
             F.col("text").alias("content"),
             (F.coalesce("toxic", F.lit(0)) == 1).alias("deleted"),
+            F.array("source", "lang", F.lit("first"), F.lit("second")).alias("core_classes"),
         )
     )
     # A store is a written table; searches read it several times.
-    return as_store_rows(materialise(embedded.where(F.col("embedding").isNotNull())))
+    written = materialise(embedded.where(F.col("embedding").isNotNull()))
+    return as_store_rows(written, "core_classes")
 
 
 def _texts(spark, folder):
@@ -279,7 +329,7 @@ def _(spark, folder):
     "sdk_search",
     sql(
         "SELECT query_idx, rank::INTEGER AS rank, doc_title, doc_path, score, "
-        "substr(doc_summary, 1, 150) AS doc_summary FROM (SELECT *, row_number() OVER "
+        "substr(doc_summary, 1, 150) AS doc_summary, core_classes FROM (SELECT *, row_number() OVER "
         "(PARTITION BY query_idx ORDER BY score DESC, chunk_id) AS rank FROM doc_scores "
         "WHERE NOT deleted AND knowledge_type = 'en') WHERE rank <= 5 AND score >= 0",
         "doc_scores",
@@ -287,7 +337,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     store = _document_store(spark, folder)
-    return pipelines.summary_index_search(store, _texts(spark, folder), "en")
+    return pipelines.summary_index_search(store, _texts(spark, folder), "en", classes="core_classes")
 
 
 @query(

@@ -157,6 +157,35 @@ def import_directory(
     return ImportJob(rows, _ledger(embedded), embedded, added)
 
 
+def import_folder(
+    store_rows: DataFrame,
+    directory: str,
+    files: DataFrame,
+    rules: DataFrame,
+    config: DataFrame,
+    summaries: DataFrame | None = None,
+    encoder: EncoderFactory = HashEncoder,
+    created_at: Column | None = None,
+) -> ImportJob:
+    """The import of a directory as a whole: its own path decides what is imported.
+
+    A directory without a type, or of a type without settings, imports nothing. One of a summary
+    type imports all summary records of the type (``summaries`` without any: nothing), whatever
+    files there are. Any other imports those of ``files`` that lie below it, each by its own path.
+    """
+    spark = store_rows.sparkSession
+    place = spark.createDataFrame([(directory,)], "path string")
+    settled = route_knowledge_type(place, rules).join(config, "knowledge_type").head()
+    by_summary = settled is not None and settled["vector_field"] == BY_SUMMARY
+    if settled is None or (by_summary and summaries is None):
+        nothing = spark.createDataFrame([], "source_file string, knowledge_type string, content string")
+        return ImportJob(store_rows, _ledger(nothing.withColumn("embedding", F.array().cast("array<float>"))))
+    if by_summary:
+        return import_summaries(store_rows, summaries, settled["knowledge_type"], encoder, created_at)
+    below = files.where(F.col("path").startswith(directory.rstrip("/") + "/"))
+    return import_directory(store_rows, below, rules, config, summaries, encoder, created_at)
+
+
 def import_file(
     store_rows: DataFrame,
     path: str,
@@ -299,12 +328,16 @@ def summary_index_search(
     encoder: EncoderFactory = HashEncoder,
     k: int = 5,
     min_score: float = 0.0,
+    classes: str | None = None,
 ) -> DataFrame:
-    """Titled hits of one type with 150 characters of summary."""
+    """Titled hits of one type with 150 characters of summary.
+
+    ``classes`` names an array column of the store; up to three of its entries are shown.
+    """
     embedded = filter_embedded(embed_text(search.query_input(queries), encoder, "query"))
     rows = store_rows.where(F.col("knowledge_type") == knowledge_type)
     hits = search.store_search(rows, embedded, k, min_score)
-    return search.search_titled(hits, rows, summary_chars=150)
+    return search.search_titled(hits, rows, summary_chars=150, classes=classes)
 
 
 def summary_index_stats(

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,7 +51,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if (paths := _temporary.get()) is not None:
+        paths.append(path)
+    return path
+
+
+_temporary: ContextVar[list[str] | None] = ContextVar("temporary", default=None)
+
+
+@contextmanager
+def temporary_steps(spark: SparkSession) -> Iterator[None]:
+    """Delete the steps written inside the block at its end, whether it fails or not.
+
+    For jobs that have stored their results by then, as a micro-batch has: nothing that is read from
+    a step may be used afterwards.
+    """
+    token = _temporary.set([])
+    try:
+        yield
+    finally:
+        paths = _temporary.get()
+        _temporary.reset(token)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def lookup_table(df: DataFrame) -> DataFrame:
@@ -65,8 +92,8 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The result no longer depends on its lineage: lost executors cannot change or undo it, and
-    readers see file sizes and read only the columns they need. The folder's owner removes old
-    steps.
+    readers see file sizes and read only the columns they need. ``temporary_steps`` removes the steps
+    of a job that has ended; others stay until the folder's owner removes them.
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)

@@ -12,6 +12,7 @@ from vectorloom import settings
 from vectorloom.operators.embedding import HashEncoder
 from vectorloom.operators.store import live_rows
 from vectorloom.plans.pipelines import EncoderFactory, import_directory
+from vectorloom.session import temporary_steps
 from vectorloom.sources.snapshots import append_store, merge_deltas, read_store
 
 _FILE_SCHEMA = T.StructType(
@@ -47,8 +48,9 @@ def stream_upsert(
     """
 
     def commit(batch: DataFrame, _: int) -> None:
-        append_store(live_rows(batch), root)
-        merge_deltas(batch.sparkSession, root)
+        with temporary_steps(batch.sparkSession):
+            append_store(live_rows(batch), root)
+            merge_deltas(batch.sparkSession, root)
 
     return _start(rows, commit, checkpoint, continuous)
 
@@ -86,10 +88,11 @@ def stream_import(
 
     def commit(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        job = import_directory(read_store(spark, root), batch, rules, config, summaries, encoder)
-        append_store(job.added, root)
-        merge_deltas(spark, root)
-        job.ledger.write.mode("overwrite").parquet(f"{ledger_path}/batch={number}")
+        with temporary_steps(spark):
+            job = import_directory(read_store(spark, root), batch, rules, config, summaries, encoder)
+            append_store(job.added, root)
+            merge_deltas(spark, root)
+            job.ledger.write.mode("overwrite").parquet(f"{ledger_path}/batch={number}")
 
     return _start(files, commit, checkpoint, continuous)
 

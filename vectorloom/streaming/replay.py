@@ -10,6 +10,10 @@ from vectorloom.operators.store import fold_changes
 from vectorloom.streaming.ingest import commit_policy
 
 
+# State store of Spark that keeps the keys on disk.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def stream_replay(
     log: DataFrame,
     path: str,
@@ -21,9 +25,10 @@ def stream_replay(
     """Fold a change stream ``(key, seq, op)`` and write the keys that changed.
 
     The fold is a native streaming aggregate: changes are combined map-side, the state store keeps
-    the last operations per key. Each micro-batch replaces its own folder, so a repeated one does
-    no harm.
+    the last operations per key, outside the JVM heap. Each micro-batch replaces its own folder, so a
+    repeated one does no harm.
     """
+    log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
     def commit(batch: DataFrame, number: int) -> None:
         changed = batch.withColumn("batch", F.lit(number))
