@@ -113,3 +113,27 @@ def test_file_names(spark):
     nothing = F.lit(None).cast("string")
     assert _one(spark, forms.form_filename(F.lit('a/b:"c'), F.lit("甲|乙"), F.lit(0), "p_")) == "p_a_b__c_甲_乙.md"
     assert _one(spark, forms.form_filename(nothing, nothing, F.lit(7))) == "unknown_7_未命名.md"
+
+
+def test_form_job_writes_documents_and_lists_failures(spark):
+    from vectorloom.operators.store import as_store_rows
+    from vectorloom.plans import pipelines
+    from vectorloom.session import scratch_path
+
+    fields = "position int, FK_NYLQ_NUMBER string, FK_NYLQ_NAME string, FK_NYLQ_STRUCTURE_TAG string, "
+    records = spark.createDataFrame(
+        [(0, "1", "a", "first", None, None), (1, "1", "a", "second", None, None),
+         (2, "2", "b", None, None, None), (3, "1", "a", None, None, None)],
+        fields + "form_id string, form_name string",
+    )
+    rules = spark.createDataFrame([("forms/", "form", 1)], "pattern string, knowledge_type string, priority int")
+    config = spark.createDataFrame([("form", "file_name")], "knowledge_type string, vector_field string")
+    empty = as_store_rows(spark.createDataFrame([], "chunk_id string"))
+    target = scratch_path(spark, "forms")
+    job = pipelines.form_etl(empty, records, "forms", rules, config, F.lit("now"), path=target)
+    written = spark.read.parquet(target).collect()
+    assert [row["filename"] for row in written] == ["1_a.md"]
+    assert "second" in written[0]["md"] and "AI_GENERATED" not in written[0]["md"]
+    assert [row["chunk_id"] for row in job.rows.collect()] == ["1_a"]
+    ledger = sorted((row["file_path"], row["status"]) for row in job.ledger.collect())
+    assert ledger == [("forms/1_a.md", "completed"), ("forms/1_a.md", "failed"), ("forms/2_b.md", "failed")]

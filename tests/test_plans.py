@@ -107,3 +107,30 @@ def test_null_groups_are_numbered(spark):
         [(None, 1, 0), (None, 2, 1), ("a", 1, 0), ("a", 2, 1)], key=str
     )
     assert numbered.columns == ["g", "n", "position"]
+
+
+def test_native_encoder_does_not_shuffle(spark, folder):
+    documents = table(spark, folder, "documents")
+    assert "Exchange" not in plan(embedding.hash_encode(documents, "doc_id", "text"))
+
+
+def test_texts_are_folded_by_hash_and_null_texts_spread(spark):
+    rows = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, "a")], "id long, content string")
+    embedded = embedding.embed_distinct(rows)
+    vectors = {r["id"]: r["embedding"] for r in embedded.collect()}
+    assert vectors[1] is None and vectors[2] is None and vectors[3] == vectors[4] is not None
+    assert embedded.columns == ["id", "content", "embedding"]
+
+
+def test_steps_of_an_ended_job_are_deleted(spark):
+    import pathlib
+
+    from vectorloom.session import materialise, temporary_steps
+
+    with temporary_steps(spark):
+        step = scratch_path(spark, "gone")
+        spark.range(3).write.parquet(step)
+        materialise(spark.range(2)).count()
+    kept = scratch_path(spark, "kept")
+    spark.range(3).write.parquet(kept)
+    assert not pathlib.Path(step).exists() and pathlib.Path(kept).exists()

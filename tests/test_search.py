@@ -215,3 +215,40 @@ def test_rows_without_a_type_are_found(spark):
         ]
     hits = search.store_search(stored, wanted, 2)
     assert search.hit_projection(hits, stored).count() == 2
+
+
+def test_a_query_without_hits_is_answered(spark):
+    rows = spark.createDataFrame(
+        [(0, 1, "表单A", "t", "说明", 0.876)],
+        "query_idx long, rank int, name string, knowledge_type string, description string, relevance_score double",
+    )
+    asked = spark.createDataFrame([(0,), (1,), (1,)], "query_idx long")
+    answers = {r["query_idx"]: r["answer"] for r in search.assemble_answer(rows, queries=asked).collect()}
+    assert answers[1] == search.NO_ANSWER and answers[0].endswith("相关度: 88%*")
+    assert search.assemble_answer(rows.limit(0), queries=asked).count() == 2
+
+
+def test_null_vectors_get_no_cell_and_no_code(spark):
+    rows = spark.createDataFrame(
+        [("a", [1.0, 0.0]), ("b", None), ("c", [0.0, 0.0]), ("d", [0.1, 2.0])],
+        "chunk_id string, embedding array<float>",
+    ).repartition(1)
+    cells = spark.createDataFrame([(5, [0.0, 1.0]), (3, [1.0, 0.0])], "cell int, centroid array<double>")
+    found = {r["chunk_id"]: r["cell"] for r in ann.ivf_assign(rows, cells).collect()}
+    assert found == {"a": 3, "b": None, "c": 3, "d": 5}
+    book = spark.createDataFrame(
+        [(1, 1, [1.0]), (1, 0, [0.0]), (0, 0, [0.0]), (0, 1, [1.0])],
+        "sub int, code int, centroid array<double>",
+    )
+    codes = {r["chunk_id"]: r["codes"] for r in ann.pq_encode(rows, book).collect()}
+    assert codes == {"a": [1, 0], "b": None, "c": [0, 0], "d": [0, 1]}
+    only_null = rows.where("embedding is null")
+    assert [r["cell"] for r in ann.ivf_assign(only_null, cells).collect()] == [None]
+    assert [r["codes"] for r in ann.pq_encode(only_null, book).collect()] == [None]
+
+
+def test_a_large_model_table_is_refused(spark, monkeypatch):
+    cells = spark.createDataFrame([(0, [0.0, 1.0])], "cell int, centroid array<double>")
+    monkeypatch.setattr(ann, "MAX_MODEL_BYTES", 15)
+    with pytest.raises(ValueError, match="not small"):
+        ann.ivf_assign(spark.createDataFrame([], "embedding array<float>"), cells)

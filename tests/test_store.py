@@ -215,3 +215,12 @@ def test_two_writers_of_one_type(spark, base):
     finally:
         snapshots._stage = staged
     assert "x" in state(snapshots.read_store(spark, root))
+
+
+def test_large_sequence_numbers_are_folded(spark):
+    log = spark.createDataFrame(
+        [("a", 2**62, "upsert"), ("a", 2**62 + 1, "soft"), ("b", 2**63 - 2, "upsert"), ("b", 2**63 - 1, "hard")],
+        "chunk_id string, seq long, op string",
+    )
+    folded = {r["chunk_id"]: (r["present"], r["deleted"]) for r in store.fold_changes(log).collect()}
+    assert folded == {"a": (True, True), "b": (False, False)}
