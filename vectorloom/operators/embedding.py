@@ -143,7 +143,10 @@ def hash_encode(df: DataFrame, key: str, text: str = "content", dim: int = 64) -
 
     vector = _once(_once(marked, counts), l2_normalize).cast("array<float>")
     spoken = F.col(text).rlike(TOKEN)
-    return df.where(spoken).select(key, vector.alias("embedding"))
+    # Always true, but not a deterministic expression: as in ``run_once``, filters on the result
+    # cannot be moved below it, where they would build the vector again.
+    once = F.monotonically_increasing_id() >= 0
+    return df.where(spoken).select(key, F.when(once, vector).alias("embedding"))
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
