@@ -24,3 +24,31 @@ def test_near_duplicate_stage_leaves_one_of_a_group(spark, folder):
     groups = {r["id"]: r["component"] for r in simhash.near_groups(docs).collect()}
     kept = {r["doc_id"] for r in pipeline.near_duplicates(spark, docs, folder).collect()}
     assert kept == {i for i, c in groups.items() if i == c}
+
+
+def test_one_row_of_repeated_and_nameless_copies_stays(spark, folder):
+    long = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"term{i}" for i in range(60))
+    rows = [(1, long), (1, long), (4, long), (None, other), (None, other), (7, "something else"), (None, "alone")]
+    docs = spark.createDataFrame(
+        [(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"
+    )
+    kept = pipeline.near_duplicates(spark, docs.repartition(3), folder)
+    found = sorted(((r["doc_id"] or 0, r["text"]) for r in kept.collect()))
+    assert found == sorted([(1, long), (0, other), (7, "something else"), (0, "alone")])
+    passed = pipeline.repeated_passages(spark, pipeline.materialise(kept, "test"), folder)
+    assert {long, other} <= {r["text"] for r in passed.collect()}
+
+
+def test_quality_stage_judges_rows(spark, tmp_path):
+    good = ["the quick brown fox runs over the old stone bridge and the river " * 4] * 30
+    junk = "zzqx kkvw pprt jjhh wwqq xxzz vvbb nnmm ggff ddss " * 6
+    rows = [(i, text) for i, text in enumerate(good)] + [(3, junk), (None, junk), (None, good[0])]
+    docs = spark.createDataFrame(
+        [(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"
+    )
+    labels = [(i, 1, 0) for i in range(30) if i != 3]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = pipeline.quality(spark, docs, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == list(range(30))
+    assert [r["text"] for r in kept if r["doc_id"] is None] == [good[0]]

@@ -431,8 +431,16 @@ def _with_limits(
     return _by_lang(rows, limits).withColumn("limit", F.coalesce("limit", F.lit(for_all)))
 
 
-def keep_good(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Documents that are not rejected."""
+def keep_good(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Documents that are not rejected. ``verdicts`` name them by ``id_col``: where ids repeat or are null,
+    judge and name rows by a row key (``labels_by_row``)."""
     bad = verdicts.where("rejected").select(F.col("doc_id").alias("_bad_id"))
     bad = materialise(bad.where("_bad_id is not null").distinct(), "rejected")
-    return docs.join(bad, docs["doc_id"] == bad["_bad_id"], "left_anti")
+    return docs.join(bad, docs[id_col] == bad["_bad_id"], "left_anti")
+
+
+def labels_by_row(docs: DataFrame, labels: DataFrame, row_col: str) -> DataFrame:
+    """Labels of documents as labels of their rows: ``doc_id`` is the row key."""
+    known = materialise(labels.select("doc_id", "quality", "toxic").distinct(), "labels")
+    rows = docs.select("doc_id", F.col(row_col).alias("_row")).where("doc_id is not null")
+    return rows.join(known, "doc_id").select(F.col("_row").alias("doc_id"), "quality", "toxic")

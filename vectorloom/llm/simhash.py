@@ -293,3 +293,19 @@ def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> Da
     gone = groups.where("id <> component").select("id").distinct().join(heads, "id", "left_anti")
     gone = materialise(gone.withColumnRenamed("id", "_gone_id"), "gone")
     return docs.join(gone, docs[id_col] == gone["_gone_id"], "left_anti")
+
+
+def keep_one(docs: DataFrame, groups: DataFrame, row_col: str, id_col: str = "doc_id") -> DataFrame:
+    """One row of each group: that of the smallest id (null is the largest), then of the smallest row key.
+
+    ``groups`` has ``(id, component)`` by ``row_col``, which must be unique and written with ``docs``.
+    """
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("name"), F.col(row_col).alias("_row"))
+    rows = docs.select(F.col(row_col).alias("_key"), order.alias("order"))
+    grouped = groups.select(F.col("id").alias("_key"), "component")
+    rows = materialise(grouped.join(rows, "_key"), "rows")
+    heads = rows.groupBy("component").agg(F.min("order").alias("head"), F.count("*").alias("n"))
+    heads = materialise(heads.where("n > 1").select("component", F.col("head._row").alias("head")), "heads")
+    gone = rows.join(heads, "component").where("_key <> head").select(F.col("_key").alias("_gone_key"))
+    gone = materialise(gone, "gone")
+    return docs.join(gone, docs[row_col] == gone["_gone_key"], "left_anti")

@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", name: str = "vectorloom", **conf: str) -> SparkSession:
@@ -98,3 +99,8 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def with_row_key(df: DataFrame, name: str = "_row_key") -> DataFrame:
+    """``df`` with a key of each row, written once, so that every later read finds the same keys."""
+    return materialise(df.withColumn(name, F.monotonically_increasing_id()), "rows")
