@@ -1,7 +1,13 @@
 """The pipeline's stages on small documents."""
 
+import collections
+import itertools
+import random
+
 import corpus_pipeline as pipeline
-from vectorloom.llm import decontaminate, simhash
+import pytest
+
+from vectorloom.llm import decontaminate, jaccard, simhash
 
 
 def test_stages_keep_their_contract(spark, folder):
@@ -52,3 +58,46 @@ def test_quality_stage_judges_rows(spark, tmp_path):
     kept = pipeline.quality(spark, docs, str(tmp_path)).collect()
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == list(range(30))
     assert [r["text"] for r in kept if r["doc_id"] is None] == [good[0]]
+
+
+@pytest.mark.parametrize("block_rows", [512, 4])
+def test_similar_groups_equal_brute_force(spark, block_rows):
+    draw = random.Random(5)
+    texts = [None, "", "One two", "one  TWO", "a b c d e"]
+    for size in (8, 40, 120, 300):
+        base = [f"w{draw.randrange(5000)}" for _ in range(size)]
+        for changes in (0, 0, 1, 1, 2, 3, 4, 5, 6, 8, 12):
+            copy = list(base)
+            for _ in range(changes):
+                copy[draw.randrange(size)] = f"x{draw.randrange(5000)}"
+            texts.append(" ".join(copy))
+    split = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set() for w in split]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            parent[root(a)] = root(b)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    wanted, found = collections.defaultdict(set), collections.defaultdict(set)
+    for i in range(len(texts)):
+        wanted[root(i)].add(i)
+    for row in jaccard.similar_groups(docs, block_rows=block_rows).collect():
+        found[row["component"]].add(row["id"])
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, wanted.values()))
+
+
+def test_near_duplicate_stage_takes_similarity_of_four_fifths(spark, folder):
+    words = [f"w{i}" for i in range(100)]
+    near = " ".join([*words[:50], "other", *words[51:]])  # 91 of 101 shingles are shared
+    far = " ".join([*words[:20], "x", *words[21:50], "y", *words[51:80], "z", *words[81:]])
+    rows = [(1, " ".join(words)), (2, near), (3, far)]
+    docs = spark.createDataFrame(
+        [(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"
+    )
+    assert sorted(r["doc_id"] for r in pipeline.near_duplicates(spark, docs, folder).collect()) == [1, 3]
