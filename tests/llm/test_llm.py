@@ -523,3 +523,20 @@ def test_packing_keeps_bounds_and_conflicts(spark):
         assert len(said) == len(set(said))
         assert sorted(r["position"] for r in members) == list(range(len(members)))
     assert packing.pack_documents(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("lang", ["xx", None])
+def test_language_of_one_trusted_document_keeps_its_prose(spark, lang):
+    draw = random.Random(11)
+
+    def prose(prefix, size):
+        return " ".join(f"{prefix}{draw.randrange(40)}" for _ in range(size))
+
+    texts = [prose("e", draw.randrange(30, 200)) for _ in range(150)] + [prose("x", 80) for _ in range(12)]
+    docs = make_docs(spark, texts, ["en"] * 150 + [lang] * 12)
+    labels = spark.createDataFrame(
+        [(i, 1, 0) for i in [*range(120), 150]], "doc_id long, quality int, toxic int"
+    )
+    rare = perplexity.classify(docs, labels).where("doc_id >= 150").collect()
+    assert [r["doc_id"] for r in rare if r["rejected"]] == []
+    assert len({r["perplexity"] for r in rare}) > 1

@@ -14,7 +14,9 @@ count before it is scored, so trusted and other documents are judged alike.
 A document is rejected if its log-perplexity exceeds its language's threshold: the ``QUANTILE`` of trusted
 documents of that language, moved away from their median by the factor ``MARGIN``. Short documents have
 uncertain means, so the mean log-probability is taken over ``PRIOR_WORDS`` more words that cost what the
-language's median word costs.
+language's median word costs. A quantile needs documents: of a language with ``n`` trusted ones, fewer than
+``ENOUGH``, the distance from the median to the threshold is ``n / ENOUGH`` parts its own and for the rest that
+of all trusted documents, each measured from its own language's median.
 
 Defined results: a document without words has no perplexity and is kept; a null language is a group of its own;
 a language without trusted documents takes the threshold of all; without any trusted document nothing is rejected;
@@ -43,6 +45,8 @@ SHARD_CHARS = 48_000_000
 QUANTILE = 0.99
 MARGIN = 1.25
 PRIOR_WORDS = 20
+# Trusted documents of a language from which its own quantile is taken as it is.
+ENOUGH = 100
 # Trusted ids are broadcast up to this many; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 UNKNOWN, START, FIRST = 0, 1, 2
@@ -424,9 +428,17 @@ def _with_limits(
 ) -> DataFrame:
     rows = _by_lang(scored, medians).withColumn("median", F.coalesce("median", F.lit(whole)))
     trusted = rows.where("trusted and n_words > 0").withColumn("smooth", _smooth(prior_words))
-    ends = [F.percentile_approx("smooth", share, 10_000) for share in (0.5, quantile)]
-    limit = ends[0] + (ends[1] - ends[0]) * margin
-    for_all = trusted.agg(limit).first()[0]
+    trusted = trusted.withColumn("apart", F.col("smooth") - F.col("median"))
+
+    def ends(column: str) -> tuple:
+        middle, end = (F.percentile_approx(column, share, 10_000) for share in (0.5, quantile))
+        return middle, (end - middle) * margin
+
+    middle, spread = ends("smooth")
+    apart = ends("apart")[1]
+    for_all, reach = trusted.agg(middle + spread, apart).first()
+    own = F.least(F.count("*") / ENOUGH, F.lit(1.0))
+    limit = middle + own * spread + (1 - own) * reach
     limits = materialise(trusted.groupBy("lang").agg(limit.alias("limit")), "limits")
     return _by_lang(rows, limits).withColumn("limit", F.coalesce("limit", F.lit(for_all)))
 
