@@ -8,6 +8,7 @@ import corpus_pipeline as pipeline
 import pytest
 
 from vectorloom.llm import decontaminate, jaccard, simhash
+from vectorloom.session import with_row_key
 
 
 def test_stages_keep_their_contract(spark, folder):
@@ -101,3 +102,13 @@ def test_near_duplicate_stage_takes_similarity_of_four_fifths(spark, folder):
         [(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"
     )
     assert sorted(r["doc_id"] for r in pipeline.near_duplicates(spark, docs, folder).collect()) == [1, 3]
+
+
+def test_row_keys_of_stored_rows_need_no_copy(spark, tmp_path):
+    spark.range(0, 5000, 1, 7).selectExpr("id % 3 as doc_id", "id as at").write.parquet(f"{tmp_path}/rows")
+    stored = with_row_key(spark.read.parquet(f"{tmp_path}/rows"))
+    other = with_row_key(spark.range(0, 5000, 1, 7).selectExpr("id % 3 as doc_id", "id as at"))
+    for keyed in (stored, other):
+        first = {r["_row_key"]: r["at"] for r in keyed.collect()}
+        assert len(first) == 5000
+        assert {r["_row_key"]: r["at"] for r in keyed.where("at % 2 = 0").repartition(3).collect()}.items() <= first.items()
