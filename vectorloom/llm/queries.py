@@ -11,7 +11,10 @@ from vectorloom.llm import (
     chat,
     decontaminate,
     licenses,
+    native,
+    ordermin,
     packing,
+    periods,
     perplexity,
     pivots,
     sharding,
@@ -308,3 +311,141 @@ def op1_perplexity(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_packing")
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
+
+
+# CRC-32 of the bytes of {0}, by the table t.
+_CRC32 = (
+    "xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(hex(encode({0}))), 2), "
+    "lambda i: ('0x' || substr(hex(encode({0})), i, 2))::BIGINT), "
+    "lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+)
+_CRC_TABLE = """
+    crc_table AS (
+      SELECT list(v ORDER BY b) AS t FROM (
+        SELECT b, list_reduce([b] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda c, z:
+          CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+        FROM (SELECT unnest(range(0, 256))::BIGINT AS b)))"""
+
+
+_FACTORS = [(ordermin.GOLDEN * (2 * n + 1)) % (1 << 28) | 1 for n in range(3)]
+
+
+@query(
+    "op12_ordermin",
+    f"""
+    WITH {_CRC_TABLE},
+    base AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    following AS (
+      SELECT doc_id, text, length(text) // 2 AS half,
+             coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS next_text,
+             coalesce(lead(doc_id) OVER (ORDER BY doc_id), first_value(doc_id) OVER (ORDER BY doc_id)) AS next_id
+      FROM base),
+    edits AS (
+      SELECT *, substr(text, 1, length(text) - half) || substr(next_text, 1, half) AS edited FROM following),
+    texts AS (SELECT doc_id, 'o' AS kind, text FROM edits UNION ALL SELECT doc_id, 'e', edited FROM edits),
+    words AS (SELECT doc_id, kind, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM texts),
+    sizes AS (SELECT *, greatest(len(w) - 3, 0) + 1 AS n, length(bin(greatest(len(w) - 3, 0) + 1)) AS b
+              FROM words WHERE len(w) > 0),
+    checked AS (
+      SELECT word, {_CRC32.format("word")} AS c
+      FROM (SELECT DISTINCT unnest(w) AS word FROM sizes), crc_table),
+    flat AS (
+      SELECT doc_id, kind, n, b, pos, coalesce(c, 0) AS c0,
+             coalesce(lead(c, 1) OVER (PARTITION BY doc_id, kind ORDER BY pos), 0) AS c1,
+             coalesce(lead(c, 2) OVER (PARTITION BY doc_id, kind ORDER BY pos), 0) AS c2
+      FROM (SELECT doc_id, kind, n, b, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM sizes)
+      JOIN checked USING (word)),
+    kmers AS (
+      SELECT doc_id, kind, n, b, pos,
+             (c0 * {_FACTORS[0]} + c1 * {_FACTORS[1]} + c2 * {_FACTORS[2]}) & {(1 << 60) - 1} AS h
+      FROM flat WHERE pos <= n),
+    numbered AS (
+      SELECT *, row_number() OVER (PARTITION BY doc_id, kind, h >> b ORDER BY pos) - 1 AS occ FROM kmers),
+    packed AS (
+      SELECT *, ((((h + (((occ * {ordermin.GOLDEN}) & {(1 << 30) - 1}) << 30)) & {(1 << 60) - 1}) >> b) << b) | pos AS p
+      FROM numbered),
+    ranked AS (
+      SELECT *, (p >> 54)::INTEGER AS part, row_number() OVER (PARTITION BY doc_id, kind ORDER BY p) - 1 AS r
+      FROM packed),
+    firsts AS (SELECT doc_id, kind, part, min(r) AS r FROM ranked GROUP BY ALL),
+    begins AS (
+      SELECT doc_id, kind, n, g.part, coalesce(min(r) OVER (
+        PARTITION BY doc_id, kind ORDER BY g.part ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS r
+      FROM (SELECT doc_id, kind, n, unnest(range(0, 64)) AS part FROM sizes) g
+      LEFT JOIN firsts USING (doc_id, kind, part)),
+    pairs AS (
+      SELECT doc_id, kind, begins.part AS part,
+             CASE WHEN x.pos <= y.pos THEN x.h || ',' || y.h ELSE y.h || ',' || x.h END AS chosen
+      FROM begins JOIN ranked x USING (doc_id, kind, r)
+      JOIN ranked y ON y.doc_id = begins.doc_id AND y.kind = begins.kind AND y.r = (begins.r + 1) % begins.n),
+    prints AS (
+      SELECT doc_id, kind, string_agg(substr(md5(chosen), 1, 4), '' ORDER BY part) AS fp FROM pairs GROUP BY ALL),
+    whole AS (
+      SELECT e.*, coalesce(o.fp, repeat('0', 256)) AS fingerprint, coalesce(d.fp, repeat('0', 256)) AS edited_fingerprint,
+             coalesce(x.fp, repeat('0', 256)) AS next_fingerprint
+      FROM edits e LEFT JOIN prints o ON o.doc_id = e.doc_id AND o.kind = 'o'
+      LEFT JOIN prints d ON d.doc_id = e.doc_id AND d.kind = 'e'
+      LEFT JOIN prints x ON x.doc_id = e.next_id AND x.kind = 'o')
+    SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint,
+           len(list_filter(range(0, 64), lambda j: substr(fingerprint, 4 * j + 1, 4)
+             = substr(edited_fingerprint, 4 * j + 1, 4))) / 64 AS near_edited,
+           len(list_filter(range(0, 64), lambda j: substr(fingerprint, 4 * j + 1, 4)
+             = substr(next_fingerprint, 4 * j + 1, 4))) / 64 AS near_next
+    FROM whole
+    """,
+)
+def op12_ordermin(spark: SparkSession, folder: str) -> DataFrame:
+    compared = ordermin.edited_fingerprints(table(spark, folder, "documents"))
+    return compared.select(
+        "doc_id",
+        F.length("text").cast("bigint").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
+
+
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """Documents of op13: those whose id has a checksum divisible by ten repeat some of their words."""
+    check = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(check / 10)
+
+    def repeated(words):
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (F.floor((n - a) / (F.lit(3) + g % 8)) + 1).cast("int")
+
+        def changed(place):
+            def word(i):
+                return F.get(words, F.when(i < place["a"], i).otherwise(place["a"] + (i - place["a"]) % place["p"]))
+
+            return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), word), " ")
+
+        return F.when(n > 0, native.bound(F.struct(a.alias("a"), p.alias("p")), changed)).otherwise("")
+
+    whole = native.bound(native.spaced_words("text"), repeated)
+    text = F.when((check % 10 == 0) & F.col("text").isNotNull(), whole).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+@query("op13_periods")
+def op13_periods(spark: SparkSession, folder: str) -> DataFrame:
+    marked = periods.mark_runs(planted_repeats(table(spark, folder, "documents")))
+    line = F.transform(
+        "_runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    )
+    # The least of these is the longest run, the earliest of such, the one of the smallest period of these.
+    ranked = F.transform("_runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p")))
+    best = F.array_min(ranked)
+    return marked.select("doc_id", F.size("_runs").cast("bigint").alias("n_runs"), best.alias("best"), line.alias("line"), "_collapsed").select(
+        "doc_id",
+        "n_runs",
+        F.col("best.s").alias("start"),
+        (-F.col("best.l")).alias("length"),
+        F.col("best.p").alias("period"),
+        F.floor(-F.col("best.l") * 1000 / F.col("best.p")).cast("bigint").alias("exponent_milli"),
+        F.sha2(F.array_join("line", ""), 256).alias("runs_sha256"),
+        F.sha2("_collapsed", 256).alias("collapsed_sha256"),
+    )
