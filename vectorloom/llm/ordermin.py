@@ -158,15 +158,13 @@ def likeness(left: str, right: str, parts: int = PARTS) -> Column:
 
 
 def successors(rows: DataFrame, order: str, row: str, length: str) -> DataFrame:
-    """``(row, next_row, ask)``: the next row by ``order`` and half the length; the first follows the last."""
+    """``(asker, order, ask, row)``: every row, half its length and the next row; the first follows the last."""
     numbered = materialise(number_rows(rows, [], [order, row], "_position"), "numbered")
     count = F.lit(numbered.count())
-    after = numbered.select(
-        F.pmod(F.col("_position") - 1, count).alias("_position"), F.col(row).alias("next_row")
-    )
-    ask = F.floor(F.col(length) / 2).cast("bigint").alias("ask")
-    own = numbered.select("_position", F.col(row).alias("row"), ask)
-    return materialise(own.join(after, "_position").select("row", "next_row", "ask"), "successors")
+    after = numbered.select(F.pmod(F.col("_position") - 1, count).alias("_position"), row)
+    ask = F.floor(F.col(length) / 2).cast("int").alias("ask")
+    own = numbered.select("_position", F.col(row).alias("asker"), order, ask)
+    return materialise(own.join(after, "_position").drop("_position"), "successors")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,15 +176,13 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     narrow = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = with_row_key(narrow, "row")
     links = successors(rows.select("id", "row", F.length("text").alias("n")), "id", "row", "n")
-    marked = with_fingerprint(rows, "text", "fingerprint")
-    begins = (
-        marked.withColumnRenamed("row", "next_row")
-        .join(links, "next_row")
-        .select(
-            "row",
-            F.col("text").substr(F.lit(1), F.col("ask").cast("int")).alias("begin"),
-            F.col("fingerprint").alias("next_fingerprint"),
-        )
+    # Both joins read the same columns of this table, so they share one shuffle of the texts.
+    marked = with_fingerprint(rows.select("row", "text"), "text", "fingerprint")
+    begins = marked.join(links, "row").select(
+        F.col("asker").alias("row"),
+        "id",
+        F.col("text").substr(F.lit(1), F.col("ask")).alias("begin"),
+        F.col("fingerprint").alias("next_fingerprint"),
     )
     size = F.length("text")
     cut = F.col("text").substr(F.lit(1), size - F.floor(size / 2).cast("int"))

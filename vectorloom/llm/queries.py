@@ -17,6 +17,7 @@ from vectorloom.llm import (
     periods,
     perplexity,
     pivots,
+    ranked,
     sharding,
     simhash,
     substrings,
@@ -313,18 +314,13 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
-# CRC-32 of the bytes of {0}, by the table t.
+# CRC-32 of the bytes of {0}: every byte is added and followed by eight shifts (-1).
 _CRC32 = (
-    "xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(hex(encode({0}))), 2), "
-    "lambda i: ('0x' || substr(hex(encode({0})), i, 2))::BIGINT), "
-    "lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+    "xor(list_reduce([4294967295::BIGINT] || list_transform(range(0, 9 * (length(hex(encode({0}))) // 2)), "
+    "lambda i: CASE WHEN i % 9 = 0 THEN ('0x' || substr(hex(encode({0})), 1 + 2 * (i // 9), 2))::BIGINT ELSE -1 END), "
+    "lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), "
+    "4294967295)"
 )
-_CRC_TABLE = """
-    crc_table AS (
-      SELECT list(v ORDER BY b) AS t FROM (
-        SELECT b, list_reduce([b] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda c, z:
-          CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
-        FROM (SELECT unnest(range(0, 256))::BIGINT AS b)))"""
 
 
 _FACTORS = [(ordermin.GOLDEN * (2 * n + 1)) % (1 << 28) | 1 for n in range(3)]
@@ -333,8 +329,7 @@ _FACTORS = [(ordermin.GOLDEN * (2 * n + 1)) % (1 << 28) | 1 for n in range(3)]
 @query(
     "op12_ordermin",
     f"""
-    WITH {_CRC_TABLE},
-    base AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    WITH base AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
     following AS (
       SELECT doc_id, text, length(text) // 2 AS half,
              coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS next_text,
@@ -348,7 +343,7 @@ _FACTORS = [(ordermin.GOLDEN * (2 * n + 1)) % (1 << 28) | 1 for n in range(3)]
               FROM words WHERE len(w) > 0),
     checked AS (
       SELECT word, {_CRC32.format("word")} AS c
-      FROM (SELECT DISTINCT unnest(w) AS word FROM sizes), crc_table),
+      FROM (SELECT DISTINCT unnest(w) AS word FROM sizes)),
     flat AS (
       SELECT doc_id, kind, n, b, pos, coalesce(c, 0) AS c0,
              coalesce(lead(c, 1) OVER (PARTITION BY doc_id, kind ORDER BY pos), 0) AS c1,
@@ -364,8 +359,9 @@ _FACTORS = [(ordermin.GOLDEN * (2 * n + 1)) % (1 << 28) | 1 for n in range(3)]
     packed AS (
       SELECT *, ((((h + (((occ * {ordermin.GOLDEN}) & {(1 << 30) - 1}) << 30)) & {(1 << 60) - 1}) >> b) << b) | pos AS p
       FROM numbered),
-    ranked AS (
-      SELECT *, (p >> 54)::INTEGER AS part, row_number() OVER (PARTITION BY doc_id, kind ORDER BY p) - 1 AS r
+    ranked AS MATERIALIZED (
+      SELECT doc_id, kind, pos, h, (p >> 54)::INTEGER AS part,
+             row_number() OVER (PARTITION BY doc_id, kind ORDER BY p) - 1 AS r
       FROM packed),
     firsts AS (SELECT doc_id, kind, part, min(r) AS r FROM ranked GROUP BY ALL),
     begins AS (
@@ -373,11 +369,11 @@ _FACTORS = [(ordermin.GOLDEN * (2 * n + 1)) % (1 << 28) | 1 for n in range(3)]
         PARTITION BY doc_id, kind ORDER BY g.part ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS r
       FROM (SELECT doc_id, kind, n, unnest(range(0, 64)) AS part FROM sizes) g
       LEFT JOIN firsts USING (doc_id, kind, part)),
+    members AS MATERIALIZED (
+      SELECT doc_id, kind, part, r FROM begins UNION ALL SELECT doc_id, kind, part, (r + 1) % n FROM begins),
     pairs AS (
-      SELECT doc_id, kind, begins.part AS part,
-             CASE WHEN x.pos <= y.pos THEN x.h || ',' || y.h ELSE y.h || ',' || x.h END AS chosen
-      FROM begins JOIN ranked x USING (doc_id, kind, r)
-      JOIN ranked y ON y.doc_id = begins.doc_id AND y.kind = begins.kind AND y.r = (begins.r + 1) % begins.n),
+      SELECT doc_id, kind, m.part AS part, string_agg(h, ',' ORDER BY pos) AS chosen
+      FROM members m JOIN ranked USING (doc_id, kind, r) GROUP BY ALL),
     prints AS (
       SELECT doc_id, kind, string_agg(substr(md5(chosen), 1, 4), '' ORDER BY part) AS fp FROM pairs GROUP BY ALL),
     whole AS (
@@ -449,3 +445,36 @@ def op13_periods(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("line", ""), 256).alias("runs_sha256"),
         F.sha2("_collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+_TERMS = (
+    "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
+
+@query(
+    "op11_ranked",
+    f"""
+    WITH docs AS (
+      SELECT doc_id, w, len(w) AS n FROM (SELECT doc_id, {_TERMS.format("text")} AS w FROM documents) WHERE len(w) > 0),
+    totals AS (SELECT count(*)::BIGINT AS texts, sum(n)::BIGINT AS terms FROM docs),
+    asked AS (SELECT DISTINCT item_id, unnest({_TERMS.format("text")}) AS term FROM benchmark),
+    found AS (
+      SELECT doc_id, n, term, count(*) AS tf
+      FROM (SELECT doc_id, n, unnest(w) AS term FROM docs) SEMI JOIN asked USING (term) GROUP BY ALL),
+    weights AS (
+      SELECT term, floor(1000 * ln((2 * any_value(texts) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight
+      FROM found, totals GROUP BY term),
+    scored AS (
+      SELECT item_id, doc_id,
+             sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * texts) // terms))))::BIGINT AS score
+      FROM asked JOIN found USING (term) JOIN weights USING (term), totals GROUP BY ALL),
+    ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank
+      FROM scored WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
+)
+def op11_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.search_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
