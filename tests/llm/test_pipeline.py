@@ -3,14 +3,34 @@
 import collections
 import itertools
 import random
+import re
 
 import corpus_pipeline as pipeline
 import pytest
 
-from vectorloom.llm import decontaminate, jaccard, simhash
+from vectorloom.llm import decontaminate, jaccard
 from vectorloom.session import with_row_key
 
 
+def brute_groups(texts):
+    """The least key of the group of every text: links at Jaccard 0.8 of five-word shingles."""
+    lower = {c: c + 32 for c in range(65, 91)}
+    split = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)) for i, t in texts.items()}
+    sets = {i: {tuple(w[n : n + 5]) for n in range(max(len(w) - 4, 1))} if w else set() for i, w in split.items()}
+    parent = {i: i for i in texts}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(texts, 2):
+        if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            first, last = sorted((root(a), root(b)))
+            parent[last] = first
+    return {i: root(i) for i in texts}
+
+
 def test_stages_keep_their_contract(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     items = spark.read.parquet(f"{folder}/benchmark.parquet")
@@ -28,9 +48,9 @@ def test_stages_keep_their_contract(spark, folder):
 
 def test_near_duplicate_stage_leaves_one_of_a_group(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    groups = {r["id"]: r["component"] for r in simhash.near_groups(docs).collect()}
+    head = brute_groups({r["doc_id"]: r["text"] for r in docs.collect()})
     kept = {r["doc_id"] for r in pipeline.near_duplicates(spark, docs, folder).collect()}
-    assert kept == {i for i, c in groups.items() if i == c}
+    assert kept == {i for i, first in head.items() if i == first}
 
 
 def test_one_row_of_repeated_and_nameless_copies_stays(spark, folder):
@@ -72,22 +92,11 @@ def test_similar_groups_equal_brute_force(spark, block_rows):
             for _ in range(changes):
                 copy[draw.randrange(size)] = f"x{draw.randrange(5000)}"
             texts.append(" ".join(copy))
-    split = [(t or "").lower().split() for t in texts]
-    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set() for w in split]
-    parent = list(range(len(texts)))
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in itertools.combinations(range(len(texts)), 2):
-        if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-            parent[root(a)] = root(b)
+    heads = brute_groups(dict(enumerate(texts)))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     wanted, found = collections.defaultdict(set), collections.defaultdict(set)
-    for i in range(len(texts)):
-        wanted[root(i)].add(i)
+    for i, first in heads.items():
+        wanted[first].add(i)
     for row in jaccard.similar_groups(docs, block_rows=block_rows).collect():
         found[row["component"]].add(row["id"])
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, wanted.values()))
