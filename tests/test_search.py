@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vectorloom.operators import ann, search, store
+from vectorloom.operators import ann, knn, search, store
 from vectorloom.operators.knn import knn_exact
 from vectorloom.session import scratch_path
 
@@ -164,7 +164,7 @@ def test_codes(spark, data):
     assert as_dict(reranked) == as_dict(exact)
     centroids = ann.ivf_fit(rows, 6)
     both = ann.ivf_assign(encoded, centroids)
-    cells = ann.ivf_pq_search(both, centroids, book, wanted, 10, nprobe=6)
+    cells = ann.ivf_pq_search(both, centroids, book, wanted, 10, nprobe=6, residual=False)
     assert as_dict(cells) == as_dict(ann.pq_search(encoded, book, wanted, 10))
 
 
@@ -252,3 +252,116 @@ def test_a_large_model_table_is_refused(spark, monkeypatch):
     monkeypatch.setattr(ann, "MAX_MODEL_BYTES", 15)
     with pytest.raises(ValueError, match="not small"):
         ann.ivf_assign(spark.createDataFrame([], "embedding array<float>"), cells)
+
+
+def clustered(seed, rows, groups, spread):
+    """Vectors around some directions."""
+    draw = np.random.default_rng(seed)
+    directions = draw.normal(size=(groups, DIM))
+    return directions[draw.integers(0, groups, rows)] + spread * draw.normal(size=(rows, DIM))
+
+
+def test_residual_codes_recall_more_than_codes_of_whole_vectors(spark):
+    matrix = clustered(3, 3000, 24, 0.35)
+    rows, wanted = vectors(spark, matrix), queries(spark, matrix[:40] + 0.01)
+    exact = knn_exact(rows, wanted, 10)
+    centroids = ann.ivf_fit(rows, 24)
+    assigned = ann.ivf_assign(rows, centroids)
+    share = {}
+    for residual in (True, False):
+        origin = centroids if residual else None
+        book = ann.pq_fit(rows, DIM, m=4, nbits=5, centroids=origin)
+        coded = ann.pq_encode(assigned, book, origin)
+        found = ann.ivf_pq_search(coded, centroids, book, wanted, 10, nprobe=10, residual=residual)
+        share[residual] = ann.recall(found, exact).head()[0]
+        if residual:
+            better = ann.ivf_pq_search(coded, centroids, book, wanted, 10, nprobe=10, rerank=20)
+            assert ann.recall(better, exact).head()[0] >= 0.9
+    assert share[True] > share[False] + 0.05
+
+
+def test_recall_at_the_default_number_of_probes(spark):
+    matrix = clustered(5, 4000, 60, 0.5)
+    rows, wanted = vectors(spark, matrix), queries(spark, matrix[::100] * 1.1)
+    centroids = ann.ivf_fit(rows, 64)
+    found = ann.ivf_search(ann.ivf_assign(rows, centroids), centroids, wanted, 10)
+    assert ann.recall(found, knn_exact(rows, wanted, 10)).head()[0] >= 0.9
+
+
+def test_training_reads_a_bounded_sample(spark, monkeypatch):
+    monkeypatch.setattr(ann.settings, "TRAINING_ROWS_A_CENTER", 20)
+    rows = vectors(spark, clustered(7, 3000, 12, 0.1))
+    drawn = ann.training_sample(rows, 3000, 12, 42).count()
+    assert 120 < drawn < 400
+    assert ann.training_sample(rows, 3000, 200, 42) is rows
+    centroids = ann.ivf_fit(rows, 12)
+    total = ann.cell_distance(ann.ivf_assign(rows, centroids), centroids).agg(F.avg("distance")).head()[0]
+    alike = spark.createDataFrame([(0, matrix_mean(rows))], "cell int, centroid array<double>")
+    single = ann.cell_distance(ann.ivf_assign(rows, alike), alike).agg(F.avg("distance")).head()[0]
+    assert total < 0.5 * single
+
+
+def matrix_mean(rows):
+    matrix = np.array([r["embedding"] for r in rows.collect()])
+    return (matrix / np.linalg.norm(matrix, axis=1, keepdims=True)).mean(axis=0).tolist()
+
+
+def test_batches_added_equal_one_build(spark):
+    matrix = clustered(9, 1200, 8, 0.3)
+    rows = vectors(spark, matrix)
+    old, new = rows.where("chunk_id < 'c00800'"), rows.where("chunk_id >= 'c00800'")
+    path = scratch_path(spark, "index")
+    ann.reindex(old, path, DIM, ann.IndexPlan("ivf_pq", nlist=8, m=4, nbits=4))
+    for batch in ("first", "second", "second"):  # the last was repeated
+        part = new.where(f"(chunk_id < 'c01000') = {batch == 'first'}")
+        added = ann.add_to_index(part, path, batch)
+    index = ann.open_index(spark, path)
+    whole = ann.pq_encode(ann.ivf_assign(rows, index.centroids), index.book, index.centroids)
+    got = {r["chunk_id"]: (r["cell"], r["codes"]) for r in added.collect()}
+    assert got == {r["chunk_id"]: (r["cell"], r["codes"]) for r in whole.collect()} and len(got) == 1200
+    assert added.count() == 1200
+    assert not ann.training_due(ann.index_drift(added)).head()["due"]
+    strange = vectors(spark, np.random.default_rng(1).normal(size=(300, DIM))).withColumn("chunk_id", F.concat(F.lit("x"), "chunk_id"))
+    drifted = ann.training_due(ann.index_drift(ann.add_to_index(strange, path, "strange"))).head()
+    assert drifted["due"] and drifted["distance_ratio"] > 1.25
+    with pytest.raises(ValueError):
+        ann.add_to_index(new, path, ann.TRAINED)
+
+
+def test_blocks_of_queries_meet_only_vectors_of_their_cells(spark):
+    rows = vectors(spark, clustered(2, 900, 3, 0.2)).withColumn(
+        "_group", F.when(F.col("chunk_id") < "c00600", "hot").otherwise(F.substring("chunk_id", 6, 1))
+    )
+    asked = queries(spark, clustered(4, 90, 3, 0.2)).withColumn(
+        "_group", F.when(F.col("query_idx") < 50, "hot").otherwise((F.col("query_idx") % 3).cast("string"))
+    )
+    left, right = knn.dealt_blocks(rows, asked, 20, 100)
+    keys = ["_key", "_vector_block", "_query_block"]
+    sizes = left.groupBy(*keys).count()
+    assert sizes.where("count > 200").count() == 0 and sizes.where("_key = 'hot'").count() == 18
+    assert right.groupBy(*keys).count().where("count > 40").count() == 0
+    assert left.where("_key <> _group").count() == right.where("_key <> _group").count() == 0
+    pairs = left.select("chunk_id", "_group", *keys).join(
+        right.select("query_idx", F.col("_group").alias("_asked"), *keys), keys
+    )
+    wanted = rows.join(asked.select("query_idx", "_group"), "_group").count()
+    assert pairs.count() == pairs.distinct().count() == wanted
+    assert pairs.where("_group <> _asked").count() == 0
+    hits = knn.local_hits(rows, asked, 3, max_queries=20, block_rows=100).rows
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_queries_of_all_groups_beside_queries_of_one(spark):
+    rows = vectors(spark, clustered(2, 60, 3, 0.2)).withColumn("_group", F.substring("chunk_id", 6, 1))
+    asked = queries(spark, clustered(4, 6, 3, 0.2)).withColumn(
+        "_group", F.when(F.col("query_idx") < 3, knn.ALL).otherwise(F.lit("4"))
+    )
+    by = ["query_idx", "_group"]
+    few, many = (
+        sorted(map(tuple, knn.local_hits(rows, asked, 2, max_queries=n).ranked(2, by, knn.score_order()).collect()))
+        for n in (100, 2)
+    )
+    assert few == many
+    groups = {(q, g) for q, g, *_ in few}
+    assert groups == {(q, str(g)) for q in range(3) for g in range(10)} | {(q, "4") for q in range(3, 6)}

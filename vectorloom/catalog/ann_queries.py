@@ -217,7 +217,7 @@ def _(spark, folder):
 
 
 @query(
-    "ivf_pq_search",
+    "ivf_pq_search_whole",
     sql(
         _BEST_CODES.format(
             "(SELECT s.query_idx, s.chunk_id, s.score FROM code_scores s "
@@ -229,12 +229,210 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
+    # Codes of the vectors themselves.
     book, encoded = _encoded(spark, folder)
     cells = _label_cells(spark, folder)
     indexed = ann.ivf_assign(encoded, cells)
+    return ann.ivf_pq_search(
+        indexed, cells, book, label_queries(spark, folder), 10, nprobe=3, residual=False
+    )
+
+
+# Codes of residuals: what is left of a unit vector beside the centroid of its cell.
+cte(
+    "residual_codes",
+    """
+    SELECT chunk_id, cell, sub, code, centroid, rest, own FROM (
+      SELECT r.*, b.sub, b.code, b.centroid, row_number() OVER (
+               PARTITION BY r.chunk_id, b.sub ORDER BY round(list_distance(
+                 list_slice(r.rest, b.sub * 8 + 1, b.sub * 8 + 8), b.centroid), 9), b.code) AS n
+      FROM (SELECT a.chunk_id, a.cell, q.q AS own, list_transform(list_zip(list_transform(a.embedding::DOUBLE[],
+                     lambda x: x / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]))), q.q),
+                     lambda z: z[1] - z[2]) AS rest
+            FROM assigned a JOIN qv q ON q.query_idx = a.cell) r CROSS JOIN book b) WHERE n = 1
+    """,
+)
+
+
+@query(
+    "ivf_pq_search",
+    sql(
+        _BEST_CODES.format(
+            """(SELECT s.query_idx, c.chunk_id, round(any_value(list_inner_product(s.u, c.own)) + sum(
+                 list_inner_product(list_slice(s.u, c.sub * 8 + 1, c.sub * 8 + 8), c.centroid)), 12) + 0.0 AS score
+               FROM residual_codes c JOIN probes p USING (cell)
+               JOIN (SELECT query_idx, list_transform(q, lambda x: x / sqrt(list_inner_product(q, q))) AS u FROM qv) s
+                 USING (query_idx)
+               GROUP BY s.query_idx, c.chunk_id)"""
+        ),
+        "residual_codes",
+        "probes",
+    ),
+)
+def _(spark, folder):
+    cells = _label_cells(spark, folder)
+    book = _given_book(spark, folder)
+    indexed = ann.pq_encode(ann.ivf_assign(_vectors(spark, folder), cells), book, cells)
     return ann.ivf_pq_search(indexed, cells, book, label_queries(spark, folder), 10, nprobe=3)
 
 
+# Every vector asks as well, and looks into its best two cells.
+cte(
+    "vector_probes",
+    """
+    SELECT query_idx, cell, q FROM (
+      SELECT e.vec_id AS query_idx, c.query_idx AS cell, e.embedding::DOUBLE[] AS q, row_number() OVER (
+               PARTITION BY e.vec_id ORDER BY
+               round(list_cosine_similarity(e.embedding::DOUBLE[], c.q), 12) DESC, c.query_idx) AS n
+      FROM embeddings e CROSS JOIN qv c) WHERE n <= 2
+    """,
+)
+
+
+@query(
+    "ivf_search_many",
+    sql(
+        """
+        SELECT query_idx, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_idx ORDER BY score DESC, chunk_id) AS rank
+          FROM (SELECT p.query_idx, a.chunk_id,
+                round(list_cosine_similarity(a.embedding::DOUBLE[], p.q), 12) + 0.0 AS score
+                FROM assigned a JOIN vector_probes p USING (cell))) WHERE rank <= 5
+        """,
+        "assigned",
+        "vector_probes",
+    ),
+)
+def _(spark, folder):
+    # More queries than one broadcast may hold: blocks of them meet blocks of their cells' vectors.
+    cells = _label_cells(spark, folder)
+    indexed = ann.ivf_assign(_vectors(spark, folder), cells)
+    queries = table(spark, folder, "embeddings").select(F.col("vec_id").alias("query_idx"), "embedding")
+    found = ann.ivf_search(indexed, cells, queries, 5, nprobe=2, max_queries=100, block_rows=200)
+    return found.withColumn("score", F.round("score", 6))
+
+
+def _index_in_two_parts(spark, folder):
+    """Label cells, half of the vectors as the trained batch and the others added to it."""
+    path = scratch_path(spark, "index")
+    _label_cells(spark, folder).write.parquet(f"{path}/centroids")
+    _given_book(spark, folder).write.parquet(f"{path}/codebook")
+    cells, book = spark.read.parquet(f"{path}/centroids"), spark.read.parquet(f"{path}/codebook")
+    number = F.substring("chunk_id", 2, 20).cast("bigint")
+    vectors = _vectors(spark, folder)
+    ann._write_batch(vectors.where(number % 2 == 0), path, ann.TRAINED, cells, book)
+    return ann.add_to_index(vectors.where(number % 2 == 1), path, "added")
+
+
+cte(
+    "cell_distances",
+    """
+    SELECT a.chunk_id, a.vec_id, a.cell, list_distance(list_transform(a.embedding::DOUBLE[],
+             lambda x: x / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]))), q.q) ** 2 AS distance
+    FROM assigned a JOIN qv q ON q.query_idx = a.cell
+    """,
+)
+
+
+@query(
+    "index_add",
+    sql(
+        """
+        SELECT d.chunk_id, d.cell, CASE WHEN vec_id % 2 = 0 THEN 'trained' ELSE 'added' END AS batch,
+               round(any_value(distance), 6) AS distance, string_agg(code, ',' ORDER BY sub) AS codes
+        FROM cell_distances d JOIN residual_codes c USING (chunk_id) GROUP BY ALL
+        """,
+        "cell_distances",
+        "residual_codes",
+    ),
+)
+def _(spark, folder):
+    rows = _index_in_two_parts(spark, folder)
+    return rows.select(
+        "chunk_id",
+        "cell",
+        "batch",
+        F.round("distance", 6).alias("distance"),
+        F.concat_ws(",", F.col("codes").cast("array<string>")).alias("codes"),
+    )
+
+
+@query(
+    "index_drift",
+    sql(
+        """
+        SELECT cell, count(*) FILTER (vec_id % 2 = 0) AS trained_rows, count(*) FILTER (vec_id % 2 = 1) AS added_rows,
+               round(sum(distance) FILTER (vec_id % 2 = 0), 6) AS trained_distance,
+               round(sum(distance) FILTER (vec_id % 2 = 1), 6) AS added_distance
+        FROM cell_distances GROUP BY cell
+        """,
+        "cell_distances",
+    ),
+)
+def _(spark, folder):
+    drift = ann.index_drift(_index_in_two_parts(spark, folder))
+    rounded = {name: F.round(name, 6) for name in ("trained_distance", "added_distance")}
+    return drift.withColumns(rounded)
+
+
+def _recomputed(points, centers, chosen):
+    """Squared distance to the chosen of some constant centers, by built-in expressions."""
+    return -_closeness(points, F.get(centers, chosen))
+
+
+@query(
+    "ivf_training",
+    sql(
+        "SELECT count(*) AS vectors, round(sum(distance), 6) AS label_error, true AS checked, true AS beats_labels "
+        "FROM cell_distances",
+        "cell_distances",
+    ),
+)
+def _(spark, folder):
+    # Trained cells, a few more than labels: the reported error is that of a second computation, and
+    # smaller than the error of the given label cells. Cells that are all alike would fail.
+    vectors = _vectors(spark, folder)
+    labels = _label_cells(spark, folder)
+    given = ann.cell_distance(ann.ivf_assign(vectors, labels), labels).withColumnRenamed("distance", "given")
+    centroids = ann.ivf_fit(vectors, nlist=16)
+    centers = _constant([row["center"] for row in centroids.orderBy("cell").collect()])
+    both = ann.cell_distance(ann.ivf_assign(given.drop("cell"), centroids), centroids)
+    again = _recomputed(l2_normalize(F.col("embedding")), centers, F.col("cell"))
+    return both.agg(
+        F.count("*").alias("vectors"),
+        F.round(F.sum("given"), 6).alias("label_error"),
+        (F.abs(F.sum("distance") - F.sum(again)) < 1e-6).alias("checked"),
+        (F.sum("distance") < F.sum("given")).alias("beats_labels"),
+    )
+
+
+@query(
+    "pq_training",
+    sql(
+        "SELECT count(DISTINCT chunk_id) AS vectors, round(sum(list_distance(list_slice(rest, sub * 8 + 1, sub * 8 + 8), "
+        "centroid) ** 2), 6) AS label_error, true AS beats_labels, true AS residuals_beat_whole FROM residual_codes",
+        "residual_codes",
+    ),
+)
+def _(spark, folder):
+    # A trained book of residuals is better than the given one, and than a trained book of whole vectors.
+    cells, vectors = _label_cells(spark, folder), _vectors(spark, folder)
+    book = _given_book(spark, folder)
+    assigned = ann.ivf_assign(vectors, cells)
+    given = ann.code_distance(ann.pq_encode(assigned, book, cells), book, cells)
+    trained = ann.pq_fit(vectors, DIM, nbits=4, centroids=cells)
+    own = ann.code_distance(ann.pq_encode(assigned, trained, cells), trained, cells)
+    plain = ann.pq_fit(vectors, DIM, nbits=4)
+    whole = ann.code_distance(ann.pq_encode(vectors, plain), plain)
+    errors = [t.agg(F.count("*").alias(f"n{i}"), F.sum("distance").alias(f"e{i}")) for i, t in enumerate((given, own, whole))]
+    return errors[0].crossJoin(errors[1]).crossJoin(errors[2]).select(
+        F.col("n0").alias("vectors"),
+        F.round("e0", 6).alias("label_error"),
+        (F.col("e1") < F.col("e0")).alias("beats_labels"),
+        (F.col("e1") < F.col("e2")).alias("residuals_beat_whole"),
+    )
+
+
 @query("pq_search_recall", sql(_BEST_CODES.format("scored"), "scored"))
 def _(spark, folder):
     # Codes only choose whom to score again: if that is everybody, the result is the exact one.
@@ -266,6 +464,21 @@ def _(spark, folder):
     return ann.choose_index_table(sizes)
 
 
+@query(
+    "reindex_policy",
+    "SELECT CASE WHEN n < 1000 THEN 'flat' ELSE 'ivf_pq' END AS kind, n AS vectors, dim AS min_dim, dim AS max_dim, "
+    "(CASE WHEN n < 1000 THEN 0 ELSE 10 END)::BIGINT AS nlist "
+    "FROM (SELECT count(*) AS n, max(len(embedding))::INTEGER AS dim FROM embeddings)",
+)
+def _(spark, folder):
+    # The rows decide whether anything is trained.
+    vectors = _vectors(spark, folder)
+    plan = ann.choose_index(vectors.count(), "flags", use_ivf=True, use_pq=True, nlist=10, nbits=4)
+    plan, rows = ann.reindex(vectors, scratch_path(spark, "index"), DIM, plan)
+    cells = F.lit(plan.nlist).cast("bigint").alias("nlist")
+    return index_info(rows, plan.kind).select("kind", "vectors", "min_dim", "max_dim", cells)
+
+
 @query(
     "reindex",
     "SELECT 'ivf' AS kind, count(*) AS vectors, min(len(embedding))::INTEGER AS min_dim, "

@@ -2,9 +2,10 @@
 
 Every query has to meet every vector it may return, so the work is one matrix product per pair of
 blocks. No row pair is ever materialised: tasks stream Arrow batches of vectors against a block of
-queries, keep only the best k per query and emit those. Vectors are never moved: the query matrix is broadcast
-while it stays within ``QUERY_BROADCAST_ROWS`` and ``QUERY_BROADCAST_BYTES``. A larger query set is written
-once and cut into slices within these bounds, which are scored one after another in the same way.
+queries, keep only the best k per query and emit those. While the queries stay within ``QUERY_BROADCAST_ROWS``
+and ``QUERY_BROADCAST_BYTES`` their matrix is broadcast and vectors are not moved. A larger query set takes one
+job as well: queries and vectors are dealt to blocks of bounded size, and a block of vectors is grouped with every
+block of queries of its group, and with no other.
 
 Vectors and queries may carry a group (a type or an index cell); then a query meets only the
 vectors of its groups and k holds per (query, group). A query of the group ``ALL`` meets every
@@ -20,7 +21,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,8 +31,8 @@ from vectorloom.session import materialise
 
 GROUP = "_group"
 ALL = "*"
-# Rows (query, group) of a slice, for each query that it may hold.
-GROUPS_A_QUERY = 16
+# Groups whose numbers of blocks may be broadcast.
+BROADCAST_GROUPS = 500_000
 
 
 @dataclass
@@ -165,9 +165,10 @@ class RunningTop:
         ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
         by_id = np.argsort(ids, kind="stable")
         for group in pd.unique(groups):
-            wanted = self.block.rows_by_group.get(group, self.block.rows_by_group.get(ALL))
-            if wanted is None:
+            asked = [self.block.rows_by_group[key] for key in (group, ALL) if key in self.block.rows_by_group]
+            if not asked:
                 continue
+            wanted = asked[0] if len(asked) == 1 else np.union1d(*asked)
             members = by_id[groups[by_id] == group]
             # A slice of rows at a time keeps the score matrix small for any number of queries.
             step = max(1, min(self.block_rows, 4_000_000 // len(wanted)))
@@ -229,56 +230,78 @@ def local_hits(
     vectors = vectors.where(F.col(scored).isNotNull())
     queries = queries.where(F.col("embedding").isNotNull())
 
-    def hits_of(frame: pd.DataFrame) -> tuple[DataFrame, Broadcast]:
-        columns = to_arrow_schema(schema)
-        packed = vectors.sparkSession.sparkContext.broadcast(prepare(QueryBlock.from_frame(frame)))
+    columns = to_arrow_schema(schema)
 
-        def score_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            top = RunningTop(packed.value, k, score, block_rows)
-            for batch in batches:
-                top.add(batch)
-            best = top.merge()
-            if best is not None and len(best):
-                yield pa.RecordBatch.from_pandas(best, schema=columns, preserve_index=False)
-
-        return vectors.mapInArrow(score_partition, schema), packed
+    def best_of(block: QueryBlock, batches: Iterator[pa.RecordBatch]) -> pa.Table:
+        top = RunningTop(block, k, score, block_rows)
+        for batch in batches:
+            top.add(batch)
+        best = top.merge()
+        if best is None:
+            return columns.empty_table()
+        return pa.Table.from_pandas(best, schema=columns, preserve_index=False)
 
     small = bounded_queries(queries, max_queries, settings.QUERY_BROADCAST_BYTES)
-    if small is not None:
-        if small.empty:
-            return Hits(vectors.sparkSession.createDataFrame([], schema), 0)
-        return Hits(hits_of(small)[0], len(small) * k)
-    written = materialise(queries.select("query_idx", GROUP, "embedding"), "queries")
-    found, bound = None, 0
-    for frame in query_slices(written, max_queries, settings.QUERY_BROADCAST_BYTES):
-        part, packed = hits_of(frame)
-        part = materialise(part, "hits")
-        packed.destroy()
-        found = part if found is None else found.unionByName(part)
-        bound += len(frame) * k
-    return Hits(found, bound)
-
-
-def query_slices(queries: DataFrame, max_queries: int, max_bytes: int) -> Iterator[pd.DataFrame]:
-    """Query rows in slices of bounded size: distinct queries, their bytes, and rows.
-
-    Rows are streamed; the driver holds one slice and one partition of the written table.
+    if small is None:
+        written = materialise(queries.select("query_idx", GROUP, "embedding"), "queries")
+
+        def score_blocks(found: pa.Table, asked: pa.Table) -> pa.Table:
+            if not found.num_rows or not asked.num_rows:
+                return columns.empty_table()
+            frame = asked.select(["query_idx", GROUP, "embedding"]).to_pandas()
+            return best_of(prepare(QueryBlock.from_frame(frame)), iter(found.combine_chunks().to_batches()))
+
+        left, right = dealt_blocks(vectors, written, max_queries, block_rows)
+        keys = ["_key", "_vector_block", "_query_block"]
+        hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score_blocks, schema)
+        return Hits(hits, written.count() * k)
+    if small.empty:
+        return Hits(vectors.sparkSession.createDataFrame([], schema), 0)
+    packed = vectors.sparkSession.sparkContext.broadcast(prepare(QueryBlock.from_frame(small)))
+
+    def score_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from best_of(packed.value, batches).to_batches()
+
+    return Hits(vectors.mapInArrow(score_partition, schema), len(small) * k)
+
+
+def dealt_blocks(
+    vectors: DataFrame, queries: DataFrame, max_queries: int, block_rows: int
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_key`` (a group, or ``ALL`` for queries that meet every vector), ``_vector_block`` and
+    ``_query_block``.
+
+    The number of blocks of a key follows from its rows (and the bytes of its queries), so a key that holds much
+    of a table is split on both sides. A row is in one block of its own side and is repeated once for every block
+    of the other side that has its key; rows of keys that the other side lacks are left out.
     """
-    rows: list[tuple] = []
-    seen: set = set()
-    size = 0
-    for row in queries.toLocalIterator():
-        new = row["query_idx"] not in seen
-        more = 8 * len(row["embedding"]) if new else 0
-        full = len(seen) + new > max_queries or size + more > max_bytes or len(rows) >= GROUPS_A_QUERY * max_queries
-        if rows and full:
-            yield pd.DataFrame(rows, columns=queries.columns)
-            rows, seen, size = [], set(), 0
-            more = 8 * len(row["embedding"])
-        rows.append(tuple(row))
-        seen.add(row["query_idx"])
-        size += more
-    yield pd.DataFrame(rows, columns=queries.columns)
+    size = F.sum(F.size("embedding").cast("bigint") * 8)
+    asked = queries.groupBy(F.col(GROUP).alias("_key")).agg(F.count("*").alias("n"), size.alias("bytes"))
+    wanted = materialise(
+        asked.select(
+            "_key",
+            F.greatest(
+                F.ceil(F.col("n") / max_queries), F.ceil(F.col("bytes") / settings.QUERY_BROADCAST_BYTES)
+            ).alias("_query_blocks"),
+        ),
+        "groups",
+    )
+    everywhere = wanted.where(F.col("_key") == ALL).count() > 0
+    named = wanted.where(F.col("_key") != ALL).count()
+    own = [F.col(GROUP)] if named else []
+    keyed = vectors.withColumn("_key", F.explode(F.array(*own, *([F.lit(ALL)] if everywhere else []))))
+    held = keyed.groupBy("_key").agg(F.ceil(F.count("*") / block_rows).alias("_vector_blocks"))
+    blocks = materialise(wanted.join(held, "_key"), "groups")
+    if named <= BROADCAST_GROUPS:
+        blocks = F.broadcast(blocks)
+
+    def dealt(rows: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        place = F.pmod(F.xxhash64(name), F.col(f"_{own}_blocks")).alias(f"_{own}_block")
+        copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"_{other}_blocks") - 1))
+        return rows.join(blocks, "_key").select(*rows.columns, place, copies.alias(f"_{other}_block"))
+
+    asking = queries.withColumn("_key", F.col(GROUP))
+    return dealt(keyed, "chunk_id", "vector", "query"), dealt(asking, "query_idx", "query", "vector")
 
 
 def score_order() -> list:

@@ -34,6 +34,14 @@ OVERFETCH = 2
 # Vector indexes.
 EMBEDDING_DIM = 1024
 MIN_TRAINING_ROWS = 100
+# Rows drawn to train on, for every cell or code.
+TRAINING_ROWS_A_CENTER = 256
+# An index is to be trained anew when it holds so many times the rows it was trained with, when the rows
+# added since lie so many times as far from their cells, or when its largest cell has grown so much more than
+# the others.
+RETRAIN_ROWS = 4.0
+RETRAIN_DISTANCE = 1.25
+RETRAIN_CELL = 4.0
 NPROBE = 10
 IVF_NLIST = 100
 PQ_M = 8
@@ -49,8 +57,8 @@ LARGE_TEXT_BYTES = 100 * 1024 * 1024
 # kernel) and the id breaks the tie. Six decimals are for display.
 SCORE_DIGITS = 12
 
-# A slice of queries travels to the tasks as one broadcast below both bounds; larger query sets take
-# one slice after another.
+# Queries travel to the tasks as one broadcast below both bounds; larger query sets are dealt to blocks of
+# this size.
 QUERY_BROADCAST_ROWS = 4096
 QUERY_BROADCAST_BYTES = 96 * 1024 * 1024
 
