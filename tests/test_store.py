@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vectorloom.operators import store
-from vectorloom.session import scratch_path
+from vectorloom.session import materialise, scratch_path
 from vectorloom.sources import snapshots
 
 AT = datetime.datetime(2024, 1, 1)
@@ -217,6 +217,48 @@ def test_two_writers_of_one_type(spark, base):
     assert "x" in state(snapshots.read_store(spark, root))
 
 
+def test_rows_read_before_another_commit_are_not_written_back(spark, base):
+    root = scratch_path(spark, "store")
+    snapshots.write_store(base, root, ["t"])
+    current = snapshots.read_store(spark, root)
+    seen = snapshots.current_versions(spark, root)
+    snapshots.append_store(entry(spark, "n", "n1", 1), root)
+    with pytest.raises(RuntimeError, match="after they were read"):
+        snapshots.write_store(store.purge_deleted(current), root, ["t"])
+    # Rows that went through a table of their own do not show where they come from.
+    copied = materialise(store.purge_deleted(current), "copy")
+    with pytest.raises(RuntimeError, match="another writer"):
+        snapshots.write_store(copied, root, ["t"], expected=seen)
+    assert set(state(snapshots.read_store(spark, root))) == {"a", "b", "c", "n"}
+    snapshots.write_store(store.purge_deleted(snapshots.read_store(spark, root)), root, ["t"])
+    assert set(state(snapshots.read_store(spark, root))) == {"a", "c", "n"}
+
+
+def test_compaction_keeps_what_is_appended_beside_it(spark, base, monkeypatch):
+    root = scratch_path(spark, "store")
+    snapshots.write_store(base, root, ["t"])
+    snapshots.append_store(entry(spark, "a", "a1", 1), root)
+    staged, between = snapshots._stage, []
+
+    def meanwhile(rows, where):
+        monkeypatch.setattr(snapshots, "_stage", staged)
+        for change in between:
+            change()
+        return staged(rows, where)
+
+    between.append(lambda: snapshots.append_store(entry(spark, "n", "n1", 1), root))
+    monkeypatch.setattr(snapshots, "_stage", meanwhile)
+    snapshots.compact_store(spark, root)
+    found = state(snapshots.read_store(spark, root))
+    assert found["a"] == ("a1", False) and found["n"] == ("n1", False) and set(found) == {"a", "b", "c", "n"}
+    assert sum(row["delta"] for row in snapshots.live_commits(spark, root)) == 1
+    # A full version written meanwhile wins.
+    between[:] = [lambda: snapshots.write_store(entry(spark, "z", "z1", 5), root, ["t"])]
+    monkeypatch.setattr(snapshots, "_stage", meanwhile)
+    assert snapshots.compact_store(spark, root) is None
+    assert set(state(snapshots.read_store(spark, root))) == {"z"}
+
+
 def test_large_sequence_numbers_are_folded(spark):
     log = spark.createDataFrame(
         [("a", 2**62, "upsert"), ("a", 2**62 + 1, "soft"), ("b", 2**63 - 2, "upsert"), ("b", 2**63 - 1, "hard")],

@@ -18,6 +18,7 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
@@ -49,7 +50,8 @@ def live_commits(spark: SparkSession, root: str) -> list[Row]:
     newest = F.max(F.when(~F.col("delta"), place)).over(of_type)
     covered = F.flatten(F.collect_list(F.coalesce("covers", F.array().cast("array<string>"))).over(of_type))
     marked = commits.withColumns({"_full": newest, "_covered": covered})
-    after = F.col("_full").isNull() | (F.col("version") > F.col("_full.version"))
+    # A delta of the same number was committed at the same time: it is covered by name or not at all.
+    after = F.col("_full").isNull() | (F.col("version") >= F.col("_full.version"))
     open_delta = F.col("delta") & after & ~F.array_contains("_covered", F.col("folder"))
     is_full = ~F.col("delta") & place.eqNullSafe(F.col("_full"))
     return marked.where(open_delta | is_full).drop("_full", "_covered").collect()
@@ -112,6 +114,11 @@ def read_store(spark: SparkSession, root: str, types: Types = None) -> DataFrame
         for row in live_commits(spark, root)
         if not row["cleared"] and (wanted is None or row["knowledge_type"] in wanted)
     ]
+    return _current_rows(spark, root, live)
+
+
+def _current_rows(spark: SparkSession, root: str, live: list[Row]) -> DataFrame:
+    """Rows of live commits: full versions with their deltas laid over them."""
     deltas = [row for row in live if row["delta"]]
     if not deltas:
         return _scan(spark, root, live).select(*STORE_COLUMNS)
@@ -144,15 +151,43 @@ def _next_number(versions: dict[str | None, tuple[int, bool]]) -> int:
     return 1 + max((version for version, _ in versions.values()), default=0)
 
 
-def write_store(rows: DataFrame, root: str, types: list[str | None]) -> int:
+def _stale_types(rows: DataFrame, root: str, types: list[str | None]) -> list[str | None]:
+    """Of the types, those that the rows were read from and that have changed since.
+
+    The plan of the rows tells which folders of the store it reads. A type of which it reads a folder, but not
+    all that are live now, was read before another writer's commit.
+    """
+    marker = f"{root.rstrip('/').split('://')[-1].removeprefix('file:')}/rows/folder="
+    read = {file.split(marker, 1)[1].split("/", 1)[0] for file in map(unquote, rows.inputFiles()) if marker in file}
+    if not read:
+        return []
+    spark = rows.sparkSession
+    commits = spark.read.schema(_COMMIT).json(f"{root}/commits").where(F.col("folder").isin(sorted(read)))
+    ever = {row["knowledge_type"] for row in commits.select("knowledge_type").distinct().collect()}
+    live = live_commits(spark, root)
+    missed = {row["knowledge_type"] for row in live if row["folder"] not in read}
+    return [name for name in types if name in ever and name in missed]
+
+
+def write_store(
+    rows: DataFrame,
+    root: str,
+    types: list[str | None],
+    expected: dict[str | None, tuple[int, bool]] | None = None,
+) -> int:
     """Write a new full version of the given types, commit it and return its number.
 
     A type without rows becomes empty. Rows of types that are not named are written but not committed:
-    ``read_rejects`` returns them. If another writer has changed one of the types meanwhile, nothing is
-    committed and the write fails.
+    ``read_rejects`` returns them. Nothing is committed and the write fails if another writer has changed one of
+    the types: since the rows were read, where their plan reads the store; since ``expected`` (what
+    ``current_versions`` gave), where it is given, as for rows that were written elsewhere in between; and in
+    any case since the write began.
     """
     spark = rows.sparkSession
-    before = current_versions(spark, root)
+    before = current_versions(spark, root) if expected is None else expected
+    stale = _stale_types(rows, root, types)
+    if stale:
+        raise RuntimeError(f"types {stale} were changed by another writer after they were read")
     folder = _stage(rows, root)
     versions = current_versions(spark, root)
     changed = [name for name in types if versions.get(name) != before.get(name)]
@@ -230,10 +265,28 @@ def merge_deltas(spark: SparkSession, root: str, limit: int = settings.MERGE_DEL
 
 
 def compact_store(spark: SparkSession, root: str, types: Types = None) -> int | None:
-    """Fold deltas into full versions; types without deltas are left alone."""
-    layered = {row["knowledge_type"] for row in live_commits(spark, root) if row["delta"]}
+    """Fold deltas into full versions; types without deltas are left alone.
+
+    The full version takes the number of the newest delta that it holds and names its deltas, so one that is
+    appended meanwhile lies over it. A type that gets another full version meanwhile is left to that.
+    """
+    live = live_commits(spark, root)
+    layered = {row["knowledge_type"] for row in live if row["delta"]}
     names = [name for name in (layered if types is None else types) if name in layered]
-    return write_store(read_store(spark, root, names), root, names) if names else None
+    if not names:
+        return None
+    held = {name: [row for row in live if row["knowledge_type"] == name] for name in names}
+    rows = _current_rows(spark, root, [row for rows in held.values() for row in rows if not row["cleared"]])
+    folder = _stage(rows, root)
+    full = lambda rows: {(r["knowledge_type"], r["version"], r["folder"]) for r in rows if not r["delta"]}
+    now = live_commits(spark, root)
+    kept = [name for name in names if full(held[name]) == full(r for r in now if r["knowledge_type"] == name)]
+    # Above the full version that it replaces, and not above any delta that it does not hold.
+    number = {name: max(row["version"] + (not row["delta"]) for row in held[name]) for name in kept}
+    covers = {name: [row["folder"] for row in held[name] if row["delta"]] for name in kept}
+    if kept:
+        _commit(spark, root, [(name, number[name], False, folder, False, covers[name]) for name in kept])
+    return max(number.values(), default=None)
 
 
 def clear_store(spark: SparkSession, root: str, knowledge_type: str | None) -> None:
