@@ -402,11 +402,10 @@ def test_warc_round_trip(spark):
 # 1: perplexity
 
 
-def slow_model(texts, trusted, size):
+def slow_model(texts, trusted):
     """The probabilities of the model by plain counting."""
     counts = collections.Counter(w for t, good in zip(texts, trusted, strict=True) if good for w in (t or "").split())
     words = sorted(counts)
-    assert len(words) <= size
     pairs = collections.Counter()
     for t, good in zip(texts, trusted, strict=True):
         own = ["<start>", *(t or "").split()]
@@ -445,14 +444,15 @@ def slow_model(texts, trusted, size):
     return log_prob
 
 
-def test_perplexity_equals_plain_counting(spark):
-    texts = [" ".join(random_words(i, 40, 25)) for i in range(40)] + ["w1 zz yy w2", None, "", "w1 " * 400]
+@pytest.mark.parametrize("frequent", [perplexity.FREQUENT, 9, 0])
+def test_perplexity_equals_plain_counting(spark, frequent):
+    texts = [" ".join(random_words(i, 40, 25)) for i in range(40)] + ["w1 zz yy w2", None, "", "w1 " * 400, "w1 w2 " * 70_000]
     labels = [(i, 1, 0) for i in range(20)] + [(20, 0, 0), (21, 1, 1), (22, 1, None), (23, None, 0), (24, 1, 0), (24, 0, 0)]
     trusted = [i < 20 or i == 22 for i in range(len(texts))]
     table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     docs = make_docs(spark, texts, ["en" if i % 2 else None for i in range(len(texts))])
-    found = {r["doc_id"]: r for r in perplexity.classify(docs, table).collect()}
-    log_prob = slow_model(texts, trusted, perplexity.VOCABULARY)
+    found = {r["doc_id"]: r for r in perplexity.classify(docs, table, size=frequent).collect()}
+    log_prob = slow_model(texts, trusted)
     assert {i for i, r in found.items() if r["trusted"]} == {i for i, t in enumerate(trusted) if t}
     for i, text in enumerate(texts):
         if text:
@@ -467,9 +467,23 @@ def test_perplexity_equals_plain_counting(spark):
 
 def test_classifier_tells_junk_from_prose(spark, folder):
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
-    judged = perplexity.classify(docs, labels).join(labels, "doc_id").where("toxic = 0").toPandas()
-    assert judged[judged.quality == 1].rejected.mean() < 0.05
-    assert judged[judged.quality == 0].rejected.mean() > 0.4
+    judged = perplexity.classify(docs, labels).join(labels, "doc_id").toPandas()
+    clean = judged[judged.toxic == 0]
+    assert clean[clean.quality == 1].rejected.mean() < 0.05
+    assert clean[clean.quality == 0].rejected.mean() > 0.4
+    assert judged[judged.toxic == 1].rejected.mean() > 0.7
+
+
+def test_toxic_words_are_evidence_and_columns_may_clash(spark):
+    texts = [" ".join(random_words(i, 60, 30)) for i in range(120)]
+    texts[100:110] = [f"{t} vile {t} nasty" for t in texts[100:110]]
+    docs = make_docs(spark, texts).withColumns({"trusted": F.lit("x"), "place": F.lit(1), "toxic": F.lit(None)})
+    labels = [(i, 1, int(i >= 100)) for i in range(105)]
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = {r["doc_id"]: r for r in perplexity.classify(docs, table).collect()}
+    assert {i for i, r in found.items() if r["toxicity"] > 0} == set(range(100, 110))
+    assert all(found[i]["rejected"] for i in range(100, 110))
+    assert sum(r["rejected"] for r in found.values()) <= 12
 
 
 # 7: packing

@@ -1,31 +1,40 @@
 """Quality classifier: an interpolated modified Kneser-Ney bigram model of trusted text.
 
-Trusted text is every document whose label says good quality and not toxic. The vocabulary is the
-most frequent words of all trusted text, at most ``VOCABULARY``; other words are unknown: they have the probability that
-interpolation leaves for unseen words and no context. Counts of bigrams are gathered from all trusted text,
-in shards by bigram. Documents send the bigrams they need (sorted, compressed, with the document's number in
-its chunk) to the shards, are joined with the counts there, and get back sums of log-probabilities; texts
-are not shuffled. Bigrams that make up more than ``1 / HOT`` of the trusted text (so ``HOT`` of them at most)
+Trusted text is every document whose label says good quality and not toxic. All its words and bigrams are
+counted, in shards, and none is left out. What is known about the ``FREQUENT`` most frequent words goes to
+every task; about all other words, and bigrams with one of them, it stays in the shards. Documents send
+the bigrams and rarer words they need (sorted, compressed, with the document's number in its chunk) to the shards,
+are joined with the counts there, and get back sums of log-probabilities; texts are not shuffled. Keys of a shard
+have 32 bits for bigrams of frequent words, which name them, and 40 bits of a hash otherwise; shards grow in number
+with the text. Bigrams that make up more than ``1 / HOT`` of the trusted text (so ``HOT`` of them at most)
 are broadcast instead, so a very frequent one does not fill a shard.
 
 A trusted document would see its own counts. Its own occurrences of a bigram are taken off the bigram's
 count before it is scored, so trusted and other documents are judged alike.
 
-A document is rejected if its log-perplexity exceeds its language's threshold: the ``QUANTILE`` of trusted
-documents of that language, moved away from their median by the factor ``MARGIN``. Short documents have
-uncertain means, so the mean log-probability is taken over ``PRIOR_WORDS`` more words that cost what the
-language's median word costs. A quantile needs documents: of a language with ``n`` trusted ones, fewer than
-``ENOUGH``, the distance from the median to the threshold is ``n / ENOUGH`` parts its own and for the rest that
-of all trusted documents, each measured from its own language's median.
+A document is rejected if its log-perplexity exceeds its language's threshold, the ``QUANTILE`` of trusted
+documents of that language. Short documents have uncertain means, so the mean log-probability is taken over
+``PRIOR_WORDS`` more words that cost what the language's median word costs. A quantile needs documents: of a
+language with ``n`` trusted ones, fewer than ``ENOUGH``, the distance from the median to the threshold is
+``n / ENOUGH`` parts its own and for the rest that of all trusted documents, each measured from its own
+language's median.
+
+A few toxic words hardly move the mean of a fluent text. So a document is also rejected for its toxicity: the sum,
+over its distinct words, of the logarithm of how much more frequent the word is among documents labelled toxic than
+among trusted ones (its own label left out). Words count if they are in ``TOXIC_SHARE`` of the toxic documents
+(so there are at most ``1 / TOXIC_SHARE`` times as many as a document has on average), in three at least, and that
+logarithm is ``EVIDENCE`` or more. The threshold is again the quantile of the language's trusted documents, and
+of languages with few of them the larger of that and the quantile of all.
 
 Defined results: a document without words has no perplexity and is kept; a null language is a group of its own;
 a language without trusted documents takes the threshold of all; without any trusted document nothing is rejected;
-repeated rows are scored one by one; labels of one document that differ do not make it trusted; extra columns of
-documents pass through, but for those named like the ones that are added.
+repeated rows are scored one by one; labels of one document that differ do not make it trusted, and make it toxic if
+one says so; other columns of documents, whatever their names, do not matter and are not returned.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,21 +44,36 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.arrays import SPACED_WORD, pack, pack_sorted, slices, small_batches, unpack, unpack_sorted
+from vectorloom.llm.arrays import (
+    SPACED_WORD,
+    WordHashes,
+    pack,
+    pack_sorted,
+    slices,
+    small_batches,
+    unpack,
+    unpack_sorted,
+)
 from vectorloom.session import materialise
 
-VOCABULARY = 65_534
+# Words whose statistics every task has; numbers of words have 16 bits, two are taken.
+FREQUENT = 65_534
 HOT = 4096
 CHUNK_WORDS = 500_000
 SHARD_CHARS = 48_000_000
-QUANTILE = 0.99
-MARGIN = 1.25
+QUANTILE = 0.995
 PRIOR_WORDS = 20
+TOXIC_SHARE = 0.01
+EVIDENCE = 2.0
 # Trusted documents of a language from which its own quantile is taken as it is.
 ENOUGH = 100
 # Trusted ids are broadcast up to this many; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 UNKNOWN, START, FIRST = 0, 1, 2
+# The highest bit marks the hash of a rarer word; numbers of frequent words are below it.
+RARER = np.uint64(1 << 63)
+KEY_BITS = 40
+FREQUENT_PAIR, RARER_PAIR, RARER_WORD = 0, 1, 2
 _FLUSH = 200_000
 
 
@@ -57,24 +81,61 @@ def words_of(text: str | None) -> list[str]:
     return SPACED_WORD.findall(text) if text else []
 
 
-def trusted_ids(labels: DataFrame) -> DataFrame:
-    """Ids of documents whose labels all say good quality and not toxic."""
+def label_flags(labels: DataFrame) -> DataFrame:
+    """``(_id, _good, _toxic)``: whether all labels say good quality and not toxic, and whether one says toxic."""
     good = F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))
+    toxic = F.coalesce(F.col("toxic") == 1, F.lit(False))
     rows = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id"))
-    return rows.agg(F.min(good).alias("_good")).where("_good").select("_id")
+    return rows.agg(F.min(good).alias("_good"), F.max(toxic).alias("_toxic")).where("_good or _toxic")
 
 
 def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents ``(doc_id, lang, text, trusted)``."""
-    trusted = materialise(trusted_ids(labels).withColumn("trusted", F.lit(True)), "trusted")
-    if trusted.count() <= BROADCAST_IDS:
-        trusted = F.broadcast(trusted)
+    """Documents ``(doc_id, lang, text, trusted, toxic)``."""
+    flags = materialise(label_flags(labels), "trusted")
+    if flags.count() <= BROADCAST_IDS:
+        flags = F.broadcast(flags)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text")
-    joined = rows.join(trusted, rows["doc_id"] == trusted["_id"], "left")
-    return joined.select("doc_id", "lang", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    joined = rows.join(flags, rows["doc_id"] == flags["_id"], "left")
+    said = (F.coalesce(f"_{name}", F.lit(False)).alias(alias) for name, alias in (("good", "trusted"), ("toxic", "toxic")))
+    return joined.select("doc_id", "lang", "text", *said)
+
+
+def toxic_words(rows: DataFrame, share: float = TOXIC_SHARE, least: float = EVIDENCE) -> dict[str, tuple[float, float]]:
+    """Words that speak for toxicity, with their weight, and their weight for a trusted document that has them."""
+
+    def holding(wanted: frozenset[str] | None):
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: Counter = Counter()
+            for batch in slices(batches):
+                for text in batch.column("text").to_pylist():
+                    words = set(words_of(text))
+                    seen.update(words if wanted is None else words & wanted)
+                    if len(seen) > _FLUSH:
+                        yield _counts(seen)
+                        seen = Counter()
+            yield _counts(seen)
+
+        return count
+
+    def documents(kind: str, wanted: frozenset[str] | None) -> DataFrame:
+        counted = rows.where(kind).select("text").mapInArrow(holding(wanted), "word string, n bigint")
+        return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
+    toxic, good = rows.agg(*(F.count(F.when(F.col(kind), True)) for kind in ("toxic", "trusted"))).first()
+    often = documents("toxic", None).where(F.col("n") >= max(3, share * toxic))
+    known = {row["word"]: row["n"] for row in often.collect()}
+    if not known or not good:
+        return {}
+    among = {row["word"]: row["n"] for row in documents("trusted", frozenset(known)).collect()}
 
-def vocabulary(trusted: DataFrame, size: int = VOCABULARY) -> list[str]:
+    def weight(word: str, own: int) -> float:
+        held = among.get(word, 0) - own
+        return math.log((known[word] + 0.5) / (toxic + 1)) - math.log((held + 0.5) / (good + 1))
+
+    return {word: (weight(word, 0), weight(word, min(1, among.get(word, 0)))) for word in sorted(known) if weight(word, 0) >= least}
+
+
+def vocabulary(trusted: DataFrame, size: int = FREQUENT) -> list[str]:
     """The most frequent words, at most ``size``.
 
     They are taken by steps of frequency (an eighth of an octave each) as long as all words of a step have
@@ -112,21 +173,60 @@ def _counts(seen: Counter) -> pa.RecordBatch:
 
 
 def bigrams(ids: np.ndarray) -> np.ndarray:
-    """Keys of the bigrams of a document (its start is a context) whose words are both known."""
+    """Keys of the bigrams of a document (its start is a context) whose words are both frequent."""
     before = np.concatenate([[START], ids[:-1]]).astype(np.uint32)
     known = (before != UNKNOWN) & (ids != UNKNOWN)
     return (before[known] << np.uint32(16)) | ids[known].astype(np.uint32)
 
 
+class Numbers:
+    """Numbers of frequent words and hashes of the others."""
+
+    def __init__(self, words: list[str]):
+        self.get = {word: number for number, word in enumerate(words, FIRST)}.get
+        self.hashes = WordHashes()
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers, ``UNKNOWN`` for rarer words; and numbers or marked hashes."""
+        ids = np.fromiter((self.get(word, UNKNOWN) for word in words), np.int64, len(words))
+        names = ids.astype(np.uint64)
+        rarer = np.flatnonzero(ids == UNKNOWN)
+        if len(rarer):
+            names[rarer] = self.hashes.of([words[i] for i in rarer.tolist()]) | RARER
+        return ids, names
+
+
+def rarer_pairs(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bigrams of a document with a rarer word: contexts and words."""
+    before = np.concatenate([np.array([START], np.uint64), names[:-1]])
+    marked = (before | names) >= RARER
+    return before[marked], names[marked]
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return values ^ (values >> np.uint64(31))
+
+
+def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return _mixed(_mixed(before) + np.uint64(0x9E3779B97F4A7C15) * word)
+
+
+def place_of(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shard of a hash, and the key in it."""
+    shard = ((hashes >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+    return shard.astype(np.int64), hashes & np.uint64((1 << KEY_BITS) - 1)
+
+
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of a bigram, by a multiplicative hash."""
+    """Shard of a bigram of frequent words, by a multiplicative hash."""
     mixed = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
     return ((mixed * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
-def _split(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Positions of sorted keys by shard, in order."""
-    owner = shard_of(keys, shards)
+def _split(owner: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Positions by shard, in order."""
     order = np.argsort(owner, kind="stable")
     cuts = np.searchsorted(owner[order], np.arange(shards + 1))
     for shard in range(shards):
@@ -135,47 +235,88 @@ def _split(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def count_bigrams(trusted: DataFrame, shared: Broadcast, shards: int) -> DataFrame:
-    """``(shard, key, n)`` of all bigrams of trusted text, a row for each distinct one.
+    """``(shard, key, n, before, word)`` of all bigrams of trusted text, a row for each distinct one.
 
-    ``shared`` holds the words of the vocabulary.
+    ``shared`` holds the frequent words. ``before`` and ``word`` name the words of a bigram with a rarer one, by
+    number or (negative) by hash; bigrams of frequent words have none.
     """
-    asked = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+    asked = pa.schema(
+        [("shard", pa.int32())] + [(name, pa.binary()) for name in ("keys", "counts", "before", "word")]
+    )
 
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+    def flush(held: list[np.ndarray], rarer: list[tuple]) -> pa.RecordBatch:
         keys, counts = np.unique(np.concatenate(held), return_counts=True)
         rows = [
             {"shard": shard, "keys": pack_sorted(keys[at]), "counts": pack(counts[at].astype(np.uint32))}
-            for shard, at in _split(keys, shards)
+            for shard, at in _split(shard_of(keys, shards), shards)
         ]
+        before, word, counts = _summed(*(np.concatenate(part) for part in zip(*rarer, strict=True)))
+        for shard, at in _split(place_of(pair_hash(before, word), shards)[0], shards):
+            packed = {"before": pack_sorted(before[at]), "word": pack(word[at]), "counts": pack(counts[at])}
+            rows.append({"shard": shard, **packed})
         return pa.RecordBatch.from_pylist(rows, asked)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = {word: number for number, word in enumerate(shared.value, FIRST)}.get
-        held, size = [], 0
+        numbers = Numbers(shared.value)
+        held, rarer, size = [], [], 0
         for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 found = words_of(text)
                 if not found:
                     continue
-                ids = np.fromiter((get(word, UNKNOWN) for word in found), np.uint32, len(found))
+                ids, names = numbers.of(found)
                 held.append(bigrams(ids))
-                size += len(held[-1])
+                rarer.append(rarer_pairs(names))
+                size += len(found)
                 if size >= CHUNK_WORDS:
-                    yield flush(held)
-                    held, size = [], 0
+                    yield flush(held, rarer)
+                    held, rarer, size = [], [], 0
         if size:
-            yield flush(held)
+            yield flush(held, rarer)
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
-        keys = np.concatenate([unpack_sorted(data, np.uint32) for data in table["keys"].to_pylist()])
-        counts = np.concatenate([unpack(data, np.uint32) for data in table["counts"].to_pylist()])
+        columns = {name: table[name].to_pylist() for name in asked.names[1:]}
+        plain = [n for n, data in enumerate(columns["keys"]) if data is not None]
+        other = [n for n, data in enumerate(columns["keys"]) if data is None]
+        keys = _all(unpack_sorted(columns["keys"][n], np.uint32) for n in plain).astype(np.uint32)
+        counts = _all(unpack(columns["counts"][n], np.uint32) for n in plain)
         found, groups = np.unique(keys, return_inverse=True)
-        sums = np.bincount(groups, weights=counts).astype(np.int64)
-        shard = np.full(len(found), key[0].as_py(), np.int32)
-        return pa.table({"shard": shard, "key": found.astype(np.int64), "n": sums})
+        sums = np.bincount(groups, weights=counts, minlength=len(found)).astype(np.int64)
+        before, word, times = _summed(
+            _all(unpack_sorted(columns["before"][n], np.uint64) for n in other).astype(np.uint64),
+            _all(unpack(columns["word"][n], np.uint64) for n in other).astype(np.uint64),
+            _all(unpack(columns["counts"][n], np.uint32) for n in other),
+        )
+        own = place_of(pair_hash(before, word), shards)[1].astype(np.int64)
+        none = pa.nulls(len(found), pa.int64())
+        return pa.table(
+            {
+                "shard": np.full(len(found) + len(own), key[0].as_py(), np.int32),
+                "key": np.concatenate([found.astype(np.int64), own]),
+                "n": np.concatenate([sums, times.astype(np.int64)]),
+                "before": pa.concat_arrays([none, pa.array(before.view(np.int64))]),
+                "word": pa.concat_arrays([none, pa.array(word.view(np.int64))]),
+            }
+        )
 
-    sent = trusted.select("text").mapInArrow(count, "shard int, keys binary, counts binary")
-    return sent.groupBy("shard").applyInArrow(add, "shard int, key bigint, n bigint")
+    sent = trusted.select("text").mapInArrow(count, "shard int, keys binary, counts binary, before binary, word binary")
+    return sent.groupBy("shard").applyInArrow(add, "shard int, key bigint, n bigint, before bigint, word bigint")
+
+
+def _all(parts) -> np.ndarray:
+    parts = list(parts)
+    return np.concatenate(parts) if parts else np.array([], np.int64)
+
+
+def _summed(before: np.ndarray, word: np.ndarray, counts: np.ndarray | None = None) -> tuple:
+    """Distinct pairs, sorted by context and word, with their counts."""
+    counts = np.ones(len(before), np.uint32) if counts is None else counts
+    order = np.lexsort((word, before))
+    before, word = before[order], word[order]
+    new = np.ones(len(before), bool)
+    new[1:] = (before[1:] != before[:-1]) | (word[1:] != word[:-1])
+    sums = np.bincount(np.cumsum(new) - 1, weights=counts[order]) if len(before) else np.array([])
+    return before[new], word[new], sums.astype(np.uint32)
 
 
 def discounts(classes: list[int]) -> np.ndarray:
@@ -189,18 +330,21 @@ def discounts(classes: list[int]) -> np.ndarray:
 
 
 class Model:
-    """What every task needs; arrays over the vocabulary, so of bounded size."""
+    """What every task needs; arrays over the frequent words, so of bounded size."""
 
-    def __init__(self, words: list[str], contexts: np.ndarray, followers: np.ndarray, classes, hot: dict):
-        """``contexts``: n, n1, n2, n3+ by context; ``followers``: distinct contexts by word."""
+    def __init__(self, words, contexts: np.ndarray, followers: np.ndarray, classes, low_classes, total, distinct, hot, toxic):
+        """``contexts``: n, n1, n2, n3+ by context; ``followers``: distinct contexts by word; ``total``, ``distinct``
+        and ``low_classes``: bigrams, words, and words by followers, of all words."""
         self.words = words
+        self.toxic = toxic
         self.discounts = discounts(classes)
         # The lowest order: continuation counts, interpolated with the uniform distribution.
-        low = discounts([int((followers == n).sum()) for n in (1, 2, 3, 4)])
-        total = max(float(followers.sum()), 1.0)
-        left = low[np.minimum(followers, 3)].sum() / total
-        share = (left if left > 0 else 1.0 / (total + 1)) / (len(words) + 1)
-        self.lowest = np.maximum(followers - low[np.minimum(followers, 3)], 0) / total + share
+        self.low = discounts(low_classes)
+        self.bigrams = max(float(total), 1.0)
+        ones, twos, threes = low_classes[0], low_classes[1], distinct - low_classes[0] - low_classes[1]
+        left = float(self.low[1] * ones + self.low[2] * twos + self.low[3] * threes) / self.bigrams
+        self.share = (left if left > 0 else 1.0 / (self.bigrams + 1)) / (distinct + 1)
+        self.lowest = np.maximum(followers - self.low[np.minimum(followers, 3)], 0) / self.bigrams + self.share
         self.totals = contexts[:, 0].astype(np.float64)
         mass = contexts[:, 1:].astype(np.float64) @ self.discounts[1:]
         self.backoff = np.where(self.totals > 0, mass / np.maximum(self.totals, 1), 1.0)
@@ -208,6 +352,10 @@ class Model:
         self.hot_keys = np.array(sorted(hot), np.uint32)
         self.hot_counts = np.array([hot[key] for key in self.hot_keys.tolist()], np.int64)
 
+    def toxicity(self, words: list[str], trusted: bool) -> float:
+        found = (self.toxic.get(word) for word in set(words)) if self.toxic else ()
+        return float(sum(sorted(weights[trusted] for weights in found if weights)))
+
     def base(self, ids: np.ndarray) -> float:
         """Log-probability of a document if no bigram had been seen."""
         before = np.concatenate([[START], ids[:-1]])
@@ -216,70 +364,189 @@ class Model:
     def gain(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """What a bigram's own count adds to its log-probability."""
         before, word = keys >> np.uint32(16), keys & np.uint32(0xFFFF)
-        unseen = self.backoff[before] * self.lowest[word]
-        discount = self.discounts[np.clip(counts, 0, 3)]
-        own = np.maximum(counts - discount, 0) / np.maximum(self.totals[before], 1)
+        return self.above(counts, self.backoff[before] * self.lowest[word], self.totals[before])
+
+    def above(self, counts: np.ndarray, unseen: np.ndarray, totals: np.ndarray) -> np.ndarray:
+        """Log-probability of bigrams seen ``counts`` times, less that of unseen ones."""
+        own = np.maximum(counts - self.discounts[np.clip(counts, 0, 3)], 0) / np.maximum(totals, 1)
         return np.log(own + unseen) - np.log(unseen)
 
 
-def train(trusted: DataFrame, shards: int, size: int = VOCABULARY) -> tuple[Model, DataFrame]:
-    """The model and the table of bigram counts, hot ones left out."""
+def train(rows: DataFrame, shards: int, size: int = FREQUENT) -> tuple[Model, DataFrame]:
+    """The model and the table of what is kept in shards: ``(shard, key, kind, n, a, b)``.
+
+    Of a bigram of frequent words (hot ones left out) its count; of a bigram with a rarer word its count, its
+    probability if unseen and its context's total; of a rarer word the logarithms of what it adds to the base of a
+    document as a word and as a context.
+    """
+    trusted = rows.where("trusted")
+    spark = rows.sparkSession
     words = vocabulary(trusted, size)
-    shared = trusted.sparkSession.sparkContext.broadcast(words)
+    shared = spark.sparkContext.broadcast(words)
     table = materialise(count_bigrams(trusted, shared, shards), "bigrams")
     shared.destroy()
-    before, word = F.shiftright("key", 16), F.col("key").bitwiseAND(F.lit(0xFFFF).cast("bigint"))
+    frequent = F.col("before").isNull()
+    names = table.select(
+        "shard",
+        "key",
+        "n",
+        frequent.alias("frequent"),
+        F.when(frequent, F.shiftright("key", 16)).otherwise(F.col("before")).alias("before"),
+        F.when(frequent, F.col("key").bitwiseAND(F.lit(0xFFFF).cast("bigint"))).otherwise(F.col("word")).alias("word"),
+    )
     is_class = [(F.col("n") == n).cast("bigint") for n in (1, 2, 3, 4)]
-    one_row = table.agg(F.sum("n"), *(F.sum(c) for c in is_class)).first()
-    total, classes = one_row[0] or 0, [value or 0 for value in one_row[1:]]
-    contexts = np.zeros((len(words) + FIRST, 4), np.int64)
-    rows = table.groupBy(before.alias("w")).agg(
-        F.sum("n"), F.sum(is_class[0]), F.sum(is_class[1]), F.sum((F.col("n") > 2).cast("bigint"))
+    one_row = names.agg(F.sum("n"), F.count("*"), *(F.sum(c) for c in is_class)).first()
+    seen, total, classes = one_row[0] or 0, one_row[1], [value or 0 for value in one_row[2:]]
+    by_context = materialise(
+        names.groupBy("before").agg(
+            F.sum("n").alias("n"),
+            F.sum(is_class[0]).alias("n1"),
+            F.sum(is_class[1]).alias("n2"),
+            F.sum((F.col("n") > 2).cast("bigint")).alias("n3"),
+        ),
+        "contexts",
+    )
+    by_word = materialise(names.groupBy("word").agg(F.count("*").alias("f")), "followers")
+    low = by_word.agg(F.count("*"), *(F.sum((F.col("f") == n).cast("bigint")) for n in (1, 2, 3, 4))).first()
+    contexts, followers = np.zeros((len(words) + FIRST, 4), np.int64), np.zeros(len(words) + FIRST, np.int64)
+    for row in by_context.where("before >= 0").collect():  # one row for each frequent word
+        contexts[row["before"]] = row[1:]
+    for row in by_word.where("word >= 0").collect():
+        followers[row["word"]] = row["f"]
+    often = F.col("frequent") & (F.col("n") * HOT > seen)
+    hot = {row["key"]: row["n"] for row in names.where(often).select("key", "n").collect()}
+    low_classes = [value or 0 for value in low[1:]]
+    model = Model(words, contexts, followers, classes, low_classes, total, low[0], hot, toxic_words(rows))
+    plain = names.where(F.col("frequent") & ~often).select(
+        "shard",
+        "key",
+        F.lit(FREQUENT_PAIR).alias("kind"),
+        "n",
+        F.lit(0.0).alias("a"),
+        F.lit(0.0).alias("b"),
+    )
+    return model, plain.unionByName(_rarer(names.where("not frequent"), by_context, by_word, model, shards))
+
+
+def _rarer(pairs: DataFrame, by_context: DataFrame, by_word: DataFrame, model: Model, shards: int) -> DataFrame:
+    """The rows of rarer words and of bigrams with them."""
+    lits = lambda values: F.array(*(F.lit(float(v)) for v in values))
+    low = F.element_at(lits(model.low), (F.least("f", F.lit(3)) + 1).cast("int"))
+    lowest = F.greatest(F.col("f") - low, F.lit(0.0)) / model.bigrams + model.share
+    mass = sum((F.col(f"n{i}") * float(model.discounts[i]) for i in (2, 3)), F.col("n1") * float(model.discounts[1]))
+    backoff = F.when(mass > 0, mass / F.col("n")).otherwise(1.0 / (F.col("n") + 1))
+    left = materialise(
+        by_context.where("before < 0").select(
+            F.col("before").alias("_before"), backoff.alias("_backoff"), F.col("n").cast("double").alias("_total")
+        ),
+        "contexts",
+    )
+    right = materialise(by_word.where("word < 0").select(F.col("word").alias("_word"), lowest.alias("_lowest")), "followers")
+    # A frequent word looks for a number that no rarer one has, each time another, so it fills no task.
+    free = F.abs(F.shiftright(F.xxhash64("before", "word"), 1))
+    pairs = pairs.withColumns(
+        {
+            "_u": F.when(F.col("before") < 0, F.col("before")).otherwise(free),
+            "_v": F.when(F.col("word") < 0, F.col("word")).otherwise(free),
+        }
+    )
+    joined = pairs.join(left, F.col("_u") == F.col("_before"), "left").join(right, F.col("_v") == F.col("_word"), "left")
+    shared = pairs.sparkSession.sparkContext.broadcast((model.backoff, model.totals, model.lowest))
+
+    def number(column: pa.Array) -> np.ndarray:
+        return column.to_numpy(zero_copy_only=False)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        backoff, totals, lowest = shared.value
+        for batch in batches:
+            before, word = number(batch.column("before")), number(batch.column("word"))
+            u, v = np.maximum(before, 0), np.maximum(word, 0)
+            own = np.where(before < 0, number(batch.column("_backoff")), backoff[u])
+            total = np.where(before < 0, number(batch.column("_total")), totals[u])
+            unseen = own * np.where(word < 0, number(batch.column("_lowest")), lowest[v])
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "shard": batch.column("shard"),
+                    "key": batch.column("key"),
+                    "kind": pa.array(np.full(len(u), RARER_PAIR, np.int32)),
+                    "n": batch.column("n"),
+                    "a": pa.array(unseen),
+                    "b": pa.array(total),
+                }
+            )
+
+    schema = "shard int, key bigint, kind int, n bigint, a double, b double"
+    filled = joined.select("shard", "key", "n", "before", "word", "_backoff", "_total", "_lowest").mapInArrow(fill, schema)
+    both = left.join(right, F.col("_before") == F.col("_word"), "full")
+    named = both.select(
+        F.coalesce("_word", "_before").alias("id"),
+        (F.log(F.coalesce("_lowest", F.lit(model.share))) - math.log(model.share)).alias("a"),
+        F.log(F.coalesce("_backoff", F.lit(1.0))).alias("b"),
     )
-    for row in rows.collect():  # one row per word of the vocabulary
-        contexts[row[0]] = row[1:]
-    followers = np.zeros(len(words) + FIRST, np.int64)
-    for row in table.groupBy(word.alias("w")).count().collect():
-        followers[row[0]] = row[1]
-    often = F.col("n") * HOT > total
-    hot = {row["key"]: row["n"] for row in table.where(often).select("key", "n").collect()}
-    return Model(words, contexts, followers, classes, hot), table.where(~often)
 
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard, keys = place_of(_mixed(number(batch.column("id")).astype(np.int64).view(np.uint64)), shards)
+            size = len(keys)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "shard": pa.array(shard.astype(np.int32)),
+                    "key": pa.array(keys.astype(np.int64)),
+                    "kind": pa.array(np.full(size, RARER_WORD, np.int32)),
+                    "n": pa.array(np.zeros(size, np.int64)),
+                    "a": batch.column("a"),
+                    "b": batch.column("b"),
+                }
+            )
+
+    return filled.unionByName(named.mapInArrow(place, schema))
 
-_ASKED = "shard int, chunk bigint, docs binary, keys binary, owners binary, counts binary, trusted binary"
+
+_ASKED_NAMES = ("docs", "keys", "owners", "counts", "as_context", "trusted")
+_ASKED = "shard int, chunk bigint, kind int, " + ", ".join(f"{name} binary" for name in _ASKED_NAMES)
 _ASKED_TYPE = pa.schema(
-    [("shard", pa.int32()), ("chunk", pa.int64())]
-    + [(name, pa.binary()) for name in ("docs", "keys", "owners", "counts", "trusted")]
+    [("shard", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32())]
+    + [(name, pa.binary()) for name in _ASKED_NAMES]
 )
 
 
 def score(docs: DataFrame, shared: Broadcast, counts: DataFrame, shards: int) -> DataFrame:
-    """``(doc_id, lang, trusted, n_words, log_prob)`` per row of ``docs``, by joins in shards.
+    """``(doc_id, lang, trusted, n_words, log_prob, toxicity)`` per row of ``docs``, by joins in shards.
 
     ``shared`` holds the model.
     """
     place = (F.spark_partition_id().cast("bigint") * F.lit(1 << 33)).alias("place")
 
-    def flush(chunk: int, held: list, heads: list) -> pa.RecordBatch:
-        """Requests of a chunk; its documents' own part goes to one of the shards."""
-        keys = np.concatenate([h[0] for h in held]) if held else np.array([], np.uint32)
-        owners = np.concatenate([np.full(len(h[0]), h[2], np.uint32) for h in held]) if held else keys
-        times = np.concatenate([h[1] for h in held]).astype(np.uint16) if held else np.array([], np.uint16)
+    def request(held: list, kind: int) -> tuple:
+        """Sorted keys with their shards, documents and occurrences, of all documents of a chunk."""
+        wide = np.uint32 if kind == FREQUENT_PAIR else np.uint64
+        keys = _all(part[0] for part in held).astype(wide)
+        owners = _all(np.full(len(part[0]), part[-1]) for part in held).astype(np.uint32)
+        times = [_all(part[n] for part in held).astype(np.uint32) for n in (1, 2)]
+        if kind == FREQUENT_PAIR:
+            shard = shard_of(keys, shards)
+        else:
+            shard, keys = place_of(keys, shards)
         order = np.argsort(keys, kind="stable")
-        keys, owners, times = keys[order], owners[order], times[order]
+        return shard[order], keys[order], owners[order], [t[order] for t in times]
+
+    def flush(chunk: int, held: dict[int, list], heads: list) -> pa.RecordBatch:
+        """Requests of a chunk; its documents' own part goes to one of the shards."""
         trusted = np.packbits(np.array([head[2] for head in heads], bool)).tobytes()
         rows = []
-        for shard, at in _split(keys, shards):
-            rows.append(
-                {
-                    "shard": shard,
+        for kind, parts in held.items():
+            shard, keys, owners, times = request(parts, kind)
+            for number, at in _split(shard, shards):
+                row = {
+                    "shard": number,
                     "chunk": chunk,
+                    "kind": kind,
                     "keys": pack_sorted(keys[at]),
                     "owners": pack(owners[at]),
-                    "counts": pack(times[at]),
+                    "counts": pack(times[0][at]),
                     "trusted": trusted,
                 }
-            )
+                rows.append(row | ({"as_context": pack(times[1][at])} if kind == RARER_WORD else {}))
         table = pa.Table.from_pylist([dict(zip(_HEAD, head, strict=True)) for head in heads], _HEAD_TYPE)
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema) as writer:
@@ -287,56 +554,79 @@ def score(docs: DataFrame, shared: Broadcast, counts: DataFrame, shards: int) ->
         rows.append({"shard": chunk % shards, "chunk": chunk, "docs": sink.getvalue().to_pybytes()})
         return pa.RecordBatch.from_pylist(rows, _ASKED_TYPE)
 
+    def empty() -> dict[int, list]:
+        return {kind: [] for kind in (FREQUENT_PAIR, RARER_PAIR, RARER_WORD)}
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        get = {word: number for number, word in enumerate(known.words, FIRST)}.get
-        held, heads, size, chunk = [], [], 0, None
+        numbers = Numbers(known.words)
+        held, heads, size, chunk = empty(), [], 0, None
         for batch in slices(batches):
             columns = (batch.column(name).to_pylist() for name in ("doc_id", "lang", "trusted", "text", "place"))
             for doc, lang, trusted, text, partition in zip(*columns, strict=True):
                 chunk = partition if chunk is None else chunk
                 found = words_of(text)
-                ids = np.fromiter((get(word, UNKNOWN) for word in found), np.int64, len(found))
-                base = 0.0
-                if len(ids):
+                base = toxicity = 0.0
+                if found:
+                    ids, names = numbers.of(found)
                     base = known.base(ids)
+                    toxicity = known.toxicity(found, trusted)
                     keys, times = np.unique(bigrams(ids), return_counts=True)
                     hot = np.isin(keys, known.hot_keys, assume_unique=True)
                     if hot.any():
                         n = known.hot_counts[np.searchsorted(known.hot_keys, keys[hot])]
                         n = n - times[hot] if trusted else n
                         base += float((known.gain(keys[hot], n) * times[hot]).sum())
-                    held.append((keys[~hot], np.minimum(times[~hot], 65_535), len(heads)))
-                heads.append((doc, lang, trusted, len(found), base))
+                    held[FREQUENT_PAIR].append((keys[~hot], times[~hot], times[~hot], len(heads)))
+                    pairs, times = np.unique(pair_hash(*rarer_pairs(names)), return_counts=True)
+                    held[RARER_PAIR].append((pairs, times, times, len(heads)))
+                    rarer, where = np.unique(names[names >= RARER], return_inverse=True)
+                    followed = (names[:-1] >= RARER)[names[:-1] >= RARER]
+                    as_context = np.bincount(where[: len(followed)], minlength=len(rarer))
+                    as_word = np.bincount(where, minlength=len(rarer))
+                    held[RARER_WORD].append((_mixed(rarer), as_word, as_context, len(heads)))
+                heads.append((doc, lang, trusted, len(found), base, toxicity))
                 size += len(found) + 20
                 if size >= CHUNK_WORDS:
                     yield flush(chunk, held, heads)
-                    held, heads, size, chunk = [], [], 0, chunk + 1
+                    held, heads, size, chunk = empty(), [], 0, chunk + 1
         if heads:
             yield flush(chunk, held, heads)
 
     def join(key: tuple, asked: pa.Table, table: pa.Table) -> pa.Table:
         known = shared.value
-        have = table["key"].to_numpy().astype(np.uint32)
-        numbers = table["n"].to_numpy()
-        order = np.argsort(have)
-        have, numbers = have[order], numbers[order]
+        kinds = table["kind"].to_numpy()
+        tables = {}
+        for kind in (FREQUENT_PAIR, RARER_PAIR, RARER_WORD):
+            part = table.filter(pa.array(kinds == kind))
+            have = part["key"].to_numpy()
+            order = np.argsort(have, kind="stable")
+            tables[kind] = [have[order]] + [part[name].to_numpy()[order] for name in ("n", "a", "b")]
         rows = []
-        for chunk, docs, keys, owners, times, trusted in zip(
-            *(asked[name].to_pylist() for name in _ASKED_TYPE.names[1:]), strict=True
+        for chunk, kind, docs, keys, owners, times, as_context, trusted in zip(
+            *(asked[name].to_pylist() for name in ("chunk", "kind", *_ASKED_NAMES)), strict=True
         ):
             if docs is not None:
                 rows.append({"chunk": chunk, "docs": docs})
                 continue
-            keys, owners = unpack_sorted(keys, np.uint32), unpack(owners, np.uint32)
-            times = unpack(times, np.uint16).astype(np.int64)
-            own = np.unpackbits(np.frombuffer(trusted, np.uint8))[owners].astype(np.int64)
+            have, n, a, b = tables[kind]
+            keys = unpack_sorted(keys, np.uint32 if kind == FREQUENT_PAIR else np.uint64).astype(np.int64)
+            owners = unpack(owners, np.uint32)
+            times = unpack(times, np.uint32).astype(np.int64)
             at = np.searchsorted(have, keys)
             at[at == len(have)] = 0
             found = np.flatnonzero(have[at] == keys) if len(have) else at[:0]
-            n = numbers[at[found]] - own[found] * times[found]
-            gains = known.gain(keys[found], n) * times[found]
-            sums = np.bincount(owners[found], weights=gains)
+            at, owners, times = at[found], owners[found], times[found]
+            if kind == RARER_WORD:
+                gains = a[at] * times + b[at] * unpack(as_context, np.uint32)[found]
+            else:
+                own = np.unpackbits(np.frombuffer(trusted, np.uint8))[owners].astype(np.int64)
+                left = n[at] - own * times
+                if kind == FREQUENT_PAIR:
+                    gains = known.gain(keys[found].astype(np.uint32), left) * times
+                else:
+                    gains = known.above(left, a[at], b[at]) * times
+            sums = np.bincount(owners, weights=gains)
             rows.append({"chunk": chunk, "sums": pack(sums.astype(np.float64))})
         return pa.Table.from_pylist(rows, _SUMS_TYPE)
 
@@ -355,6 +645,7 @@ def score(docs: DataFrame, shared: Broadcast, counts: DataFrame, shards: int) ->
                 "trusted": heads["trusted"],
                 "n_words": heads["n_words"],
                 "log_prob": pa.array(total),
+                "toxicity": heads["toxicity"],
             }
         )
 
@@ -363,14 +654,14 @@ def score(docs: DataFrame, shared: Broadcast, counts: DataFrame, shards: int) ->
         asked.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(join, "chunk bigint, docs binary, sums binary")
     )
     return sums.where("chunk is not null").groupBy("chunk").applyInArrow(
-        finish, "doc_id bigint, lang string, trusted boolean, n_words bigint, log_prob double"
+        finish, "doc_id bigint, lang string, trusted boolean, n_words bigint, log_prob double, toxicity double"
     )
 
 
-_HEAD = ("doc_id", "lang", "trusted", "n_words", "base")
+_HEAD = ("doc_id", "lang", "trusted", "n_words", "base", "toxicity")
 _HEAD_TYPE = pa.schema(
     [("doc_id", pa.int64()), ("lang", pa.string()), ("trusted", pa.bool_()), ("n_words", pa.int64())]
-    + [("base", pa.float64())]
+    + [("base", pa.float64()), ("toxicity", pa.float64())]
 )
 _SUMS_TYPE = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary())])
 
@@ -378,17 +669,17 @@ _SUMS_TYPE = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("sums", p
 def classify(
     docs: DataFrame,
     labels: DataFrame,
-    size: int = VOCABULARY,
+    size: int = FREQUENT,
     quantile: float = QUANTILE,
-    margin: float = MARGIN,
     prior_words: int = PRIOR_WORDS,
 ) -> DataFrame:
-    """``(doc_id, lang, trusted, n_words, perplexity, threshold, rejected)`` per row of ``docs``."""
+    """``(doc_id, lang, trusted, n_words, perplexity, threshold, toxicity, toxic_threshold, rejected)`` per row of
+    ``docs``."""
     small_batches(docs.sparkSession)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = 1 + chars // SHARD_CHARS
     rows = with_trust(docs, labels)
-    model, counts = train(rows.where("trusted"), shards, size)
+    model, counts = train(rows, shards, size)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     scored = materialise(score(rows, shared, counts, shards), "scores")
     shared.destroy()
@@ -398,10 +689,12 @@ def classify(
     whole = trusted.agg(middle).first()[0]
     medians = materialise(trusted.groupBy("lang").agg(middle.alias("median")), "medians")
     if whole is None:
-        bare = scored.withColumns({"median": F.lit(None).cast("double"), "limit": F.lit(None).cast("double")})
+        none = F.lit(None).cast("double")
+        bare = scored.withColumns({"median": none, "limit": none, "toxic_limit": none})
     else:
-        bare = _with_limits(scored, medians, float(whole), quantile, margin, prior_words)
+        bare = _with_limits(scored, medians, float(whole), quantile, prior_words)
     smooth = _smooth(prior_words)
+    bad = (smooth > F.col("limit")) | (F.col("toxicity") > F.col("toxic_limit"))
     return bare.select(
         "doc_id",
         "lang",
@@ -409,7 +702,9 @@ def classify(
         "n_words",
         F.when(F.col("n_words") > 0, F.exp(cost)).alias("perplexity"),
         F.exp("limit").alias("threshold"),
-        F.coalesce((F.col("n_words") > 0) & (smooth > F.col("limit")), F.lit(False)).alias("rejected"),
+        "toxicity",
+        F.col("toxic_limit").alias("toxic_threshold"),
+        F.coalesce((F.col("n_words") > 0) & bad, F.lit(False)).alias("rejected"),
     )
 
 
@@ -424,7 +719,7 @@ def _by_lang(rows: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def _with_limits(
-    scored: DataFrame, medians: DataFrame, whole: float, quantile: float, margin: float, prior_words: int
+    scored: DataFrame, medians: DataFrame, whole: float, quantile: float, prior_words: int
 ) -> DataFrame:
     rows = _by_lang(scored, medians).withColumn("median", F.coalesce("median", F.lit(whole)))
     trusted = rows.where("trusted and n_words > 0").withColumn("smooth", _smooth(prior_words))
@@ -432,15 +727,18 @@ def _with_limits(
 
     def ends(column: str) -> tuple:
         middle, end = (F.percentile_approx(column, share, 10_000) for share in (0.5, quantile))
-        return middle, (end - middle) * margin
+        return middle, end - middle
 
     middle, spread = ends("smooth")
     apart = ends("apart")[1]
-    for_all, reach = trusted.agg(middle + spread, apart).first()
+    toxic = F.percentile_approx("toxicity", quantile, 10_000)
+    for_all, reach, most = trusted.agg(middle + spread, apart, toxic).first()
     own = F.least(F.count("*") / ENOUGH, F.lit(1.0))
     limit = middle + own * spread + (1 - own) * reach
-    limits = materialise(trusted.groupBy("lang").agg(limit.alias("limit")), "limits")
-    return _by_lang(rows, limits).withColumn("limit", F.coalesce("limit", F.lit(for_all)))
+    own_toxic = F.when(F.count("*") >= ENOUGH, toxic).otherwise(F.greatest(toxic, F.lit(most)))
+    ends_of = trusted.groupBy("lang").agg(limit.alias("limit"), own_toxic.alias("toxic_limit"))
+    filled = {"limit": F.coalesce("limit", F.lit(for_all)), "toxic_limit": F.coalesce("toxic_limit", F.lit(most))}
+    return _by_lang(rows, materialise(ends_of, "limits")).withColumns(filled)
 
 
 def keep_good(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id") -> DataFrame:

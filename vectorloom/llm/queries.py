@@ -305,6 +305,7 @@ def op1_perplexity(spark: SparkSession, folder: str) -> DataFrame:
         "n_words",
         F.round("perplexity", 6).alias("perplexity"),
         F.round("threshold", 6).alias("threshold"),
+        F.round("toxicity", 6).alias("toxicity"),
         "rejected",
     )
 
