@@ -9,7 +9,7 @@ import corpus_pipeline as pipeline
 import pytest
 
 from vectorloom.llm import decontaminate, jaccard
-from vectorloom.session import with_row_key
+from vectorloom.llm.rows import with_row_key
 
 
 def brute_groups(texts):

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vectorloom.llm import ordermin, periods, queries, ranked
+from vectorloom.llm import ordermin, packing, periods, pivots, queries, ranked, substrings
 
 DOCS = "doc_id long, text string, rank int, item string"
 
@@ -284,3 +284,50 @@ def test_op13_on_the_documents(spark, folder):
         assert row["runs_sha256"] == hashlib.sha256(lines.encode()).hexdigest()
         assert row["collapsed_sha256"] == hashlib.sha256(collapsed(words, runs).encode()).hexdigest()
     assert planted > 5
+
+
+# Earlier operators on rows that repeat
+
+
+def test_pivot_search_of_repeated_ids_and_large_components(spark):
+    rows = [(0, [1.0, 2.0]), (0, [-1.0, 2.5]), (50, [2.0e7, 1.0]), (7, [-3.0e7, 4.0]), (8, [0.5, 0.5]), (9, [1e300, 0.0])]
+    rows += [(10, [2.0e15, 3.0e15]), (11, [-2.0e15, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    quantised = pivots.quantise(table, "vec_id", "embedding")
+    asked = quantised.where("id % 50 = 0")
+    found = pivots.top_k(quantised, asked, 3, pivots=3).collect()
+    vectors = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i != 9]
+    wanted = []
+    for query, q in vectors:
+        if query % 50 == 0:
+            scores = [(max(-(2**63 - 1), min(2**63 - 1, q[0] * v[0] + q[1] * v[1])), i) for i, v in vectors if i != query]
+            best = sorted(scores, key=lambda hit: (-hit[0], hit[1]))[:3]
+            wanted += [(query, n + 1, i, score) for n, (score, i) in enumerate(best)]
+    assert sorted(map(tuple, found)) == sorted(wanted)
+
+
+def test_equal_rows_are_dealt_to_many_chunks(spark):
+    draw = random.Random(2)
+    passage = random_text(draw, 45, 4000)
+    rows = [(1, passage)] * 2000 + [(i, random_text(draw, 50, 4000)) for i in range(2, 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marked = substrings.mark_repeats(docs, chunk_chars=20_000, shard_chars=50_000).collect()
+    assert len(marked) == len(rows)
+    assert all((r["_kept"] == "") == (r["doc_id"] == 1) for r in marked)
+    assert {s["total"] for r in marked for s in r["_spans"]} == {2000}
+
+
+def test_counts_beyond_sixteen_bits(spark):
+    docs = spark.createDataFrame([(1, "la " * 70_000), (2, "la " * 3000 + "so"), (3, "so so")], "doc_id long, text string")
+    marked = {r["doc_id"]: r for r in substrings.mark_repeats(docs).collect()}
+    assert {s["total"] for s in marked[1]["_spans"]} == {70_000 - 34 + 3000 - 34}
+    assert marked[2]["_kept"] == "so" and marked[3]["_kept"] == "so so"
+
+
+def test_rows_without_an_id_are_packed_in_many_tasks(spark):
+    texts = [f"text {i} " * (1 + i % 40) for i in range(3000)]
+    docs = spark.createDataFrame([(None if i % 3 else 5, t, f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    packed = packing.pack_documents(docs, batch_rows=50)
+    assert packed.count() == 3000
+    tasks = packed.groupBy(F.shiftright("bin_id", 40).alias("task")).count().collect()
+    assert len(tasks) > 4 and max(r["count"] for r in tasks) < 1500

@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from vectorloom.llm.native import bound, spaced_words
 from vectorloom.plans.ordering import number_rows
-from vectorloom.session import materialise, with_row_key
+from vectorloom.llm.rows import with_row_key
+from vectorloom.session import materialise
 
 KMER_WORDS = 3
 # A power of two.

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vectorloom.llm.rows import with_row_index
 from vectorloom.session import materialise
 
 CAPACITY = 2048
@@ -121,9 +122,11 @@ def pack_documents(
     )
     partitions = 1 + rows.count() // (8 * batch_rows)
     dealt = (
-        rows.where("n_words > 0")
-        .repartition(partitions, "doc_id")
-        .sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "source", "cluster", "n_words")
+        with_row_index(rows, "_place")
+        .where("n_words > 0")
+        .withColumn("_deal", F.xxhash64("doc_id", "_place"))  # rows of one id are parted as well
+        .repartition(partitions, "_deal")
+        .sortWithinPartitions("_deal", "doc_id", "source", "cluster", "n_words")
         .withColumn("place", F.spark_partition_id().cast("bigint") * F.lit(1 << 40))
     )
 

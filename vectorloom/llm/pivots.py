@@ -12,9 +12,10 @@ vector is in the index and every query meets every annulus that its bound does n
 
 Pivots come from a bounded sample (``SAMPLE_ROWS`` rows); they change speed, not results.
 
-Defined results: a vector that is null, empty, or holds a null or non-finite component takes no part, nor does
-one with another number of components than the most common; ties go to the smaller id; rows that repeat an
-id are separate candidates but for the query's own id; fewer than k candidates give fewer rows.
+Defined results: a vector that is null, empty, or holds a component that is null, not finite or beyond 62 bits
+when scaled takes no part, nor does one with another number of components than the most common; ties go to the
+smaller id; rows that repeat an id are separate candidates but for the query's own id, and each query row is
+answered; scores beyond 64 bits count as 2**63 - 1 or its negative; fewer than k candidates give fewer rows.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ INDEX = "pivot int, low double, high double, ids binary, vectors binary"
 def quantise(rows: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
     """``(id, vec)`` of the valid vectors, components ``floor(scale * x)`` as longs."""
     vectors = F.transform(vector_col, lambda x: x.cast("double"))
-    bad = F.exists("_v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    # Infinite components are beyond the range too.
+    bad = F.exists("_v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) >= 2.0**62 / scale))
     valid = (
         rows.select(F.col(id_col).cast("bigint").alias("id"), vectors.alias("_v"))
         .where(F.col("_v").isNotNull() & (F.size("_v") > 0) & F.col("id").isNotNull())
@@ -98,7 +100,7 @@ def build_index(vectors: DataFrame, pivots: int = PIVOTS, annulus_rows: int = AN
         return spark.createDataFrame([], INDEX), None, 0
     width = first["width"]
     vectors = vectors.where(F.size("vec") == width)
-    square = F.aggregate("vec", F.lit(0).cast("bigint"), lambda total, x: total + x * x)
+    square = F.aggregate("vec", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
     longest = vectors.agg(F.max(square)).first()[0]
     # About twice the sample passes the hash, so tasks send few rows however many there are.
     most = (2 * SAMPLE_ROWS << 40) // first["count"] + 1
@@ -165,8 +167,8 @@ _INDEX_TYPE = pa.schema(
 class _Best:
     """The k best of every query so far: scores descending, then ids ascending."""
 
-    def __init__(self, k: int, ids: np.ndarray, floor: np.ndarray):
-        self.k, self.ids, self.floor = k, ids, floor.copy()
+    def __init__(self, k: int, first: int, ids: np.ndarray, floor: np.ndarray):
+        self.k, self.first, self.ids, self.floor = k, first, ids, floor.copy()
         self.scores: dict[int, np.ndarray] = {}
         self.found: dict[int, np.ndarray] = {}
 
@@ -187,13 +189,15 @@ class _Best:
         queries = sorted(self.found)
         counts = [len(self.found[q]) for q in queries]
         none = [np.array([], np.int64)]
+        numbers = np.array(queries, np.int64)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.repeat(self.ids[queries] if queries else none[0], counts)),
+                pa.array(np.repeat(self.first + numbers, counts)),
+                pa.array(np.repeat(self.ids[numbers], counts)),
                 pa.array(np.concatenate([self.found[q] for q in queries] or none)),
                 pa.array(np.concatenate([self.scores[q] for q in queries] or none)),
             ],
-            ["query_id", "id", "score"],
+            ["query", "query_id", "id", "score"],
         )
 
 
@@ -203,46 +207,51 @@ def _read(batch: pa.RecordBatch, row: int, width: int) -> tuple[np.ndarray, np.n
     return ids, vectors
 
 
-HITS = "query_id bigint, id bigint, score bigint"
+HITS = "query bigint, query_id bigint, id bigint, score bigint"
+# Both can be negated.
+LONGS = (-(2**63 - 1), 2**63 - 1)
 
 
-def _search_block(index: DataFrame, space: Space, width: int, ids, queries, k: int) -> DataFrame:
-    """Hits of one block of queries: at most k per query and task."""
+def _search_block(index: DataFrame, space: Space, width: int, first: int, ids, queries, k: int) -> DataFrame:
+    """Hits of one block of queries, numbered from ``first``: at most k per query and task."""
     spark = index.sparkSession
-    exact = bool((np.abs(queries).max() if queries.size else 0) * np.sqrt(space.longest) * width < 2.0**52)
-    lowest = np.full(len(ids), np.iinfo(np.int64).min)
-    seeds = spark.sparkContext.broadcast((ids, queries, exact))
+    # No product, nor the distances' error, is larger.
+    largest = float(np.abs(queries).max() if queries.size else 0) * np.sqrt(space.longest) * width
+    lowest = np.full(len(ids), LONGS[0])
+    seeds = spark.sparkContext.broadcast((ids, queries, largest))
 
-    def scores(queries: np.ndarray, vectors: np.ndarray, exact: bool) -> np.ndarray:
-        if exact:  # products of doubles are whole numbers below 2**53
+    def scores(queries: np.ndarray, vectors: np.ndarray, largest: float) -> np.ndarray:
+        if largest < 2.0**52:  # products of doubles are whole numbers below 2**53
             return (queries.astype(np.float64) @ vectors.T.astype(np.float64)).astype(np.int64)
-        return queries @ vectors.T
+        if largest < 2.0**62:
+            return queries @ vectors.T
+        return np.clip(queries.astype(object) @ vectors.T.astype(object), *LONGS).astype(np.int64)
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, matrix, exact = seeds.value
-        best = _Best(k, known, lowest)
-        place = {int(q): i for i, q in enumerate(known.tolist())}
+        known, matrix, largest = seeds.value
+        best = _Best(k, first, known, lowest)
+        places: dict[int, list[int]] = {}
+        for number, query in enumerate(known.tolist()):
+            places.setdefault(query, []).append(number)
         for batch in batches:
             for row in range(batch.num_rows):
                 members, vectors = _read(batch, row, width)
-                own = [place[m] for m in members.tolist() if m in place]
+                own = sorted({number for m in members.tolist() for number in places.get(m, ())})
                 if own:
-                    for query, line in zip(own, scores(matrix[own], vectors, exact), strict=True):
+                    for query, line in zip(own, scores(matrix[own], vectors, largest), strict=True):
                         best.add(query, members, line)
         yield best.batch()
 
-    first = index.mapInArrow(home, HITS).groupBy("query_id").agg(
-        F.count("*").alias("n"), F.min("score").alias("floor")
-    )
+    # The hits at home of a query come from several tasks: the k-th best of all of them is the bound.
+    near = _ranked(index.mapInArrow(home, HITS), k).where(F.col("rank") == k)
     floors = lowest.copy()
-    place = {int(q): i for i, q in enumerate(ids.tolist())}
-    for row in first.where(F.col("n") >= k).toLocalIterator():  # one row per query of the block
-        floors[place[row["query_id"]]] = row["floor"]
-    shared = spark.sparkContext.broadcast((space, ids, queries, exact, floors))
+    for row in near.select("query", "score").toLocalIterator():  # one row per query of the block
+        floors[row["query"] - first] = row["score"]
+    shared = spark.sparkContext.broadcast((space, ids, queries, largest, floors))
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, known, matrix, exact, floors = shared.value
-        best = _Best(k, known, floors)
+        space, known, matrix, largest, floors = shared.value
+        best = _Best(k, first, known, floors)
         away = space.query_distances(matrix.astype(np.float64))
         own = (matrix.astype(np.float64) ** 2).sum(axis=1)
         for batch in batches:
@@ -259,7 +268,7 @@ def _search_block(index: DataFrame, space: Space, width: int, ids, queries, k: i
                 members, vectors = _read(batch, row, width)
                 for start in range(0, len(asks), 1024):
                     part = asks[start : start + 1024]
-                    lines = scores(matrix[part], vectors, exact)
+                    lines = scores(matrix[part], vectors, largest)
                     for at in np.flatnonzero((lines >= best.floor[part][:, None]).any(axis=1)).tolist():
                         best.add(int(part[at]), members, lines[at])
         yield best.batch()
@@ -287,16 +296,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS)
     Both sides are ``(id, vec)`` of whole numbers; queries are a subset of the vectors.
     """
     index, space, width = build_index(vectors, pivots)
-    ranked = vectors.sparkSession.createDataFrame([], "query_id bigint, id bigint, score bigint, rank int")
+    ranked = vectors.sparkSession.createDataFrame([], f"{HITS}, rank int")
     if space is not None:
-        asked = queries.where(F.size("vec") == width).groupBy("id").agg(F.min("vec").alias("vec"))
+        asked, first = queries.where(F.size("vec") == width), 0
         for ids, matrix in _query_blocks(asked, width):
-            found = materialise(_search_block(index, space, width, ids, matrix, k), "hits")
+            found = materialise(_search_block(index, space, width, first, ids, matrix, k), "hits")
             ranked = ranked.unionByName(_ranked(found, k))
+            first += len(ids)
     return ranked.select("query_id", "rank", "id", "score")
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
     """The k best hits of every query; a task has given k at most."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

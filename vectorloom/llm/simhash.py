@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from vectorloom.llm.arrays import SPACED_WORD, lower_ascii, slices, small_batches
 from vectorloom.llm.components import connected_components
-from vectorloom.session import materialise, small_side
+from vectorloom.llm.rows import small_side
+from vectorloom.session import materialise
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4

@@ -41,12 +41,13 @@ from vectorloom.llm.arrays import (
     unpack,
     unpack_sorted,
 )
+from vectorloom.llm.rows import with_row_index
 
 WINDOW = 35
 CHUNK_CHARS = 2_000_000
 SHARD_CHARS = 16_000_000
 CHECK_BYTES = 2
-MAX_TOTAL = 65_535
+MAX_TOTAL = 2**32 - 1
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -56,7 +57,7 @@ ASKED = pa.schema(
     + [(name, pa.binary()) for name in ("keys", "checks", "counts")]
 )
 ANSWERED = pa.schema([("_chunk", pa.int32()), ("shard", pa.int32()), ("totals", pa.binary())])
-SPANS = "array<struct<start: int, n_words: int, total: int, digest: binary>>"
+SPANS = "array<struct<start: int, n_words: int, total: bigint, digest: binary>>"
 
 
 class _Rolling:
@@ -151,8 +152,9 @@ def mark_repeats(
     chunks, shards = 1 + chars // chunk_chars, 1 + chars // shard_chars
     columns = [c for c in docs.columns if c not in ("_n_words", "_spans", "_n_removed", "_kept", "_chunk")]
     others = [F.col(f"`{name}`") for name in columns]
-    chunk: Column = F.pmod(F.xxhash64(*others), F.lit(chunks)).cast("int")
-    dealt = docs.select(*others, chunk.alias("_chunk"))
+    # The place in the file parts equal rows, however many there are.
+    chunk: Column = F.pmod(F.xxhash64(*others, "_place"), F.lit(chunks)).cast("int")
+    dealt = with_row_index(docs.select(*others), "_place").select(*others, chunk.alias("_chunk"))
     asked = _ask(dealt, text_col, window, shards, check_bytes)
     return _apply(dealt, _answer(asked, check_bytes), text_col, window, check_bytes, layout)
 
@@ -165,7 +167,7 @@ def _ask(dealt: DataFrame, text_col: str, window: int, shards: int, check_bytes:
         chunk = key[0].as_py()
         _, keys, checks = _chunk_edges(table[text_col].to_pylist(), _Rolling(window, check_bytes))
         _, keys, checks, groups = _distinct(keys, checks)
-        counts = np.minimum(np.bincount(groups, minlength=len(keys)), MAX_TOTAL).astype(np.uint16)
+        counts = np.minimum(np.bincount(groups, minlength=len(keys)), MAX_TOTAL).astype(np.uint32)
         cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
         rows = [
             {
@@ -193,11 +195,11 @@ def _answer(asked: DataFrame, check_bytes: int) -> DataFrame:
         keys = [unpack_sorted(data, np.uint64) for data in table["keys"].to_pylist()]
         sizes = np.cumsum([0, *map(len, keys)])
         checks = np.concatenate([unpack(data, check_type) for data in table["checks"].to_pylist()])
-        counts = np.concatenate([unpack(data, np.uint16) for data in table["counts"].to_pylist()])
+        counts = np.concatenate([unpack(data, np.uint32) for data in table["counts"].to_pylist()])
         order, found, _, groups = _distinct(np.concatenate(keys), checks)
         sums = np.bincount(groups, weights=counts[order], minlength=len(found))
-        totals = np.empty(len(counts), np.uint16)
-        totals[order] = np.minimum(sums, MAX_TOTAL).astype(np.uint16)[groups]
+        totals = np.empty(len(counts), np.uint32)
+        totals[order] = np.minimum(sums, MAX_TOTAL).astype(np.uint32)[groups]
         rows = [
             {"_chunk": chunk, "shard": key[0].as_py(), "totals": pack(totals[a:b])}
             for chunk, a, b in zip(table["chunk"].to_pylist(), sizes[:-1], sizes[1:], strict=True)
@@ -231,7 +233,7 @@ def _apply(
         schema = schema.add(field)
     span_type = pa.list_(
         pa.struct(
-            [("start", pa.int32()), ("n_words", pa.int32()), ("total", pa.int32()), ("digest", pa.binary())]
+            [("start", pa.int32()), ("n_words", pa.int32()), ("total", pa.int64()), ("digest", pa.binary())]
         )
     )
 
@@ -239,10 +241,10 @@ def _apply(
         texts = table[text_col].to_pylist()
         lengths, keys, checks = _chunk_edges(texts, _Rolling(window, check_bytes))
         order, found, _, groups = _distinct(keys, checks)
-        totals = np.zeros(len(keys), np.uint16)
+        totals = np.zeros(len(keys), np.uint32)
         if len(found):
             parts = reply.sort_by("shard")["totals"].to_pylist()
-            totals[order] = np.concatenate([unpack(data, np.uint16) for data in parts])[groups]
+            totals[order] = np.concatenate([unpack(data, np.uint32) for data in parts])[groups]
         n_words, n_removed, kept_texts, all_spans = [], [], [], []
         at = 0
         for text, length in zip(texts, lengths, strict=True):
