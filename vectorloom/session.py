@@ -8,9 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", name: str = "vectorloom", **conf: str) -> SparkSession:
@@ -100,25 +98,3 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def with_row_key(df: DataFrame, name: str = "_row_key") -> DataFrame:
-    """``df`` with a key of each row that every later read finds again.
-
-    Rows of stored files, unchanged in number, are named by their file and place in it, without a copy. Any
-    other table is written first.
-    """
-    try:
-        stored = df.select(*df.columns, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_at"))
-        stored.schema  # noqa: B018  resolves the columns
-    except AnalysisException:
-        return materialise(df.withColumn(name, F.monotonically_increasing_id()), "rows")
-    files = stored.select("_path").distinct().coalesce(1).withColumn("_file", F.monotonically_increasing_id())
-    files = materialise(files, "files")  # one row per file
-    key = F.shiftleft("_file", 40).bitwiseOR(F.col("_at"))
-    return stored.join(F.broadcast(files), "_path").select(*df.columns, key.alias(name))
-
-
-def small_side(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
-    """A written table of a few numbers a row, to be broadcast in a join if it has at most ``rows`` rows."""
-    return F.broadcast(df) if df.count() <= rows else df
