@@ -35,6 +35,7 @@ one says so; other columns of documents, whatever their names, do not matter and
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 
@@ -235,13 +236,15 @@ def _split(owner: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def count_bigrams(trusted: DataFrame, shared: Broadcast, shards: int) -> DataFrame:
-    """``(shard, key, n, before, word)`` of all bigrams of trusted text, a row for each distinct one.
+    """All bigrams of trusted text, in shards: ``(shard, key, n, part, tail)``.
 
-    ``shared`` holds the frequent words. ``before`` and ``word`` name the words of a bigram with a rarer one, by
-    number or (negative) by hash; bigrams of frequent words have none.
+    ``shared`` holds the frequent words. A bigram of two of them is a row with its key and count. Bigrams with a
+    rarer word are packed, one ``part`` a shard: those with a rarer word are counted in the shard of that word (so
+    there its distinct contexts are known), those with a rarer context in the shard of the context. A bigram of two
+    rarer words is in both; the shard of its word sends a ``tail`` with the word's contexts to that of its context.
     """
     asked = pa.schema(
-        [("shard", pa.int32())] + [(name, pa.binary()) for name in ("keys", "counts", "before", "word")]
+        [("shard", pa.int32())] + [(name, pa.binary()) for name in ("keys", "counts", "before", "word", "by_context")]
     )
 
     def flush(held: list[np.ndarray], rarer: list[tuple]) -> pa.RecordBatch:
@@ -251,9 +254,20 @@ def count_bigrams(trusted: DataFrame, shared: Broadcast, shards: int) -> DataFra
             for shard, at in _split(shard_of(keys, shards), shards)
         ]
         before, word, counts = _summed(*(np.concatenate(part) for part in zip(*rarer, strict=True)))
-        for shard, at in _split(place_of(pair_hash(before, word), shards)[0], shards):
-            packed = {"before": pack_sorted(before[at]), "word": pack(word[at]), "counts": pack(counts[at])}
-            rows.append({"shard": shard, **packed})
+        for by_context, owner in ((b"", word), (b"1", before)):
+            mine = np.flatnonzero(owner >= RARER)
+            mine = mine[np.argsort(owner[mine], kind="stable")]
+            other = (word if by_context else before)[mine]
+            for shard, at in _split(word_place(owner[mine], shards)[0], shards):
+                rows.append(
+                    {
+                        "shard": shard,
+                        "by_context": by_context,
+                        "before" if by_context else "word": pack_sorted(owner[mine][at]),
+                        "word" if by_context else "before": pack(other[at]),
+                        "counts": pack(counts[mine][at]),
+                    }
+                )
         return pa.RecordBatch.from_pylist(rows, asked)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,32 +289,143 @@ def count_bigrams(trusted: DataFrame, shared: Broadcast, shards: int) -> DataFra
             yield flush(held, rarer)
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
-        columns = {name: table[name].to_pylist() for name in asked.names[1:]}
-        plain = [n for n, data in enumerate(columns["keys"]) if data is not None]
-        other = [n for n, data in enumerate(columns["keys"]) if data is None]
-        keys = _all(unpack_sorted(columns["keys"][n], np.uint32) for n in plain).astype(np.uint32)
-        counts = _all(unpack(columns["counts"][n], np.uint32) for n in plain)
+        rows = table.to_pylist()
+        plain = [row for row in rows if row["keys"] is not None]
+        keys = _all(unpack_sorted(row["keys"], np.uint32) for row in plain).astype(np.uint32)
+        counts = _all(unpack(row["counts"], np.uint32) for row in plain)
         found, groups = np.unique(keys, return_inverse=True)
         sums = np.bincount(groups, weights=counts, minlength=len(found)).astype(np.int64)
-        before, word, times = _summed(
-            _all(unpack_sorted(columns["before"][n], np.uint64) for n in other).astype(np.uint64),
-            _all(unpack(columns["word"][n], np.uint64) for n in other).astype(np.uint64),
-            _all(unpack(columns["counts"][n], np.uint32) for n in other),
-        )
-        own = place_of(pair_hash(before, word), shards)[1].astype(np.int64)
-        none = pa.nulls(len(found), pa.int64())
-        return pa.table(
-            {
-                "shard": np.full(len(found) + len(own), key[0].as_py(), np.int32),
-                "key": np.concatenate([found.astype(np.int64), own]),
-                "n": np.concatenate([sums, times.astype(np.int64)]),
-                "before": pa.concat_arrays([none, pa.array(before.view(np.int64))]),
-                "word": pa.concat_arrays([none, pa.array(word.view(np.int64))]),
-            }
+        by_word = _collected([row for row in rows if row["by_context"] == b""], "before", "word")
+        by_context = _collected([row for row in rows if row["by_context"] == b"1"], "word", "before")
+        part, tails = pack_part(by_word, by_context, shards)
+        own = key[0].as_py()
+        more = [{"shard": own, "part": part}] + [{"shard": to, "tail": tail} for to, tail in tails]
+        plain = pa.table({"shard": np.full(len(found), own, np.int32), "key": found.astype(np.int64), "n": sums})
+        return pa.concat_tables([plain, pa.Table.from_pylist(more, _COUNTED_TYPE)], promote_options="default")
+
+    sent = trusted.select("text").mapInArrow(count, "shard int, " + ", ".join(f"{f.name} binary" for f in list(asked)[1:]))
+    return sent.groupBy("shard").applyInArrow(add, "shard int, key bigint, n bigint, part binary, tail binary")
+
+
+_COUNTED_TYPE = pa.schema(
+    [("shard", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("part", pa.binary()), ("tail", pa.binary())]
+)
+
+
+def word_place(names: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shard of a rarer word, and its key there."""
+    return place_of(_mixed(names), shards)
+
+
+def _collected(rows: list[dict], other: str, owner: str) -> tuple:
+    """``(owner, other, n)`` of the bigrams that a shard got, summed and sorted by owner."""
+    owners = _all(unpack_sorted(row[owner], np.uint64) for row in rows).astype(np.uint64)
+    others = _all(unpack(row[other], np.uint64) for row in rows).astype(np.uint64)
+    return _summed(owners, others, _all(unpack(row["counts"], np.uint32) for row in rows))
+
+
+def _runs(owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct owners in order, and for each row the number of its owner."""
+    new = np.ones(len(owners), bool)
+    new[1:] = owners[1:] != owners[:-1]
+    return owners[new], np.cumsum(new) - 1
+
+
+def _numbered(names: np.ndarray) -> np.ndarray:
+    """Numbers of frequent words, zero for others."""
+    return np.where(names >= RARER, 0, names).astype(np.uint16)
+
+
+def pack_part(by_word: tuple, by_context: tuple, shards: int) -> tuple[bytes, list[tuple[int, bytes]]]:
+    """A shard's bigrams with rarer words, and the tails for other shards."""
+    word, before, n = by_word
+    words, at = _runs(word)
+    contexts = np.bincount(at, minlength=len(words))
+    plain = before < RARER
+    arrays = {
+        "words": words,
+        "contexts": contexts.astype(np.uint32),
+        "keys": place_of(pair_hash(before[plain], word[plain]), shards)[1],
+        "n": n[plain],
+        "before": _numbered(before[plain]),
+        "at": at[plain].astype(np.uint32),
+        "classes": np.array([(n == i).sum() for i in (1, 2, 3, 4)] + [n.sum(), len(n)], np.int64),
+    }
+    tails = []
+    both = np.flatnonzero(~plain)
+    if len(both):
+        keys = place_of(pair_hash(before[both], word[both]), shards)[1]
+        order = np.argsort(keys, kind="stable")
+        keys, both = keys[order], both[order]
+        for to, some in _split(word_place(before[both], shards)[0], shards):
+            tails.append((to, _bundle({"keys": keys[some], "contexts": contexts[at[both[some]]].astype(np.uint32)})))
+    before, word, n = by_context
+    befores, at = _runs(before)
+    frequent = n[word < RARER]
+    arrays |= {
+        "c_words": befores,
+        "c_n": np.bincount(at, weights=n, minlength=len(befores)).astype(np.uint32),
+        "c_keys": place_of(pair_hash(before, word), shards)[1],
+        "c_pair_n": n,
+        "c_word": _numbered(word),
+        "c_at": at.astype(np.uint32),
+        "c_classes": np.array([(frequent == i).sum() for i in (1, 2, 3, 4)] + [frequent.sum(), len(frequent)], np.int64),
+    }
+    for i in (1, 2, 3):
+        of_class = (n == i) if i < 3 else (n > 2)
+        arrays[f"c_n{i}"] = np.bincount(at[of_class], minlength=len(befores)).astype(np.uint32)
+    return _bundle(arrays), tails
+
+
+def _bundle(arrays: dict[str, np.ndarray]) -> bytes:
+    return pickle.dumps({name: (values.dtype.str, pack(values) if len(values) else b"") for name, values in arrays.items()})
+
+
+def _unbundle(data: bytes) -> dict[str, np.ndarray]:
+    return {
+        name: unpack(packed, np.dtype(kind).type) if packed else np.array([], kind)
+        for name, (kind, packed) in pickle.loads(data).items()
+    }
+
+
+class ShardPart:
+    """A shard's rarer words and the bigrams with them, ready to be looked up."""
+
+    def __init__(self, part: dict[str, np.ndarray], tails: list[dict[str, np.ndarray]], model: Model, shards: int):
+        lowest = model.lowest_of(part["contexts"].astype(np.int64))
+        self.words = self._table(word_place(part["words"], shards)[1], np.log(lowest) - math.log(model.share))
+        counts = np.stack([part[f"c_n{i}"] for i in (1, 2, 3)], axis=1).astype(np.int64).reshape(-1, 3)
+        totals = part["c_n"].astype(np.float64)
+        backoff = model.backoff_of(totals, counts)
+        self.contexts = self._table(word_place(part["c_words"], shards)[1], np.log(backoff))
+        # What the words of bigrams with a rarer context are worth: by number, or by the tails.
+        low = model.lowest[part["c_word"]].copy()
+        rarer = np.flatnonzero(part["c_word"] == 0)
+        keys = _all(tail["keys"] for tail in tails).astype(np.uint64)
+        known = _all(tail["contexts"] for tail in tails).astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        if len(rarer):
+            at = np.searchsorted(keys[order], part["c_keys"][rarer])
+            low[rarer] = model.lowest_of(known[order][at])
+        self.pairs = self._table(
+            np.concatenate([part["keys"], part["c_keys"]]),
+            np.concatenate([part["n"], part["c_pair_n"]]).astype(np.int64),
+            np.concatenate([model.backoff[part["before"]] * lowest[part["at"]], backoff[part["c_at"]] * low]),
+            np.concatenate([model.totals[part["before"]], totals[part["c_at"]]]),
         )
 
-    sent = trusted.select("text").mapInArrow(count, "shard int, keys binary, counts binary, before binary, word binary")
-    return sent.groupBy("shard").applyInArrow(add, "shard int, key bigint, n bigint, before bigint, word bigint")
+    @staticmethod
+    def _table(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+        order = np.argsort(keys, kind="stable")
+        return [column[order] for column in (keys, *values)]
+
+
+def matched(have: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys that a sorted array has, and where it has them."""
+    at = np.searchsorted(have, keys)
+    at[at == len(have)] = 0
+    found = np.flatnonzero(have[at] == keys) if len(have) else at[:0]
+    return found, at[found]
 
 
 def _all(parts) -> np.ndarray:
@@ -344,14 +469,21 @@ class Model:
         ones, twos, threes = low_classes[0], low_classes[1], distinct - low_classes[0] - low_classes[1]
         left = float(self.low[1] * ones + self.low[2] * twos + self.low[3] * threes) / self.bigrams
         self.share = (left if left > 0 else 1.0 / (self.bigrams + 1)) / (distinct + 1)
-        self.lowest = np.maximum(followers - self.low[np.minimum(followers, 3)], 0) / self.bigrams + self.share
+        self.lowest = self.lowest_of(followers)
         self.totals = contexts[:, 0].astype(np.float64)
-        mass = contexts[:, 1:].astype(np.float64) @ self.discounts[1:]
-        self.backoff = np.where(self.totals > 0, mass / np.maximum(self.totals, 1), 1.0)
-        self.backoff = np.where(self.backoff > 0, self.backoff, 1.0 / (self.totals + 1))
+        self.backoff = self.backoff_of(self.totals, contexts[:, 1:])
         self.hot_keys = np.array(sorted(hot), np.uint32)
         self.hot_counts = np.array([hot[key] for key in self.hot_keys.tolist()], np.int64)
 
+    def lowest_of(self, followers: np.ndarray) -> np.ndarray:
+        """Probability of words by the number of their distinct contexts."""
+        return np.maximum(followers - self.low[np.minimum(followers, 3)], 0) / self.bigrams + self.share
+
+    def backoff_of(self, totals: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Share that contexts leave to unseen words, by their total and their bigrams seen once, twice and more."""
+        left = np.where(totals > 0, classes.astype(np.float64) @ self.discounts[1:] / np.maximum(totals, 1), 1.0)
+        return np.where(left > 0, left, 1.0 / (totals + 1))
+
     def toxicity(self, words: list[str], trusted: bool) -> float:
         found = (self.toxic.get(word) for word in set(words)) if self.toxic else ()
         return float(sum(sorted(weights[trusted] for weights in found if weights)))
@@ -373,133 +505,81 @@ class Model:
 
 
 def train(rows: DataFrame, shards: int, size: int = FREQUENT) -> tuple[Model, DataFrame]:
-    """The model and the table of what is kept in shards: ``(shard, key, kind, n, a, b)``.
-
-    Of a bigram of frequent words (hot ones left out) its count; of a bigram with a rarer word its count, its
-    probability if unseen and its context's total; of a rarer word the logarithms of what it adds to the base of a
-    document as a word and as a context.
-    """
+    """The model and the table of what is kept in shards, bigrams of frequent words that are hot left out."""
     trusted = rows.where("trusted")
     spark = rows.sparkSession
     words = vocabulary(trusted, size)
     shared = spark.sparkContext.broadcast(words)
     table = materialise(count_bigrams(trusted, shared, shards), "bigrams")
     shared.destroy()
-    frequent = F.col("before").isNull()
-    names = table.select(
-        "shard",
-        "key",
-        "n",
-        frequent.alias("frequent"),
-        F.when(frequent, F.shiftright("key", 16)).otherwise(F.col("before")).alias("before"),
-        F.when(frequent, F.col("key").bitwiseAND(F.lit(0xFFFF).cast("bigint"))).otherwise(F.col("word")).alias("word"),
-    )
+    plain, width = table.where("key is not null"), len(words) + FIRST
     is_class = [(F.col("n") == n).cast("bigint") for n in (1, 2, 3, 4)]
-    one_row = names.agg(F.sum("n"), F.count("*"), *(F.sum(c) for c in is_class)).first()
-    seen, total, classes = one_row[0] or 0, one_row[1], [value or 0 for value in one_row[2:]]
-    by_context = materialise(
-        names.groupBy("before").agg(
-            F.sum("n").alias("n"),
-            F.sum(is_class[0]).alias("n1"),
-            F.sum(is_class[1]).alias("n2"),
-            F.sum((F.col("n") > 2).cast("bigint")).alias("n3"),
-        ),
-        "contexts",
-    )
-    by_word = materialise(names.groupBy("word").agg(F.count("*").alias("f")), "followers")
-    low = by_word.agg(F.count("*"), *(F.sum((F.col("f") == n).cast("bigint")) for n in (1, 2, 3, 4))).first()
-    contexts, followers = np.zeros((len(words) + FIRST, 4), np.int64), np.zeros(len(words) + FIRST, np.int64)
-    for row in by_context.where("before >= 0").collect():  # one row for each frequent word
-        contexts[row["before"]] = row[1:]
-    for row in by_word.where("word >= 0").collect():
-        followers[row["word"]] = row["f"]
-    often = F.col("frequent") & (F.col("n") * HOT > seen)
-    hot = {row["key"]: row["n"] for row in names.where(often).select("key", "n").collect()}
-    low_classes = [value or 0 for value in low[1:]]
-    model = Model(words, contexts, followers, classes, low_classes, total, low[0], hot, toxic_words(rows))
-    plain = names.where(F.col("frequent") & ~often).select(
-        "shard",
-        "key",
-        F.lit(FREQUENT_PAIR).alias("kind"),
-        "n",
-        F.lit(0.0).alias("a"),
-        F.lit(0.0).alias("b"),
-    )
-    return model, plain.unionByName(_rarer(names.where("not frequent"), by_context, by_word, model, shards))
-
-
-def _rarer(pairs: DataFrame, by_context: DataFrame, by_word: DataFrame, model: Model, shards: int) -> DataFrame:
-    """The rows of rarer words and of bigrams with them."""
-    lits = lambda values: F.array(*(F.lit(float(v)) for v in values))
-    low = F.element_at(lits(model.low), (F.least("f", F.lit(3)) + 1).cast("int"))
-    lowest = F.greatest(F.col("f") - low, F.lit(0.0)) / model.bigrams + model.share
-    mass = sum((F.col(f"n{i}") * float(model.discounts[i]) for i in (2, 3)), F.col("n1") * float(model.discounts[1]))
-    backoff = F.when(mass > 0, mass / F.col("n")).otherwise(1.0 / (F.col("n") + 1))
-    left = materialise(
-        by_context.where("before < 0").select(
-            F.col("before").alias("_before"), backoff.alias("_backoff"), F.col("n").cast("double").alias("_total")
-        ),
-        "contexts",
-    )
-    right = materialise(by_word.where("word < 0").select(F.col("word").alias("_word"), lowest.alias("_lowest")), "followers")
-    # A frequent word looks for a number that no rarer one has, each time another, so it fills no task.
-    free = F.abs(F.shiftright(F.xxhash64("before", "word"), 1))
-    pairs = pairs.withColumns(
-        {
-            "_u": F.when(F.col("before") < 0, F.col("before")).otherwise(free),
-            "_v": F.when(F.col("word") < 0, F.col("word")).otherwise(free),
-        }
+    # Sums over the rarer words' parts: those by frequent word or context (one row each), and those of all.
+    parts = materialise(table.where("part is not null").select("part").mapInArrow(_part_sums, _SUMS_OF_PARTS), "sums")
+    added = parts.groupBy("what", "number").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(6)))
+    total = np.zeros(6, np.int64)  # n, bigrams, bigrams seen 1 to 4 times
+    low = np.zeros(5, np.int64)  # words, words with 1 to 4 contexts
+    contexts, followers = np.zeros((width, 4), np.int64), np.zeros(width, np.int64)
+    for row in added.toLocalIterator():  # at most two rows for each frequent word
+        sums = np.array(row[2:], np.int64)
+        if row["what"] == "all":
+            total += sums
+        elif row["what"] == "words":
+            low += sums[:5]
+        elif row["what"] == "context":
+            contexts[row["number"]] += sums[:4]
+        else:
+            followers[row["number"]] += sums[0]
+    one_row = plain.agg(F.sum("n"), F.count("*"), *(F.sum(c) for c in is_class)).first()
+    total += np.array([value or 0 for value in one_row], np.int64)
+    before, word = F.shiftright("key", 16), F.col("key").bitwiseAND(F.lit(0xFFFF).cast("bigint"))
+    by_context = plain.groupBy(before.alias("w")).agg(
+        F.sum("n"), F.sum(is_class[0]), F.sum(is_class[1]), F.sum((F.col("n") > 2).cast("bigint"))
     )
-    joined = pairs.join(left, F.col("_u") == F.col("_before"), "left").join(right, F.col("_v") == F.col("_word"), "left")
-    shared = pairs.sparkSession.sparkContext.broadcast((model.backoff, model.totals, model.lowest))
-
-    def number(column: pa.Array) -> np.ndarray:
-        return column.to_numpy(zero_copy_only=False)
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        backoff, totals, lowest = shared.value
-        for batch in batches:
-            before, word = number(batch.column("before")), number(batch.column("word"))
-            u, v = np.maximum(before, 0), np.maximum(word, 0)
-            own = np.where(before < 0, number(batch.column("_backoff")), backoff[u])
-            total = np.where(before < 0, number(batch.column("_total")), totals[u])
-            unseen = own * np.where(word < 0, number(batch.column("_lowest")), lowest[v])
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "shard": batch.column("shard"),
-                    "key": batch.column("key"),
-                    "kind": pa.array(np.full(len(u), RARER_PAIR, np.int32)),
-                    "n": batch.column("n"),
-                    "a": pa.array(unseen),
-                    "b": pa.array(total),
-                }
-            )
-
-    schema = "shard int, key bigint, kind int, n bigint, a double, b double"
-    filled = joined.select("shard", "key", "n", "before", "word", "_backoff", "_total", "_lowest").mapInArrow(fill, schema)
-    both = left.join(right, F.col("_before") == F.col("_word"), "full")
-    named = both.select(
-        F.coalesce("_word", "_before").alias("id"),
-        (F.log(F.coalesce("_lowest", F.lit(model.share))) - math.log(model.share)).alias("a"),
-        F.log(F.coalesce("_backoff", F.lit(1.0))).alias("b"),
+    for row in by_context.collect():  # one row for each frequent word
+        contexts[row[0]] += np.array(row[1:], np.int64)
+    for row in plain.groupBy(word.alias("w")).count().collect():
+        followers[row[0]] += row[1]
+    low += np.array([(followers > 0).sum()] + [(followers == n).sum() for n in (1, 2, 3, 4)], np.int64)
+    often = F.col("n") * HOT > int(total[0])
+    hot = {row["key"]: row["n"] for row in plain.where(often).select("key", "n").collect()}
+    model = Model(
+        words, contexts, followers, total[2:].tolist(), low[1:].tolist(), int(total[1]), int(low[0]), hot, toxic_words(rows)
     )
+    return model, table.where(F.col("key").isNull() | ~often)
+
+
+_SUMS_OF_PARTS = "what string, number int, " + ", ".join(f"s{i} bigint" for i in range(6))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shard, keys = place_of(_mixed(number(batch.column("id")).astype(np.int64).view(np.uint64)), shards)
-            size = len(keys)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "shard": pa.array(shard.astype(np.int32)),
-                    "key": pa.array(keys.astype(np.int64)),
-                    "kind": pa.array(np.full(size, RARER_WORD, np.int32)),
-                    "n": pa.array(np.zeros(size, np.int64)),
-                    "a": batch.column("a"),
-                    "b": batch.column("b"),
-                }
-            )
 
-    return filled.unionByName(named.mapInArrow(place, schema))
+def _part_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the bigrams with rarer words add: to totals, to frequent contexts, and to frequent words."""
+
+    def rows(what: str, numbers: np.ndarray, *sums: np.ndarray) -> pa.RecordBatch:
+        none = np.zeros(len(numbers), np.int64)
+        columns = [*sums, *[none] * (6 - len(sums))]
+        return pa.RecordBatch.from_pydict(
+            {"what": pa.array([what] * len(numbers), pa.string()), "number": pa.array(numbers.astype(np.int32))}
+            | {f"s{i}": pa.array(np.asarray(column).astype(np.int64)) for i, column in enumerate(columns)}
+        )
+
+    one = np.zeros(1, np.int32)
+    for batch in batches:
+        for data in batch.column("part").to_pylist():
+            part = _unbundle(data)
+            sums = part["classes"] + part["c_classes"]
+            yield rows("all", one, *([sums[i]] for i in (4, 5, 0, 1, 2, 3)))
+            held = part["contexts"]
+            yield rows("words", one, [len(held)], *([(held == i).sum()] for i in (1, 2, 3, 4)))
+            numbers, n = part["before"], part["n"].astype(np.int64)
+            known = np.unique(numbers)
+            size = int(known.max(initial=0)) + 1
+            classes = (n == 1, n == 2, n > 2)
+            of = [np.bincount(numbers, weights=n, minlength=size)] + [np.bincount(numbers[c], minlength=size) for c in classes]
+            yield rows("context", known, *(column[known] for column in of))
+            numbers = part["c_word"][part["c_word"] > 0]
+            known = np.unique(numbers)
+            yield rows("word", known, np.bincount(numbers)[known] if len(known) else known)
 
 
 _ASKED_NAMES = ("docs", "keys", "owners", "counts", "as_context", "trusted")
@@ -525,8 +605,11 @@ def score(docs: DataFrame, shared: Broadcast, counts: DataFrame, shards: int) ->
         times = [_all(part[n] for part in held).astype(np.uint32) for n in (1, 2)]
         if kind == FREQUENT_PAIR:
             shard = shard_of(keys, shards)
-        else:
-            shard, keys = place_of(keys, shards)
+        elif kind == RARER_WORD:
+            shard, keys = word_place(keys, shards)
+        else:  # bigrams are looked up with their context, or their word if only that is rarer
+            shard = word_place(_all(part[3] for part in held).astype(np.uint64), shards)[0]
+            keys = place_of(keys, shards)[1]
         order = np.argsort(keys, kind="stable")
         return shard[order], keys[order], owners[order], [t[order] for t in times]
 
@@ -578,13 +661,15 @@ def score(docs: DataFrame, shared: Broadcast, counts: DataFrame, shards: int) ->
                         n = n - times[hot] if trusted else n
                         base += float((known.gain(keys[hot], n) * times[hot]).sum())
                     held[FREQUENT_PAIR].append((keys[~hot], times[~hot], times[~hot], len(heads)))
-                    pairs, times = np.unique(pair_hash(*rarer_pairs(names)), return_counts=True)
-                    held[RARER_PAIR].append((pairs, times, times, len(heads)))
+                    before, word = rarer_pairs(names)
+                    pairs, first, times = np.unique(pair_hash(before, word), return_index=True, return_counts=True)
+                    owner = np.where(before >= RARER, before, word)[first]
+                    held[RARER_PAIR].append((pairs, times, times, owner, len(heads)))
                     rarer, where = np.unique(names[names >= RARER], return_inverse=True)
                     followed = (names[:-1] >= RARER)[names[:-1] >= RARER]
                     as_context = np.bincount(where[: len(followed)], minlength=len(rarer))
                     as_word = np.bincount(where, minlength=len(rarer))
-                    held[RARER_WORD].append((_mixed(rarer), as_word, as_context, len(heads)))
+                    held[RARER_WORD].append((rarer, as_word, as_context, len(heads)))
                 heads.append((doc, lang, trusted, len(found), base, toxicity))
                 size += len(found) + 20
                 if size >= CHUNK_WORDS:
@@ -595,13 +680,13 @@ def score(docs: DataFrame, shared: Broadcast, counts: DataFrame, shards: int) ->
 
     def join(key: tuple, asked: pa.Table, table: pa.Table) -> pa.Table:
         known = shared.value
-        kinds = table["kind"].to_numpy()
-        tables = {}
-        for kind in (FREQUENT_PAIR, RARER_PAIR, RARER_WORD):
-            part = table.filter(pa.array(kinds == kind))
-            have = part["key"].to_numpy()
-            order = np.argsort(have, kind="stable")
-            tables[kind] = [have[order]] + [part[name].to_numpy()[order] for name in ("n", "a", "b")]
+        plain = table.filter(table["key"].is_valid())
+        have, numbers = plain["key"].to_numpy(), plain["n"].to_numpy()
+        order = np.argsort(have, kind="stable")
+        have, numbers = have[order], numbers[order]
+        parts = [_unbundle(data) for data in table["part"].drop_null().to_pylist()]
+        tails = [_unbundle(data) for data in table["tail"].drop_null().to_pylist()]
+        rarer = ShardPart(parts[0], tails, known, shards) if parts else None
         rows = []
         for chunk, kind, docs, keys, owners, times, as_context, trusted in zip(
             *(asked[name].to_pylist() for name in ("chunk", "kind", *_ASKED_NAMES)), strict=True
@@ -609,23 +694,23 @@ def score(docs: DataFrame, shared: Broadcast, counts: DataFrame, shards: int) ->
             if docs is not None:
                 rows.append({"chunk": chunk, "docs": docs})
                 continue
-            have, n, a, b = tables[kind]
-            keys = unpack_sorted(keys, np.uint32 if kind == FREQUENT_PAIR else np.uint64).astype(np.int64)
+            keys = unpack_sorted(keys, np.uint32 if kind == FREQUENT_PAIR else np.uint64)
             owners = unpack(owners, np.uint32)
             times = unpack(times, np.uint32).astype(np.int64)
-            at = np.searchsorted(have, keys)
-            at[at == len(have)] = 0
-            found = np.flatnonzero(have[at] == keys) if len(have) else at[:0]
-            at, owners, times = at[found], owners[found], times[found]
-            if kind == RARER_WORD:
-                gains = a[at] * times + b[at] * unpack(as_context, np.uint32)[found]
-            else:
-                own = np.unpackbits(np.frombuffer(trusted, np.uint8))[owners].astype(np.int64)
-                left = n[at] - own * times
-                if kind == FREQUENT_PAIR:
-                    gains = known.gain(keys[found].astype(np.uint32), left) * times
-                else:
-                    gains = known.above(left, a[at], b[at]) * times
+            own = np.unpackbits(np.frombuffer(trusted, np.uint8))[owners].astype(np.int64) * times
+            gains = np.zeros(len(keys))
+            if kind == FREQUENT_PAIR:
+                found, at = matched(have, keys.astype(np.int64))
+                gains[found] = known.gain(keys[found], numbers[at] - own[found]) * times[found]
+            elif rarer and kind == RARER_PAIR:
+                found, at = matched(rarer.pairs[0], keys)
+                _, n, unseen, totals = rarer.pairs
+                gains[found] = known.above(n[at] - own[found], unseen[at], totals[at]) * times[found]
+            elif rarer:
+                found, at = matched(rarer.words[0], keys)
+                gains[found] = rarer.words[1][at] * times[found]
+                found, at = matched(rarer.contexts[0], keys)
+                gains[found] += rarer.contexts[1][at] * unpack(as_context, np.uint32)[found]
             sums = np.bincount(owners, weights=gains)
             rows.append({"chunk": chunk, "sums": pack(sums.astype(np.float64))})
         return pa.Table.from_pylist(rows, _SUMS_TYPE)
