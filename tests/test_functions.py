@@ -116,3 +116,15 @@ def test_optimal_batch_size_limits(spark):
 
     assert size(1) == 512 and size(10_000_000) == 16 and size(20_000) == 73
     assert optimal_batch_size(spark.createDataFrame([], "token_count int")).head()[0] == 16
+
+
+def test_history_of_equal_turns_is_the_same_on_every_run(spark):
+    from vectorloom.operators import conversations
+
+    rows = [(1, 5, "user", f"text {i}") for i in range(30)] + [(1, 6, "user", "last")]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {
+        tuple((r["position"], r["text"]) for r in conversations.recent_history(messages.repartition(n), 4).orderBy("position").collect())
+        for n in (1, 3, 7)
+    }
+    assert len(found) == 1 and found.pop()[-1] == (4, "last")

@@ -17,11 +17,13 @@ PREVIEW_CHARS = 50
 def recent_history(messages: DataFrame, limit: int = CHAT_HISTORY) -> DataFrame:
     """Last messages of every conversation; ``position`` keeps their order from 1.
 
-    The limit is applied map-side, so a very long conversation moves ``limit`` rows per task.
+    The limit is applied map-side, so a very long conversation moves ``limit`` rows per task. Messages of an equal
+    turn are ordered by a hash of their columns, so a repeated run keeps the same ones.
     """
-    newest = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
+    tie = F.xxhash64(*(F.col(f"`{column}`") for column in messages.columns))
+    newest = Window.partitionBy("conv_id").orderBy(F.col("turn").desc(), tie.desc())
     kept = messages.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= limit)
-    oldest = Window.partitionBy("conv_id").orderBy("turn")
+    oldest = Window.partitionBy("conv_id").orderBy("turn", tie)
     return kept.withColumn("position", F.row_number().over(oldest)).drop("_n")
 
 

@@ -28,8 +28,6 @@ def stream_replay(
     the last operations per key, outside the JVM heap. Each micro-batch replaces its own folder, so a
     repeated one does no harm.
     """
-    log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-
     def commit(batch: DataFrame, number: int) -> None:
         changed = batch.withColumn("batch", F.lit(number))
         changed.write.mode("overwrite").parquet(f"{path}/part-{number}")
@@ -40,7 +38,14 @@ def stream_replay(
         .foreachBatch(commit)
         .option("checkpointLocation", checkpoint)
     )
-    return commit_policy(writer, continuous).start()
+    # A query takes the session's settings when it starts; other queries keep theirs.
+    conf, name = log.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, ROCKSDB)
+    try:
+        return commit_policy(writer, continuous).start()
+    finally:
+        conf.set(name, before)
 
 
 def read_replay(spark: SparkSession, path: str, key: str = "chunk_id") -> DataFrame:
