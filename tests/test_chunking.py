@@ -1,5 +1,7 @@
 """Chunk rules on CJK and edge-case texts, which the driver's tables do not hold."""
 
+import tracemalloc
+
 import duckdb
 import pandas as pd
 import pytest
@@ -7,7 +9,15 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from vectorloom.catalog import text_queries as sql
-from vectorloom.operators.chunking import chunk_by_size, chunk_documents, split_text
+from vectorloom.operators.chunking import (
+    _nested_chunks,
+    chunk_by_size,
+    chunk_documents,
+    chunk_files,
+    split_text,
+)
+from vectorloom.sources.byte_streams import read_pieces
+from vectorloom.sources.files import scan_knowledge_files
 
 SIZE, OVERLAP = 1000, 100
 
@@ -144,3 +154,51 @@ def test_by_size_switches_mode(spark):
     for row in chunk_by_size(rows, cap=50).orderBy("chunk_index").collect():
         got.setdefault(row["doc_id"], []).append(row["content"])
     assert got == {1: chunks(text), 2: chunks(text, "nested")}
+
+
+@settings(max_examples=60, deadline=None)
+@given(TEXTS, st.integers(1, 700))
+def test_pieces_give_the_chunks_of_the_whole_text(text, width):
+    pieces = [text[i : i + width] for i in range(0, len(text), width)]
+    assert list(_nested_chunks(pieces, SIZE, OVERLAP)) == chunks(text, "nested")
+
+
+def test_characters_cut_by_a_piece(tmp_path):
+    text = "a字é😀" * 50
+    (tmp_path / "f").write_text(text, encoding="utf-8")
+    for width in (1, 2, 3, 7, 1000):
+        assert "".join(read_pieces(f"file:{tmp_path}/f", width)) == text
+    (tmp_path / "f").write_bytes(b"a\xff\xe5")
+    assert "".join(read_pieces(str(tmp_path / "f"), 1)) == "a\ufffd\ufffd"
+
+
+def test_large_files_are_chunked_without_being_held(spark, tmp_path):
+    sentence = "Ein Satz mit Wörtern, 字 und 😀. "
+    (tmp_path / "big one%20.md").write_text(sentence * 250_000, encoding="utf-8")
+    (tmp_path / "small.md").write_text(sentence * 60, encoding="utf-8")
+    (tmp_path / "empty.md").write_text("")
+    files = scan_knowledge_files(spark, str(tmp_path)).selectExpr("path", "length", "7 AS doc_id", "'t' AS title")
+    files = files.unionByName(files.where("path LIKE '%small%'").selectExpr(
+        "path", "CAST(NULL AS bigint) AS length", "8 AS doc_id", "title"))
+    files = files.unionByName(spark.createDataFrame([(None, 5, 9, "t")], files.schema))
+    got = {}
+    for row in chunk_files(files, cap=5_000).orderBy("doc_id", "path", "chunk_index").collect():
+        found = got.setdefault((row["doc_id"], row["path"].rsplit("/", 1)[1]), [])
+        found.append(row["content"])
+        assert row["chunk_id"] == f"{row['doc_id']}_chunk_{len(found)}" and row["title"] == "t"
+    assert got == {
+        (7, "big one%20.md"): chunks(sentence * 250_000, "nested"),
+        (7, "small.md"): chunks(sentence * 60),
+        (8, "small.md"): chunks(sentence * 60),
+    }
+
+
+def test_memory_of_a_large_file_is_bounded(tmp_path):
+    with open(tmp_path / "f", "w") as out:
+        for _ in range(30):
+            out.write("no break at all " * 65_536)
+    tracemalloc.start()
+    count = sum(1 for _ in _nested_chunks(read_pieces(str(tmp_path / "f")), SIZE, OVERLAP))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count > 30_000 and peak < 12 << 20

@@ -1,5 +1,8 @@
 import json
+import tracemalloc
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vectorloom.operators.routing import (
@@ -9,8 +12,8 @@ from vectorloom.operators.routing import (
 )
 from vectorloom.plans import pipelines
 from vectorloom.operators.store import as_store_rows
-from vectorloom.schemas import STORE_ROW
-from vectorloom.sources import files, records
+from vectorloom.schemas import FORM_FIELDS, STORE_ROW
+from vectorloom.sources import byte_streams, files, records
 
 
 def _tree(tmp_path):
@@ -57,6 +60,86 @@ def test_form_envelopes(spark, tmp_path):
     assert by_file["single.json"] == full[:1]
 
 
+def _by_file(rows):
+    found = {}
+    for row in sorted(rows, key=lambda row: row["position"]):
+        values = tuple(row[name] for name in FORM_FIELDS)
+        found.setdefault(row["file_path"].rsplit("/", 1)[1], []).append((row["position"], values))
+    return found
+
+
+def test_large_form_files_give_the_records_of_small_ones(spark, tmp_path):
+    hard = RECORDS + [
+        {"form_id": 'q"]},{ \\', "form_name": "\\\\", "more": {"RECORDS": [1, {"a": [2]}]}},
+        {"FK_NYLQ_NUMBER": 12, "FK_NYLQ_STRUCTURE_TAG": "<a b=\"c\">\n字</a>"},
+    ]
+    cases = {
+        "first": {"RECORDS": hard, "data": RECORDS},
+        "behind": {"x": {"RECORDS": [1]}, "data": RECORDS, "n": [[1], 2], "RECORDS": hard},
+        "nolist": {"RECORDS": 5, "forms": hard},
+        "bare": hard,
+        "single": {"form_id": "one", "other": [1, 2]},
+        "none": {"RECORDS": []},
+        "numbers": [1, "two", None, RECORDS[0]],
+        "blank": [],
+    }
+    for name, value in cases.items():
+        for indent in (None, 2):
+            path = tmp_path / f"{name}{indent}.json"
+            path.write_text(json.dumps(value, indent=indent, ensure_ascii=indent == 2), encoding="utf-8")
+    whole = _by_file(records.scan_form_records(spark, str(tmp_path)).collect())
+    assert len(whole) == 2 * (len(cases) - 2)
+    assert _by_file(records.scan_form_records(spark, str(tmp_path), cap=0).collect()) == whole
+    mixed = (tmp_path / "firstNone.json").stat().st_size
+    assert _by_file(records.scan_form_records(spark, str(tmp_path), cap=mixed).collect()) == whole
+
+
+def test_broken_form_files_give_one_record_without_fields(spark, tmp_path):
+    broken = ['{"RECORDS": [{"form_id": "a"}', '[{"form_id": "a"}] x', '["a', "[1}", "12", '{"a": [1]]', "[1\\"]
+    for number, text in enumerate(broken):
+        (tmp_path / f"{number}.json").write_text(text)
+    found = _by_file(records.scan_form_records(spark, str(tmp_path), cap=0).collect())
+    assert found == {f"{n}.json": [(0, (None, None, "", None, None))] for n in range(len(broken))}
+
+
+@settings(max_examples=150, deadline=None)
+@given(
+    st.recursive(
+        st.none() | st.integers() | st.text(), lambda inner: st.lists(inner) | st.dictionaries(st.text(), inner)
+    ),
+    st.integers(1, 9),
+    st.sampled_from([None, 1]),
+)
+def test_json_is_cut_as_it_is_parsed(value, width, indent):
+    def pieces(text):
+        return [text[i : i + width] for i in range(0, len(text), width)]
+
+    members = {"a": value, "b\\\"": [value, [value]], "c": []}
+    text = json.dumps(members, indent=indent)
+    arrays = dict(byte_streams.json_arrays(pieces(text)))
+    assert list(arrays.values()) == [key for key, held in members.items() if isinstance(held, list)]
+    for place, key in arrays.items():
+        assert [json.loads(e) for e in byte_streams.json_elements(pieces(text), place)] == members[key]
+    bare = json.dumps([value, members], indent=indent)
+    assert byte_streams.json_arrays(pieces(bare)) == [(None, None)]
+    assert [json.loads(e) for e in byte_streams.json_elements(pieces(bare), None)] == [value, members]
+
+
+def test_memory_of_a_large_form_file_is_bounded(tmp_path):
+    path = tmp_path / "large.json"
+    record = json.dumps({"form_id": "f", "FK_NYLQ_STRUCTURE_TAG": '<f "a">\n' * 2_000}) + ",\n"
+    with open(path, "w") as out:
+        out.write('{"data": [')
+        for _ in range(2_000):
+            out.write(record)
+        out.write("{}]}")
+    tracemalloc.start()
+    count = sum(1 for _ in records._large_file_records(str(path)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == 2_001 and path.stat().st_size > 40 << 20 and peak < 12 << 20
+
+
 def test_summaries_keep_order_and_fill_missing(spark, tmp_path):
     found = [{"doc_id": "x", "summary": "first"}, {"doc_title": "x", "summary": "second"}]
     (tmp_path / "s.json").write_text(json.dumps(found))

@@ -17,6 +17,8 @@ from vectorloom.catalog.registry import (
 from vectorloom.functions.tokens import token_estimate, token_estimate_alt
 from vectorloom.functions.vectors import l2_normalize, masked_mean
 from vectorloom.operators import batching, chunking, embedding
+from vectorloom.session import scratch_path
+from vectorloom.sources.files import scan_knowledge_files
 
 SIZE, OVERLAP = 1000, 100
 _TIERS = (("[。！？\\n]", 100), ("[，、；：]", 50), ("[ ]", 20))
@@ -166,6 +168,60 @@ def _(spark, folder):
     return chunks.select("doc_id", "chunk_id", "chunk_index", "content")
 
 
+# Files of twenty documents each, every text a line.
+cte(
+    "text_files",
+    "SELECT doc_id // 20 AS part, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS body "
+    "FROM documents GROUP BY doc_id // 20",
+)
+cte("file_steps_tiered", sql_backward_chunks("text_files", "part", "body").replace("{name}", "file_steps_tiered"))
+cte("file_tiered", _numbered("file_steps_tiered", "part", _whole("text_files", "part", "body")))
+cte("file_steps_look", sql_lookahead_chunks("text_files", "part", "body").replace("{name}", "file_steps_look"))
+cte("file_look", _numbered("file_steps_look", "part", ""))
+cte("file_key", "SELECT part * 1000000 + n AS piece_id, piece FROM file_look")
+cte("file_steps_nested", sql_backward_chunks("file_key", "piece_id", "piece").replace("{name}", "file_steps_nested"))
+cte("file_piece", _numbered("file_steps_nested", "piece_id", _whole("file_key", "piece_id", "piece")))
+cte(
+    "file_nested",
+    """
+    SELECT piece_id // 1000000 AS part, piece,
+           row_number() OVER (PARTITION BY piece_id // 1000000 ORDER BY piece_id, n) AS n
+    FROM file_piece
+    """,
+)
+FILE_CAP = 45_000
+
+
+@query(
+    "chunk_files",
+    sql(
+        f"""
+        SELECT part, part || '_chunk_' || n AS chunk_id, n::INTEGER AS chunk_index, piece AS content FROM (
+          SELECT t.part, t.n, t.piece FROM file_tiered t JOIN text_files f USING (part)
+          WHERE strlen(f.body) <= {FILE_CAP}
+          UNION ALL
+          SELECT t.part, t.n, t.piece FROM file_nested t JOIN text_files f USING (part)
+          WHERE strlen(f.body) > {FILE_CAP})
+        """,
+        "file_tiered",
+        "file_nested",
+    ),
+)
+def _(spark, folder):
+    path = scratch_path(spark, "large")
+    row = F.struct("doc_id", "text")
+    texts = table(spark, folder, "documents").groupBy(F.floor(F.col("doc_id") / 20).alias("part")).agg(
+        F.array_join(F.array_sort(F.collect_list(row)).getField("text"), "\n").alias("value")
+    )
+    texts.write.partitionBy("part").text(path)
+    files = scan_knowledge_files(spark, path, only_md=False).withColumn(
+        "part", F.regexp_extract("path", "part=([0-9]+)", 1).cast("long")
+    )
+    return chunking.chunk_files(files, doc_id="part", cap=FILE_CAP).select(
+        "part", "chunk_id", "chunk_index", "content"
+    )
+
+
 @query(
     "chunk_with_metadata",
     sql(

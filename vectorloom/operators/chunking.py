@@ -7,14 +7,18 @@ columns stay in the JVM and are joined to the chunks by ``posexplode``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vectorloom import settings
 from vectorloom.functions.text import is_blank
+from vectorloom.sources.byte_streams import file_bytes, read_pieces
 
 # Break characters, strongest first, with the distance each may be searched.
 SENTENCE_BREAKS = "。！？\n"
@@ -64,10 +68,21 @@ def _backward_chunks(text: str, rules, size: int, overlap: int) -> Iterator[str]
         start = cut if resume <= last_kept else resume
 
 
-def _lookahead_chunks(text: str, size: int, overlap: int) -> Iterator[str]:
-    """Cut at the last break within reach on either side of ``size``."""
-    start = 0
-    while (rest := len(text) - start) >= size:
+def _lookahead_chunks(pieces: Iterable[str], size: int, overlap: int) -> Iterator[str]:
+    """Cut at the last break within reach on either side of ``size``.
+
+    The text may come in pieces: a cut needs no more than ``size`` and the reach ahead, so that much is kept
+    and what lies before the next start is forgotten.
+    """
+    pieces, text, start, ended = iter(pieces), "", 0, False
+    while True:
+        while not ended and len(text) - start <= size + LOOKAHEAD_REACH + 1:
+            more = next(pieces, None)
+            ended = more is None
+            text, start = (text, start) if ended else (text[start:] + more, 0)
+        rest = len(text) - start
+        if rest < size:
+            break
         if rest == size:
             yield text[start:]
             return
@@ -84,17 +99,22 @@ def _lookahead_chunks(text: str, size: int, overlap: int) -> Iterator[str]:
     yield text[start:].strip()
 
 
+def _nested_chunks(pieces: Iterable[str], size: int, overlap: int) -> Iterator[str]:
+    """Lookahead chunks, each cut again by the tiered rule."""
+    for piece in _lookahead_chunks(pieces, size, overlap):
+        if piece.strip():
+            yield from _backward_chunks(piece, _BACKWARD_RULES["tiered"], size, overlap)
+
+
 def split_text(text: str | None, mode: str, size: int, overlap: int) -> list[str]:
     """All chunks of one text."""
     if not text:
         return []
     if mode in _BACKWARD_RULES:
         return list(_backward_chunks(text, _BACKWARD_RULES[mode], size, overlap))
-    pieces = [piece for piece in _lookahead_chunks(text, size, overlap) if piece.strip()]
-    if mode == "lookahead":
-        return pieces
-    rules = _BACKWARD_RULES["tiered"]
-    return [chunk for piece in pieces for chunk in _backward_chunks(piece, rules, size, overlap)]
+    if mode == "nested":
+        return list(_nested_chunks([text], size, overlap))
+    return [piece for piece in _lookahead_chunks([text], size, overlap) if piece.strip()]
 
 
 def _check(mode: str, size: int, overlap: int) -> None:
@@ -180,6 +200,71 @@ def chunk_by_size(
     return _explode_chunks(df, chunks, text, doc_id)
 
 
+CHUNKS_A_BATCH = 1_000
+
+
+def _file_chunks(path: str, large: bool, size: int, overlap: int) -> Iterator[str]:
+    if large:
+        return _nested_chunks(read_pieces(path), size, overlap)
+    return _backward_chunks("".join(read_pieces(path)), _BACKWARD_RULES["tiered"], size, overlap)
+
+
+def chunk_files(
+    files: DataFrame,
+    path: str = "path",
+    length: str = "length",
+    doc_id: str = "doc_id",
+    cap: int = settings.LARGE_TEXT_BYTES,
+    text: str = "content",
+    size: int = settings.CHUNK_MAX_SIZE,
+    overlap: int = settings.CHUNK_OVERLAP,
+) -> DataFrame:
+    """The chunks of ``chunk_by_size`` for files of any size, without a row that holds a whole file.
+
+    ``files`` has a row per file, as ``scan_knowledge_files`` gives it, and its columns are carried to the chunks.
+    Files up to ``cap`` bytes are read at once, larger ones piece by piece: a task holds a piece, what
+    the last cut left over, and one batch of chunks. A lost task reads its file again. A null ``length`` is looked
+    up; a row without a path has no chunks; a file that cannot be read fails the job.
+    """
+    _check("tiered", size, overlap)
+    carried = [column for column in files.columns if column != text]
+    inner = "_carried"
+    schema = T.StructType(
+        [
+            T.StructField(inner, files.select(*carried).schema),
+            T.StructField("chunk_index", T.IntegerType()),
+            T.StructField(text, T.StringType()),
+        ]
+    )
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column("_path").to_pylist(), batch.column("_length").to_pylist(), strict=True)
+            for row, (place, known) in enumerate(rows):
+                if place is None:
+                    continue
+                large = (file_bytes(place) if known is None else known) > cap
+                chunks, done = _file_chunks(place, large, size, overlap), 0
+                while found := list(islice(chunks, CHUNKS_A_BATCH)):
+                    same = batch.column(inner).take(pa.array([row] * len(found), pa.int64()))
+                    numbers = pa.array(range(done + 1, done + len(found) + 1), pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [same, numbers, pa.array(found, pa.string())], names=[inner, "chunk_index", text]
+                    )
+                    done += len(found)
+
+    packed = files.select(
+        F.struct(*carried).alias(inner), F.col(path).alias("_path"), F.col(length).cast("long").alias("_length")
+    )
+    number = F.col("chunk_index")
+    return packed.mapInArrow(cut, schema).select(
+        f"{inner}.*",
+        F.concat(F.col(f"{inner}.{doc_id}").cast("string"), F.lit("_chunk_"), number).alias("chunk_id"),
+        number,
+        text,
+    )
+
+
 def chunk_with_metadata(df: DataFrame, **kwargs) -> DataFrame:
     """Chunks of a vector-input table with exactly the chunk columns."""
     return chunk_documents(df, **kwargs).select(

@@ -67,3 +67,6 @@ HIT_BROADCAST_ROWS = 500_000
 
 # Vectors scored together by a task, at most.
 VECTOR_BLOCK_ROWS = 50_000
+
+# JSON files that Spark parses as one value; its own limit is 128 MiB.
+WHOLE_JSON_BYTES = 64 * 1024 * 1024
