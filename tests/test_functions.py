@@ -5,7 +5,14 @@ from pyspark.sql import functions as F
 
 from vectorloom.functions import text, tokens, vectors
 from vectorloom.operators.batching import assign_batches, optimal_batch_size
-from vectorloom.operators.embedding import HashEncoder, embed_distinct, embed_text, hash_encode
+from vectorloom.operators.embedding import (
+    HashEncoder,
+    VectorTable,
+    embed_distinct,
+    embed_kept,
+    embed_text,
+    hash_encode,
+)
 
 
 def _one(spark, column):
@@ -90,6 +97,37 @@ def test_encoders_agree_and_reuse(spark):
     assert native == {key: by_row[key] for key in (1, 2, 3)}
 
 
+def test_kept_vectors_are_not_encoded_again(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counting(HashEncoder):
+        def encode(self, texts):
+            seen.add(len(texts))
+            return super().encode(texts)
+
+    def job(rows, kept, name="content"):
+        before = seen.value
+        table = spark.createDataFrame(rows, f"digest long, {name} string")
+        found, report = embed_kept(table, kept, Counting, name)
+        got = {r["digest"]: r["embedding"] for r in found.collect()}
+        plain = {r["digest"]: r["embedding"] for r in embed_distinct(table, text=name).collect()}
+        assert got == plain and found.columns == ["digest", name, "embedding"]
+        return seen.value - before, tuple(report.select("size", "hits", "misses", "total").first())
+
+    kept = VectorTable(str(tmp_path), "hash/64 v1")
+    first = [(1, "a b"), (2, "a b"), (3, "c"), (4, None), (5, " ")]
+    assert job(first, kept) == (3, (2, 1, 3, 4))
+    # The blank text was refused and is tried again; everything else is known.
+    assert job(first * 2, kept, "vector") == (1, (2, 7, 1, 8))
+    assert job([(1, "a b"), (6, "d"), (7, "d")], kept) == (1, (3, 2, 1, 3))
+    assert job([(1, None)], kept) == (0, (3, 0, 0, 0))
+    assert job([], kept) == (0, (3, 0, 0, 0))
+    # Another model has vectors of its own; a text kept twice counts once.
+    assert job([(1, "a b")], VectorTable(str(tmp_path), "hash/64 v2")) == (1, (1, 0, 1, 1))
+    kept.add(kept.read(spark))
+    assert job([(1, "a b")], kept) == (0, (3, 1, 0, 1))
+
+
 def test_encoder_is_pluggable(spark):
     class Lengths:
         def encode(self, texts):

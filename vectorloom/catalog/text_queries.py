@@ -372,6 +372,33 @@ def _(spark, folder):
     return _flat(embedding.embed_distinct(documents, text="text"))
 
 
+def _second_job(spark, folder):
+    """The whole table embedded behind a job that has embedded the English texts."""
+    documents = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    kept = embedding.VectorTable(scratch_path(spark, "kept"), "hash/64")
+    embedding.embed_kept(documents.where("lang = 'en'"), kept, text="text")
+    return embedding.embed_kept(documents, kept, text="text")
+
+
+@query("embed_kept", _FLAT)
+def _(spark, folder):
+    return _flat(_second_job(spark, folder)[0])
+
+
+@query(
+    "embed_kept_counts",
+    r"""
+    SELECT size, total - misses AS hits, misses, total, round((total - misses) / total, 6) AS hit_rate FROM (
+      SELECT count(DISTINCT text) FILTER (regexp_matches(text, '[^ \t\r\n]')) AS size,
+             count(DISTINCT text) FILTER (text NOT IN (SELECT text FROM documents WHERE lang = 'en'
+               AND regexp_matches(text, '[^ \t\r\n]'))) AS misses,
+             count(text) AS total FROM documents)
+    """,
+)
+def _(spark, folder):
+    return _second_job(spark, folder)[1].withColumn("hit_rate", F.round("hit_rate", 6))
+
+
 @query(
     "embed_chunks",
     sql(

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom import settings
@@ -105,15 +110,105 @@ def embed_distinct(
     all their columns, and the adaptive skew join can split a text that has very many copies. Rows
     without a text get keys of their own that match nothing, so they do not meet in one task.
     """
-    digest = F.unhex(F.sha2(F.col(text), 256))
     distinct = df.where(F.col(text).isNotNull()).select(F.col(text).alias("_text")).distinct()
-    encoded = embed_text(distinct.withColumn("_digest", F.unhex(F.sha2("_text", 256))), encoder, "_text", out)
-    vectors = lookup_table(encoded.select("_digest", out))
+    encoded = embed_text(distinct.withColumn("_digest", _digest("_text")), encoder, "_text", out)
+    return _with_vectors(df, lookup_table(encoded.select("_digest", out)), text)
+
+
+def _digest(text: str) -> Column:
+    return F.unhex(F.sha2(F.col(text), 256))
+
+
+def _with_vectors(df: DataFrame, vectors: DataFrame, text: str) -> DataFrame:
+    """Rows with the vector of their text, from a table that has one row per digest."""
     no_text = F.unhex(F.hex(F.monotonically_increasing_id()))
-    keyed = df.withColumn("_digest", F.coalesce(digest, no_text))
+    keyed = df.withColumn("_digest", F.coalesce(_digest(text), no_text))
     return keyed.join(vectors, "_digest", "left").drop("_digest")
 
 
+@dataclass(frozen=True)
+class VectorTable:
+    """Vectors kept between jobs, by the digest of their text: ``folder/model=<m>/batch=<b>/*.parquet``.
+
+    ``model`` names the encoder and its version; vectors of other models are not looked at. Every job adds a
+    batch. Two jobs at once may add the same text: they add the same vector, and readers take one. Nothing is ever
+    thrown out; the owner may remove a model's folder, or batches of it, while no job runs.
+    """
+
+    folder: str
+    model: str
+
+    @property
+    def path(self) -> str:
+        return f"{self.folder.rstrip('/')}/model={quote(self.model, safe='')}"
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """``(digest, vector)``, a digest possibly more than once."""
+        schema = "digest binary, vector array<float>"
+        try:
+            return spark.read.schema(schema).parquet(self.path).select("digest", "vector")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], schema)
+
+    def add(self, vectors: DataFrame) -> DataFrame:
+        """Write a batch and read it back."""
+        place = f"{self.path}/batch={uuid.uuid4().hex}"
+        vectors.write.parquet(place)
+        return vectors.sparkSession.read.schema(vectors.schema).parquet(place)
+
+
+def embed_kept(
+    df: DataFrame,
+    kept: VectorTable,
+    encoder: Callable[[], Encoder] = HashEncoder,
+    text: str = "content",
+    out: str = "embedding",
+) -> tuple[DataFrame, DataFrame]:
+    """``embed_distinct`` that encodes only texts without a kept vector, and keeps the new ones.
+
+    Returns the rows with their vectors and one row of counts: ``total`` texts, ``misses`` (distinct texts that went
+    to the encoder), ``hits`` (all others), ``hit_rate``, and ``size``, the distinct texts kept when it is read.
+
+    Digests (32 bytes, folded before the shuffle) decide what is new; texts are shuffled only if they
+    are. A kept table that is larger than the job is scanned, with the job's digests on the build side. Both lists of
+    digests are written, so a retry cannot change which texts are new. Texts that the encoder refuses are not
+    kept, the next job tries them again. Rows without a text get no vector and are not counted.
+    """
+    spark = df.sparkSession
+    known_text = df.where(F.col(text).isNotNull())
+    asked = lookup_table(known_text.groupBy(_digest(text).alias("digest")).agg(F.count("*").alias("copies")))
+    found = kept.read(spark).join(asked.select("digest"), "digest", "left_semi")
+    found = lookup_table(found.groupBy("digest").agg(F.any_value("vector").alias("vector")))
+    new = lookup_table(asked.select("digest").join(found.select("digest"), "digest", "left_anti"))
+
+    texts = known_text.select(_digest(text).alias("digest"), F.col(text).alias("_text"))
+    texts = texts.join(new, "digest", "left_semi").distinct()
+    encoded = embed_text(texts, encoder, "_text", "vector").select("digest", "vector")
+    added = kept.add(filter_embedded(encoded, "vector"))
+
+    vectors = found.unionByName(added).select(F.col("digest").alias("_digest"), F.col("vector").alias(out))
+    counted = {
+        "total": asked.select("copies"),
+        "misses": new.select(F.lit(1)),
+        "size": kept.read(spark).select("digest").distinct().select(F.lit(1)),
+    }
+    parts = [rows.toDF("n").select(F.lit(name).alias("what"), "n") for name, rows in counted.items()]
+    total, misses, size = (
+        F.coalesce(F.sum(F.when(F.col("what") == name, F.col("n"))), F.lit(0)).alias(name) for name in counted
+    )
+    hits = F.col("total") - F.col("misses")
+    report = reduce(DataFrame.union, parts).agg(total, misses, size).select(
+        "size",
+        hits.alias("hits"),
+        "misses",
+        "total",
+        F.when(F.col("total") > 0, hits / F.col("total")).otherwise(0.0).alias("hit_rate"),
+    )
+    return _with_vectors(df, vectors, text), report
+
+
 def hash_encode(df: DataFrame, key: str, text: str = "content", dim: int = 64) -> DataFrame:
     """The hash encoder without Python and without a shuffle: ``(key, embedding)`` per text with a token.
 

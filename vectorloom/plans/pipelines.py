@@ -14,8 +14,10 @@ from vectorloom.operators import forms, search, stats, store
 from vectorloom.operators.embedding import (
     Encoder,
     HashEncoder,
+    VectorTable,
     embed_chunks,
     embed_distinct,
+    embed_kept,
     embed_text,
     filter_embedded,
 )
@@ -113,6 +115,10 @@ def _ledger(embedded: DataFrame) -> DataFrame:
     )
 
 
+def _embedded(inputs: DataFrame, encoder: EncoderFactory, kept: VectorTable | None) -> DataFrame:
+    return embed_distinct(inputs, encoder) if kept is None else embed_kept(inputs, kept, encoder)[0]
+
+
 def _batch(embedded: DataFrame, created_at: Column | None, order: str) -> DataFrame:
     """Store rows of the inputs that got a vector; the document id is the key.
 
@@ -143,14 +149,16 @@ def import_directory(
     summaries: DataFrame | None = None,
     encoder: EncoderFactory = HashEncoder,
     created_at: Column | None = None,
+    kept: VectorTable | None = None,
 ) -> ImportJob:
     """Route, read the vector input, embed distinct texts, add keys that are not stored yet.
 
     The inputs are written to the shared folder, so rows and ledger speak of the same files. Of
-    several files with one id the last by path counts.
+    several files with one id the last by path counts. With ``kept`` vectors, texts of earlier jobs are not
+    encoded again.
     """
     inputs = materialise(file_inputs(files, rules, config, summaries), "inputs")
-    embedded = embed_distinct(inputs, encoder)
+    embedded = _embedded(inputs, encoder, kept)
     batch = _batch(embedded, created_at, "source_file")
     rows = store.insert_if_absent(store_rows, batch, "_order")
     added = store.new_rows(store_rows, batch, "_order")
@@ -238,10 +246,11 @@ def import_summaries(
     knowledge_type: str,
     encoder: EncoderFactory = HashEncoder,
     created_at: Column | None = None,
+    kept: VectorTable | None = None,
 ) -> ImportJob:
     """Embed the summary records of a type and add the keys that are not stored yet."""
     inputs = summary_inputs(summaries, knowledge_type)
-    embedded = embed_distinct(materialise(inputs, "inputs"), encoder)
+    embedded = _embedded(materialise(inputs, "inputs"), encoder, kept)
     rows = store.insert_if_absent(store_rows, _batch(embedded, created_at, "position"), "_order")
     return ImportJob(rows, _ledger(embedded), embedded)
 
