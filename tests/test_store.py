@@ -266,3 +266,39 @@ def test_large_sequence_numbers_are_folded(spark):
     )
     folded = {r["chunk_id"]: (r["present"], r["deleted"]) for r in store.fold_changes(log).collect()}
     assert folded == {"a": (True, True), "b": (False, False)}
+
+
+def test_rows_added_where_nothing_is_stored(spark, base):
+    root = scratch_path(spark, "store")
+    snapshots.write_store(base, root, ["t"])
+    before = {r["chunk_id"]: tuple(r) for r in snapshots.read_store(spark, root).collect()}
+
+    def contents():
+        rows = snapshots.read_store(spark, root).where("chunk_id IN ('n', 'm', 'k')").collect()
+        return {r["chunk_id"]: (r["content"], r["seq"]) for r in rows}
+
+    # Stored rows stay as they are, deleted ones and those without a number too.
+    for key in before:
+        snapshots.append_absent(entry(spark, key, "other", 99), root)
+    assert {r["chunk_id"]: tuple(r) for r in snapshots.read_store(spark, root).collect()} == before
+    # Of several added rows the first stays, also one that is added again.
+    snapshots.append_absent(entry(spark, "n", "n1", 7), root)
+    snapshots.append_absent(entry(spark, "n", "n2", 9), root)
+    snapshots.append_absent(entry(spark, "n", "n1", 7), root)
+    assert contents() == {"n": ("n1", None)}
+    # Changes win over added rows, whichever is first and whether they have a number or not.
+    snapshots.append_store(entry(spark, "m", "m1", None), root)
+    snapshots.append_absent(entry(spark, "m", "m2", 5), root)
+    snapshots.append_absent(entry(spark, "k", "k1", 5), root)
+    snapshots.append_store(entry(spark, "k", "k2", None), root)
+    wanted = {"n": ("n1", None), "m": ("m1", None), "k": ("k2", None)}
+    assert contents() == wanted
+    assert snapshots.merge_deltas(spark, root, limit=1) == 1
+    assert contents() == wanted
+    snapshots.append_absent(entry(spark, "n", "n3", 1), root)
+    assert contents() == wanted
+    snapshots.compact_store(spark, root)
+    snapshots.append_absent(entry(spark, "n", "n4", 1), root)
+    assert contents() == wanted
+    snapshots.append_store(entry(spark, "n", "n5", 0), root)
+    assert contents()["n"] == ("n5", 0)

@@ -70,3 +70,31 @@ def test_import_of_arriving_files(spark, tmp_path):
     assert {r["chunk_id"] for r in read_store(spark, root).collect()} == {"a", "b"}
     outcomes = spark.read.option("recursiveFileLookup", "true").parquet(ledger)
     assert [r["status"] for r in outcomes.collect()] == ["completed", "completed"]
+
+
+def test_import_does_not_read_the_store(spark, tmp_path, monkeypatch):
+    from vectorloom.operators.embedding import VectorTable
+    from vectorloom.sources import snapshots
+
+    (tmp_path / "new").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / "new" / f"{name}.md").write_text(name)
+    rules = spark.createDataFrame([("", "t", 0)], "pattern string, knowledge_type string, priority int")
+    config = spark.createDataFrame([("t", "file_name")], "knowledge_type string, vector_field string")
+    root, ledger, checkpoint = (scratch_path(spark, name) for name in ("store", "ledger", "check"))
+    stored = spark.createDataFrame([("a", "t", "stored", True)], "chunk_id string, knowledge_type string, content string, deleted boolean")
+    snapshots.write_store(as_store_rows(stored), root, ["t"])
+
+    def refuse(*_):
+        raise AssertionError("the store is read")
+
+    kept = VectorTable(scratch_path(spark, "kept"), "hash")
+    with monkeypatch.context() as patched:
+        patched.setattr(snapshots, "_scan", refuse)
+        for name in ("b", "c"):
+            (tmp_path / "new" / f"{name}{name}.md").write_text(name)
+            stream = knowledge_file_stream(spark, str(tmp_path / "new"))
+            stream_import(stream, root, ledger, rules, config, checkpoint, kept=kept).awaitTermination()
+    found = {r["chunk_id"]: (r["content"], r["deleted"]) for r in read_store(spark, root).collect()}
+    assert found.pop("a") == ("stored", True) and set(found) == {"b", "bb", "cc"}
+    assert kept.read(spark).count() == 4

@@ -16,6 +16,15 @@ from vectorloom.session import lookup_table
 
 KEY = ["knowledge_type", "chunk_id"]
 
+# What a null ``seq`` stands for: older than any change with a number. Only rows that were added where nothing was
+# stored (``sources.snapshots.append_absent``) lie below it.
+NO_SEQ = -(2**62)
+
+
+def age(seq: Column) -> Column:
+    """``seq`` as a number that can be compared."""
+    return F.coalesce(seq, F.lit(NO_SEQ))
+
 
 def as_store_rows(df: DataFrame, *extra: str) -> DataFrame:
     """Bring a table to the store columns: missing ones are null, ``deleted`` defaults to false.
@@ -83,12 +92,12 @@ def replace_rows(
     ``seq`` of ``batch`` alone, so its payload is read once.
     """
     if newer_only:
-        stored = stored_rows(store, batch, "seq").withColumnRenamed("seq", "_stored")
+        stored = stored_rows(store, batch, "seq").select(*KEY, age(F.col("seq")).alias("_stored"))
         fresh = match_keys(fresh, stored, "left").where(
-            F.col("_stored").isNull() | (F.col("_stored") <= F.col("seq"))
+            F.col("_stored").isNull() | (F.col("_stored") <= age(F.col("seq")))
         )
-        newest = batch.groupBy(*KEY).agg(F.max("seq").alias("_newest"))
-        older = F.col("seq").isNull() | (F.col("seq") <= F.col("_newest"))
+        newest = batch.groupBy(*KEY).agg(F.max(age(F.col("seq"))).alias("_newest"))
+        older = age(F.col("seq")) <= F.col("_newest")
         kept = match_keys(store, newest, "left_anti", older)
     else:
         kept = match_keys(store, batch.select(*KEY).distinct(), "left_anti")

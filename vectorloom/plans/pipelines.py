@@ -157,14 +157,32 @@ def import_directory(
     several files with one id the last by path counts. With ``kept`` vectors, texts of earlier jobs are not
     encoded again.
     """
-    inputs = materialise(file_inputs(files, rules, config, summaries), "inputs")
-    embedded = _embedded(inputs, encoder, kept)
+    embedded = embedded_files(files, rules, config, summaries, encoder, kept)
     batch = _batch(embedded, created_at, "source_file")
     rows = store.insert_if_absent(store_rows, batch, "_order")
     added = store.new_rows(store_rows, batch, "_order")
     return ImportJob(rows, _ledger(embedded), embedded, added)
 
 
+def embedded_files(
+    files: DataFrame,
+    rules: DataFrame,
+    config: DataFrame,
+    summaries: DataFrame | None = None,
+    encoder: EncoderFactory = HashEncoder,
+    kept: VectorTable | None = None,
+) -> DataFrame:
+    """The vector input of files with its vectors; the inputs are written first."""
+    inputs = materialise(file_inputs(files, rules, config, summaries), "inputs")
+    return _embedded(inputs, encoder, kept)
+
+
+def file_batch(embedded: DataFrame, created_at: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of ``embedded_files`` the store rows, the last by path of every key, and the ledger. The store is not read."""
+    batch = store.live_rows(_batch(embedded, created_at, "source_file"), "_order").drop("_order")
+    return batch, _ledger(embedded)
+
+
 def import_folder(
     store_rows: DataFrame,
     directory: str,

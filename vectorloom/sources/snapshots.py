@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectorloom import settings
-from vectorloom.operators.store import KEY, as_store_rows, replace_rows
+from vectorloom.operators.store import KEY, NO_SEQ, age, as_store_rows, replace_rows
 from vectorloom.schemas import STORE_COLUMNS, STORE_ROW
 
 _COMMIT = (
@@ -101,7 +101,7 @@ def _newest(rows: DataFrame, commits: list[Row]) -> DataFrame:
     version_of = F.create_map(*(F.lit(x) for c in commits for x in (_place(c), c["version"])))
     name = F.coalesce(F.concat(F.lit("="), "knowledge_type"), F.lit(""))
     version = version_of[F.concat("folder", name)]
-    order = [F.col("seq").desc_nulls_last(), version.desc(), F.xxhash64(*STORE_COLUMNS)]
+    order = [age(F.col("seq")).desc(), version.desc(), F.xxhash64(*STORE_COLUMNS)]
     place = F.row_number().over(Window.partitionBy(*KEY).orderBy(*order))
     return rows.withColumn("_n", place).where("_n = 1").select(*STORE_COLUMNS)
 
@@ -118,7 +118,15 @@ def read_store(spark: SparkSession, root: str, types: Types = None) -> DataFrame
 
 
 def _current_rows(spark: SparkSession, root: str, live: list[Row]) -> DataFrame:
-    """Rows of live commits: full versions with their deltas laid over them."""
+    """Rows of live commits: full versions with their deltas laid over them. Rows added where nothing was
+    stored show no ``seq``: their place in time has done its work."""
+    rows = _layered_rows(spark, root, live)
+    if not any(row["delta"] for row in live):
+        return rows
+    return rows.withColumn("seq", F.when(F.col("seq") >= NO_SEQ, F.col("seq")))
+
+
+def _layered_rows(spark: SparkSession, root: str, live: list[Row]) -> DataFrame:
     deltas = [row for row in live if row["delta"]]
     if not deltas:
         return _scan(spark, root, live).select(*STORE_COLUMNS)
@@ -215,6 +223,17 @@ def append_store(rows: DataFrame, root: str) -> int | None:
     return number
 
 
+def append_absent(rows: DataFrame, root: str) -> int | None:
+    """Add rows whose key the store does not hold, without reading the store; the version, or ``None``.
+
+    Rows are written with the time of writing as a place below all changes, the earlier the higher. So readers take
+    what was stored or changed by others, else the row that was added first. A repeated attempt lies
+    below the first one. ``rows`` has one row per key, and its ``seq`` is not kept.
+    """
+    place = NO_SEQ - time.time_ns() // 1000
+    return append_store(rows.withColumn("seq", F.lit(place).cast("long")), root)
+
+
 def read_rejects(spark: SparkSession, root: str) -> DataFrame:
     """Rows that current full versions were given beside their types; kept as long as these versions."""
     full = [row for row in live_commits(spark, root) if not row["delta"] and not row["cleared"]]

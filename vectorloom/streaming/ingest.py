@@ -9,11 +9,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 from vectorloom import settings
-from vectorloom.operators.embedding import HashEncoder
+from vectorloom.operators.embedding import HashEncoder, VectorTable
 from vectorloom.operators.store import live_rows
-from vectorloom.plans.pipelines import EncoderFactory, import_directory
+from vectorloom.plans.pipelines import EncoderFactory, embedded_files, file_batch
 from vectorloom.session import temporary_steps
-from vectorloom.sources.snapshots import append_store, merge_deltas, read_store
+from vectorloom.sources.snapshots import append_absent, append_store, merge_deltas
 
 _FILE_SCHEMA = T.StructType(
     [
@@ -80,19 +80,22 @@ def stream_import(
     summaries: DataFrame | None = None,
     encoder: EncoderFactory = HashEncoder,
     continuous: bool = False,
+    kept: VectorTable | None = None,
 ) -> StreamingQuery:
     """Import files as they arrive: the batch import per micro-batch, with outcomes in a ledger.
 
-    The ledger of a micro-batch is written under its number, so a repeated one replaces it.
+    A micro-batch does not read the store: readers prefer what was stored before. Its ledger is written under its
+    number, so a repeated one replaces it. With ``kept`` vectors, texts of earlier micro-batches are not encoded
+    again.
     """
 
     def commit(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         with temporary_steps(spark):
-            job = import_directory(read_store(spark, root), batch, rules, config, summaries, encoder)
-            append_store(job.added, root)
+            rows, ledger = file_batch(embedded_files(batch, rules, config, summaries, encoder, kept))
+            append_absent(rows, root)
             merge_deltas(spark, root)
-            job.ledger.write.mode("overwrite").parquet(f"{ledger_path}/batch={number}")
+            ledger.write.mode("overwrite").parquet(f"{ledger_path}/batch={number}")
 
     return _start(files, commit, checkpoint, continuous)
 
