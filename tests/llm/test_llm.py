@@ -249,6 +249,45 @@ def test_alignment():
     assert licenses.increasing([3, 1, 2, 5, 4, 6]) in ([1, 2, 4, 5], [1, 2, 3, 5])
 
 
+def _longest_common(text, template):
+    """Length of the longest common subsequence, by the plain table."""
+    row = [0] * (len(template) + 1)
+    for word in text:
+        last = 0
+        for at, other in enumerate(template, 1):
+            last, row[at] = row[at], last + 1 if word == other else max(row[at], row[at - 1])
+    return row[-1]
+
+
+def test_whole_license_texts(spark):
+    def changed(name, seed):
+        """A license as projects carry it: a holder, a year, other line ends and a few words of their own."""
+        words = licenses.TEXTS[name].split()
+        draw = random.Random(seed)
+        for _ in range(len(words) // 25):
+            words[draw.randrange(len(words))] = draw.choice(["Acme", "the", "Regents,", "2019"])
+        lines = ["// " + " ".join(words[i : i + 9]) for i in range(0, len(words), 9)]
+        return "Copyright (c) 2019 Some Body\n" + "\r\n".join(lines)
+
+    filler = "the software is provided with the above copyright notice in all copies of this file and code "
+    names = list(licenses.TEXTS)
+    texts = [filler * 40 + changed(name, seed) + "\n" + filler * 40 for seed in range(3) for name in names]
+    texts += [changed("MIT", 1) + changed("MIT", 2) + changed("ISC", 3), filler * 3_000]
+    half = licenses.TEXTS["MIT"].split()
+    texts.append(" ".join(half[: len(half) // 2]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {row["id"]: row["spans"] for row in licenses.scan_licenses(docs).collect()}
+    for at in range(3 * len(names)):
+        assert [span["license"] for span in found[at]] == [names[at % len(names)]]
+        words, span = licenses.word_list(texts[at]), found[at][0]
+        template = licenses.word_list(licenses.TEXTS[span["license"]])
+        common = _longest_common(words[span["first_word"] : span["end_word"]], template) / len(template)
+        # Patience alignment is not the longest alignment, but on such texts close to it, and never above.
+        assert common - 0.03 <= span["coverage"] <= common
+    rest = [[span["license"] for span in found[at]] for at in range(3 * len(names), len(texts))]
+    assert rest == [["MIT", "MIT", "ISC"], [], []]
+
+
 def test_license_scan_equals_alignment_everywhere(spark):
     draw = random.Random(9)
     texts = [None, "", "the license", "word " * 20_000 + "Released under the MIT License."]
