@@ -188,3 +188,16 @@ def test_imports(spark, tmp_path):
     unrouted = spark.createDataFrame([("/x/y.md",)], "path string")
     failed = pipelines.import_directory(stored, unrouted, _rules(spark), config).ledger.head()
     assert (failed["status"], failed["error_message"]) == ("failed", pipelines.ERROR_NO_INPUT)
+
+
+def test_a_file_stored_in_parts_is_one_file(spark, tmp_path):
+    spark.range(0, 40, 1, 4).write.parquet(f"{tmp_path}/forms/a.b.parquet")
+    config = spark.createDataFrame([("form", "file_name")], "knowledge_type string, vector_field string")
+    rules = spark.createDataFrame([("forms", "form", 1)], "pattern string, knowledge_type string, priority int")
+    stored = as_store_rows(
+        spark.createDataFrame([("a.b", "form", "old")], "chunk_id string, knowledge_type string, content string")
+    )
+    job = pipelines.import_file(stored, f"{tmp_path}/forms/a.b.parquet", rules, config)
+    rows = [(r["chunk_id"], r["content"], r["doc_path"]) for r in job.rows.collect()]
+    assert rows == [("a.b", "a.b", f"file:{tmp_path}/forms/a.b.parquet")]
+    assert job.ledger.count() == 1

@@ -31,6 +31,7 @@ from vectorloom.operators.routing import (
 from vectorloom.schemas import VECTOR_INPUT_COLUMNS
 from vectorloom.session import materialise, scratch_path
 from vectorloom.sources.exports import write_form_markdown
+from vectorloom.sources.files import stored_place
 
 EncoderFactory = Callable[[], Encoder]
 
@@ -223,20 +224,19 @@ def import_file(
 ) -> ImportJob:
     """One file: as a directory import, but an existing key is replaced.
 
-    A missing file gives a failed outcome.
+    A file that is stored as a folder of parts, as Spark writes tables, is one file: it is imported by its own
+    name, not by those of its parts. A missing file gives a failed outcome.
     """
     spark = store_rows.sparkSession
-    try:
-        files = spark.read.format("binaryFile").load(path).select("path")
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
+    place = stored_place(spark, path)
+    if place is None:
         ledger = spark.createDataFrame(
             [(path, None, "failed", 0, ERROR_MISSING)],
             "file_path string, knowledge_type string, status string, chunks_count int, "
             "error_message string",
         ).withColumn("knowledge_name", file_stem(F.col("file_path")))
         return ImportJob(store_rows, ledger)
+    files = spark.createDataFrame([(place,)], "path string")
     inputs = file_inputs(files, rules, config, summaries)
     embedded = materialise(embed_text(inputs, encoder))
     batch = _batch(embedded, created_at, "source_file")

@@ -21,6 +21,13 @@ def scan_knowledge_files(spark: SparkSession, path: str, only_md: bool = True) -
     return _files(spark.read, only_md).load(path).select("path", "length")
 
 
+def stored_place(spark: SparkSession, path: str) -> str | None:
+    """The path of a file or folder as Spark's sources show it, with its file system; ``None`` where there is none."""
+    named = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = named.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(named).toString() if system.exists(named) else None
+
+
 def filter_allowed_files(
     files: DataFrame,
     extensions: Iterable[str] = settings.ALLOWED_EXTENSIONS,
