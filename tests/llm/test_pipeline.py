@@ -8,7 +8,7 @@ import re
 import corpus_pipeline as pipeline
 import pytest
 
-from vectorloom.llm import decontaminate, jaccard
+from vectorloom.llm import decontaminate, jaccard, simhash
 from vectorloom.llm.rows import with_row_key
 
 
@@ -113,6 +113,16 @@ def test_near_duplicate_stage_takes_similarity_of_four_fifths(spark, folder):
     assert sorted(r["doc_id"] for r in pipeline.near_duplicates(spark, docs, folder).collect()) == [1, 3]
 
 
+def test_near_fingerprints_are_candidates_without_a_common_band(spark):
+    nodes = [(1, 0b0, [10]), (2, 0b1011, [20]), (3, 0b0, [30]), (4, -1, [40]), (5, 0b11111, [50, 60]), (6, 255 << 20, [60])]
+    docs = spark.createDataFrame(nodes, "node long, fp long, cells array<long>")
+    found = {row["node"]: row["bundle"] for row in jaccard._candidates(docs).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 5: 1, 6: 1}  # 4 is far from all; 5 and 6 share a band
+    described = jaccard._described(spark.createDataFrame([(1, "a b c d e f"), (2, None)], "id long, text string"))
+    wanted = simhash.majority(jaccard.shingles("a b c d e f"))
+    assert {row["id"]: row["fp"] % (1 << 64) for row in described.collect()} == {1: wanted, 2: 0}
+
+
 def test_row_keys_of_stored_rows_need_no_copy(spark, tmp_path):
     spark.range(0, 5000, 1, 7).selectExpr("id % 3 as doc_id", "id as at").write.parquet(f"{tmp_path}/rows")
     stored = with_row_key(spark.read.parquet(f"{tmp_path}/rows"))

@@ -1,8 +1,10 @@
-"""Groups of texts with similar shingle sets: min-hash bands for candidates, exact Jaccard for links.
+"""Groups of texts with similar shingle sets: SimHash and min-hash bands for candidates, exact Jaccard for links.
 
 The shingles of a text are its runs of ``SHINGLE_WORDS`` lower-cased words, as 64-bit hashes. Texts of equal
-shingle sets are one node. Nodes that agree in one of ``BANDS`` bands of ``BAND_ROWS`` min-hashes are
-candidates; a pair at the least similarity of 0.8 is missed with a probability of ``(1 - 0.8^6)^40``, 5 in a
+shingle sets are one node. Candidates are the nodes whose SimHash fingerprints differ in few bits, found by the grid
+join of segment popcounts (``simhash.near_links``: Manhattan bound, then the exact distance). Pairs at a similarity of
+0.8 often differ in more bits than a grid can afford, so nodes that agree in one of ``BANDS`` bands of ``BAND_ROWS``
+min-hashes are candidates too; a pair at 0.8 is missed by these with a probability of ``(1 - 0.8^6)^40``, 5 in a
 million, and a more similar pair with less. The components of the candidates are bundles: linked texts are
 always in one bundle, and most texts are in none. The texts of a bundle are compared exactly, all pairs
 that links found so far do not already connect. Bundles that are too large for a task are cut into blocks,
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from vectorloom.llm.arrays import SPACED_WORD, lower_ascii, slices, small_batches
 from vectorloom.llm.components import connected_components
 from vectorloom.llm.rows import small_side
+from vectorloom.llm.simhash import majority, near_links
 from vectorloom.session import materialise
 
 SHINGLE_WORDS = 5
@@ -87,36 +90,52 @@ def compare(sets: list[np.ndarray], least: float = SIMILARITY) -> list[tuple[int
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """``(id, node, size, cells)`` per row of ``docs``: the name of its shingle set and its cells."""
+    """``(id, node, size, fp, cells)`` per row of ``docs``: the name of its shingle set, its fingerprint and its
+    cells."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            nodes, sizes, cells = [], [], []
+            nodes, sizes, fps, cells = [], [], [], []
             for text in batch.column("text").to_pylist():
                 values = shingles(text)
                 nodes.append(xxhash.xxh64_intdigest(values.tobytes()))
                 sizes.append(len(text or ""))
+                fps.append(majority(values))
                 cells.append(bands(values))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
                     pa.array(np.array(nodes, np.uint64).view(np.int64)),
                     pa.array(sizes, pa.int64()),
+                    pa.array(np.array(fps, np.uint64).view(np.int64)),
                     pa.array(cells, pa.list_(pa.int64())),
                 ],
-                ["id", "node", "size", "cells"],
+                ["id", "node", "size", "fp", "cells"],
             )
 
-    return docs.mapInArrow(scan, "id bigint, node bigint, size bigint, cells array<bigint>")
+    return docs.mapInArrow(scan, "id bigint, node bigint, size bigint, fp bigint, cells array<bigint>")
+
+
+def _near_fingerprints(nodes: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` of the nodes ``(node, fp)`` with equal or near fingerprints; one node stands for all of a
+    fingerprint."""
+    heads = materialise(nodes.groupBy("fp").agg(F.min("node").alias("head")), "fingerprints")
+    equal = nodes.join(heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    near = near_links(heads.select("fp"))
+    for side in ("a", "b"):
+        named = heads.select(F.col("fp").alias(side), F.col("head").alias(f"head_{side}"))
+        near = near.join(named, side)
+    return equal.unionByName(near.select(F.col("head_a").alias("a"), F.col("head_b").alias("b")))
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
-    """``(node, bundle)`` of the nodes that share a cell with another one."""
+    """``(node, bundle)`` of the nodes that have a near fingerprint or share a cell with another one."""
     cells = materialise(nodes.select("node", F.explode("cells").alias("cell")), "cells")
     heads = cells.groupBy("cell").agg(F.min("node").alias("head"), F.count("*").alias("n"))
     heads = materialise(heads.where("n > 1").select("cell", "head"), "cells")
     links = cells.join(heads, "cell").where("node <> head")
-    links = links.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    links = links.select(F.col("node").alias("a"), F.col("head").alias("b"))
+    links = links.unionByName(_near_fingerprints(nodes.select("node", "fp"))).distinct()
     return connected_components(links).withColumnRenamed("component", "bundle")
 
 
@@ -160,7 +179,7 @@ def similar_groups(
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     rows = materialise(_described(texts), "shingles")
-    nodes = rows.groupBy("node").agg(F.min_by(F.struct("id", "size", "cells"), "id").alias("first"))
+    nodes = rows.groupBy("node").agg(F.min_by(F.struct("id", "size", "fp", "cells"), "id").alias("first"))
     nodes = materialise(nodes.select("node", "first.*"), "nodes")
     bundles = materialise(_candidates(nodes), "bundles")
     members = materialise(nodes.select("node", "id", "size").join(bundles, "node"), "bundles")

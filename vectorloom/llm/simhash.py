@@ -56,10 +56,11 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     starts = (ends - lengths)[: len(words) - shingle_words + 1].tolist()
     stops = ends[shingle_words - 1 :].tolist()
     values = [hashed(joined[i:j], SEED) for i, j in zip(starts, stops, strict=True)]
-    return _majority(np.array(values, np.uint64))
+    return majority(np.array(values, np.uint64))
 
 
-def _majority(values: np.ndarray) -> int:
+def majority(values: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for start in range(0, len(values), 65536):
         part = values[start : start + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
