@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom.llm import decontaminate, jaccard, packing, perplexity, simhash, substrings
-from vectorloom.llm.rows import with_row_key
+from vectorloom.llm.rows import with_row_key, without_rows
 from vectorloom.session import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = with_row_key(docs, ROW)
     labels = perplexity.labels_by_row(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), ROW)
     verdicts = perplexity.classify(rows.withColumn("doc_id", F.col(ROW)), labels)
-    return perplexity.keep_good(rows, verdicts, ROW).select(*COLUMNS)
+    return without_rows(rows, verdicts.where("rejected").select("doc_id"), ROW).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import corpus_pipeline as pipeline
 import pytest
 
 from vectorloom.llm import decontaminate, jaccard, simhash
-from vectorloom.llm.rows import with_row_key
+from vectorloom.llm.rows import with_row_key, without_rows
 
 
 def brute_groups(texts):
@@ -131,3 +131,18 @@ def test_row_keys_of_stored_rows_need_no_copy(spark, tmp_path):
         first = {r["_row_key"]: r["at"] for r in keyed.collect()}
         assert len(first) == 5000
         assert {r["_row_key"]: r["at"] for r in keyed.where("at % 2 = 0").repartition(3).collect()}.items() <= first.items()
+
+
+def test_rows_go_without_a_shuffle_of_the_texts(spark, tmp_path):
+    spark.range(0, 100_000, 1, 3).selectExpr("id as at", "'text' as text").write.parquet(f"{tmp_path}/rows")
+    rows = with_row_key(spark.read.parquet(f"{tmp_path}/rows"))
+    gone = rows.where("at % 3 = 0 or at between 32000 and 34000").select("_row_key")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        kept = without_rows(rows, gone, "_row_key")
+        assert sorted(r["at"] for r in kept.collect()) == [i for i in range(100_000) if i % 3 and not 32000 <= i <= 34000]
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert without_rows(rows, gone.limit(0), "_row_key").count() == 100_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

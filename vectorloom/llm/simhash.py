@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.llm.arrays import SPACED_WORD, lower_ascii, slices, small_batches
 from vectorloom.llm.components import connected_components
-from vectorloom.llm.rows import small_side
+from vectorloom.llm.rows import without_rows
 from vectorloom.session import materialise
 
 SHINGLE_WORDS = 4
@@ -309,5 +309,4 @@ def keep_one(docs: DataFrame, groups: DataFrame, row_col: str, id_col: str = "do
     heads = rows.groupBy("component").agg(F.min("order").alias("head"), F.count("*").alias("n"))
     heads = materialise(heads.where("n > 1").select("component", F.col("head._row").alias("head")), "heads")
     gone = rows.join(heads, "component").where("_key <> head").select(F.col("_key").alias("_gone_key"))
-    gone = small_side(materialise(gone, "gone"))
-    return docs.join(gone, docs[row_col] == gone["_gone_key"], "left_anti")
+    return without_rows(docs, gone, row_col)
