@@ -33,6 +33,9 @@ GROUP = "_group"
 ALL = "*"
 # Groups whose numbers of blocks may be broadcast.
 BROADCAST_GROUPS = 500_000
+# Hits that a task holds, and rows of a batch that it gives out.
+HELD_HITS = 200_000
+OUT_ROWS = 10_000
 
 
 @dataclass
@@ -85,23 +88,23 @@ def best_per_query(hits: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def block_hits(
-    ids: np.ndarray, group: str, scores: np.ndarray, query_ids: np.ndarray, k: int
+    ids: np.ndarray, group: str, scores: np.ndarray, query_ids: np.ndarray, k: int, least: np.ndarray | None = None
 ) -> pd.DataFrame:
     """The best k of each query in a score matrix (queries x vectors, vectors in id order).
 
     Scores are compared with the k-th best of the row. Where many vectors tie at that score, as
-    copies do, the first ones by id fill up k, so a block never yields more than k per query.
+    copies do, the first ones by id fill up k, so a block never yields more than k per query. ``least`` gives for
+    each query a score that k other vectors reach: lower ones are left out at once.
     """
     count = len(ids)
-    keep = np.ones(scores.shape, dtype=bool)
-    if count > k:
-        bar = np.partition(scores, count - k, axis=1)[:, count - k, None]
-        keep = scores >= bar
-        crowded = np.flatnonzero(keep.sum(axis=1) > k)
-        if len(crowded):
-            above, ties = scores[crowded] > bar[crowded], scores[crowded] == bar[crowded]
-            room = k - above.sum(axis=1, keepdims=True)
-            keep[crowded] = above | (ties & (np.cumsum(ties, axis=1) <= room))
+    keep = np.ones(scores.shape, dtype=bool) if least is None else scores >= least[:, None]
+    crowded = np.flatnonzero(keep.sum(axis=1) > k) if count > k else []
+    if len(crowded):
+        of = scores[crowded]
+        bar = np.partition(of, count - k, axis=1)[:, count - k, None]
+        above, ties = of > bar, of == bar
+        room = k - above.sum(axis=1, keepdims=True)
+        keep[crowded] = above | (ties & (np.cumsum(ties, axis=1) <= room))
     queries, vectors = np.nonzero(keep)
     return pd.DataFrame(
         {
@@ -152,13 +155,18 @@ def cosine_scores(
 
 
 class RunningTop:
-    """Best hits seen so far in one task; merges whenever the pending part outgrows the kept one."""
+    """Best hits seen so far in one task; merges whenever the pending part outgrows the kept one.
+
+    The k-th best score of each query, once it has k, is the least that later hits must reach.
+    """
 
     def __init__(self, block: QueryBlock, k: int, score: Scorer, block_rows: int):
         self.block, self.k, self.score, self.block_rows = block, k, score, block_rows
         self._kept: list[pd.DataFrame] = []
         self._pending = 0
         self._limit = 100_000
+        self._least: dict[str, np.ndarray] = {}
+        self._place = pd.Index(block.ids)
 
     def add(self, batch: pa.RecordBatch) -> None:
         groups = batch.column(GROUP).to_numpy(zero_copy_only=False)
@@ -175,7 +183,8 @@ class RunningTop:
             for start in range(0, len(members), step):
                 rows = members[start : start + step]
                 scores = self.score(batch, rows, wanted, self.block)
-                found = block_hits(ids[rows], group, scores, self.block.ids[wanted], self.k)
+                least = self._least[group][wanted] if group in self._least else None
+                found = block_hits(ids[rows], group, scores, self.block.ids[wanted], self.k, least)
                 self._kept.append(found)
                 self._pending += len(found)
                 if self._pending > self._limit:
@@ -187,6 +196,23 @@ class RunningTop:
         best = best_per_query(pd.concat(self._kept, ignore_index=True), self.k)
         self._kept, self._pending = [best], len(best)
         self._limit = max(100_000, 2 * len(best))
+        last = best[best.groupby(["query_idx", GROUP], sort=False, dropna=False).cumcount() == self.k - 1]
+        for group, of in last.groupby(GROUP, sort=False):
+            least = self._least.setdefault(group, np.full(len(self._place), -np.inf))
+            least[self._place.get_indexer(of["query_idx"])] = of["score"]
+        return best
+
+    def overflow(self) -> pd.DataFrame | None:
+        """The best hits, no longer kept, if they are more than a task should hold, as with a very large k.
+
+        They are given out as they are; later ones are compared with them when all hits are ranked.
+        """
+        if self._pending <= HELD_HITS:
+            return None
+        best = self.merge()
+        if len(best) <= HELD_HITS:
+            return None
+        self._kept, self._pending = [], 0
         return best
 
 
@@ -232,14 +258,14 @@ def local_hits(
 
     columns = to_arrow_schema(schema)
 
-    def best_of(block: QueryBlock, batches: Iterator[pa.RecordBatch]) -> pa.Table:
-        top = RunningTop(block, k, score, block_rows)
+    def best_of(block: QueryBlock, batches: Iterator[pa.RecordBatch], step: int) -> Iterator[pa.Table]:
+        top = RunningTop(block, k, score, step)
         for batch in batches:
             top.add(batch)
-        best = top.merge()
-        if best is None:
-            return columns.empty_table()
-        return pa.Table.from_pandas(best, schema=columns, preserve_index=False)
+            if (more := top.overflow()) is not None:
+                yield pa.Table.from_pandas(more, schema=columns, preserve_index=False)
+        if (best := top.merge()) is not None:
+            yield pa.Table.from_pandas(best, schema=columns, preserve_index=False)
 
     small = bounded_queries(queries, max_queries, settings.QUERY_BROADCAST_BYTES)
     if small is None:
@@ -249,9 +275,13 @@ def local_hits(
             if not found.num_rows or not asked.num_rows:
                 return columns.empty_table()
             frame = asked.select(["query_idx", GROUP, "embedding"]).to_pandas()
-            return best_of(prepare(QueryBlock.from_frame(frame)), iter(found.combine_chunks().to_batches()))
+            block = prepare(QueryBlock.from_frame(frame))
+            return pa.concat_tables([columns.empty_table(), *best_of(block, found.to_batches(), len(found))])
 
-        left, right = dealt_blocks(vectors, written, max_queries, block_rows)
+        # Every block is moved once for each block of the other side, so blocks are as large as a task's memory
+        # allows; the bounds of a broadcast and of the scan do not make them smaller.
+        rows_of = max(max_queries, settings.QUERY_BLOCK_ROWS), max(block_rows, settings.VECTOR_BLOCK_ROWS)
+        left, right = dealt_blocks(vectors, written, *rows_of)
         keys = ["_key", "_vector_block", "_query_block"]
         hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score_blocks, schema)
         return Hits(hits, written.count() * k)
@@ -260,7 +290,8 @@ def local_hits(
     packed = vectors.sparkSession.sparkContext.broadcast(prepare(QueryBlock.from_frame(small)))
 
     def score_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from best_of(packed.value, batches).to_batches()
+        for best in best_of(packed.value, batches, block_rows):
+            yield from best.to_batches(max_chunksize=OUT_ROWS)
 
     return Hits(vectors.mapInArrow(score_partition, schema), len(small) * k)
 

@@ -57,11 +57,13 @@ LARGE_TEXT_BYTES = 100 * 1024 * 1024
 # kernel) and the id breaks the tie. Six decimals are for display.
 SCORE_DIGITS = 12
 
-# Queries travel to the tasks as one broadcast below both bounds; larger query sets are dealt to blocks of
-# this size.
+# Queries travel to the tasks as one broadcast below both bounds; larger query sets are dealt to blocks.
 QUERY_BROADCAST_ROWS = 4096
 QUERY_BROADCAST_BYTES = 96 * 1024 * 1024
 
+# Queries that a task of the dealt blocks holds, within the same bytes.
+QUERY_BLOCK_ROWS = 16_384
+
 # Ranked hits are broadcast in later joins up to this many rows.
 HIT_BROADCAST_ROWS = 500_000
 
