@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from vectorloom.catalog import text_queries as sql
 from vectorloom.operators.chunking import (
@@ -202,3 +203,25 @@ def test_memory_of_a_large_file_is_bounded(tmp_path):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert count > 30_000 and peak < 12 << 20
+
+
+def test_batches_of_long_texts_are_small(spark):
+    keys = [f"spark.sql.execution.arrow.{name}" for name in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = {key: spark.conf.get(key) for key in keys}
+    seen = []
+
+    @F.pandas_udf("bigint")
+    def together(texts: pd.Series) -> pd.Series:
+        return pd.Series([int(texts.str.len().sum())] * len(texts))
+
+    try:
+        for key, value in zip(keys, ("10000", "268435456")):
+            spark.conf.set(key, value)
+        long = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 4000).alias("content"))
+        chunked = chunk_documents(long)
+        seen = [row[0] for row in long.select(together("content").alias("n")).distinct().collect()]
+        assert chunked.where("chunk_index = 1").count() == 3000
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert max(seen) < 10_000_000  # 60 million characters in all

@@ -9,7 +9,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import SparkSession
+
+from vectorloom.session import small_batches  # noqa: F401  used by the operators
 
 # Maximal runs of anything but ASCII white space.
 SPACED_WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -61,16 +62,6 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Let Arrow batches of texts hold 1,000 rows unless the session asks for fewer.
-
-    At Spark's 10,000 a batch of long texts takes hundreds of MB outside the heap and in the worker.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= 1000:
-        spark.conf.set(name, "1000")
-
-
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterable[pa.RecordBatch]:
     """Arrow batches in small pieces: only a few texts are Python strings at a time."""
     for batch in batches:

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from vectorloom import settings
 from vectorloom.functions.text import is_blank
+from vectorloom.session import small_batches
 from vectorloom.sources.byte_streams import file_bytes, read_pieces
 
 # Break characters, strongest first, with the distance each may be searched.
@@ -150,6 +151,7 @@ def chunk_array(
 
 
 def _explode_chunks(df: DataFrame, chunks: Column, text: str, doc_id: str) -> DataFrame:
+    small_batches(df.sparkSession)
     carried = [column for column in df.columns if column != text]
     split = df.select(*carried, chunks.alias("_chunks"))
     exploded = split.select(*carried, F.posexplode("_chunks").alias("_pos", text))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,6 +30,23 @@ def local_session(cores: str = "8", name: str = "vectorloom", **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+# Rows and bytes of an Arrow batch of texts.
+TEXT_BATCH_ROWS = 1000
+TEXT_BATCH_BYTES = 8 * 1024 * 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold 1,000 rows and 8 MB unless the session asks for less.
+
+    At Spark's 10,000 rows a batch of long texts takes hundreds of MB outside the heap and in the worker.
+    """
+    for name, most in (("maxRecordsPerBatch", TEXT_BATCH_ROWS), ("maxBytesPerBatch", TEXT_BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        asked = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(key).lower())
+        if asked is None or not 0 < int(asked[1]) << 10 * " kmg".index(asked[2] or " ") <= most:
+            spark.conf.set(key, str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, for checkpoints and intermediate tables.
 
