@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from vectorloom import settings
 from vectorloom.functions.vectors import l2_normalize
 from vectorloom.operators.chunking import chunk_array, run_once
-from vectorloom.session import lookup_table, materialise
+from vectorloom.session import lookup_table, materialise, small_batches
 
 
 class Encoder(Protocol):
@@ -35,7 +35,12 @@ TOKEN = r"[^ \t\r\n]+"
 
 
 class _TokenBuckets(dict):
-    """Bucket of a token: the first 32 bits of its MD5 modulo ``dim``; remembers a bounded number."""
+    """Bucket of a token: the first 32 bits of its MD5 modulo ``dim``; remembers a bounded number of short ones.
+
+    Where texts have no blanks, a token is a line of any length.
+    """
+
+    LIMIT, CHARS = 100_000, 32
 
     def __init__(self, dim: int):
         super().__init__()
@@ -44,7 +49,7 @@ class _TokenBuckets(dict):
     def __missing__(self, token: str) -> int:
         digest = hashlib.md5(token.encode("utf-8"), usedforsecurity=False).digest()
         bucket = int.from_bytes(digest[:4], "big") % self.dim
-        if len(self) < 500_000:
+        if len(self) < self.LIMIT and len(token) <= self.CHARS:
             self[token] = bucket
         return bucket
 
@@ -77,9 +82,10 @@ def embed_text(
     """Add the vector of a text column; null where the text is null or the encoder refuses it.
 
     ``encoder`` is a factory: the model is built once per Python worker and then sees Arrow
-    batches (``spark.sql.execution.arrow.maxRecordsPerBatch`` texts each). Filter rows before
+    batches (``spark.sql.execution.arrow.maxRecordsPerBatch`` texts each, 1,000 and 8 MB at most). Filter rows before
     this step: nothing is pushed below it.
     """
+    small_batches(df.sparkSession)
 
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -261,6 +267,7 @@ def chunks_to_embed(
     number of chunks is read off the array before it is exploded, so no window is needed.
     """
     carried = [column for column in df.columns if column != "content"]
+    small_batches(df.sparkSession)
     chunked = df.withColumn("_chunks", chunk_array(F.col("content"), mode, size, overlap))
     rows = chunked.select(
         *carried, F.size("_chunks").alias("_n"), F.posexplode("_chunks").alias("_pos", "content")
