@@ -1,4 +1,6 @@
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -365,3 +367,25 @@ def test_queries_of_all_groups_beside_queries_of_one(spark):
     assert few == many
     groups = {(q, g) for q, g, *_ in few}
     assert groups == {(q, str(g)) for q in range(3) for g in range(10)} | {(q, "4") for q in range(3, 6)}
+
+
+def test_hits_given_out_early_hold_the_best(monkeypatch):
+    draw = np.random.default_rng(3)
+    asked = pd.DataFrame({"query_idx": [0, 1, 2], "_group": ["g"] * 3, "embedding": list(draw.normal(size=(3, 4)))})
+    points = np.round(draw.normal(size=(400, 4)), 1)
+    for k, held in ((5, 200_000), (300, 200)):
+        monkeypatch.setattr(knn, "HELD_HITS", held)
+        top = knn.RunningTop(knn.QueryBlock.from_frame(asked), k, knn.cosine_scores, 7)
+        found = []
+        for start in range(0, 400, 50):
+            ids = [f"c{i:03}" for i in range(start, start + 50)]
+            columns = [pa.array(ids), pa.array(["g"] * 50), pa.array(points[start : start + 50].tolist())]
+            top.add(pa.RecordBatch.from_arrays(columns, ["chunk_id", "_group", "embedding"]))
+            found.append(top.overflow())
+        assert (k == 300) == any(part is not None for part in found)
+        best = knn.best_per_query(pd.concat([part for part in (*found, top.merge()) if part is not None]), k)
+        unit = knn.unit_rows(points)
+        for query in range(3):
+            scores = knn.round_scores(knn.unit_rows(np.array([asked["embedding"][query]])) @ unit.T)[0]
+            wanted = sorted(range(400), key=lambda i: (-scores[i], i))[:k]
+            assert best[best["query_idx"] == query]["chunk_id"].tolist() == [f"c{i:03}" for i in wanted]
