@@ -1,9 +1,11 @@
 """The operators against brute force, round trips and their defined results."""
 
 import collections
+import gzip
 import hashlib
 import itertools
 import math
+import os
 import random
 
 import numpy as np
@@ -438,6 +440,31 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(spark, empty).count() == 0
 
 
+def test_warc_records_are_read_in_few_pieces_and_checked_without_payloads(spark, tmp_path):
+    payloads = ["\r\n" * n + "x" + "\r\n" * m for n in range(4) for m in range(5)] + ["\r", "a\r\n\r", "\n\r\n"]
+    pages = spark.createDataFrame(list(enumerate(payloads)), "page_id long, html string").withColumn("url", F.lit("u"))
+    path = warc.write_archives(warc.responses(pages.coalesce(1)))
+    found = {r["page_id"]: r["payload"] for r in warc.read_archives(spark, path).collect()}
+    assert found == dict(enumerate(payloads))
+    heads = warc.read_archives(spark, path, payloads=False).collect()
+    assert all(r["payload"] is None for r in heads)
+    assert {(r["page_id"], r["payload_bytes"]) for r in heads} == {(i, len(p)) for i, p in enumerate(payloads)}
+
+    stream = b""
+    for file in (f for f in os.listdir(path) if f.endswith(".gz")):
+        with gzip.open(f"{path}/{file}") as source:
+            stream += source.read()
+    reader = warc._Reader()
+    records = [record for piece in stream.split(b"\r\n\r\n") for record in reader.feed(piece)]
+    assert [record[4].decode() for record in records] == payloads
+
+    cut = tmp_path / "cut"
+    cut.mkdir()
+    (cut / "a.gz").write_bytes(gzip.compress(stream[:-20]))
+    with pytest.raises(Exception, match="ends inside a record"):
+        warc.read_archives(spark, str(cut), payloads=False).collect()
+
+
 # 1: perplexity
 
 

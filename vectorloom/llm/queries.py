@@ -268,7 +268,7 @@ _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     archives = warc.write_archives(warc.responses(table(spark, folder, "pages")))
     deduplicated = warc.deduplicate(archives)
-    return warc.resolve(warc.read_archives(spark, deduplicated)).select(
+    return warc.resolve(warc.read_archives(spark, deduplicated, payloads=False)).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
 
