@@ -38,6 +38,8 @@ import math
 import pickle
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +48,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectorloom.llm.arrays import (
-    SPACED_WORD,
     WordHashes,
     pack,
     pack_sorted,
@@ -56,13 +57,15 @@ from vectorloom.llm.arrays import (
     unpack_sorted,
 )
 from vectorloom.llm.rows import small_side
-from vectorloom.session import materialise
+from vectorloom.session import materialise, shuffles_removed
 
 # Words whose statistics every task has; numbers of words have 16 bits, two are taken.
 FREQUENT = 65_534
 HOT = 4096
 CHUNK_WORDS = 500_000
 SHARD_CHARS = 48_000_000
+# Documents are scored in so many jobs, each of which removes its shuffled requests: they take more disk than all else.
+SLICES = 3
 QUANTILE = 0.995
 PRIOR_WORDS = 20
 TOXIC_SHARE = 0.01
@@ -75,12 +78,20 @@ UNKNOWN, START, FIRST = 0, 1, 2
 # The highest bit marks the hash of a rarer word; numbers of frequent words are below it.
 RARER = np.uint64(1 << 63)
 KEY_BITS = 40
+# Documents of a chunk are numbered in so many bits, beside a key.
+OWNER_BITS = np.uint64(24)
+OWNERS = np.uint64((1 << 24) - 1)
 FREQUENT_PAIR, RARER_PAIR, RARER_WORD = 0, 1, 2
 _FLUSH = 200_000
 
 
-def words_of(text: str | None) -> list[str]:
-    return SPACED_WORD.findall(text) if text else []
+def words_of(text: bytes | None) -> list[bytes]:
+    """Words of a text in UTF-8: bytes are split at just the ASCII white space."""
+    return text.split() if text else []
+
+
+def texts_of(batch: pa.RecordBatch) -> list[bytes | None]:
+    return batch.column("text").cast(pa.binary()).to_pylist()
 
 
 def label_flags(labels: DataFrame) -> DataFrame:
@@ -105,11 +116,11 @@ def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def toxic_words(rows: DataFrame, share: float = TOXIC_SHARE, least: float = EVIDENCE) -> dict[str, tuple[float, float]]:
     """Words that speak for toxicity, with their weight, and their weight for a trusted document that has them."""
 
-    def holding(wanted: frozenset[str] | None):
+    def holding(wanted: frozenset[bytes] | None):
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: Counter = Counter()
             for batch in slices(batches):
-                for text in batch.column("text").to_pylist():
+                for text in texts_of(batch):
                     words = set(words_of(text))
                     seen.update(words if wanted is None else words & wanted)
                     if len(seen) > _FLUSH:
@@ -119,7 +130,7 @@ def toxic_words(rows: DataFrame, share: float = TOXIC_SHARE, least: float = EVID
 
         return count
 
-    def documents(kind: str, wanted: frozenset[str] | None) -> DataFrame:
+    def documents(kind: str, wanted: frozenset[bytes] | None) -> DataFrame:
         counted = rows.where(kind).select("text").mapInArrow(holding(wanted), "word string, n bigint")
         return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -128,7 +139,7 @@ def toxic_words(rows: DataFrame, share: float = TOXIC_SHARE, least: float = EVID
     known = {row["word"]: row["n"] for row in often.collect()}
     if not known or not good:
         return {}
-    among = {row["word"]: row["n"] for row in documents("trusted", frozenset(known)).collect()}
+    among = {row["word"]: row["n"] for row in documents("trusted", frozenset(map(str.encode, known))).collect()}
 
     def weight(word: str, own: int) -> float:
         held = among.get(word, 0) - own
@@ -147,7 +158,7 @@ def vocabulary(trusted: DataFrame, size: int = FREQUENT) -> list[str]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in slices(batches):
-            for text in batch.column("text").to_pylist():
+            for text in texts_of(batch):
                 seen.update(words_of(text))
                 if len(seen) > _FLUSH:
                     yield _counts(seen)
@@ -170,39 +181,56 @@ def vocabulary(trusted: DataFrame, size: int = FREQUENT) -> list[str]:
 
 def _counts(seen: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"]
+        [pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"]
     )
 
 
-def bigrams(ids: np.ndarray) -> np.ndarray:
-    """Keys of the bigrams of a document (its start is a context) whose words are both frequent."""
-    before = np.concatenate([[START], ids[:-1]]).astype(np.uint32)
-    known = (before != UNKNOWN) & (ids != UNKNOWN)
-    return (before[known] << np.uint32(16)) | ids[known].astype(np.uint32)
+class Stretch:
+    """Words of successive documents, as names: numbers of frequent words and marked hashes of the others."""
 
-
-class Numbers:
-    """Numbers of frequent words and hashes of the others."""
+    # Words that are held as such, and given names together.
+    HELD = 50_000
 
     def __init__(self, words: list[str]):
-        self.get = {word: number for number, word in enumerate(words, FIRST)}.get
+        self.get = {word.encode(): number for number, word in enumerate(words, FIRST)}.get
         self.hashes = WordHashes()
-
-    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers, ``UNKNOWN`` for rarer words; and numbers or marked hashes."""
-        ids = np.fromiter((self.get(word, UNKNOWN) for word in words), np.int64, len(words))
-        names = ids.astype(np.uint64)
-        rarer = np.flatnonzero(ids == UNKNOWN)
+        self.clear()
+
+    def clear(self) -> None:
+        self.named: list[np.ndarray] = []
+        self.held: list[bytes] = []
+        self.lengths: list[int] = []
+
+    def add(self, words: list[bytes]) -> None:
+        self.held += words
+        self.lengths.append(len(words))
+        if len(self.held) >= self.HELD:
+            self._name()
+
+    def _name(self) -> None:
+        words, self.held = self.held, []
+        names = np.fromiter(map(self.get, words, repeat(UNKNOWN)), np.uint64, len(words))
+        rarer = np.flatnonzero(names == UNKNOWN)
         if len(rarer):
             names[rarer] = self.hashes.of([words[i] for i in rarer.tolist()]) | RARER
-        return ids, names
+        self.named.append(names)
 
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The names, for each the one before it in its document (whose start is one), and the numbers of words of
+        the documents; nothing is kept."""
+        self._name()
+        names, lengths = np.concatenate(self.named), np.array(self.lengths, np.int64)
+        self.clear()
+        before = np.empty_like(names)
+        before[1:] = names[:-1]
+        before[(np.cumsum(lengths) - lengths)[lengths > 0]] = START
+        return names, before, lengths
 
-def rarer_pairs(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bigrams of a document with a rarer word: contexts and words."""
-    before = np.concatenate([np.array([START], np.uint64), names[:-1]])
-    marked = (before | names) >= RARER
-    return before[marked], names[marked]
+
+def frequent_pairs(before: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where both words of a bigram are frequent, and the keys of these bigrams."""
+    known = np.flatnonzero((before | names) < RARER)
+    return known, (before[known] << np.uint64(16)) | names[known]
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -229,6 +257,7 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
 
 def _split(owner: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
     """Positions by shard, in order."""
+    owner = owner.astype(np.uint16) if shards <= 1 << 16 else owner  # numbers of 16 bits are sorted fastest
     order = np.argsort(owner, kind="stable")
     cuts = np.searchsorted(owner[order], np.arange(shards + 1))
     for shard in range(shards):
@@ -248,13 +277,14 @@ def count_bigrams(trusted: DataFrame, shared: Broadcast, shards: int) -> DataFra
         [("shard", pa.int32())] + [(name, pa.binary()) for name in ("keys", "counts", "before", "word", "by_context")]
     )
 
-    def flush(held: list[np.ndarray], rarer: list[tuple]) -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+    def flush(names: np.ndarray, before: np.ndarray) -> pa.RecordBatch:
+        keys, counts = np.unique(frequent_pairs(before, names)[1].astype(np.uint32), return_counts=True)
         rows = [
             {"shard": shard, "keys": pack_sorted(keys[at]), "counts": pack(counts[at].astype(np.uint32))}
             for shard, at in _split(shard_of(keys, shards), shards)
         ]
-        before, word, counts = _summed(*(np.concatenate(part) for part in zip(*rarer, strict=True)))
+        marked = (before | names) >= RARER
+        before, word, counts = _summed(before[marked], names[marked])
         for by_context, owner in ((b"", word), (b"1", before)):
             mine = np.flatnonzero(owner >= RARER)
             mine = mine[np.argsort(owner[mine], kind="stable")]
@@ -272,22 +302,19 @@ def count_bigrams(trusted: DataFrame, shared: Broadcast, shards: int) -> DataFra
         return pa.RecordBatch.from_pylist(rows, asked)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(shared.value)
-        held, rarer, size = [], [], 0
+        stretch, size = Stretch(shared.value), 0
         for batch in slices(batches):
-            for text in batch.column("text").to_pylist():
+            for text in texts_of(batch):
                 found = words_of(text)
                 if not found:
                     continue
-                ids, names = numbers.of(found)
-                held.append(bigrams(ids))
-                rarer.append(rarer_pairs(names))
+                stretch.add(found)
                 size += len(found)
                 if size >= CHUNK_WORDS:
-                    yield flush(held, rarer)
-                    held, rarer, size = [], [], 0
+                    yield flush(*stretch.take()[:2])
+                    size = 0
         if size:
-            yield flush(held, rarer)
+            yield flush(*stretch.take()[:2])
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -462,7 +489,7 @@ class Model:
         """``contexts``: n, n1, n2, n3+ by context; ``followers``: distinct contexts by word; ``total``, ``distinct``
         and ``low_classes``: bigrams, words, and words by followers, of all words."""
         self.words = words
-        self.toxic = toxic
+        self.toxic = {word.encode(): weights for word, weights in toxic.items()}
         self.discounts = discounts(classes)
         # The lowest order: continuation counts, interpolated with the uniform distribution.
         self.low = discounts(low_classes)
@@ -485,14 +512,8 @@ class Model:
         left = np.where(totals > 0, classes.astype(np.float64) @ self.discounts[1:] / np.maximum(totals, 1), 1.0)
         return np.where(left > 0, left, 1.0 / (totals + 1))
 
-    def toxicity(self, words: list[str], trusted: bool) -> float:
-        found = (self.toxic.get(word) for word in set(words)) if self.toxic else ()
-        return float(sum(sorted(weights[trusted] for weights in found if weights)))
-
-    def base(self, ids: np.ndarray) -> float:
-        """Log-probability of a document if no bigram had been seen."""
-        before = np.concatenate([[START], ids[:-1]])
-        return float(np.log(self.lowest[ids]).sum() + np.log(self.backoff[before]).sum())
+    def toxicity(self, words: list[bytes], trusted: bool) -> float:
+        return float(sum(sorted(self.toxic[word][trusted] for word in self.toxic.keys() & words))) if self.toxic else 0.0
 
     def gain(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """What a bigram's own count adds to its log-probability."""
@@ -521,7 +542,7 @@ def train(rows: DataFrame, shards: int, size: int = FREQUENT) -> tuple[Model, Da
     total = np.zeros(6, np.int64)  # n, bigrams, bigrams seen 1 to 4 times
     low = np.zeros(5, np.int64)  # words, words with 1 to 4 contexts
     contexts, followers = np.zeros((width, 4), np.int64), np.zeros(width, np.int64)
-    for row in added.toLocalIterator():  # at most two rows for each frequent word
+    for row in materialise(added, "sums").toLocalIterator():  # at most two rows for each frequent word
         sums = np.array(row[2:], np.int64)
         if row["what"] == "all":
             total += sums
@@ -598,39 +619,65 @@ def score(docs: DataFrame, shared: Broadcast, counts: DataFrame, shards: int) ->
     """
     place = (F.spark_partition_id().cast("bigint") * F.lit(1 << 33)).alias("place")
 
-    def request(held: list, kind: int) -> tuple:
-        """Sorted keys with their shards, documents and occurrences, of all documents of a chunk."""
-        wide = np.uint32 if kind == FREQUENT_PAIR else np.uint64
-        keys = _all(part[0] for part in held).astype(wide)
-        owners = _all(np.full(len(part[0]), part[-1]) for part in held).astype(np.uint32)
-        times = [_all(part[n] for part in held).astype(np.uint32) for n in (1, 2)]
-        if kind == FREQUENT_PAIR:
-            shard = shard_of(keys, shards)
-        elif kind == RARER_WORD:
-            shard, keys = word_place(keys, shards)
-        else:  # bigrams are looked up with their context, or their word if only that is rarer
-            shard = word_place(_all(part[3] for part in held).astype(np.uint64), shards)[0]
-            keys = place_of(keys, shards)[1]
-        order = np.argsort(keys, kind="stable")
-        return shard[order], keys[order], owners[order], [t[order] for t in times]
-
-    def flush(chunk: int, held: dict[int, list], heads: list) -> pa.RecordBatch:
-        """Requests of a chunk; its documents' own part goes to one of the shards."""
-        trusted = np.packbits(np.array([head[2] for head in heads], bool)).tobytes()
+    def asked_by(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs of a key and a document, sorted, as one number each; and how often each occurs."""
+        return np.unique((keys << OWNER_BITS) | owners, return_counts=True)
+
+    def flush(known: Model, chunk: int, stretch: Stretch, heads: list) -> pa.RecordBatch:
+        """Requests of a chunk: sorted keys with their documents and occurrences, by shard; its documents' own part
+        goes to one of the shards."""
+        names, before, lengths = stretch.take()
+        owners = np.repeat(np.arange(len(heads), dtype=np.uint64), lengths)
+        trusted = np.array([head[2] for head in heads], bool)
+        # Log-probabilities if no bigram had been seen.
+        ids, contexts = (np.where(each < RARER, each, UNKNOWN).astype(np.int64) for each in (names, before))
+        unseen = np.log(known.lowest)[ids] + np.log(known.backoff)[contexts]
+        base = np.bincount(owners.astype(np.int64), weights=unseen, minlength=len(heads))
         rows = []
-        for kind, parts in held.items():
-            shard, keys, owners, times = request(parts, kind)
-            for number, at in _split(shard, shards):
-                row = {
-                    "shard": number,
-                    "chunk": chunk,
-                    "kind": kind,
-                    "keys": pack_sorted(keys[at]),
-                    "owners": pack(owners[at]),
-                    "counts": pack(times[0][at]),
-                    "trusted": trusted,
-                }
-                rows.append(row | ({"as_context": pack(times[1][at])} if kind == RARER_WORD else {}))
+
+        def send(kind: int, shard: int, both: np.ndarray, times: np.ndarray, as_context: np.ndarray | None = None) -> None:
+            wide = np.uint32 if kind == FREQUENT_PAIR else np.uint64
+            row = {
+                "shard": shard,
+                "chunk": chunk,
+                "kind": kind,
+                "keys": pack_sorted((both >> OWNER_BITS).astype(wide)),
+                "owners": pack((both & OWNERS).astype(np.uint32)),
+                "counts": pack(times.astype(np.uint32)),
+                "trusted": np.packbits(trusted).tobytes(),
+            }
+            rows.append(row if as_context is None else row | {"as_context": pack(as_context.astype(np.uint32))})
+
+        at, keys = frequent_pairs(before, names)
+        both, times = asked_by(keys, owners[at])
+        keys, owner = (both >> OWNER_BITS).astype(np.uint32), (both & OWNERS).astype(np.int64)
+        hot, place = matched(known.hot_keys, keys)
+        if len(hot):
+            n = known.hot_counts[place] - np.where(trusted[owner[hot]], times[hot], 0)
+            base += np.bincount(owner[hot], weights=known.gain(keys[hot], n) * times[hot], minlength=len(heads))
+            both, times, keys = (np.delete(each, hot) for each in (both, times, keys))
+        for shard, some in _split(shard_of(keys, shards), shards):
+            send(FREQUENT_PAIR, shard, both[some], times[some])
+
+        # Bigrams are looked up with their context, or their word if only that is rarer.
+        at = np.flatnonzero((before | names) >= RARER)
+        keys = place_of(pair_hash(before[at], names[at]), shards)[1]
+        lead = np.where(before[at] >= RARER, before[at], names[at])
+        for shard, some in _split(word_place(lead, shards)[0], shards):
+            send(RARER_PAIR, shard, *asked_by(keys[some], owners[at[some]]))
+
+        at = np.flatnonzero(names >= RARER)
+        last = np.zeros(len(names), bool)
+        last[np.cumsum(lengths)[lengths > 0] - 1] = True
+        shard_of_word, keys = word_place(names[at], shards)
+        for shard, some in _split(shard_of_word, shards):
+            both, times = asked_by(keys[some], owners[at[some]])
+            some = some[last[at[some]]]
+            as_context = times.copy()  # the last word of a document is no context
+            as_context[np.searchsorted(both, (keys[some] << OWNER_BITS) | owners[at[some]])] -= 1
+            send(RARER_WORD, shard, both, times, as_context)
+
+        heads = [(*head[:4], value, head[4]) for head, value in zip(heads, base.tolist(), strict=True)]
         table = pa.Table.from_pylist([dict(zip(_HEAD, head, strict=True)) for head in heads], _HEAD_TYPE)
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema) as writer:
@@ -638,46 +685,22 @@ def score(docs: DataFrame, shared: Broadcast, counts: DataFrame, shards: int) ->
         rows.append({"shard": chunk % shards, "chunk": chunk, "docs": sink.getvalue().to_pybytes()})
         return pa.RecordBatch.from_pylist(rows, _ASKED_TYPE)
 
-    def empty() -> dict[int, list]:
-        return {kind: [] for kind in (FREQUENT_PAIR, RARER_PAIR, RARER_WORD)}
-
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        numbers = Numbers(known.words)
-        held, heads, size, chunk = empty(), [], 0, None
+        stretch, heads, size, chunk = Stretch(known.words), [], 0, None
         for batch in slices(batches):
-            columns = (batch.column(name).to_pylist() for name in ("doc_id", "lang", "trusted", "text", "place"))
-            for doc, lang, trusted, text, partition in zip(*columns, strict=True):
+            columns = (batch.column(name).to_pylist() for name in ("doc_id", "lang", "trusted", "place"))
+            for doc, lang, trusted, partition, text in zip(*columns, texts_of(batch), strict=True):
                 chunk = partition if chunk is None else chunk
                 found = words_of(text)
-                base = toxicity = 0.0
-                if found:
-                    ids, names = numbers.of(found)
-                    base = known.base(ids)
-                    toxicity = known.toxicity(found, trusted)
-                    keys, times = np.unique(bigrams(ids), return_counts=True)
-                    hot = np.isin(keys, known.hot_keys, assume_unique=True)
-                    if hot.any():
-                        n = known.hot_counts[np.searchsorted(known.hot_keys, keys[hot])]
-                        n = n - times[hot] if trusted else n
-                        base += float((known.gain(keys[hot], n) * times[hot]).sum())
-                    held[FREQUENT_PAIR].append((keys[~hot], times[~hot], times[~hot], len(heads)))
-                    before, word = rarer_pairs(names)
-                    pairs, first, times = np.unique(pair_hash(before, word), return_index=True, return_counts=True)
-                    owner = np.where(before >= RARER, before, word)[first]
-                    held[RARER_PAIR].append((pairs, times, times, owner, len(heads)))
-                    rarer, where = np.unique(names[names >= RARER], return_inverse=True)
-                    followed = (names[:-1] >= RARER)[names[:-1] >= RARER]
-                    as_context = np.bincount(where[: len(followed)], minlength=len(rarer))
-                    as_word = np.bincount(where, minlength=len(rarer))
-                    held[RARER_WORD].append((rarer, as_word, as_context, len(heads)))
-                heads.append((doc, lang, trusted, len(found), base, toxicity))
+                stretch.add(found)
+                heads.append((doc, lang, trusted, len(found), known.toxicity(found, trusted)))
                 size += len(found) + 20
                 if size >= CHUNK_WORDS:
-                    yield flush(chunk, held, heads)
-                    held, heads, size, chunk = empty(), [], 0, chunk + 1
+                    yield flush(known, chunk, stretch, heads)
+                    heads, size, chunk = [], 0, chunk + 1
         if heads:
-            yield flush(chunk, held, heads)
+            yield flush(known, chunk, stretch, heads)
 
     def join(key: tuple, asked: pa.Table, table: pa.Table) -> pa.Table:
         known = shared.value
@@ -762,23 +785,18 @@ def classify(
     """``(doc_id, lang, trusted, n_words, perplexity, threshold, toxicity, toxic_threshold, rejected)`` per row of
     ``docs``."""
     small_batches(docs.sparkSession)
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = 1 + chars // SHARD_CHARS
-    rows = with_trust(docs, labels)
-    model, counts = train(rows, shards, size)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    scored = materialise(score(rows, shared, counts, shards), "scores")
-    shared.destroy()
     cost = -F.col("log_prob") / F.col("n_words")
-    trusted = scored.where("trusted and n_words > 0").withColumn("cost", cost)
-    middle = F.percentile_approx("cost", 0.5, 10_000)
-    whole = trusted.agg(middle).first()[0]
-    medians = materialise(trusted.groupBy("lang").agg(middle.alias("median")), "medians")
-    if whole is None:
-        none = F.lit(None).cast("double")
-        bare = scored.withColumns({"median": none, "limit": none, "toxic_limit": none})
-    else:
-        bare = _with_limits(scored, medians, float(whole), quantile, prior_words)
+    with shuffles_removed(docs.sparkSession):
+        scored = _scored(docs, labels, size)
+        trusted = scored.where("trusted and n_words > 0").withColumn("cost", cost)
+        middle = F.percentile_approx("cost", 0.5, 10_000)
+        whole = trusted.agg(middle).first()[0]
+        medians = materialise(trusted.groupBy("lang").agg(middle.alias("median")), "medians")
+        if whole is None:
+            none = F.lit(None).cast("double")
+            bare = scored.withColumns({"median": none, "limit": none, "toxic_limit": none})
+        else:
+            bare = _with_limits(scored, medians, float(whole), quantile, prior_words)
     smooth = _smooth(prior_words)
     bad = (smooth > F.col("limit")) | (F.col("toxicity") > F.col("toxic_limit"))
     return bare.select(
@@ -794,6 +812,19 @@ def classify(
     )
 
 
+def _scored(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    shards = 1 + chars // SHARD_CHARS
+    rows = with_trust(docs, labels)
+    model, counts = train(rows, shards, size)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    jobs = min(SLICES, shards)
+    own = F.pmod(F.xxhash64("doc_id"), F.lit(jobs))
+    parts = [materialise(score(rows.where(own == job), shared, counts, shards), "scores") for job in range(jobs)]
+    shared.destroy()
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _smooth(prior_words: int):
     return (-F.col("log_prob") + F.lit(prior_words) * F.col("median")) / (F.col("n_words") + prior_words)
 

@@ -96,6 +96,25 @@ def temporary_steps(spark: SparkSession) -> Iterator[None]:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Let each query that runs inside the block remove its shuffle files when it ends.
+
+    Otherwise they stay until the driver collects its garbage. For chains of steps that are written and read back;
+    a result that is fetched later, as by ``toLocalIterator``, must be read from a step.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def lookup_table(df: DataFrame) -> DataFrame:
     """Write the side of a join that has one row per key.
 
