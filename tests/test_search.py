@@ -1,9 +1,12 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from vectorloom.catalog import QUERIES
 from vectorloom.operators import ann, knn, search, store
 from vectorloom.operators.knn import knn_exact
 from vectorloom.session import scratch_path
@@ -389,3 +392,12 @@ def test_hits_given_out_early_hold_the_best(monkeypatch):
             scores = knn.round_scores(knn.unit_rows(np.array([asked["embedding"][query]])) @ unit.T)[0]
             wanted = sorted(range(400), key=lambda i: (-scores[i], i))[:k]
             assert best[best["query_idx"] == query]["chunk_id"].tolist() == [f"c{i:03}" for i in wanted]
+
+
+@pytest.mark.parametrize(
+    "name", ["ivf_search_all_cells", "ivf_search_many", "ivf_pq_search", "ivf_pq_search_whole", "pq_search", "pq_search_recall"]
+)
+def test_index_queries_have_one_python_step_in_a_stage(spark, folder, name):
+    """A task has a worker for each Python step of its stage, all at once."""
+    plan = QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"(?:MapInArrow|FlatMapCoGroupsInArrow) ", plan)) == 1 and "ArrowEvalPython" not in plan

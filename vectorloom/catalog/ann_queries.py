@@ -13,7 +13,7 @@ from vectorloom.catalog.registry import cte, label_queries, query, sql, table
 from vectorloom.operators import ann
 from vectorloom.functions.vectors import dot, l2_normalize
 from vectorloom.operators.stats import index_info
-from vectorloom.session import scratch_path
+from vectorloom.session import materialise, scratch_path
 
 DIM = 64
 
@@ -51,6 +51,11 @@ def _label_cells(spark, folder):
     )
 
 
+def _stored(index):
+    """An index is written before it is read: each stage then has one Python step, and a task one Python worker."""
+    return materialise(index, "index")
+
+
 @query("ivf_assign", sql("SELECT chunk_id, cell FROM assigned", "assigned"))
 def _(spark, folder):
     return ann.ivf_assign(_vectors(spark, folder), _label_cells(spark, folder)).select(
@@ -120,7 +125,7 @@ def _(spark, folder):
 def _(spark, folder):
     # Looking into every trained cell gives the exact result.
     vectors, centroids = _fitted(spark, folder)
-    indexed = ann.ivf_assign(vectors, centroids)
+    indexed = _stored(ann.ivf_assign(vectors, centroids))
     return ann.ivf_search(indexed, centroids, label_queries(spark, folder), 10, nprobe=8)
 
 
@@ -213,7 +218,7 @@ _BEST_CODES = """
 @query("pq_search", sql(_BEST_CODES.format("code_scores"), "code_scores"))
 def _(spark, folder):
     book, encoded = _encoded(spark, folder)
-    return ann.pq_search(encoded, book, label_queries(spark, folder), 10)
+    return ann.pq_search(_stored(encoded), book, label_queries(spark, folder), 10)
 
 
 @query(
@@ -232,7 +237,7 @@ def _(spark, folder):
     # Codes of the vectors themselves.
     book, encoded = _encoded(spark, folder)
     cells = _label_cells(spark, folder)
-    indexed = ann.ivf_assign(encoded, cells)
+    indexed = _stored(ann.ivf_assign(_stored(encoded), cells))
     return ann.ivf_pq_search(
         indexed, cells, book, label_queries(spark, folder), 10, nprobe=3, residual=False
     )
@@ -272,7 +277,8 @@ cte(
 def _(spark, folder):
     cells = _label_cells(spark, folder)
     book = _given_book(spark, folder)
-    indexed = ann.pq_encode(ann.ivf_assign(_vectors(spark, folder), cells), book, cells)
+    assigned = _stored(ann.ivf_assign(_vectors(spark, folder), cells))
+    indexed = _stored(ann.pq_encode(assigned, book, cells))
     return ann.ivf_pq_search(indexed, cells, book, label_queries(spark, folder), 10, nprobe=3)
 
 
@@ -306,7 +312,7 @@ cte(
 def _(spark, folder):
     # More queries than one broadcast may hold: blocks of them meet blocks of their cells' vectors.
     cells = _label_cells(spark, folder)
-    indexed = ann.ivf_assign(_vectors(spark, folder), cells)
+    indexed = _stored(ann.ivf_assign(_vectors(spark, folder), cells))
     queries = table(spark, folder, "embeddings").select(F.col("vec_id").alias("query_idx"), "embedding")
     found = ann.ivf_search(indexed, cells, queries, 5, nprobe=2, max_queries=100, block_rows=200)
     return found.withColumn("score", F.round("score", 6))
@@ -439,7 +445,7 @@ def _(spark, folder):
     vectors, queries = _vectors(spark, folder), label_queries(spark, folder)
     book = ann.pq_fit(vectors, DIM)
     everybody = -(-vectors.count() // 10)
-    return ann.pq_search(ann.pq_encode(vectors, book), book, queries, 10, rerank=everybody)
+    return ann.pq_search(_stored(ann.pq_encode(vectors, book)), book, queries, 10, rerank=everybody)
 
 
 _TABLES = ["documents", "embeddings", "events", "lineitem", "orders", "part", "customer", "supplier"]
