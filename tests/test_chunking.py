@@ -225,3 +225,15 @@ def test_batches_of_long_texts_are_small(spark):
         for key, value in before.items():
             spark.conf.set(key, value)
     assert max(seen) < 10_000_000  # 60 million characters in all
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    for i in range(200):
+        (tmp_path / f"{i}.md").write_text(f"text {i}")
+    files = scan_knowledge_files(spark, str(tmp_path)).selectExpr("path", "length", "7 AS doc_id")
+    cores = spark.sparkContext.defaultParallelism
+    assert files.rdd.getNumPartitions() <= cores
+    chunks = chunk_files(files)
+    assert chunks.rdd.getNumPartitions() <= 4 * cores
+    assert {row["content"] for row in chunks.collect()} == {f"text {i}" for i in range(200)}
+    assert chunk_files(files.limit(0)).count() == 0

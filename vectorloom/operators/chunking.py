@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from vectorloom import settings
 from vectorloom.functions.text import is_blank
-from vectorloom.session import small_batches
+from vectorloom.session import materialise, small_batches
 from vectorloom.sources.byte_streams import file_bytes, read_pieces
 
 # Break characters, strongest first, with the distance each may be searched.
@@ -211,6 +211,22 @@ def _file_chunks(path: str, large: bool, size: int, overlap: int) -> Iterator[st
     return _backward_chunks("".join(read_pieces(path)), _BACKWARD_RULES["tiered"], size, overlap)
 
 
+# Files that a task reads: their bytes, and tasks for each core if there are enough files.
+TASK_BYTES = 64 * 1024 * 1024
+TASKS_A_CORE = 4
+
+
+def _dealt_files(files: DataFrame, length: str) -> DataFrame:
+    """``files``, listed once and dealt to tasks by number and bytes.
+
+    Spark's file scan counts each file as 4 MB at least, so a folder of small files is a task for every few of them.
+    """
+    listed = materialise(files, "files")
+    count, size = listed.agg(F.count("*"), F.sum(F.col(length).cast("long"))).first()
+    tasks = max(TASKS_A_CORE * files.sparkSession.sparkContext.defaultParallelism, (size or 0) // TASK_BYTES)
+    return listed.repartition(max(1, min(count, tasks)))
+
+
 def chunk_files(
     files: DataFrame,
     path: str = "path",
@@ -255,7 +271,7 @@ def chunk_files(
                     )
                     done += len(found)
 
-    packed = files.select(
+    packed = _dealt_files(files, length).select(
         F.struct(*carried).alias(inner), F.col(path).alias("_path"), F.col(length).cast("long").alias("_length")
     )
     number = F.col("chunk_index")

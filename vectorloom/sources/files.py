@@ -17,8 +17,9 @@ def _files(reader, only_md: bool):
 
 
 def scan_knowledge_files(spark: SparkSession, path: str, only_md: bool = True) -> DataFrame:
-    """``(path, length)`` of all files below a folder. Contents are not read."""
-    return _files(spark.read, only_md).load(path).select("path", "length")
+    """``(path, length)`` of all files below a folder. Contents are not read, so a core lists its share in one task."""
+    listed = _files(spark.read, only_md).load(path).select("path", "length")
+    return listed.coalesce(spark.sparkContext.defaultParallelism)
 
 
 def stored_place(spark: SparkSession, path: str) -> str | None:
