@@ -137,3 +137,47 @@ def test_form_job_writes_documents_and_lists_failures(spark):
     assert [row["chunk_id"] for row in job.rows.collect()] == ["1_a"]
     ledger = sorted((row["file_path"], row["status"]) for row in job.ledger.collect())
     assert ledger == [("forms/1_a.md", "completed"), ("forms/1_a.md", "failed"), ("forms/2_b.md", "failed")]
+
+
+def test_field_table_ends_before_a_rule_or_heading(spark):
+    head = "| 层级 | 字段路径 | 字段名称 | 类型 |\n"
+    row = "| 1 | `a` | {} | Text |\n"
+    texts = {
+        head + row.format("甲") + "\n" + row.format("乙"): ["甲", "乙"],
+        head + row.format("甲") + "---\n" + row.format("乙"): ["甲"],
+        head + row.format("甲") + "##\n" + row.format("乙"): ["甲"],
+        head + row.format("甲") + "--\n#\n ---\n" + row.format("乙"): ["甲", "乙"],
+        head + "---\n" + row.format("乙"): ["乙"],
+        head + row.format("甲") * 20_000: ["甲"] * 20_000,
+        head.strip(): [],
+    }
+    found = spark.createDataFrame([(text,) for text in texts], "md string").select(
+        "md", F.transform(forms.parse_form_fields(F.col("md")), lambda field: field["name"]).alias("names")
+    )
+    assert {row["md"]: row["names"] for row in found.collect()} == texts
+
+
+def _tasks(frame):
+    return frame.select(F.spark_partition_id().alias("task")).distinct().count()
+
+
+def test_records_of_one_small_file_are_dealt_to_all_cores(spark, folder):
+    from vectorloom.catalog.form_queries import form_table
+    from vectorloom.catalog.registry import table
+
+    assert _tasks(table(spark, folder, "part")) == 1
+    assert _tasks(form_table(spark, folder)) >= spark.sparkContext.defaultParallelism
+
+
+def test_files_of_one_type_stay_in_their_tasks(spark):
+    from vectorloom.operators.routing import type_config_join, validate_types
+    from vectorloom.plans.pipelines import file_inputs
+
+    rules = spark.createDataFrame([("forms/", "form", 1)], "pattern string, knowledge_type string, priority int")
+    config = spark.createDataFrame([("form", "file_name")], "knowledge_type string, vector_field string")
+    files = spark.range(0, 4000, 1, 8).select(F.concat(F.lit("forms/"), "id", F.lit(".md")).alias("path"))
+    inputs = file_inputs(files, rules, config, None)
+    assert inputs.where("content is not null").count() == 4000 and _tasks(inputs) == 8
+    typed = files.withColumn("knowledge_type", F.concat(F.lit("form"), F.substring("path", 1, 0)))
+    assert _tasks(type_config_join(typed, config)) == 8
+    assert [_tasks(part) for part in validate_types(typed, config)] == [8, 0]

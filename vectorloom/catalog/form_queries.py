@@ -8,7 +8,7 @@ from vectorloom.catalog.registry import cte, query, sql, sql_strip, table
 from vectorloom.operators import form_rules as rules
 from vectorloom.operators import forms
 from vectorloom.operators.stats import conversion_stats
-from vectorloom.session import scratch_path
+from vectorloom.session import dealt, scratch_path
 from vectorloom.sources.exports import write_form_markdown
 
 CREATED = "2024-02-01 00:00:00"
@@ -41,8 +41,11 @@ cte("forms", _FORMS.format(nl=_NL, part="part"))
 
 
 def form_table(spark, folder):
-    """The records ``(p_partkey, form_id, form_name, structure)``; the same SQL runs on Spark."""
-    part = table(spark, folder, "part")
+    """The records ``(p_partkey, form_id, form_name, structure)``; the same SQL runs on Spark.
+
+    The parts are dealt first: a few bytes of a part become a document, and a file of a million parts is one or two tasks.
+    """
+    part = dealt(table(spark, folder, "part"))
     return spark.sql(_FORMS.format(nl="char(10)", part="{part}"), part=part)
 
 

@@ -84,6 +84,7 @@ UNNAMED_FILE = "未命名"
 
 # Patterns of the title line and of the field table.
 TITLE_PATTERN = r"(?d)^# (.+?) (.+?) 数据结构文档"
-TABLE_PATTERN = r"(?d)\| 层级 \|.*?\n([\s\S]*?)(?=\n---|\n##|\z)"
+# The table ends before a line that starts with --- or ##; lines are taken whole, without a look ahead at each character.
+TABLE_PATTERN = r"(?d)\| 层级 \|[^\n]*\n((?:[^\n]++|\n(?!---|##))*+)"
 TABLE_HEADER = "| 层级"
 NAME_HEADER = "字段名称"

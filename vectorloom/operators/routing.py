@@ -35,13 +35,16 @@ MAX_RULES = 1000
 
 
 def type_config_join(df: DataFrame, config: DataFrame) -> DataFrame:
-    """Per-type settings of every row; rows of unconfigured types are dropped."""
-    return df.join(config, "knowledge_type")
+    """Per-type settings of every row; rows of unconfigured types are dropped.
+
+    The settings, a hand-written table, are broadcast: rows of one type would meet in one task.
+    """
+    return df.join(F.broadcast(config), "knowledge_type")
 
 
 def validate_types(df: DataFrame, config: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with a configured type, and the rejected rest (unknown or null type)."""
-    known = config.select("knowledge_type")
+    known = F.broadcast(config.select("knowledge_type"))
     return (
         df.join(known, "knowledge_type", "left_semi"),
         df.join(known, "knowledge_type", "left_anti"),

@@ -65,9 +65,10 @@ def file_inputs(
     routed once: both kinds of input are columns of one projection, not branches of a union.
     """
     by_type = config.select("knowledge_type", "vector_field")
+    # Broadcast, as files of one type would meet in one task.
     routed = (
         route_knowledge_type(files.select("path"), rules)
-        .join(by_type, "knowledge_type", "left")
+        .join(F.broadcast(by_type), "knowledge_type", "left")
         .withColumn("source_file", F.col("path"))
         .withColumn("_file", F.col("path"))
     )

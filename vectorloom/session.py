@@ -115,6 +115,20 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+# Tasks for each core, at least, where rows are dealt anew.
+TASKS_A_CORE = 4
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly to some tasks for each core, at least as many as shuffles have.
+
+    For few bytes that become much work: Spark counts the tasks of a scan by the bytes of its files.
+    """
+    spark = df.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(partitions, TASKS_A_CORE * spark.sparkContext.defaultParallelism))
+
+
 def lookup_table(df: DataFrame) -> DataFrame:
     """Write the side of a join that has one row per key.
 
